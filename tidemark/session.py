@@ -19,7 +19,6 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", f"file://{found}")
     return found if "://" in found else f"file://{found}"
 
 
