@@ -1,0 +1,3 @@
+"""DuckDB SQL for those training-data queries that SQL can express."""
+
+SQL: dict[str, str] = {}
