@@ -8,16 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import oracles
+from tidemark.llm.ann import nearest
 from tidemark.llm.common import read_table
 from tidemark.llm.language_id import language_id
 from tidemark.llm.packing import pack
+from tidemark.llm.pii import pseudonymize
 from tidemark.llm.quality import quality
 from tidemark.llm.token_counts import token_counts
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+PSEUDONYM_KEY = "replace-me-per-deployment"  # a caller of the operator passes a secret of its own
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(read_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op4_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -35,7 +46,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_mil_quality, op5_best_fit_packing, op8_language_id, op9_token_counts)
+    found = (op2_additive_ann, op3_feistel_pseudonyms, op4_mil_quality, op5_best_fit_packing, op8_language_id, op9_token_counts)
     return {f.__name__: f for f in found}
 
 
