@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import oracles
 from tidemark.llm.ann import nearest
 from tidemark.llm.common import read_table
+from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.language_id import language_id
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import pseudonymize
@@ -37,6 +38,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), WORD_MODEL)
 
 
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -46,7 +51,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_additive_ann, op3_feistel_pseudonyms, op4_mil_quality, op5_best_fit_packing, op8_language_id, op9_token_counts)
+    found = (op2_additive_ann, op3_feistel_pseudonyms, op4_mil_quality, op5_best_fit_packing, op7_template_decontamination, op8_language_id, op9_token_counts)
     return {f.__name__: f for f in found}
 
 
