@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import oracles
 from tidemark.llm.ann import nearest
 from tidemark.llm.common import read_table
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.language_id import language_id
+from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import pseudonymize
 from tidemark.llm.quality import quality
@@ -38,6 +40,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), WORD_MODEL)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned texts themselves are the operator's; the query returns their digests."""
+    done = dedup_lines(read_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_lines", "n_removed")
+
+
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -51,7 +59,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_additive_ann, op3_feistel_pseudonyms, op4_mil_quality, op5_best_fit_packing, op7_template_decontamination, op8_language_id, op9_token_counts)
+    found = (op2_additive_ann, op3_feistel_pseudonyms, op4_mil_quality, op5_best_fit_packing, op6_line_dedup, op7_template_decontamination, op8_language_id, op9_token_counts)
     return {f.__name__: f for f in found}
 
 
