@@ -14,6 +14,7 @@ from tidemark.llm.common import read_table
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.language_id import language_id
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import pseudonymize
 from tidemark.llm.quality import quality
@@ -24,6 +25,10 @@ PSEUDONYM_KEY = "replace-me-per-deployment"  # a caller of the operator passes a
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"))
 
@@ -59,7 +64,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_additive_ann, op3_feistel_pseudonyms, op4_mil_quality, op5_best_fit_packing, op6_line_dedup, op7_template_decontamination, op8_language_id, op9_token_counts)
+    found = (op1_probminhash_near_dedup, op2_additive_ann, op3_feistel_pseudonyms, op4_mil_quality, op5_best_fit_packing, op6_line_dedup, op7_template_decontamination, op8_language_id, op9_token_counts)
     return {f.__name__: f for f in found}
 
 
