@@ -12,6 +12,7 @@ from tidemark.llm import oracles
 from tidemark.llm.ann import nearest
 from tidemark.llm.common import read_table
 from tidemark.llm.decontaminate import decontaminate
+from tidemark.llm.html_text import main_text
 from tidemark.llm.language_id import language_id
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.near_dedup import near_duplicates
@@ -63,8 +64,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op10_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_probminhash_near_dedup, op2_additive_ann, op3_feistel_pseudonyms, op4_mil_quality, op5_best_fit_packing, op6_line_dedup, op7_template_decontamination, op8_language_id, op9_token_counts)
+    found = (op1_probminhash_near_dedup, op2_additive_ann, op3_feistel_pseudonyms, op4_mil_quality, op5_best_fit_packing, op6_line_dedup, op7_template_decontamination, op8_language_id, op9_token_counts, op10_wrapper_text)
     return {f.__name__: f for f in found}
 
 
