@@ -214,8 +214,8 @@ def fit(df: DataFrame, vocabulary_path: str, sample: int = 250, rounds: int = 3,
     return models
 
 
-def predict(df: DataFrame, models: dict[str, dict[str, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, lang_pred, score.
+def predict(df: DataFrame, models: dict[str, dict[str, float]], id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, held_out, lang_pred, score, and the columns in `carry`.
 
     A null text, an empty one and one without letters are `und` with score 0. Repeated rows give
     repeated rows; languages with equal scores are taken in alphabetical order; the whole text counts.
@@ -229,9 +229,9 @@ def predict(df: DataFrame, models: dict[str, dict[str, float]], id_col: str = "d
             found = [x for part in in_portions(batch["_text"].tolist()) for x in scorer.score(part)]
             batch["lang_pred"] = [x[0] for x in found]
             batch["score"] = [x[1] for x in found]
-            yield batch[["doc_id", "held_out", "lang_pred", "score"]]
+            yield batch[names]
 
-    schema = T.StructType(
+    own = T.StructType(
         [
             T.StructField("doc_id", df.schema[id_col].dataType),
             T.StructField("held_out", T.BooleanType()),
@@ -239,8 +239,17 @@ def predict(df: DataFrame, models: dict[str, dict[str, float]], id_col: str = "d
             T.StructField("score", T.DoubleType()),
         ]
     )
-    source = df.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"))
-    return source.mapInPandas(label, schema)
+    carried = [T.StructField(f"_carry{i}", df.schema[name].dataType) for i, name in enumerate(carry)]
+    schema = T.StructType([*own.fields, *carried])
+    names = schema.names
+    source = df.select(
+        F.col(id_col).alias("doc_id"),
+        held_out(F.col(id_col)).alias("held_out"),
+        F.col(text_col).alias("_text"),
+        *(F.col(name).alias(f"_carry{i}") for i, name in enumerate(carry)),
+    )
+    labelled = source.mapInPandas(label, schema)
+    return labelled.select(*own.names, *(F.col(f"_carry{i}").alias(name) for i, name in enumerate(carry))) if carry else labelled
 
 
 def language_id(df: DataFrame, vocabulary_path: str, sample: int = 250, rounds: int = 3) -> DataFrame:
