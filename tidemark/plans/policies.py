@@ -1 +1,119 @@
-"""Registered below."""
+"""Queries over decisions, intents, replay, reports and scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions import dims
+from tidemark.operators import episodes, policy, replay
+from tidemark.plans.context import Context
+from tidemark.plans.market import L, R
+from tidemark.plans.registry import query
+from tidemark.plans.twins import twin
+
+_JSON = lambda parts: "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in sorted(parts.items())) + " || '}'"
+_Q = lambda x: f"coalesce('\"' || {x} || '\"', 'null')"
+_TRACE = _JSON({"artifact_id": _Q("'artifact-' || policy_id"), "decision_timestamp": _Q("CAST(slot AS VARCHAR)"), "target_symbol": _Q("symbol"), "action_key": _Q("action"), "venue": _Q("exchange")})
+_INTENT = _JSON({"policy_id": _Q("policy_id"), "artifact_id": _Q("'artifact-' || policy_id"), "decision_timestamp": _Q("CAST(slot AS VARCHAR)"), "target_symbol": _Q("symbol"), "action_key": _Q("action"), "selector_trace_id": _Q("t")})
+
+
+@query(twin(f"SELECT policy_id, split, symbol, CAST(slot AS BIGINT) AS slot, action, coalesce(exchange, 'binance') AS venue, CASE WHEN action = 'abstain' THEN 0.0 ELSE 0.01 END::DOUBLE AS notional_or_size, CASE WHEN action = 'abstain' THEN 0.0 ELSE 1.0 END::DOUBLE AS leverage, CAST(60 AS BIGINT) AS ttl_seconds, round(confidence, 9) AS confidence, t AS selector_trace_id, 'intent-' || substr(sha256({_INTENT}), 1, 12) AS intent_id FROM (SELECT *, 'selector-' || substr(sha256({_TRACE}), 1, 12) AS t FROM dec)"))
+def h2_execution_intents(c: Context) -> DataFrame:
+    found = policy.intents(c.decisions, dims.bands(c.spark, c.spec), c.spec)
+    return found.select("policy_id", "split", "symbol", *L("slot"), "action", "venue", "notional_or_size", "leverage", "ttl_seconds", R("confidence"), "selector_trace_id", "intent_id")
+
+
+@query(twin("SELECT 'available' AS kind, exchange || '.' || stream AS item, 'missing' AS problem FROM avail WHERE available AND (exchange, stream) NOT IN (SELECT (exchange, stream) FROM mkt WHERE ord % 7 = 0 AND stream <> 'funding') UNION ALL SELECT DISTINCT 'available', exchange || '.' || stream, 'unexpected' FROM mkt WHERE ord % 7 = 0 AND stream <> 'funding' AND exchange = 'binance' AND stream = 'open_interest'"))
+def h3_contract_gate(c: Context) -> DataFrame:
+    """The contract against a table that lacks a stream and holds an excluded pair: one row per violation."""
+    item = F.concat_ws(".", "exchange", "stream").alias("item")
+    kind = F.lit("available").alias("kind")
+    required = dims.availability(c.spark, c.spec).where("available").select(kind, item)
+    present = c.view.where("ord % 7 = 0 AND stream <> 'funding'").select(kind, item).distinct()
+    return policy.contract_violations(required, present)
+
+
+@query(twin("SELECT policy_id, 'linear-policy-v1' AS adapter, round(expected, 9) AS expected, round(composite, 9) AS composite, CAST(n_steps AS BIGINT) AS n_steps FROM card WHERE split = 'validation'"))
+def h4_export(c: Context) -> DataFrame:
+    """What an inference artifact carries of its validation score."""
+    return c.scores.where("split = 'validation'").select("policy_id", F.lit("linear-policy-v1").alias("adapter"), R("expected"), R("composite"), "n_steps")
+
+
+_PARTS = ("gross", "fee", "slippage", "funding", "risk")
+
+
+@query(twin("SELECT policy_id, split, symbol, CAST(slot AS BIGINT) AS slot, action, applied, venue, infeasible, round(gross, 9) AS gross, round(fee, 9) AS fee, round(slippage, 9) AS slippage, round(funding, 9) AS funding, round(risk, 9) AS risk, round(net0, 9) AS net FROM app"))
+def i1_apply_decision(c: Context) -> DataFrame:
+    return c.applied.select("policy_id", "split", "symbol", *L("slot"), "action", "applied", "venue", "infeasible", *map(R, _PARTS), F.round("net_before_turnover", 9).alias("net"))
+
+
+@query(twin("SELECT policy_id, split, symbol, CAST(slot AS BIGINT) AS slot, trajectory_id, side, previous_side, previous_venue, CAST(hold_age AS BIGINT) AS hold_age, round(turnover_so_far, 9) AS turnover_so_far FROM rep"))
+def i2_position_state(c: Context) -> DataFrame:
+    return c.replayed.select("policy_id", "split", "symbol", *L("slot"), "trajectory_id", "side", "previous_side", "previous_venue", *L("hold_age"), R("turnover_so_far"))
+
+
+@query(twin("SELECT policy_id, split, count(*) FILTER (turnover <> 0) AS changes, round(sum(turnover), 9) AS turnover FROM rep GROUP BY ALL"))
+def i3_turnover(c: Context) -> DataFrame:
+    return c.replayed.groupBy("policy_id", "split").agg(F.count_if(F.col("turnover") != 0).alias("changes"), F.round(F.sum("turnover"), 9).alias("turnover"))
+
+
+_TOTALS = ("total_net_return", "average_net_return", "std_net_return", *(f"total_{x}" for x in (*_PARTS, "turnover")))
+
+
+@query(twin(f"SELECT policy_id, split, n_steps, trades, infeasible, {', '.join(f'round({x}, 9) AS {x}' for x in _TOTALS)} FROM rpt"))
+def i4_evaluation_report(c: Context) -> DataFrame:
+    return c.reports.select("policy_id", "split", "n_steps", "trades", "infeasible", *map(R, _TOTALS))
+
+
+@query(twin("SELECT p.policy_id, p.split, a.action, count(r.slot) AS n FROM (SELECT DISTINCT policy_id, split FROM rep) p CROSS JOIN act a LEFT JOIN rep r ON r.policy_id = p.policy_id AND r.split = p.split AND r.applied = a.action GROUP BY ALL"))
+def i5_action_counts(c: Context) -> DataFrame:
+    return replay.action_counts(c.replayed, c.spec)
+
+
+@query(twin("SELECT policy_id, split, CAST(slot AS BIGINT) AS slot, symbol, 'infeasible:' || action || ':' || CAST(slot AS VARCHAR) AS note FROM app WHERE infeasible"))
+def i6_infeasible_notes(c: Context) -> DataFrame:
+    return replay.infeasible_notes(c.applied).select("policy_id", "split", *L("slot"), "symbol", "note")
+
+
+@query(twin("SELECT policy_id, split, CAST(first_slot AS BIGINT) AS first_slot, CAST(end_slot AS BIGINT) AS end_slot FROM rpt"))
+def i7_active_range(c: Context) -> DataFrame:
+    return c.reports.select("policy_id", "split", *L("first_slot", "end_slot"))
+
+
+@query(twin("SELECT a.policy_id, a.split, a.symbol, CAST(a.slot AS BIGINT) AS slot, CASE WHEN c.exchange IS NOT NULL THEN a.exchange END AS selected_venue FROM dec a LEFT JOIN ctx c ON a.slot = c.slot AND a.symbol = c.symbol AND a.exchange = c.exchange"))
+def i8_selected_venue(c: Context) -> DataFrame:
+    """The decided venue, where the step's reward context has it."""
+    have = c.reward_context.select("slot", "symbol", "exchange", F.lit(True).alias("have"))
+    return c.decisions.join(have, ["slot", "symbol", "exchange"], "left").select("policy_id", "split", "symbol", *L("slot"), F.when(F.col("have"), F.col("exchange")).alias("selected_venue"))
+
+
+_SLICE = {
+    "sl0": "SELECT a.*, coalesce(last_value(CASE applied WHEN 'enter_long' THEN 'long' WHEN 'enter_short' THEN 'short' END IGNORE NULLS) OVER (PARTITION BY policy_id, symbol ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'flat') AS side FROM app a WHERE split = 'validation' AND slot >= 450 AND slot < 520",
+    "sl1": "SELECT *, coalesce(lag(side) OVER (PARTITION BY policy_id, symbol ORDER BY slot), 'flat') AS previous FROM sl0",
+}
+
+
+@query(twin("SELECT policy_id, count(*) AS n_steps, round(sum(net0 + CASE WHEN side <> previous THEN -0.0005 ELSE 0 END), 9) AS total_net_return FROM sl1 GROUP BY ALL", _SLICE))
+def i9_slice_replay(c: Context) -> DataFrame:
+    """Replay of a time slice: it is a trajectory of its own, with state from its start."""
+    part = episodes.in_window(c.applied.where("split = 'validation'"), 450, None, 520)
+    own = c.episodes.withColumn("trajectory_id", F.concat_ws("-", F.lit("slice"), "symbol"))
+    rows = replay.replay(part, own, c.spec)
+    return rows.groupBy("policy_id").agg(F.count("*").alias("n_steps"), F.round(F.sum("net"), 9).alias("total_net_return"))
+
+
+_CARD = ("expected", "risk", "turnover", "stability", "applicability", "composite")
+
+
+@query(twin(f"SELECT policy_id, split, {', '.join(f'round({x}, 9) AS {x}' for x in _CARD)} FROM card"))
+def j1_score_card(c: Context) -> DataFrame:
+    return c.scores.select("policy_id", "split", *map(R, _CARD))
+
+
+@query(twin("SELECT policy_id, split, CAST(row_number() OVER (PARTITION BY split ORDER BY round(composite, 12) DESC, policy_id) AS BIGINT) AS rank FROM card"))
+def j2_candidate_ranking(c: Context) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("split").orderBy(F.desc(F.round("composite", 12)), "policy_id")
+    return c.scores.select("policy_id", "split", F.row_number().over(order).cast("long").alias("rank"))
