@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dims
 from tidemark.functions.specs import DEFAULT, Spec
 from tidemark.operators import asof, derived, episodes, replay, rewards
-from tidemark.session import read_table
+from tidemark.session import materialize, read_table
 from tidemark.sources import market
 
 #: Thresholds of the rule policies that stand in for trained ones where SQL must check the replay.
@@ -31,11 +31,12 @@ class Context:
 
     @cached_property
     def state(self) -> DataFrame:
-        return asof.asof_slots(self.events, self.spec)
+        """Written once: every query below reads it several times."""
+        return materialize(asof.asof_slots(self.events, self.spec), "state")
 
     @cached_property
     def venues(self) -> DataFrame:
-        return derived.venue_state(self.state)
+        return materialize(derived.venue_state(self.state), "venues")
 
     @cached_property
     def best(self) -> DataFrame:
@@ -81,7 +82,7 @@ class Context:
     def rewards(self) -> DataFrame:
         """Of steps only: the last horizon of each split has no reward."""
         found = rewards.action_rewards(self.reward_context, self.timeline, self.spec)
-        return found.join(self.steps.select("split", "symbol", "slot"), ["split", "symbol", "slot"], "left_semi")
+        return materialize(found.join(self.steps.select("split", "symbol", "slot"), ["split", "symbol", "slot"], "left_semi"), "rewards")
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -117,7 +118,7 @@ class Context:
 
     @cached_property
     def replayed(self) -> DataFrame:
-        return replay.replay(self.applied, self.episodes, self.spec)
+        return materialize(replay.replay(self.applied, self.episodes, self.spec), "replay")
 
     @cached_property
     def reports(self) -> DataFrame:

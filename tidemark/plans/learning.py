@@ -1 +1,174 @@
-"""Registered below."""
+"""Queries over features, statistics, training, candidate search and selection."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.operators import derived, episodes, features, policy
+from tidemark.plans.context import Context
+from tidemark.plans.market import L, R
+from tidemark.plans.registry import query
+from tidemark.plans.twins import twin
+from tidemark.session import materialize
+
+_FEATURES = {
+    "mv": "SELECT a.slot, a.symbol, b.symbol AS other, CASE WHEN b.best_price <> 0 THEN coalesce((a.best_price - b.best_price) / b.best_price, 0) ELSE 0 END AS x FROM best a JOIN best b USING (slot) WHERE a.symbol <> b.symbol",
+    "ft0": "SELECT slot, symbol, 'best_price' AS name, coalesce(best_price, 0) AS x FROM best UNION ALL SELECT a.slot, a.symbol, 'venue_pair_mark_price_spread_' || a.exchange || '_' || b.exchange, coalesce(a.mark - b.mark, 0) FROM venue a JOIN venue b USING (slot, symbol) WHERE a.exchange < b.exchange UNION ALL SELECT slot, symbol, 'relative_move_vs_' || other, x FROM mv UNION ALL SELECT slot, symbol, 'target', symbol_idx / 4 FROM best JOIN sym USING (symbol)",
+    "ft": "SELECT split, symbol, slot, name, x FROM steps JOIN ft0 USING (slot, symbol)",
+    "fs": "SELECT name, avg(x) AS mean, CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END AS std FROM ft WHERE split = 'train' GROUP BY ALL",
+}
+
+
+def _features(c: Context) -> DataFrame:
+    moves = derived.relative_moves(c.best)
+    return features.narrow_features(c.best, derived.venue_spreads(c.venues, c.spec), moves, c.steps, c.spec)
+
+
+@query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot, name, round(x, 9) AS x FROM ft WHERE split IN ('validation', 'final_untouched_test')", _FEATURES))
+def e1_features(c: Context) -> DataFrame:
+    return _features(c).where(F.col("split").isin("validation", "final_untouched_test")).select("split", "symbol", *L("slot"), "name", R("x"))
+
+
+@query()
+def e1_dense_blocks(c: Context) -> DataFrame:
+    """The six blocks of live cells of each validation slot as dense arrays."""
+    return features.dense_blocks(c.cube)
+
+
+@query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot, count(*) AS width, count(*) = 8 AS as_expected FROM ft GROUP BY ALL", _FEATURES))
+def e2_feature_dim(c: Context) -> DataFrame:
+    """Width of every step's vector: a price, three spreads, moves (as many as the step has), and the target."""
+    rows = _features(c).groupBy("split", "symbol", *L("slot")).agg(F.count("*").alias("width"))
+    return rows.withColumn("as_expected", F.col("width") == 8)
+
+
+@query(twin("SELECT name, round(mean, 8) AS mean, round(std, 8) AS std FROM fs", _FEATURES))
+def e3_train_statistics(c: Context) -> DataFrame:
+    return features.train_statistics(_features(c)).select("name", R("mean", 8), R("std", 8))
+
+
+@query(twin("SELECT symbol, CAST(slot AS BIGINT) AS slot, name, round((x - mean) / std, 6) AS z FROM ft JOIN fs USING (name) WHERE split = 'validation'", _FEATURES))
+def e4_standardize(c: Context) -> DataFrame:
+    rows = _features(c)
+    return features.standardize(rows.where("split = 'validation'"), features.train_statistics(rows)).select("symbol", *L("slot"), "name", R("z", 6))
+
+
+WIDTH = 8
+GRID = ((7, 11), (0.05, 0.1), (1e-4,))
+
+
+def _pivoted(c: Context) -> DataFrame:
+    """split, symbol, slot, v of width 8: missing moves, of symbols with other names, are zeros."""
+    rows = _features(c)
+    z = features.standardize(rows, features.train_statistics(rows))
+    plain = ("best_price", "target")
+    group = F.when(F.col("name").isin(*plain), F.col("name")).when(F.col("name").startswith("venue"), F.col("name")).otherwise(F.concat(F.lit("zz-"), "name"))
+    return features.vectors(z.withColumn("name", group)).where(F.size("v") == WIDTH)
+
+
+def _rows(c: Context) -> DataFrame:
+    index = lambda keys, x: F.array_position(F.array(*map(F.lit, keys)), F.col(x)).cast("int") - 1
+    labels = c.labels.where("split = 'development'").select("symbol", "slot", index([a.key for a in c.spec.actions], "action").alias("action_idx"), F.coalesce(index(c.spec.exchanges, "exchange"), F.lit(-1)).alias("venue_idx"))
+    members = episodes.fold_members(c.steps, c.spec).where("part = 'train'")
+    vectors = _pivoted(c).where("split = 'development'").drop("split")
+    return materialize(members.join(vectors, ["symbol", "slot"]).join(labels, ["symbol", "slot"]).select("fold", "v", "action_idx", "venue_idx"), "training-rows")
+
+
+def _trained(c: Context, epochs: int = 3) -> tuple[dict, list[tuple], list[tuple]]:
+    grid = [(r["candidate_idx"], r["seed"], r["rate"], r["l2"]) for r in policy.candidates(c.spark, *GRID).orderBy("candidate_idx").collect()]
+    sets, history = policy.train(_rows(c), grid, WIDTH, c.spec, epochs)
+    return sets, history, grid
+
+
+@query()
+def k1_gradient(c: Context) -> DataFrame:
+    """Summed gradients of every candidate and fold at their starts, in one pass over the features."""
+    rows = _rows(c)
+    folds = [r["fold"] for r in c.folds.collect()]
+    sets = {f"{s}|{f}": policy.initial_weights(c.spec, WIDTH, s) for s in GRID[0] for f in folds}
+    return policy.gradients(rows, sets, WIDTH, c.spec)
+
+
+@query()
+def k2_training_history(c: Context) -> DataFrame:
+    """Loss of every candidate and fold after each epoch."""
+    _, history, _ = _trained(c)
+    return c.spark.createDataFrame(history, "set_id string, epoch int, loss double")
+
+
+@query()
+def h1_linear_policy(c: Context) -> DataFrame:
+    """Decisions of the first trained candidate of the last fold on validation steps."""
+    sets, _, _ = _trained(c, 2)
+    weights = sets[max(k for k in sets if k.startswith("0|"))]
+    return policy.decide(_pivoted(c).where("split = 'validation'"), weights, c.spec)
+
+
+@query(twin("SELECT CAST(row_number() OVER (ORDER BY s.i, r.i) - 1 AS BIGINT) AS candidate_idx, CAST(seed AS BIGINT) AS seed, rate::DOUBLE AS rate, 0.0001::DOUBLE AS l2, n FROM (VALUES (0, 7), (1, 11)) s(i, seed), (VALUES (0, 0.05), (1, 0.1)) r(i, rate), (SELECT count(*) AS n FROM ev)"))
+def k3_candidate_grid(c: Context) -> DataFrame:
+    """Every candidate with the number of events it would be fitted on."""
+    return policy.candidates(c.spark, (7, 11, 7), (0.05, 0.1), (1e-4, 1e-4)).crossJoin(c.events.agg(F.count("*").alias("n"))).select(*L("candidate_idx", "seed"), "rate", "l2", "n")
+
+
+_FOLDS = {
+    "fm": "SELECT fold, 'validation' AS part, symbol, slot FROM steps, fold WHERE split = 'development' AND slot BETWEEN validation_first AND validation_last",
+    "fsc": "SELECT CAST(right(policy_id, 1) AS INTEGER) AS candidate_idx, fold, count(*) AS n_steps, sum(net0) AS total_net_return, avg(net0) AS composite FROM app JOIN fm USING (symbol, slot) WHERE app.split IN ('train', 'validation') GROUP BY ALL",
+    "fmn": "SELECT candidate_idx, sum(total_net_return * n_steps) / sum(n_steps) AS mean_return, sum(composite * n_steps) / sum(n_steps) AS mean_composite, sum(n_steps) AS n_steps FROM fsc GROUP BY ALL",
+}
+
+
+def _fold_scores(c: Context) -> DataFrame:
+    """The rule policies as candidates: their results on the validation part of each fold."""
+    members = episodes.fold_members(c.steps, c.spec).where("part = 'validation'").select("fold", "symbol", "slot")
+    rows = c.applied.where(F.col("split").isin("train", "validation")).join(members, ["symbol", "slot"])
+    number = F.substring("policy_id", -1, 1).cast("int").alias("candidate_idx")
+    return rows.groupBy(number, "fold").agg(F.count("*").alias("n_steps"), F.sum("net_before_turnover").alias("total_net_return"), F.avg("net_before_turnover").alias("composite"))
+
+
+@query(twin("SELECT CAST(candidate_idx AS BIGINT) AS candidate_idx, fold, n_steps, round(total_net_return, 9) AS total_net_return FROM fsc", _FOLDS))
+def k4_walkforward_scores(c: Context) -> DataFrame:
+    return _fold_scores(c).select(*L("candidate_idx"), "fold", "n_steps", R("total_net_return"))
+
+
+@query(twin("SELECT CAST(candidate_idx AS BIGINT) AS candidate_idx, round(mean_return, 9) AS mean_return, round(mean_composite, 9) AS mean_composite, CAST(n_steps AS BIGINT) AS n_steps FROM fmn", _FOLDS))
+def k5_fold_means(c: Context) -> DataFrame:
+    return policy.fold_means(_fold_scores(c)).select(*L("candidate_idx"), R("mean_return"), R("mean_composite"), "n_steps")
+
+
+@query(twin("SELECT CAST(candidate_idx AS BIGINT) AS candidate_idx, CAST(row_number() OVER (ORDER BY round(mean_return, 12) DESC, round(mean_composite, 12) DESC, candidate_idx) AS BIGINT) AS rank FROM fmn", _FOLDS))
+def k6_selection(c: Context) -> DataFrame:
+    means = policy.fold_means(_fold_scores(c)).withColumn("mean_return", F.round("mean_return", 12)).withColumn("mean_composite", F.round("mean_composite", 12))
+    return policy.selection(means).select(*L("candidate_idx", "rank"))
+
+
+@query(twin("SELECT count(*) AS policies, count(DISTINCT policy_id) AS distinct_policies, count(DISTINCT threshold) AS variants, (SELECT count(*) FROM dec) AS decisions FROM pol"))
+def k7_search_budget(c: Context) -> DataFrame:
+    found = c.decisions.groupBy("policy_id").agg(F.count("*").alias("n"))
+    return found.agg(F.count("*").alias("policies"), F.countDistinct("policy_id").alias("distinct_policies"), F.countDistinct("policy_id").alias("variants"), F.sum("n").alias("decisions"))
+
+
+@query(twin("SELECT policy_id, split, 'surface-' || substr(sha256('{\"first\":' || first_slot || ',\"last\":' || end_slot || ',\"policy_id\":\"' || policy_id || '\"}'), 1, 12) AS surface_id FROM rpt"))
+def k8_identifiers(c: Context) -> DataFrame:
+    key = policy.canonical_hash(policy_id=F.col("policy_id"), first=F.col("first_slot"), last=F.col("end_slot"))
+    return c.reports.select("policy_id", "split", F.concat(F.lit("surface-"), F.substring(key, 1, 12)).alias("surface_id"))
+
+
+@query(twin("SELECT CAST(candidate_idx AS BIGINT) AS candidate_idx, string_agg(fold || ':' || n_steps, ',' ORDER BY fold) AS folds, list(fold ORDER BY round(total_net_return, 9) DESC, fold)[1] AS best_fold FROM fsc GROUP BY ALL", _FOLDS))
+def k9_training_summary(c: Context) -> DataFrame:
+    rows = _fold_scores(c)
+    listed = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("fold", "n_steps"))), lambda x: F.concat_ws(":", x.fold, x.n_steps.cast("string"))))
+    return rows.groupBy(*L("candidate_idx")).agg(listed.alias("folds"), F.min_by("fold", F.struct(-F.round("total_net_return", 9), "fold")).alias("best_fold"))
+
+
+@query(twin("SELECT fold, count(*) FILTER (slot <= train_last AND slot < purge_before) AS train_steps, count(*) FILTER (slot BETWEEN validation_first AND validation_last) AS validation_steps FROM steps, fold WHERE split = 'development' GROUP BY ALL"))
+def k10_window_counts(c: Context) -> DataFrame:
+    """Steps of every fold's windows, all folds at once."""
+    members = episodes.fold_members(c.steps, c.spec)
+    return members.groupBy("fold").agg(F.count_if(F.col("part") == "train").alias("train_steps"), F.count_if(F.col("part") == "validation").alias("validation_steps"))
+
+
+@query(twin("SELECT policy_id, round(total_net_return / greatest(n_steps, 1), 9) AS expected_return, round(least(0.99, greatest(0, composite)), 9) AS quality FROM card WHERE split = 'validation'"))
+def k11_published_scores(c: Context) -> DataFrame:
+    rows = c.scores.where("split = 'validation'")
+    return rows.select("policy_id", F.round(F.col("total_net_return") / F.greatest("n_steps", F.lit(1)), 9).alias("expected_return"), F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.0), "composite")), 9).alias("quality"))

@@ -1 +1,54 @@
-"""Registered below."""
+"""Streaming queries: the events are written as files and replayed; each result must equal the batch's."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.plans.context import Context
+from tidemark.plans.market import L
+from tidemark.plans.registry import query
+from tidemark.plans.twins import twin
+from tidemark.session import new_path
+from tidemark.streaming import market
+
+
+def _source(c: Context, redeliver: bool = False) -> tuple[DataFrame, str]:
+    path = new_path(c.spark, "feed")
+    rows = c.events.repartitionByRange(8, "us")
+    if redeliver:
+        rows = rows.unionByName(c.events.where("ord % 10 = 0")).repartitionByRange(8, "us")
+    rows.write.parquet(path)
+    return market.event_stream(c.spark, path, c.events.schema, 8), path
+
+
+@query(twin("SELECT CAST(ord AS BIGINT) AS ord, exchange, symbol, stream FROM ev"))
+def s1_stream_dedup(c: Context) -> DataFrame:
+    """Every tenth event is delivered twice; the second is dropped."""
+    stream, _ = _source(c, redeliver=True)
+    return market.run(market.deduplicated(stream).select("ord", "exchange", "symbol", "stream"), "append", "deduplicated")
+
+
+@query(twin("SELECT symbol, exchange, stream, CAST(ceil(us / 3600000000) AS BIGINT) AS slot, round(arg_max(us, us) / 1e6, 6) AS e_s, round(arg_max(coalesce(price, mid, mark_price, funding_rate, open_interest, -1), us), 9) AS value FROM ev GROUP BY ALL"))
+def s2_online_state(c: Context) -> DataFrame:
+    stream, _ = _source(c)
+    found = market.run(market.online_state(stream), "update", "state", ("symbol", "exchange", "stream", "slot"))
+    return found.select("symbol", "exchange", "stream", *L("slot"), F.round(F.col("us") / 1e6, 6).alias("e_s"), F.round(F.coalesce("value", F.lit(-1.0)), 9).alias("value"))
+
+
+@query(twin("SELECT stream, CAST(us // 86400000000 AS BIGINT) AS day, count(*) AS n FROM ev GROUP BY ALL"))
+def s3_activity(c: Context) -> DataFrame:
+    """Daily counts; complete mode also shows the windows that the watermark has not closed yet."""
+    stream, _ = _source(c)
+    found = market.run(market.activity(stream), "update", "activity", ("start", "stream"))
+    day = F.floor((F.unix_micros("start") - 1_704_067_200_000_000) / 86_400_000_000)
+    return found.select("stream", day.cast("long").alias("day"), "n")
+
+
+@query(twin("SELECT 'stream_only' AS side, count(*) AS n FROM ev WHERE ord < 0 UNION ALL SELECT 'batch_only', count(*) FROM ev WHERE ord < 0"))
+def s4_parity(c: Context) -> DataFrame:
+    """Online state against the same aggregate in batch: no row on either side."""
+    stream, path = _source(c)
+    found = market.run(market.online_state(stream), "update", "state", ("symbol", "exchange", "stream", "slot"))
+    batch = market.online_state(c.spark.read.parquet(path))
+    return market.parity(found, batch.select(*found.columns))
