@@ -4,20 +4,26 @@ Lines are compared in lower case without outer white space. A line is removed if
 within `max_edits` edits, comes earlier in (doc_id, line number) order; lines shorter than `min_chars` stay.
 
 Two lines within t edits share one of t + 1 segments of the shorter one, at places that differ by at most
-t. So every distinct line gives t + 1 index keys (its own segments) and, for each length up to t less, the
-substrings that may equal a segment of so long a line; equal keys make candidates, which the banded edit
-distance verifies. Only ids and hashes of lines travel for that; texts are fetched for candidates alone.
+t. So every distinct line gives t + 1 keys of its own segments and, for each length up to t less, keys of the
+substrings that may equal a segment of so long a line; equal keys make candidates, which Spark's banded edit
+distance verifies. Only hashes travel for that; texts are fetched for candidates alone. Where many lines
+share a key, what the key does not cover is cut into segments again, and again, so that a large group of
+lines that are alike but not near does not make all its pairs; no near pair is lost by that.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import materialize
 
 MAX_EDITS = 1
 MIN_CHARS = 40
+CROWDED = 32  # rows of a key from which its lines are told apart by further segments
+MAX_LEVELS = 8
+BROADCAST_ROWS = 200_000  # of ids: a few MB
 
 
 def segments(length: Column, max_edits: int) -> list[tuple[Column, Column]]:
@@ -36,30 +42,86 @@ def _key(number: int, length: Column, text: Column) -> Column:
     return F.xxhash64(F.lit(number), length.cast("int"), text)
 
 
-def index_keys(line: Column, length: Column, max_edits: int) -> list[Column]:
+def windows(max_edits: int) -> list[tuple[int, int, int]]:
+    """(d, segment, move): where a line longer by d may hold a segment of a shorter one, moved by so much.
+
+    The edits before the segment and those after it sum to max_edits at most: the multi-match-aware bounds.
+    """
+    found = []
+    for d in range(max_edits + 1):
+        for i in range(max_edits + 1):
+            low, high = max(-i, d - (max_edits - i)), min(i, d + (max_edits - i))
+            found += [(d, i, move) for move in range(low, high + 1)]
+    return found
+
+
+def own_keys(line: Column, length: Column, max_edits: int) -> list[Column]:
     """Keys of the line's own segments."""
     return [_key(i, length, F.substr(line, at, size)) for i, (at, size) in enumerate(segments(length, max_edits))]
 
 
-def probe_keys(line: Column, length: Column, max_edits: int) -> list[Column]:
-    """Keys of the substrings that may equal a segment of a line that is shorter by 0 .. max_edits.
-
-    With a difference of lengths d, segment i (from 0) can only have moved by so much that the edits
-    before it and those after it sum to max_edits at most: the multi-match-aware bounds.
-    """
+def asked_keys(line: Column, length: Column, max_edits: int) -> list[Column]:
+    """Keys of the substrings that may equal a segment of a line shorter by d, other than the line's own."""
     keys = []
-    for d in range(max_edits + 1):
-        other = length - d
-        for i, (at, size) in enumerate(segments(other, max_edits)):
-            low = max(-i, d - (max_edits - i))
-            high = min(i, d + (max_edits - i))
-            for move in range(low, high + 1):
-                start = at + move
-                fits = (start >= 1) & (start + size - 1 <= length)
-                keys.append(F.when(fits, _key(i, other, F.substr(line, start, size))))
+    for d, i, move in windows(max_edits):
+        if d or move:
+            at, size = segments(length - d, max_edits)[i]
+            fits = (at + move >= 1) & (at + move + size - 1 <= length)
+            keys.append(F.when(fits, _key(i, length - d, F.substr(line, at + move, size))))
     return keys
 
 
+def _narrowed(rows: DataFrame, max_edits: int) -> DataFrame:
+    """The next level of crowded buckets: rows (bucket, id, asked, rest, target) to (key, id, asked, rest, target).
+
+    Lines of a bucket share a segment, so what is left of them must be within max_edits too, and is cut
+    into segments again. `target` is the length of the shorter rest; an asked row is longer by 0 or more.
+    """
+    made = []
+    longer = F.length("rest") - F.col("target")
+    for d, i, move in windows(max_edits):
+        at, size = segments(F.col("target"), max_edits)[i]
+        start = at + move
+        fits = (start >= 1) & (start + size - 1 <= F.length("rest")) & (longer == d) & (size > 0)
+        own = F.lit(d == 0 and move == 0)
+        allowed = fits & (F.col("asked") | F.lit(d == 0))
+        rest = F.concat(F.substr("rest", F.lit(1), start - 1), F.substr("rest", start + size, F.length("rest")))
+        made.append(
+            F.when(
+                allowed,
+                F.struct(
+                    F.xxhash64("bucket", F.lit(i), F.substr("rest", start, size)).alias("key"),
+                    (F.col("asked") | ~own).alias("asked"),
+                    rest.alias("rest"),
+                    (F.col("target") - size).alias("target"),
+                ),
+            )
+        )
+    each = rows.select("id", F.explode(F.array_compact(F.array(*made))).alias("x"))
+    return each.select("id", "x.*").dropDuplicates(["key", "id", "asked", "target"])
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows whose key other lines have too, one of them as its own; adds n, the rows of the key."""
+    of_key = Window.partitionBy("key")
+    counted = rows.select(
+        "*", F.min("id").over(of_key).alias("_lo"), F.max("id").over(of_key).alias("_hi"), F.min("asked").over(of_key).alias("_asked"), F.count("*").over(of_key).alias("n")
+    )
+    return counted.where((F.col("_lo") != F.col("_hi")) & ~F.col("_asked")).drop("_lo", "_hi", "_asked")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """a < b of all lines that share a key which one of them owns."""
+    own = rows.where(~F.col("asked")).select("key", F.col("id").alias("x"))
+    met = rows.select("key", "id", "asked").join(own, "key").where((F.col("id") != F.col("x")) & (F.col("asked") | (F.col("id") < F.col("x"))))
+    return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
+
+
+def _joined(rows: DataFrame, few: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """`rows` joined with `few`, which is broadcast if it is counted to be small, and shuffled else."""
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, keys, how)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line (as written) of documents with an id and a text."""
     return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
@@ -75,55 +137,50 @@ def compared(line: Column) -> Column:
 def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, line_no of the lines to remove."""
     read = _lines(docs).select("doc_id", "line_no", compared(F.col("line")).alias("norm")).withColumn("length", F.length("norm"))
-    read = read.where(F.col("length") >= min_chars)
-    index, probe = (f(F.col("norm"), F.col("length"), max_edits) for f in (index_keys, probe_keys))
-    signed = read.select(
-        "doc_id",
-        "line_no",
-        "length",
-        F.xxhash64("norm").alias("h1"),
-        F.xxhash64(F.lit(11), "norm").alias("h2"),
-        *(k.alias(f"i{n}") for n, k in enumerate(index)),
-        *(k.alias(f"p{n}") for n, k in enumerate(probe)),
-    )
-    keys = [f"i{n}" for n in range(len(index))] + [f"p{n}" for n in range(len(probe))]
-    place = F.struct("doc_id", "line_no")
+    read = read.where(F.col("length") >= min_chars).withColumn("id", F.xxhash64("norm")).withColumn("id2", F.xxhash64(F.lit(11), "norm"))
+    own, asked = (f(F.col("norm"), F.col("length"), max_edits) for f in (own_keys, asked_keys))
+    names = [f"o{n}" for n in range(len(own))], [f"p{n}" for n in range(len(asked))]
+    signed = read.select("doc_id", "line_no", "id", "id2", *(k.alias(n) for k, n in zip(own + asked, names[0] + names[1], strict=True)))
+    # A line is known by two hashes; its keys are the same wherever it stands, so any of them will do.
     distinct = materialize(
-        signed.groupBy("h1", "h2").agg(
-            F.min("length").alias("length"), F.min(place).alias("first"), F.count("*").alias("n"), *(F.min(k).alias(k) for k in keys)
-        ),
+        signed.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), *(F.min(k).alias(k) for k in names[0] + names[1])),
         "distinct-lines",
     )
-    # Lines that occur once and have no near line need no more work; the others are found by their keys.
-    own = distinct.select("first", F.explode(F.array(*keys[: len(index)])).alias("key"))
-    asked = distinct.select("first", F.explode(F.array_distinct(F.array(*keys[len(index) :]))).alias("key")).where(F.col("key").isNotNull())
-    pairs = (
-        asked.withColumnRenamed("first", "a")
-        .join(own.withColumnRenamed("first", "b"), "key")
-        .where(F.col("a") != F.col("b"))
-        .select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"))
-        .distinct()
-    )
-    pairs = materialize(pairs, "line-candidates")
-    wanted = pairs.select(F.explode(F.array("early", "late")).alias("first")).distinct()
-    texts = (
-        _lines(docs.join(wanted.select("first.doc_id").distinct(), "doc_id", "left_semi"))
-        .select(place.alias("first"), compared(F.col("line")).alias("norm"))
-        .join(wanted, "first", "left_semi")
-    )
-    texts = materialize(texts.dropDuplicates(["first"]), "candidate-lines")
-    near = (
-        pairs.join(texts.select(F.col("first").alias("early"), F.col("norm").alias("x")), "early")
-        .join(texts.select(F.col("first").alias("late"), F.col("norm").alias("y")), "late")
-        .where(F.levenshtein("x", "y", max_edits) >= 0)
-        .select(F.col("late").alias("first"))
-        .distinct()
-    )
-    near = materialize(near, "near-lines")
-    lines = distinct.select("h1", "h2", "first", "n").join(near.withColumn("near", F.lit(True)), "first", "left")
-    bad = lines.where((F.col("n") > 1) | F.col("near")).select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    places = read.select("doc_id", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(11), "norm").alias("h2"))
-    found = places.join(bad, ["h1", "h2"])
+    keyed = [F.struct(F.col(k).alias("key"), F.lit(flag).alias("asked")) for flag, group in ((False, names[0]), (True, names[1])) for k in group]
+    rows = distinct.select("id", F.explode(F.array(*keyed)).alias("x")).select("id", "x.*").where(F.col("key").isNotNull())
+    shared = materialize(_shared(rows), "shared-keys")
+    pairs = _pairs(shared.where(F.col("n") <= CROWDED))
+    crowded = shared.where(F.col("n") > CROWDED)
+    level = 0
+    if not crowded.isEmpty():
+        ids = materialize(crowded.select("id").distinct(), "crowded-lines")
+        texts = _joined(read.select("id", "id2", "norm", "length"), ids, ["id"], "left_semi").dropDuplicates(["id", "id2"])
+        whole = texts.select("id", F.lit(0).cast("long").alias("bucket"), F.lit(False).alias("asked"), F.col("norm").alias("rest"), F.col("length").alias("target"))
+        for d in range(1, max_edits + 1):
+            longer = texts.select("id", F.lit(0).cast("long"), F.lit(True), F.col("norm"), F.col("length") - d)
+            whole = whole.union(longer)
+        start = whole.withColumn("bucket", F.xxhash64(F.lit(0), "target"))
+        found = materialize(_shared(_narrowed(start, max_edits)), "crowded-keys")
+        while True:
+            level += 1
+            last = level >= MAX_LEVELS
+            pairs = pairs.union(_pairs(found.where((F.col("n") <= CROWDED) | (F.col("target") <= max_edits) | F.lit(last))))
+            left = found.where((F.col("n") > CROWDED) & (F.col("target") > max_edits))
+            if last or left.isEmpty():
+                break
+            found = materialize(_shared(_narrowed(left.withColumnRenamed("key", "bucket"), max_edits)), "crowded-keys")
+    pairs = materialize(pairs.distinct(), "line-candidates")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct.select("id", "id2", "first"), "id"), "wanted-lines")
+    places = wanted.select("id", "id2", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
+    texts = materialize(_joined(read.select("doc_id", "line_no", "norm"), places, ["doc_id", "line_no"], "inner").dropDuplicates(["id", "id2"]), "candidate-lines")
+    side = lambda p: texts.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "id2", "doc_id", "line_no", "norm")))
+    both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
+    a_first = F.struct("a_doc_id", "a_line_no") < F.struct("b_doc_id", "b_line_no")
+    late = lambda c: F.when(a_first, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
+    near = materialize(both.where(F.levenshtein("a_norm", "b_norm", max_edits) >= 0).select(late("id"), late("id2")).distinct(), "near-lines")
+    lines = distinct.select("id", "id2", "first", "n").join(near.withColumn("near", F.lit(True)), ["id", "id2"], "left")
+    bad = lines.where((F.col("n") > 1) | F.col("near")).select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    found = read.select("doc_id", "line_no", "id", "id2").join(bad, ["id", "id2"])
     return found.where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no")
 
 
