@@ -67,20 +67,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-    """For each component, the element of its first arrival; zeros for an empty set."""
+    """For each component, the element of its first arrival; zeros for an empty set.
+
+    Every round makes the next few arrivals of all elements still going: so many in the first that most
+    components are met, which keeps the rounds, and so the calls, few for short texts.
+    """
     first, owner = np.full(size, np.inf), np.zeros(size, dtype=np.uint64)
-    active, rate, time, turn = elements, weights.astype(float), np.zeros(len(elements)), 0
+    active, rate, time, done = elements, weights.astype(float), np.zeros(len(elements)), 0
+    enough = int(size * (np.log(size) + 1))
     while len(active):
-        turn += 1
-        noise = _mix(active + np.uint64((turn * 0xD1342543DE82EF95) & (2**64 - 1)))
-        time = time - np.log(((noise >> np.uint64(11)).astype(float) + 1) / 2.0**53) / rate
+        few = max(1, min(256, enough // len(active)))
+        turns = np.array([((done + k + 1) * 0xD1342543DE82EF95) & (2**64 - 1) for k in range(few)], dtype=np.uint64)
+        noise = _mix(active[:, None] + turns)
+        gaps = np.log(((noise >> np.uint64(11)).astype(float) + 1) / 2.0**53) / -rate[:, None]
+        times = time[:, None] + np.cumsum(gaps, axis=1)
         component = (_mix(noise ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(size)).astype(np.int64)
-        order = np.argsort(-time, kind="stable")  # the earliest arrival is written last
-        order = order[time[order] < first[component[order]]]
-        first[component[order]] = time[order]
-        owner[component[order]] = active[order]
+        better = np.flatnonzero(times.ravel() < first[component.ravel()])
+        better = better[np.argsort(-times.ravel()[better], kind="stable")]  # the earliest is written last
+        where = component.ravel()[better]
+        first[where] = times.ravel()[better]
+        owner[where] = active[better // few]
+        time, done = times[:, -1], done + few
         going = time < first.max()
         active, rate, time = active[going], rate[going], time[going]
+        enough = size
     return owner
 
 
