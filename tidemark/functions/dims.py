@@ -7,37 +7,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.specs import FIELDS_BY_STREAM, STREAMS, Spec
+from tidemark.session import local_table
 
 
 def symbols(spark: SparkSession, spec: Spec) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(spec.symbols)), "symbol_idx int, symbol string")
+    return local_table(spark, list(enumerate(spec.symbols)), "symbol_idx int, symbol string")
 
 
 def exchanges(spark: SparkSession, spec: Spec) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(spec.exchanges)), "exchange_idx int, exchange string")
+    return local_table(spark, list(enumerate(spec.exchanges)), "exchange_idx int, exchange string")
 
 
 def streams(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(STREAMS)), "stream_idx int, stream string")
+    return local_table(spark, list(enumerate(STREAMS)), "stream_idx int, stream string")
 
 
 def splits(spark: SparkSession, spec: Spec) -> DataFrame:
-    return spark.createDataFrame([(s.name, s.first, s.last) for s in spec.splits], "split string, first_slot int, last_slot int")
+    return local_table(spark, [(s.name, s.first, s.last) for s in spec.splits], "split string, first_slot int, last_slot int")
 
 
 def actions(spark: SparkSession, spec: Spec) -> DataFrame:
-    return spark.createDataFrame([(i, a.key, a.direction) for i, a in enumerate(spec.actions)], "action_idx int, action string, direction string")
+    return local_table(spark, [(i, a.key, a.direction) for i, a in enumerate(spec.actions)], "action_idx int, action string, direction string")
 
 
 def bands(spark: SparkSession, spec: Spec) -> DataFrame:
     rows = [("size", b.key, b.lower, b.upper) for b in spec.size_bands] + [("leverage", b.key, b.lower, b.upper) for b in spec.leverage_bands]
-    return spark.createDataFrame(rows, "kind string, band string, lower double, upper double")
+    return local_table(spark, rows, "kind string, band string, lower double, upper double")
 
 
 def availability(spark: SparkSession, spec: Spec) -> DataFrame:
     """exchange x stream -> available: an override wins over the list."""
     listed = exchanges(spark, spec).crossJoin(streams(spark)).withColumn("listed", F.lit(True))
-    overrides = spark.createDataFrame([(e, s, False) for e, s in spec.unavailable], "exchange string, stream string, override boolean")
+    overrides = local_table(spark, [(e, s, False) for e, s in spec.unavailable], "exchange string, stream string, override boolean")
     return listed.join(F.broadcast(overrides), ["exchange", "stream"], "left").select(
         "exchange", "exchange_idx", "stream", "stream_idx", F.coalesce("override", "listed").alias("available")
     )
@@ -45,19 +46,15 @@ def availability(spark: SparkSession, spec: Spec) -> DataFrame:
 
 def field_catalog(spark: SparkSession) -> DataFrame:
     """stream, field, their indexes, and the flat offset of the field over all streams."""
-    rows = [(i, s, list(FIELDS_BY_STREAM[s])) for i, s in enumerate(STREAMS)]
-    base = spark.createDataFrame(rows, "stream_idx int, stream string, fields array<string>")
-    before = Window.orderBy("stream_idx").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = base.withColumn("stream_offset", F.coalesce(F.sum(F.size("fields")).over(before), F.lit(0)))
-    return offsets.select("stream_idx", "stream", "stream_offset", F.posexplode("fields").alias("field_idx", "field")).withColumn(
-        "flat_offset", F.col("stream_offset") + F.col("field_idx")
-    )
+    rows = [(i, s, j, f) for i, s in enumerate(STREAMS) for j, f in enumerate(FIELDS_BY_STREAM[s])]
+    base = local_table(spark, rows, "stream_idx int, stream string, field_idx int, field string")
+    return base.withColumn("flat_offset", F.row_number().over(Window.orderBy("stream_idx", "field_idx")) - 1)
 
 
 def scale_buckets(spark: SparkSession, spec: Spec) -> DataFrame:
     """scale_idx, scale, hours, bucket (0 oldest), back: slots before the decision."""
     rows = [(i, s.label, s.hours, b, s.hours * (s.buckets - 1 - b)) for i, s in enumerate(spec.scales) for b in range(s.buckets)]
-    return spark.createDataFrame(rows, "scale_idx int, scale string, hours int, bucket int, back int")
+    return local_table(spark, rows, "scale_idx int, scale string, hours int, bucket int, back int")
 
 
 def folds(spark: SparkSession, spec: Spec) -> DataFrame:

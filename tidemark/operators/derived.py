@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dims
 from tidemark.functions.specs import Spec
+from tidemark.session import local_table
 
 
 def venue_state(state: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def derived_contract(spark, spec: Spec) -> DataFrame:  # noqa: ANN001
     pairs = [r["key"] for r in pair_contract(spark, spec).orderBy("key").collect()]  # bounded by the contract
     templates = pairs + [f"relative_move_{{target}}_vs_{s}" for s in spec.symbols]
     rows = [(s, i, t) for s in spec.symbols for i, t in enumerate(templates) if not t.endswith(f"_vs_{s}")]
-    base = spark.createDataFrame(rows, "target string, position int, template string")
+    base = local_table(spark, rows, "target string, position int, template string")
     signature = F.sha2(F.lit("|".join(templates)).cast("binary"), 256)
     return base.select("target", "position", F.replace("template", F.lit("{target}"), F.col("target")).alias("key"), signature.alias("signature"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.specs import Spec
+from tidemark.session import local_table
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -87,7 +88,7 @@ def step(weights: dict[str, np.ndarray], total: np.ndarray, width: int, spec: Sp
 def candidates(spark, seeds: tuple[int, ...], rates: tuple[float, ...], l2s: tuple[float, ...]) -> DataFrame:  # noqa: ANN001
     """candidate_idx, seed, rate, l2: the grid without repeats, in order."""
     unique = lambda xs: list(enumerate(dict.fromkeys(xs)))
-    frame = lambda xs, n, t: spark.createDataFrame(unique(xs), f"{n}_idx int, {n} {t}")
+    frame = lambda xs, n, t: local_table(spark, unique(xs), f"{n}_idx int, {n} {t}")
     grid = frame(seeds, "seed", "int").crossJoin(frame(rates, "rate", "double")).crossJoin(frame(l2s, "l2", "double"))
     order = Window.orderBy("seed_idx", "rate_idx", "l2_idx")  # as few rows as the grid
     return grid.select((F.row_number().over(order) - 1).alias("candidate_idx"), "seed", "rate", "l2")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dims
 from tidemark.functions.specs import DEFAULT, Spec
 from tidemark.operators import asof, derived, episodes, replay, rewards
-from tidemark.session import materialize, read_table
+from tidemark.session import local_table, materialize, read_table
 from tidemark.sources import market
 
 #: Thresholds of the rule policies that stand in for trained ones where SQL must check the replay.
@@ -95,7 +95,7 @@ class Context:
         before = self.best.select((F.col("slot") + 1).alias("slot"), "symbol", F.col("best_price").alias("p0"))
         m = F.when(F.col("p0") != 0, (F.col("p1") - F.col("p0")) / F.col("p0"))
         moves = now.join(before, ["slot", "symbol"], "left").select("slot", "symbol", m.alias("m"))
-        policies = self.spark.createDataFrame([(f"momentum-{i}", t) for i, t in enumerate(THRESHOLDS)], "policy_id string, threshold double")
+        policies = local_table(self.spark, [(f"momentum-{i}", t) for i, t in enumerate(THRESHOLDS)], "policy_id string, threshold double")
         moving = F.coalesce(F.abs("m") > F.col("threshold"), F.lit(False))
         names = F.array(*map(F.lit, self.spec.exchanges))
         steps = self.steps.where("split <> 'development'")

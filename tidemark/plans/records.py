@@ -10,6 +10,7 @@ from tidemark.plans.context import Context
 from tidemark.plans.market import L, R
 from tidemark.plans.registry import query
 from tidemark.plans.twins import twin
+from tidemark.session import local_table
 
 # How the registered policies differ, as the queries and their twins both need it.
 POLICIES = [
@@ -33,7 +34,7 @@ _EXTRA = {
 
 def _policies(c: Context) -> DataFrame:
     """Those of POLICIES that the reports know."""
-    known = c.spark.createDataFrame(POLICIES, ", ".join(f"{n} {'boolean' if n in ('readable', 'legacy') else 'string'}" for n in COLUMNS))
+    known = local_table(c.spark, POLICIES, ", ".join(f"{n} {'boolean' if n in ('readable', 'legacy') else 'string'}" for n in COLUMNS))
     return known.join(c.scores.select("policy_id").distinct(), "policy_id", "left_semi")
 
 

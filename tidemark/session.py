@@ -33,3 +33,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table inside the plan: no Python worker, and a size that the optimizer knows."""
+
+    def literal(value: object) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return str(value).lower() if isinstance(value, bool) else f"{value!r}D" if isinstance(value, float) else str(value)
+
+    columns = [field.split() for field in schema.split(", ")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    values = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    names = ", ".join(name for name, _ in columns)
+    return spark.sql(f"SELECT {', '.join(f'CAST({n} AS {t}) AS {n}' for n, t in columns)} FROM VALUES {values} AS v({names})")
