@@ -19,7 +19,7 @@ def _source(c: Context, redeliver: bool = False) -> tuple[DataFrame, str]:
     if redeliver:
         rows = rows.unionByName(c.events.where("ord % 10 = 0")).repartitionByRange(8, "us")
     rows.write.parquet(path)
-    return market.event_stream(c.spark, path, c.events.schema, 8), path
+    return market.event_stream(c.spark, path, c.events.schema, 1000), path  # written side by side, so not in the order of time
 
 
 @query(twin("SELECT CAST(ord AS BIGINT) AS ord, exchange, symbol, stream FROM ev"))

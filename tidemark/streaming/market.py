@@ -43,7 +43,7 @@ def run(stream: DataFrame, mode: str, name: str, keys: tuple[str, ...] = ()) ->
     out, state = new_path(spark, name), new_path(spark, f"{name}-state")
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/n={number}")
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/delivery={number}")
 
     started = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(sink).start()
     started.awaitTermination()
