@@ -7,9 +7,10 @@ they come after the latest first arrival of all components. Two signatures agree
 probability Jaccard similarity of the two sets.
 
 Equal texts are one class from the start. In each bucket of each band all texts are compared with one hub,
-which is linear in the bucket; verified links make components; buckets that still hold several components
-get other hubs, and at the end all pairs of different components in a bucket are verified, so that no
-link between bucket mates is lost and no pair inside a component is ever made.
+the text that shares most buckets with others, which is linear in the bucket; verified links make components;
+buckets that still hold several components get another hub. At the end the pairs of different components in
+a bucket are narrowed by parity maps, which bound how much two sets differ, and those left are verified, so that
+no link between bucket mates is lost and no pair inside a component is ever made.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 6
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+PARITY_WORDS = 16
+TOGETHER, GROUP_SETS = 16_384, 64  # shingles and sets that are signed together
 KEEP_WORDS = 400_000
 WORD = re.compile(r"\w+")
 
@@ -66,32 +70,42 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signature(elements: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-    """For each component, the element of its first arrival; zeros for an empty set.
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """For each set and component, the element of the component's first arrival; zeros for an empty set.
 
-    Every round makes the next few arrivals of all elements still going: so many in the first that most
-    components are met, which keeps the rounds, and so the calls, few for short texts.
+    Every round makes the next few arrivals of all elements still going, of all sets at once: so many in the
+    first that most components are met. An element's arrivals depend on nothing but the element and its
+    weight, so the grouping changes no signature.
     """
-    first, owner = np.full(size, np.inf), np.zeros(size, dtype=np.uint64)
-    active, rate, time, done = elements, weights.astype(float), np.zeros(len(elements)), 0
-    enough = int(size * (np.log(size) + 1))
+    first, owner = np.full(len(sets) * size, np.inf), np.zeros(len(sets) * size, dtype=np.uint64)
+    lengths = [len(elements) for elements, _ in sets]
+    active = np.concatenate([elements for elements, _ in sets])
+    rate = -np.concatenate([weights for _, weights in sets]).astype(float)
+    of, time, done = np.repeat(np.arange(len(sets)), lengths), np.zeros(len(active)), 0
+    enough = int(size * (np.log(size) + 1)) * len(sets)
     while len(active):
         few = max(1, min(256, enough // len(active)))
         turns = np.array([((done + k + 1) * 0xD1342543DE82EF95) & (2**64 - 1) for k in range(few)], dtype=np.uint64)
         noise = _mix(active[:, None] + turns)
-        gaps = np.log(((noise >> np.uint64(11)).astype(float) + 1) / 2.0**53) / -rate[:, None]
-        times = time[:, None] + np.cumsum(gaps, axis=1)
-        component = (_mix(noise ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(size)).astype(np.int64)
-        better = np.flatnonzero(times.ravel() < first[component.ravel()])
-        better = better[np.argsort(-times.ravel()[better], kind="stable")]  # the earliest is written last
-        where = component.ravel()[better]
-        first[where] = times.ravel()[better]
-        owner[where] = active[better // few]
+        times = np.log(((noise >> np.uint64(11)).astype(float) + 1) / 2.0**53) / rate[:, None]
+        times[:, 0] += time
+        np.cumsum(times, axis=1, out=times)
+        component = ((_mix(noise ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(size)).astype(np.int64) + of[:, None] * size).ravel()
+        at = times.ravel()
+        better = np.flatnonzero(at < first[component])
+        np.minimum.at(first, component[better], at[better])
+        better = better[at[better] == first[component[better]]]
+        owner[component[better]] = active[better // few]
         time, done = times[:, -1], done + few
-        going = time < first.max()
-        active, rate, time = active[going], rate[going], time[going]
-        enough = size
-    return owner
+        going = time < first.reshape(-1, size).max(axis=1)[of]
+        active, rate, time, of = active[going], rate[going], time[going], of[going]
+        enough = size * len(sets)
+    return owner.reshape(-1, size)
+
+
+def signature(elements: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+    """The signature of one set."""
+    return signatures([(elements, weights)], size)[0]
 
 
 def band_hashes(owner: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -127,18 +141,47 @@ _SIGNED = T.StructType(
         T.StructField("n", T.LongType()),
         T.StructField("total", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("parity", T.ArrayType(T.LongType())),
     ]
 )
 
 
+def parity(elements: np.ndarray) -> np.ndarray:
+    """A bit map of 64 * PARITY_WORDS bits, each the parity of the number of elements that hash to it.
+
+    Two sets differ in at least as many elements as their maps differ in bits.
+    """
+    places = (_mix(elements ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * PARITY_WORDS)).astype(np.int64)
+    bits = (np.bincount(places, minlength=64 * PARITY_WORDS) & 1).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
+
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for doc, h1, h2, text in zip(batch["doc_id"], batch["h1"], batch["h2"], batch["text"], strict=True):
-            elements, weights = shingles(text)
-            bands = band_hashes(signature(elements, weights, BANDS * BAND_ROWS), BANDS, BAND_ROWS) if len(elements) else []
-            rows.append((doc, h1, h2, len(elements), int(weights.sum()), bands))
-        yield pd.DataFrame(rows, columns=_SIGNED.names)
+        sets = [shingles(text) for text in batch["text"]]
+        bands: list = [[]] * len(sets)
+        groups: list[list[int]] = []
+        held = TOGETHER
+        for i in sorted((i for i, (elements, _) in enumerate(sets) if len(elements)), key=lambda i: len(sets[i][0])):
+            if held + len(sets[i][0]) > TOGETHER or len(groups[-1]) == GROUP_SETS:
+                groups.append([])
+                held = 0
+            groups[-1].append(i)
+            held += len(sets[i][0])
+        for group in groups:
+            for i, owner in zip(group, signatures([sets[i] for i in group], BANDS * BAND_ROWS), strict=True):
+                bands[i] = band_hashes(owner, BANDS, BAND_ROWS)
+        yield pd.DataFrame(
+            {
+                "doc_id": batch["doc_id"],
+                "h1": batch["h1"],
+                "h2": batch["h2"],
+                "n": [len(elements) for elements, _ in sets],
+                "total": [int(weights.sum()) for _, weights in sets],
+                "bands": bands,
+                "parity": [parity(elements) for elements, _ in sets],
+            }
+        )
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -201,24 +244,36 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     one = signed.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("t")).select("doc_id", "t.h1", "t.h2")
     distinct = signed.join(one.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     rows = distinct.select(F.col("doc_id").alias("id"), "n", "total", F.posexplode("bands").alias("band", "hash"))
-    crowded = rows.groupBy("band", "hash").agg(F.count("*").alias("k")).where("k > 1").select("band", "hash")
-    mates = materialize(rows.join(crowded, ["band", "hash"], "left_semi"), "bucket-mates")
+    crowded = rows.groupBy("band", "hash").agg(F.count("*").alias("k")).where("k > 1")
+    central = F.sum("k").over(Window.partitionBy("id"))  # of a text: at most BANDS rows
+    mates = materialize(rows.join(crowded, ["band", "hash"]).withColumn("central", central).drop("k"), "bucket-mates")
     singles = distinct.select(F.col("doc_id").alias("id"))
+    maps = distinct.select(F.col("doc_id").alias("id"), *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITY_WORDS)))
 
-    fits = (F.col("n") != F.col("total")) | (F.col("hub_n") != F.col("hub_total")) | (F.least("n", "hub_n") >= at_least * F.greatest("n", "hub_n"))
-    labels = links = tested = None
+    weighted = (F.col("n") != F.col("total")) | (F.col("hub_n") != F.col("hub_total"))
+    fits = weighted | (F.least("n", "hub_n") >= at_least * F.greatest("n", "hub_n"))
+    apart = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"hub_p{k}"))) for k in range(PARITY_WORDS)), F.lit(0))
+    may_fit = weighted | (apart <= (F.col("n") + F.col("hub_n")) * ((1 - at_least) / (1 + at_least)) + 1e-9)
+    labels = links = tested = used = None
     for turn in range(HUB_ROUNDS + 1):
         here = mates.withColumn("root", F.col("id")) if labels is None else mates.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
         if labels is not None:
             mixed = here.groupBy("band", "hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "hash")
             here = materialize(here.join(mixed, ["band", "hash"], "left_semi"), "mixed-buckets")
         if turn < HUB_ROUNDS:
-            order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-            hubs = here.groupBy("band", "hash").agg(F.min(F.struct(order.alias("o"), "id", "root", "n", "total")).alias("hub"))
+            if used is None:
+                fresh = here.withColumn("was_hub", F.lit(False))
+            else:
+                fresh = here.join(used.withColumn("was_hub", F.lit(True)), "id", "left").withColumn("was_hub", F.coalesce("was_hub", F.lit(False)))
+            hubs = fresh.groupBy("band", "hash").agg(F.min(F.struct("was_hub", (-F.col("central")).alias("o"), "id", "root", "n", "total")).alias("hub"))
             hubs = hubs.select("band", "hash", F.col("hub.id").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.n").alias("hub_n"), F.col("hub.total").alias("hub_total"))
+            hubs = materialize(hubs, "hubs")
+            used = hubs.select(F.col("hub").alias("id")).distinct() if used is None else used.union(hubs.select(F.col("hub").alias("id"))).distinct()
+            met = here.join(hubs, ["band", "hash"]).where((F.col("hub_root") != F.col("root")) & fits)
         else:
-            hubs = here.select("band", "hash", F.col("id").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("hub_n"), F.col("total").alias("hub_total"))
-        met = here.join(hubs, ["band", "hash"]).where((F.col("hub_root") != F.col("root")) & fits)
+            here = here.join(maps, "id")
+            others = here.select("band", "hash", F.col("id").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in ("root", "n", "total", *(f"p{k}" for k in range(PARITY_WORDS)))))
+            met = here.join(others, ["band", "hash"]).where((F.col("hub") > F.col("id")) & (F.col("hub_root") != F.col("root")) & fits & may_fit)
         pairs = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
