@@ -253,7 +253,9 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     weighted = (F.col("n") != F.col("total")) | (F.col("hub_n") != F.col("hub_total"))
     fits = weighted | (F.least("n", "hub_n") >= at_least * F.greatest("n", "hub_n"))
     apart = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"hub_p{k}"))) for k in range(PARITY_WORDS)), F.lit(0))
-    may_fit = weighted | (apart <= (F.col("n") + F.col("hub_n")) * ((1 - at_least) / (1 + at_least)) + 1e-9)
+    # similar sets differ in at most these many elements; of weighted ones, no more than 1 - at_least of either mass is apart
+    most = F.when(weighted, (F.col("total") + F.col("hub_total")) * (1 - at_least)).otherwise((F.col("n") + F.col("hub_n")) * ((1 - at_least) / (1 + at_least)))
+    may_fit = apart <= most + 1e-9
     labels = links = tested = used = None
     for turn in range(HUB_ROUNDS + 1):
         here = mates.withColumn("root", F.col("id")) if labels is None else mates.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
