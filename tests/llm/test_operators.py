@@ -231,6 +231,46 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, crowded):
     assert found == expected
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("crowded", [1, 32])
+def test_line_dedup_finds_changed_words_at_every_length(spark, monkeypatch, crowded):
+    monkeypatch.setattr(line_dedup, "CROWDED", crowded)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+
+    def changed(line):
+        parts = line.split(" ")
+        for _ in range(rng.randint(1, 2)):
+            at = rng.randrange(len(parts))
+            parts[at : at + 1] = rng.choice([[], [rng.choice(words)], [parts[at], rng.choice(words)[:3]], [parts[at] + "s"]])
+        return " ".join(parts)
+
+    base = [" ".join(rng.choice(words) for _ in range(n)) for n in (8, 12, 15, 18, 30, 31, 50, 52, 70, 110)]
+    base.append(base[6][: len(base[6]) // 2] + base[7][len(base[7]) // 2 :])
+    rows = [(i, "\n".join(changed(rng.choice(base)) for _ in range(5))) for i in range(24)]
+    seen, expected, more_than_one = [], set(), 0
+    for i, text in rows:
+        for k, line in enumerate(text.split("\n")):
+            if len(line) < 40:
+                continue
+            allowed = [(s, int(min(3 * n // 100, (n * 3 / 10) ** 0.5))) for s in seen for n in [min(len(s), len(line))]]
+            near = [_edits(s, line) for s, t in allowed if abs(len(s) - len(line)) <= t and _edits(s, line) <= t]
+            if near:
+                expected.add((i, k))
+                more_than_one += min(near) > 1
+            seen.append(line)
+    assert more_than_one > 5 and len(expected) < len(seen) - 5
+    assert {tuple(r) for r in line_dedup.duplicate_lines(_docs(spark, rows)).collect()} == expected
+
+
 def test_decontamination_checks_slots(spark):
     benchmark = spark.createDataFrame([(1, "If Alice has 12 apples and Bob gives her 5 kg more how many apples does Alice have now")], "item_id long, text string")
     docs = [

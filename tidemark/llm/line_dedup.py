@@ -1,14 +1,17 @@
 """Line deduplication by a segment-partition edit join, with built-in functions only.
 
 Lines are compared in lower case without outer white space. A line is removed if the same line, or one
-within `max_edits` edits, comes earlier in (doc_id, line number) order; lines shorter than `min_chars` stay.
-
-Two lines within t edits share one of t + 1 segments of the shorter one, at places that differ by at most
-t. So every distinct line gives t + 1 keys of its own segments and, for each length up to t less, keys of the
-substrings that may equal a segment of so long a line; equal keys make candidates, which Spark's banded edit
-distance verifies. Only hashes travel for that; texts are fetched for candidates alone. Where many lines
-share a key, what the key does not cover is cut into segments again, and again, so that a large group of
-lines that are alike but not near does not make all its pairs; no near pair is lost by that.
+within the edits allowed, comes earlier in (doc_id, line number) order; lines shorter than `min_chars` stay.
+The edits allowed grow with the shorter line of a pair: 3 in 100 characters, so that a changed word counts,
+and from 334 characters on the root of 0.3 times the length, so that keys a character do not grow.
+
+A line that allows t edits is cut into t + 1 segments, half of them placed from its start and half from its
+end. Some segment is intact and has as many edits before it as it has segments before it (and no more after it
+than segments): a line in reach holds it moved by its number at most. So a line gives its own segments, and the
+substrings so moved, as keys; equal keys make candidates, which Spark's banded edit distance verifies. Where
+many lines share a key, all are compared with the first of them, and what the key does not cover is cut into
+segments again for those still open, so that lines that are alike but not near do not make all their pairs;
+no near pair that decides on a line is lost by that.
 """
 
 from __future__ import annotations
@@ -19,101 +22,66 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import materialize
 
-MAX_EDITS = 1
 MIN_CHARS = 40
 CROWDED = 32  # rows of a key from which its lines are told apart by further segments
-MAX_LEVELS = 8
+MAX_LEVELS = 3
 BROADCAST_ROWS = 200_000  # of ids: a few MB
 
 
-def segments(length: Column, max_edits: int) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of the max_edits + 1 segments of a line; the last ones are the longer."""
-    parts = max_edits + 1
-    short = F.floor(length / parts).cast("int")
-    longer = length - short * parts  # so many segments have one character more
-    cuts = []
-    for i in range(parts):
-        extra = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - longer))
-        cuts.append((short * i + extra + 1, short + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)))
-    return cuts
+def allowed_edits(length: Column) -> Column:
+    """Edits allowed to a line of this length."""
+    return F.least(F.floor(length * 3 / 100), F.floor(F.sqrt(length * 3 / 10))).cast("int")
 
 
-def _key(number: int, length: Column, text: Column) -> Column:
-    return F.xxhash64(F.lit(number), length.cast("int"), text)
+def least_length(edits: Column, min_chars: int) -> Column:
+    """Length of the shortest compared line that allows so many edits."""
+    return F.greatest(F.ceil(edits * 100 / 3), F.ceil(edits * edits * 10 / 3), F.lit(min_chars)).cast("int")
 
 
-def windows(max_edits: int) -> list[tuple[int, int, int]]:
-    """(d, segment, move): where a line longer by d may hold a segment of a shorter one, moved by so much.
-
-    The edits before the segment and those after it sum to max_edits at most: the multi-match-aware bounds.
-    """
-    found = []
-    for d in range(max_edits + 1):
-        for i in range(max_edits + 1):
-            low, high = max(-i, d - (max_edits - i)), min(i, d + (max_edits - i))
-            found += [(d, i, move) for move in range(low, high + 1)]
-    return found
-
-
-def own_keys(line: Column, length: Column, max_edits: int) -> list[Column]:
-    """Keys of the line's own segments."""
-    return [_key(i, length, F.substr(line, at, size)) for i, (at, size) in enumerate(segments(length, max_edits))]
+def _bands(lines: DataFrame, min_chars: int) -> DataFrame:
+    """Adds t, least and own: the line's own band and, for a line in reach of a shorter one of the band below, that one."""
+    t = allowed_edits(F.col("length"))
+    below = F.when(F.col("length") < least_length(t, min_chars) + t - 1, F.struct((t - 1).alias("t"), F.lit(False).alias("own")))
+    bands = lines.withColumn("band", F.explode(F.array_compact(F.array(F.struct(t.alias("t"), F.lit(True).alias("own")), below))))
+    return bands.select("id", "norm", F.col("band.t").alias("t"), F.col("band.own").alias("own")).withColumn("least", least_length(F.col("t"), min_chars))
 
 
-def asked_keys(line: Column, length: Column, max_edits: int) -> list[Column]:
-    """Keys of the substrings that may equal a segment of a line shorter by d, other than the line's own."""
-    keys = []
-    for d, i, move in windows(max_edits):
-        if d or move:
-            at, size = segments(length - d, max_edits)[i]
-            fits = (at + move >= 1) & (at + move + size - 1 <= length)
-            keys.append(F.when(fits, _key(i, length - d, F.substr(line, at + move, size))))
-    return keys
+def _cut(rows: DataFrame, text: str) -> DataFrame:
+    """Rows (t, least, own, and `text`) once for each segment and move: adds key, start, size; own is kept where nothing is moved.
 
+    Segments of a side are numbered from its end of the line; number j is moved by -j to j, so the first j of
+    them have j * j keys and a running number tells both.
+    """
+    left, right = F.floor(F.col("t") / 2) + 1, F.ceil(F.col("t") / 2)
+    each = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), left * left + right * right - 1)))
+    each = each.withColumn("side", (F.col("k") >= left * left).cast("int")).withColumn("k", F.col("k") - F.col("side") * left * left)
+    each = each.withColumn("j", F.floor(F.sqrt("k"))).withColumn("move", F.col("k") - F.col("j") * F.col("j") - F.col("j"))
+    each = each.withColumn("size", F.floor(F.col("least") / (F.col("t") + 1)).cast("int"))
+    start = F.when(F.col("side") == 0, F.col("j") * F.col("size")).otherwise(F.length(text) - (F.col("j") + 1) * F.col("size")) + F.col("move") + 1
+    each = each.withColumn("start", start.cast("int")).withColumn("own", F.col("own") & (F.col("move") == 0))
+    bucket = ["bucket"] if "bucket" in rows.columns else []
+    return each.withColumn("key", F.xxhash64(*bucket, "t", "side", "j", F.substr(text, F.col("start"), F.col("size")))).drop("k", "side", "j", "move", *bucket)
 
-def _narrowed(rows: DataFrame, max_edits: int) -> DataFrame:
-    """The next level of crowded buckets: rows (bucket, id, asked, rest, target) to (key, id, asked, rest, target).
 
-    Lines of a bucket share a segment, so what is left of them must be within max_edits too, and is cut
-    into segments again. `target` is the length of the shorter rest; an asked row is longer by 0 or more.
-    """
-    made = []
-    longer = F.length("rest") - F.col("target")
-    for d, i, move in windows(max_edits):
-        at, size = segments(F.col("target"), max_edits)[i]
-        start = at + move
-        fits = (start >= 1) & (start + size - 1 <= F.length("rest")) & (longer == d) & (size > 0)
-        own = F.lit(d == 0 and move == 0)
-        allowed = fits & (F.col("asked") | F.lit(d == 0))
-        rest = F.concat(F.substr("rest", F.lit(1), start - 1), F.substr("rest", start + size, F.length("rest")))
-        made.append(
-            F.when(
-                allowed,
-                F.struct(
-                    F.xxhash64("bucket", F.lit(i), F.substr("rest", start, size)).alias("key"),
-                    (F.col("asked") | ~own).alias("asked"),
-                    rest.alias("rest"),
-                    (F.col("target") - size).alias("target"),
-                ),
-            )
-        )
-    each = rows.select("id", F.explode(F.array_compact(F.array(*made))).alias("x"))
-    return each.select("id", "x.*").dropDuplicates(["key", "id", "asked", "target"])
+def _left(rows: DataFrame, text: str) -> DataFrame:
+    """What of a line its key does not cover, as rows to be cut again: bucket, id, own, t, least, rest."""
+    rest = F.concat(F.substr(text, F.lit(1), F.col("start") - 1), F.substr(text, F.col("start") + F.col("size"), F.length(text)))
+    return rows.select(F.col("key").alias("bucket"), "id", "own", "t", (F.col("least") - F.col("size")).alias("least"), rest.alias("rest"))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows whose key other lines have too, one of them as its own; adds n, the rows of the key."""
     of_key = Window.partitionBy("key")
     counted = rows.select(
-        "*", F.min("id").over(of_key).alias("_lo"), F.max("id").over(of_key).alias("_hi"), F.min("asked").over(of_key).alias("_asked"), F.count("*").over(of_key).alias("n")
+        "*", F.min("id").over(of_key).alias("_lo"), F.max("id").over(of_key).alias("_hi"), F.max("own").over(of_key).alias("_own"), F.count("*").over(of_key).alias("n")
     )
-    return counted.where((F.col("_lo") != F.col("_hi")) & ~F.col("_asked")).drop("_lo", "_hi", "_asked")
+    return counted.where((F.col("_lo") != F.col("_hi")) & F.col("_own")).drop("_lo", "_hi", "_own")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
     """a < b of all lines that share a key which one of them owns."""
-    own = rows.where(~F.col("asked")).select("key", F.col("id").alias("x"))
-    met = rows.select("key", "id", "asked").join(own, "key").where((F.col("id") != F.col("x")) & (F.col("asked") | (F.col("id") < F.col("x"))))
+    own = rows.where("own").select("key", F.col("id").alias("x"))
+    met = rows.select("key", "id", "own").join(own, "key").where((F.col("id") != F.col("x")) & (~F.col("own") | (F.col("id") < F.col("x"))))
     return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
 
 
@@ -134,64 +102,82 @@ def compared(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def within(a: Column, b: Column, edits: Column) -> Column:
+    """True if a and b are within so many edits. Spark's threshold is a constant, so the next of a few is taken."""
+    steps = (1, 2, 3, 4, 6, 9, 14, 24, 48, 96, 192, 384, 768)
+    found = F.when(edits < 0, F.lit(-1))
+    for step in steps:
+        found = found.when(edits <= step, F.levenshtein(a, b, step))
+    found = found.otherwise(F.levenshtein(a, b))
+    return (found >= 0) & (found <= edits)
+
+
+def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """id, id2 of the later line of each pair that is near, written."""
+    pairs = materialize(pairs.distinct(), "line-candidates")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted-lines")
+    texts = materialize(_joined(lines.select("id", "id2", "first", "norm", "length"), wanted, ["id"], "left_semi"), "candidate-lines")
+    side = lambda p: texts.select(*(F.col(c).alias(f"{p}_{c}") for c in texts.columns))
+    both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
+    late = lambda c: F.when(F.col("a_first") < F.col("b_first"), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
+    edits = allowed_edits(F.least("a_length", "b_length"))
+    return materialize(both.where(within(F.col("a_norm"), F.col("b_norm"), edits)).select(late("id"), late("id2")).distinct(), "near-lines")
+
+
+def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, line_no of the lines to remove."""
     read = _lines(docs).select("doc_id", "line_no", compared(F.col("line")).alias("norm")).withColumn("length", F.length("norm"))
     read = read.where(F.col("length") >= min_chars).withColumn("id", F.xxhash64("norm")).withColumn("id2", F.xxhash64(F.lit(11), "norm"))
-    own, asked = (f(F.col("norm"), F.col("length"), max_edits) for f in (own_keys, asked_keys))
-    names = [f"o{n}" for n in range(len(own))], [f"p{n}" for n in range(len(asked))]
-    signed = read.select("doc_id", "line_no", "id", "id2", *(k.alias(n) for k, n in zip(own + asked, names[0] + names[1], strict=True)))
-    # A line is known by two hashes; its keys are the same wherever it stands, so any of them will do.
-    distinct = materialize(
-        signed.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), *(F.min(k).alias(k) for k in names[0] + names[1])),
+    # A line is known by two hashes.
+    lines = materialize(
+        read.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.min("norm").alias("norm")).withColumn("length", F.length("norm")),
         "distinct-lines",
     )
-    keyed = [F.struct(F.col(k).alias("key"), F.lit(flag).alias("asked")) for flag, group in ((False, names[0]), (True, names[1])) for k in group]
-    rows = distinct.select("id", F.explode(F.array(*keyed)).alias("x")).select("id", "x.*").where(F.col("key").isNotNull())
-    shared = materialize(_shared(rows), "shared-keys")
-    pairs = _pairs(shared.where(F.col("n") <= CROWDED))
-    crowded = shared.where(F.col("n") > CROWDED)
-    level = 0
+    shared = materialize(_shared(_cut(_bands(lines, min_chars), "norm").select("key", "id", "own")), "shared-keys")
+    pairs, near = _pairs(shared.where(F.col("n") <= CROWDED)), []
+    crowded = shared.where(F.col("n") > CROWDED).select("key", "id")
     if not crowded.isEmpty():
-        ids = materialize(crowded.select("id").distinct(), "crowded-lines")
-        texts = _joined(read.select("id", "id2", "norm", "length"), ids, ["id"], "left_semi").dropDuplicates(["id", "id2"])
-        whole = texts.select("id", F.lit(0).cast("long").alias("bucket"), F.lit(False).alias("asked"), F.col("norm").alias("rest"), F.col("length").alias("target"))
-        for d in range(1, max_edits + 1):
-            longer = texts.select("id", F.lit(0).cast("long"), F.lit(True), F.col("norm"), F.col("length") - d)
-            whole = whole.union(longer)
-        start = whole.withColumn("bucket", F.xxhash64(F.lit(0), "target"))
-        found = materialize(_shared(_narrowed(start, max_edits)), "crowded-keys")
-        while True:
-            level += 1
-            last = level >= MAX_LEVELS
-            pairs = pairs.union(_pairs(found.where((F.col("n") <= CROWDED) | (F.col("target") <= max_edits) | F.lit(last))))
-            left = found.where((F.col("n") > CROWDED) & (F.col("target") > max_edits))
-            if last or left.isEmpty():
+        texts = _joined(lines.select("id", "norm", "length", "first"), materialize(crowded.select("id").distinct(), "crowded-lines"), ["id"], "left_semi")
+        texts = materialize(texts, "crowded-texts")
+        again = _cut(_bands(texts, min_chars), "norm")
+        keys = materialize(crowded.select("key").distinct(), "crowded-keys")
+        found = _left(_joined(again, keys, ["key"], "left_semi"), "norm")
+        for level in range(1, MAX_LEVELS + 1):
+            found = materialize(found.join(texts.groupBy("id").agg(F.min("first").alias("first")), "id"), "crowded-rows")
+            heads = found.groupBy("bucket").agg(F.min_by("id", "first").alias("x"))
+            met = found.select("bucket", "id").join(heads, "bucket").where(F.col("id") != F.col("x"))
+            near.append(_near(met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")), lines))
+            # A line found near an earlier one needs no other; a bucket is open while it has a line besides its first that is not.
+            done = near[-1].select("id").distinct().withColumn("done", F.lit(True))
+            found = found.drop("first").join(done, "id", "left")
+            opened = found.join(heads, "bucket").where(F.col("done").isNull() & (F.col("id") != F.col("x"))).select("bucket").distinct()
+            found = materialize(_cut(found.join(opened, "bucket", "left_semi"), "rest").select("key", "id", "own", "t", "least", "rest", "start", "size", "done"), "open-rows")
+            found = materialize(_shared(found), "crowded-keys")
+            found = found.withColumn("open", F.max(F.col("done").isNull()).over(Window.partitionBy("key"))).where("open")
+            last = level == MAX_LEVELS
+            pairs = pairs.union(_pairs(found if last else found.where(F.col("n") <= CROWDED)))
+            found = found.where(F.col("n") > CROWDED)
+            if last or found.isEmpty():
                 break
-            found = materialize(_shared(_narrowed(left.withColumnRenamed("key", "bucket"), max_edits)), "crowded-keys")
-    pairs = materialize(pairs.distinct(), "line-candidates")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct.select("id", "id2", "first"), "id"), "wanted-lines")
-    places = wanted.select("id", "id2", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    texts = materialize(_joined(read.select("doc_id", "line_no", "norm"), places, ["doc_id", "line_no"], "inner").dropDuplicates(["id", "id2"]), "candidate-lines")
-    side = lambda p: texts.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "id2", "doc_id", "line_no", "norm")))
-    both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
-    a_first = F.struct("a_doc_id", "a_line_no") < F.struct("b_doc_id", "b_line_no")
-    late = lambda c: F.when(a_first, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
-    near = materialize(both.where(F.levenshtein("a_norm", "b_norm", max_edits) >= 0).select(late("id"), late("id2")).distinct(), "near-lines")
-    lines = distinct.select("id", "id2", "first", "n").join(near.withColumn("near", F.lit(True)), ["id", "id2"], "left")
-    bad = lines.where((F.col("n") > 1) | F.col("near")).select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+            found = _left(found, "rest")
+    near.append(_near(pairs, lines))
+    late = near[0]
+    for more in near[1:]:
+        late = late.union(more)
+    known = lines.select("id", "id2", "first", "n").join(late.distinct().withColumn("near", F.lit(True)), ["id", "id2"], "left")
+    bad = known.where((F.col("n") > 1) | F.col("near")).select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     found = read.select("doc_id", "line_no", "id", "id2").join(bad, ["id", "id2"])
     return found.where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no")
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, keep_columns: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, keep_columns: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, text (without the removed lines), n_lines, n_removed, and `keep_columns`.
 
     Null texts stay null and empty ones empty, both with 0 removed; a document may lose all its lines and
     is then an empty text. Rows with a null id are kept as they are. Rows that repeat a doc_id lose the
     same lines (their line numbers are one sequence of places). An empty table gives an empty result.
     """
-    removed = duplicate_lines(docs, max_edits, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
+    removed = duplicate_lines(docs, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     kept = F.array_join(F.filter(F.col("_lines"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
     return (
         docs.select("doc_id", "text", *keep_columns)
