@@ -282,6 +282,21 @@ def test_decontamination_checks_slots(spark):
     assert found == {1: (True, "1"), 2: (False, ""), 3: (False, "")}
 
 
+def test_decontamination_finds_copies_of_any_item(spark):
+    items = [(1, "What is 12 + 7 * 3 - 5 + 16"), (2, "Compute 14 * 23 + 7"), (3, "If Alice has 12 apples and Bob gives her 5 kg more how many apples does Alice have now"), (4, "A man buys 5 kg of flour and then 5 apples for the cake he bakes")]
+    docs = [
+        (1, "so, what is 12 + 7 * 3 - 5 + 16? who knows"),
+        (2, "Please compute 14 * 23\n + 7 today"),
+        (3, items[2][1].lower()),
+        (4, "If  Alice has 99 apples and\nBob gives her 7 kg more how many apples does\n Alice have now"),
+        (5, "A man buys 7 kg of flour and then 9 apples for the cake he bakes"),
+        (6, "what is 12 + 8 * 3 - 5 + 16, compute 14 * 24 + 7"),
+        (7, None),
+    ]
+    found = {r["doc_id"]: r["item_ids"] for r in decontaminate.decontaminate(_docs(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {1: "1", 2: "2", 3: "3", 4: "3", 5: "4", 6: "", 7: ""}
+
+
 def _luhn(digits):
     worth = [int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits))]
     return sum(worth) % 10 == 0

@@ -5,7 +5,11 @@ turn into typed placeholders, everything else into lower-case words. Windows of
 the documents meet those of the benchmark in a hash join. An item counts as found in a document if at
 least 0.8 of its windows are there and its slots are consistent: on an alignment (document position less
 item position), one value of the item always stands for one value of the document. So a question asked
-again with other numbers or names is found, and a chance meeting of placeholders is not.
+again with other numbers or names is found, and a chance meeting of placeholders is not. A value has one
+meaning for a type and a role: the 5 of "5 kg" may differ from that of "5 apples".
+
+Beside that the lower-case tokens themselves meet in windows of five, or of the whole item if it is shorter, so
+that a copy is found whatever its items' placeholders and the case of its names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ NUMBER_SLOT, NAME_SLOT, UNIT_SLOT = "0n", "0p", "0u"  # no word starts with a di
 
 def template_tokens(text: Column) -> Column:
     """Array of template tokens of a text; empty for null."""
-    slots = F.regexp_replace(text, NUMBER, f" {NUMBER_SLOT} ")
+    slots = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), NUMBER, f" {NUMBER_SLOT} ")
     slots = F.regexp_replace(slots, rf"(?<=0n ) ?(?i:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT_SLOT)
     slots = F.regexp_replace(slots, NAME, NAME_SLOT)
     return _words(slots)
@@ -59,25 +63,51 @@ def window_hashes(tokens: Column, size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """item_id, ipos, h, n_windows, has_slots: windows with a literal majority, of distinct item ids."""
+    """item_id, ipos, h, w, slots, roles, n_slots, n_windows: windows with a literal majority, of distinct item ids."""
     items = benchmark.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
     tokens = items.select("item_id", template_tokens(F.col("text")).alias("t"), raw_tokens(F.col("text")).alias("raw"))
+    # The role of a number is what follows it.
+    after = lambda x, i: F.when(F.get("t", i + 1).isin(NUMBER_SLOT, NAME_SLOT), F.get("t", i + 1)).otherwise(F.get("raw", i + 1))
+    roles = F.transform("t", lambda x, i: F.when(x == NUMBER_SLOT, F.coalesce(after(x, i), F.lit(""))).otherwise(F.lit("")))
     windows = tokens.where(F.size("t") >= size).select(
-        "item_id", "raw", "t", F.explode(F.sequence(F.lit(1), F.size("t") - size + 1)).alias("ipos")
+        "item_id", "raw", "t", roles.alias("roles"), F.explode(F.sequence(F.lit(1), F.size("t") - size + 1)).alias("ipos")
     )
     windows = windows.withColumn("w", F.slice("t", F.col("ipos"), F.lit(size))).withColumn(
         "n_slots", F.size(F.filter("w", lambda x: x.startswith("0")))
     )
     usable = windows.where(F.col("n_slots") * 2 < size).withColumn("h", window_hash(F.col("w"), F.lit(0), size))
     counts = usable.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return usable.withColumn("slots", F.slice("raw", F.col("ipos"), F.lit(size))).select("item_id", "ipos", "h", "w", "slots", "n_slots").join(counts, "item_id")
+    return usable.withColumn("slots", F.slice("raw", F.col("ipos"), F.lit(size))).withColumn("roles", F.slice("roles", F.col("ipos"), F.lit(size))).select("item_id", "ipos", "h", "w", "slots", "roles", "n_slots").join(counts, "item_id")
+
+
+def exact_windows(benchmark: DataFrame, size: int) -> DataFrame:
+    """item_id, ipos, h, size, n_windows: windows of lower-case tokens, the whole item if it has fewer than `size`."""
+    items = benchmark.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
+    tokens = items.select("item_id", raw_tokens(F.coalesce("text", F.lit(""))).alias("raw")).where(F.size("raw") > 0)
+    made = F.when(F.size("raw") >= size, window_hashes(F.col("raw"), size))
+    for n in range(1, size):
+        made = made.when(F.size("raw") == n, F.array(window_hash(F.col("raw"), F.lit(0), n)))
+    found = tokens.select("item_id", F.least(F.size("raw"), F.lit(size)).alias("size"), made.alias("hs"))
+    return found.select("item_id", "size", F.size("hs").alias("n_windows"), F.posexplode("hs").alias("ipos", "h"))
+
+
+def exact_copies(texts: DataFrame, benchmark: DataFrame, size: int, share: float) -> DataFrame:
+    """doc_id, item_id, coverage of items whose lower-case tokens are in a document."""
+    known = materialize(exact_windows(benchmark, size), "exact-windows")
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most `size` of them
+    tokens = texts.select("doc_id", raw_tokens(F.col("text")).alias("raw"))
+    each = [F.struct(F.lit(n).alias("size"), window_hashes(F.col("raw"), n).alias("hs")) for n in sizes or [size]]
+    hashes = tokens.select("doc_id", F.explode(F.array(*each)).alias("x")).select("doc_id", "x.size", F.explode("x.hs").alias("h"))
+    once = hashes.join(known, ["size", "h"]).groupBy("doc_id", "item_id", "ipos").agg(F.max("n_windows").alias("n_windows"))
+    counts = once.groupBy("doc_id", "item_id").agg((F.count("*") / F.max("n_windows")).alias("coverage"))
+    return counts.where(F.col("coverage") >= share)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, coverage of every item found in a document.
 
-    Null texts hold nothing; items of fewer than `size` tokens, or whose windows are placeholders for
-    the greater part, are not looked for. Rows that repeat a doc_id are one document. The benchmark's
+    Null texts hold nothing; of items of fewer than `size` tokens, and of those whose windows are all
+    placeholders for the greater part, copies are found. Rows that repeat a doc_id are one document. The benchmark's
     windows are joined as they are: Spark broadcasts them only below its size threshold.
     """
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
@@ -98,15 +128,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
     raw = texts.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", raw_tokens(F.col("text")).alias("raw"))
     values = (
         asked.join(raw, "doc_id")
-        .join(known.select("item_id", "ipos", "w", "slots"), ["item_id", "ipos"])
+        .join(known.select("item_id", "ipos", "w", "slots", "roles"), ["item_id", "ipos"])
         .withColumn("there", F.slice("raw", F.col("dpos") + 1, F.lit(size)))
-        .select("doc_id", "item_id", "diagonal", F.explode(F.arrays_zip("w", "slots", "there")).alias("z"))
+        .select("doc_id", "item_id", "diagonal", F.explode(F.arrays_zip("w", "slots", "roles", "there")).alias("z"))
         .where(F.col("z.w").startswith("0"))
-        .groupBy("doc_id", "item_id", "diagonal", F.col("z.slots").alias("was"))
+        .groupBy("doc_id", "item_id", "diagonal", F.col("z.w").alias("kind"), F.col("z.roles").alias("role"), F.col("z.slots").alias("was"))
         .agg(F.countDistinct("z.there").alias("n_values"))
     )
     broken = values.where(F.col("n_values") > 1).select("doc_id", "item_id", "diagonal").distinct()
-    return covered(with_slots.join(broken, ["doc_id", "item_id", "diagonal"], "left_anti"))
+    asked_again = covered(with_slots.join(broken, ["doc_id", "item_id", "diagonal"], "left_anti"))
+    both = asked_again.unionByName(exact_copies(texts, benchmark, size, share))
+    return both.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE) -> DataFrame:
