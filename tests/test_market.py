@@ -12,7 +12,7 @@ from tests.conftest import SF
 from tidemark.functions import dims
 from tidemark.functions.specs import DEFAULT, PITCH_US, Band, Spec, Split
 from tidemark.operators import asof, features, records, replay
-from tidemark.plans import registry
+from tidemark.plans import policies, registry
 from tidemark.plans.context import Context
 from tidemark.sources import market, partitions
 
@@ -111,3 +111,12 @@ def test_gate_order_and_nulls(spark):
     assert len(records.GATE) == 41
     with pytest.raises(ValueError):
         records.gate(evidence, {})
+
+
+def test_contract_gate_sees_every_event(spark):
+    pairs = [(r["exchange"], r["stream"]) for r in dims.availability(spark, DEFAULT).where("available").collect()]
+    rows = [(7 * i + 1, *pair) for i, pair in enumerate(pairs) if pair != ("okx", "trade")] + [(3, "binance", "open_interest")]
+    c = Context(spark, SF)
+    c.view = spark.createDataFrame(rows, "ord long, exchange string, stream string")
+    found = {(r["item"], r["problem"]) for r in policies.h3_contract_gate(c).collect()}
+    assert found == {("okx.trade", "missing"), ("binance.open_interest", "unexpected")}

@@ -26,11 +26,11 @@ def h2_execution_intents(c: Context) -> DataFrame:
 
 @query(twin("SELECT 'available' AS kind, exchange || '.' || stream AS item, 'missing' AS problem FROM avail WHERE available AND (exchange, stream) NOT IN (SELECT (exchange, stream) FROM mkt WHERE ord % 7 = 0 AND stream <> 'funding') UNION ALL SELECT DISTINCT 'available', exchange || '.' || stream, 'unexpected' FROM mkt WHERE ord % 7 = 0 AND stream <> 'funding' AND exchange = 'binance' AND stream = 'open_interest'"))
 def h3_contract_gate(c: Context) -> DataFrame:
-    """The contract against a table that lacks a stream and holds an excluded pair: one row per violation."""
+    """The contract against the pairs of the whole event view: one row per violation."""
     item = F.concat_ws(".", "exchange", "stream").alias("item")
     kind = F.lit("available").alias("kind")
     required = dims.availability(c.spark, c.spec).where("available").select(kind, item)
-    present = c.view.where("ord % 7 = 0 AND stream <> 'funding'").select(kind, item).distinct()
+    present = c.view.select(kind, item).distinct()
     return policy.contract_violations(required, present)
 
 
