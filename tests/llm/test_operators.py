@@ -200,6 +200,42 @@ def test_probability_jaccard():
     assert abs(same.mean() - exact) < 0.04
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def _near_lines(a, b):
+    """The rule of line dedup, said plainly."""
+    x, y = a.split(), b.split()
+    if (len(x) < 16) != (len(y) < 16):
+        return a == b
+    if len(x) < 16:
+        return abs(len(a) - len(b)) <= 1 and _edits(a, b) <= 1
+    n = min(len(x), len(y))
+    allowed = int(min(n // 16, (n / 4) ** 0.5, 30))
+    return abs(len(x) - len(y)) <= allowed and _edits(x, y) <= allowed
+
+
+def _dedup_by_hand(rows):
+    """doc_id -> text without the removed lines, for rows in the order of their ids."""
+    seen, out = [], {}
+    for i, text in rows:
+        kept = []
+        for line in text.split("\n"):
+            norm = line.strip(line_dedup.OUTER).lower()
+            if len(norm) < 40 or not any(_near_lines(norm, s) for s in seen):
+                kept.append(line)
+            if len(norm) >= 40:
+                seen.append(norm)
+        out[i] = "\n".join(kept)
+    return out
+
+
 @pytest.mark.parametrize("crowded", [1, 32])
 def test_line_dedup_equals_brute_force(spark, monkeypatch, crowded):
     monkeypatch.setattr(line_dedup, "CROWDED", crowded)
@@ -211,35 +247,11 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, crowded):
         return rng.choice([line[:at] + line[at + 1 :], line[:at] + "q" + line[at:], line[:at] + "w" + line[at + 1 :], line])
 
     docs = [(i, "\n".join([changed(changed(rng.choice(base))) for _ in range(4)] + ["short"])) for i in range(40)]
-
-    def near(a, b):
-        a, b = sorted((a, b), key=len)
-        k = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
-        return len(b) - len(a) <= 1 and (a[k:] == b[k + 1 :] if len(a) < len(b) else a[k + 1 :] == b[k + 1 :])
-
-    seen, expected = [], {}
-    for i, text in docs:
-        kept = []
-        for line in text.split("\n"):
-            norm = line.strip(" ").lower()
-            if len(norm) < 40 or not any(near(norm, s) for s in seen):
-                kept.append(line)
-            if len(norm) >= 40:
-                seen.append(norm)
-        expected[i] = "\n".join(kept)
+    expected = _dedup_by_hand(docs)
     found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(_docs(spark, docs)).collect()}
     assert found == expected
 
 
-def _edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        old, row = row, [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
-    return row[-1]
-
-
 @pytest.mark.parametrize("crowded", [1, 32])
 def test_line_dedup_finds_changed_words_at_every_length(spark, monkeypatch, crowded):
     monkeypatch.setattr(line_dedup, "CROWDED", crowded)
@@ -248,27 +260,34 @@ def test_line_dedup_finds_changed_words_at_every_length(spark, monkeypatch, crow
 
     def changed(line):
         parts = line.split(" ")
-        for _ in range(rng.randint(1, 2)):
+        for _ in range(rng.randint(0, 3)):
             at = rng.randrange(len(parts))
             parts[at : at + 1] = rng.choice([[], [rng.choice(words)], [parts[at], rng.choice(words)[:3]], [parts[at] + "s"]])
         return " ".join(parts)
 
-    base = [" ".join(rng.choice(words) for _ in range(n)) for n in (8, 12, 15, 18, 30, 31, 50, 52, 70, 110)]
-    base.append(base[6][: len(base[6]) // 2] + base[7][len(base[7]) // 2 :])
-    rows = [(i, "\n".join(changed(rng.choice(base)) for _ in range(5))) for i in range(24)]
-    seen, expected, more_than_one = [], set(), 0
-    for i, text in rows:
-        for k, line in enumerate(text.split("\n")):
-            if len(line) < 40:
-                continue
-            allowed = [(s, int(min(3 * n // 100, (n * 3 / 10) ** 0.5))) for s in seen for n in [min(len(s), len(line))]]
-            near = [_edits(s, line) for s, t in allowed if abs(len(s) - len(line)) <= t and _edits(s, line) <= t]
-            if near:
-                expected.add((i, k))
-                more_than_one += min(near) > 1
-            seen.append(line)
-    assert more_than_one > 5 and len(expected) < len(seen) - 5
-    assert {tuple(r) for r in line_dedup.duplicate_lines(_docs(spark, rows)).collect()} == expected
+    base = [" ".join(rng.choice(words) for _ in range(n)) for n in (8, 12, 15, 17, 31, 32, 33, 49, 64, 67, 101, 150)]
+    base.append(" ".join(base[8].split()[:32] + base[9].split()[32:]))
+    rows = [(i, "\n".join(changed(rng.choice(base)) for _ in range(6))) for i in range(26)]
+    expected = _dedup_by_hand(rows)
+    lines = [line for _, text in rows for line in text.split("\n")]
+    kept = [line for text in expected.values() for line in text.split("\n") if line]
+    assert 20 < len(kept) < len(lines) - 40 and len(set(lines)) > len(kept) + 30
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(_docs(spark, rows)).collect()} == expected
+
+
+def test_bit_parallel_edit_distance(spark):
+    rng = random.Random(2)
+    rows = []
+    for _ in range(600):
+        a = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice([[], ["a"], ["b"]])
+        rows.append((a, b, rng.randint(0, 30 if rng.random() < 0.1 else 6)))
+    table = spark.createDataFrame(rows, "a array<string>, b array<string>, t int")
+    found = table.select("a", "b", "t", line_dedup.edits_within(F.col("a"), F.col("b"), F.col("t")).alias("near")).collect()
+    assert all(r["near"] == (_edits(r["a"], r["b"]) <= r["t"]) for r in found if r["a"] and r["b"])
 
 
 def test_decontamination_checks_slots(spark):

@@ -2,13 +2,16 @@
 
 Lines are compared in lower case without outer white space. A line is removed if the same line, or one
 within the edits allowed, comes earlier in (doc_id, line number) order; lines shorter than `min_chars` stay.
-The edits allowed grow with the shorter line of a pair: 3 in 100 characters, so that a changed word counts,
-and from 334 characters on the root of 0.3 times the length, so that keys a character do not grow.
+Lines of fewer than `LONG_WORDS` words are compared with each other by characters and allow one edit. Longer
+lines are compared with each other by words, so that a changed word is one edit: the shorter line of a pair allows
+one edit for each 16 words, from 64 words on the root of a quarter of its words, 30 at most.
+A line is written as a string of symbols, its characters, or one code point for each word; all that follows
+reads symbols only.
 
 A line that allows t edits is cut into t + 1 segments, half of them placed from its start and half from its
 end. Some segment is intact and has as many edits before it as it has segments before it (and no more after it
 than segments): a line in reach holds it moved by its number at most. So a line gives its own segments, and the
-substrings so moved, as keys; equal keys make candidates, which Spark's banded edit distance verifies. Where
+substrings so moved, as keys; equal keys make candidates, which a banded bit-parallel edit distance verifies. Where
 many lines share a key, all are compared with the first of them, and what the key does not cover is cut into
 segments again for those still open, so that lines that are alike but not near do not make all their pairs;
 no near pair that decides on a line is lost by that.
@@ -23,27 +26,36 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import materialize
 
 MIN_CHARS = 40
+LONG_WORDS = 16
+MAX_EDITS = 30  # a band of 61 rows fits a word of 64 bits
 CROWDED = 32  # rows of a key from which its lines are told apart by further segments
-MAX_LEVELS = 3
 BROADCAST_ROWS = 200_000  # of ids: a few MB
+OUTER = " \t\r\f\v\u00a0\u3000"
 
 
-def allowed_edits(length: Column) -> Column:
-    """Edits allowed to a line of this length."""
-    return F.least(F.floor(length * 3 / 100), F.floor(F.sqrt(length * 3 / 10))).cast("int")
+def symbols(words: Column) -> Column:
+    """A string of one code point (of 2 ** 20, by a hash) for each word."""
+    codes = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(1 << 20)) + (1 << 16)), 8, "0"))
+    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
 
-def least_length(edits: Column, min_chars: int) -> Column:
-    """Length of the shortest compared line that allows so many edits."""
-    return F.greatest(F.ceil(edits * 100 / 3), F.ceil(edits * edits * 10 / 3), F.lit(min_chars)).cast("int")
+def allowed_edits(length: Column, short: Column) -> Column:
+    """Edits allowed to a line of so many symbols."""
+    by_words = F.least(F.floor(length / LONG_WORDS), F.floor(F.sqrt(length / 4)), F.lit(MAX_EDITS))
+    return F.when(short, 1).otherwise(by_words).cast("int")
+
+
+def least_length(edits: Column, short: Column, min_chars: int) -> Column:
+    """Symbols of the shortest compared line that allows so many edits."""
+    return F.when(short, min_chars).otherwise(F.greatest(edits * LONG_WORDS, edits * edits * 4)).cast("int")
 
 
 def _bands(lines: DataFrame, min_chars: int) -> DataFrame:
     """Adds t, least and own: the line's own band and, for a line in reach of a shorter one of the band below, that one."""
-    t = allowed_edits(F.col("length"))
-    below = F.when(F.col("length") < least_length(t, min_chars) + t - 1, F.struct((t - 1).alias("t"), F.lit(False).alias("own")))
+    t = allowed_edits(F.col("length"), F.col("short"))
+    below = F.when(~F.col("short") & (t > 1) & (F.col("length") < least_length(t, F.col("short"), min_chars) + t - 1), F.struct((t - 1).alias("t"), F.lit(False).alias("own")))
     bands = lines.withColumn("band", F.explode(F.array_compact(F.array(F.struct(t.alias("t"), F.lit(True).alias("own")), below))))
-    return bands.select("id", "norm", F.col("band.t").alias("t"), F.col("band.own").alias("own")).withColumn("least", least_length(F.col("t"), min_chars))
+    return bands.select("id", "code", "short", F.col("band.t").alias("t"), F.col("band.own").alias("own")).withColumn("least", least_length(F.col("t"), F.col("short"), min_chars))
 
 
 def _cut(rows: DataFrame, text: str) -> DataFrame:
@@ -60,13 +72,13 @@ def _cut(rows: DataFrame, text: str) -> DataFrame:
     start = F.when(F.col("side") == 0, F.col("j") * F.col("size")).otherwise(F.length(text) - (F.col("j") + 1) * F.col("size")) + F.col("move") + 1
     each = each.withColumn("start", start.cast("int")).withColumn("own", F.col("own") & (F.col("move") == 0))
     bucket = ["bucket"] if "bucket" in rows.columns else []
-    return each.withColumn("key", F.xxhash64(*bucket, "t", "side", "j", F.substr(text, F.col("start"), F.col("size")))).drop("k", "side", "j", "move", *bucket)
+    return each.withColumn("key", F.xxhash64(*bucket, "short", "t", "side", "j", F.substr(text, F.col("start"), F.col("size")))).drop("k", "side", "j", "move", *bucket)
 
 
 def _left(rows: DataFrame, text: str) -> DataFrame:
-    """What of a line its key does not cover, as rows to be cut again: bucket, id, own, t, least, rest."""
+    """What of a line its key does not cover, as rows to be cut again: bucket, id, own, short, t, least, rest."""
     rest = F.concat(F.substr(text, F.lit(1), F.col("start") - 1), F.substr(text, F.col("start") + F.col("size"), F.length(text)))
-    return rows.select(F.col("key").alias("bucket"), "id", "own", "t", (F.col("least") - F.col("size")).alias("least"), rest.alias("rest"))
+    return rows.select(F.col("key").alias("bucket"), "id", "own", "short", "t", (F.col("least") - F.col("size")).alias("least"), rest.alias("rest"))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -99,50 +111,89 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def compared(line: Column) -> Column:
     """What of a line is compared."""
-    return F.lower(F.trim(line))
+    return F.lower(F.trim(line, F.lit(OUTER)))
+
+
+def edits_within(a: Column, b: Column, most: Column) -> Column:
+    """True if the arrays a and b are within `most` edits (30 or fewer), by the bit-parallel recurrence on a band.
+
+    A column of the table of distances is two words: the rows of the band, from `most` above the diagonal to
+    `most` below it, where the distance grows by one downwards, and where it falls. Every step moves the band down by
+    a row. The distance is followed along the diagonal that ends in the last cell.
+    """
+    shift = lambda x, n: F.call_function("shiftleft", x, n)
+    one = F.lit(1).cast("long")
+    width = most * 2 + 1
+    mask = shift(one, width) - 1
+    skew = F.size(a) - F.size(b)
+    start = F.struct(mask.bitwiseAND(F.bitwise_not(shift(one, most) - 1)).alias("up"), F.lit(0).cast("long").alias("down"), F.abs(skew).cast("long").alias("edits"))
+
+    def column(s: Column, j: Column) -> Column:
+        same = F.aggregate(
+            F.sequence(F.lit(0), width - 1),
+            F.lit(0).cast("long"),
+            lambda found, k: found.bitwiseOR(F.when(F.get(a, j - most + k - 1) == F.get(b, j - 1), shift(one, k)).otherwise(F.lit(0).cast("long"))),
+        )
+        return F.struct(same.alias("same"), s.alias("s"))
+
+    def step(s: Column, j: Column) -> Column:
+        # The match bits are bound by a one-element array, so that they are computed once.
+        def apply(x: Column) -> Column:
+            same, up, down = x["same"], x["s"]["up"], x["s"]["down"]
+            flat = (same.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(same).bitwiseOR(down).bitwiseAND(mask)
+            return F.struct(flat.alias("flat"), up.alias("up"), down.alias("down"), x["s"]["edits"].alias("edits"))
 
+        def after(x: Column) -> Column:
+            flat, up, down = x["flat"], x["up"], x["down"]
+            right = down.bitwiseOR(F.bitwise_not(flat.bitwiseOR(up))).bitwiseAND(mask)
+            left = flat.bitwiseAND(up)
+            below = F.call_function("shiftright", flat, F.lit(1))
+            met = F.call_function("shiftright", flat, most + skew).bitwiseAND(one)
+            return F.struct(
+                left.bitwiseOR(F.bitwise_not(below.bitwiseOR(right))).bitwiseAND(mask).alias("up"),
+                below.bitwiseAND(right).alias("down"),
+                (x["edits"] + F.when(j > -skew, 1 - met).otherwise(F.lit(0).cast("long"))).alias("edits"),
+            )
 
-def within(a: Column, b: Column, edits: Column) -> Column:
-    """True if a and b are within so many edits. Spark's threshold is a constant, so the next of a few is taken."""
-    steps = (1, 2, 3, 4, 6, 9, 14, 24, 48, 96, 192, 384, 768)
-    found = F.when(edits < 0, F.lit(-1))
-    for step in steps:
-        found = found.when(edits <= step, F.levenshtein(a, b, step))
-    found = found.otherwise(F.levenshtein(a, b))
-    return (found >= 0) & (found <= edits)
+        return F.get(F.transform(F.transform(F.array(column(s, j)), apply), after), F.lit(0))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.size(b)), start, step, lambda s: s["edits"])
+    return F.when(F.abs(skew) > most, F.lit(False)).when((F.size(b) == 0) | (F.size(a) == 0), F.lit(True)).otherwise(walked <= most)
 
 
 def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """id, id2 of the later line of each pair that is near, written."""
     pairs = materialize(pairs.distinct(), "line-candidates")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted-lines")
-    texts = materialize(_joined(lines.select("id", "id2", "first", "norm", "length"), wanted, ["id"], "left_semi"), "candidate-lines")
+    texts = _joined(lines.select("id", "id2", "first", "code", "length", "short"), wanted, ["id"], "left_semi")
+    texts = materialize(texts.withColumn("code", F.filter(F.split("code", ""), lambda c: c != "")), "candidate-lines")
     side = lambda p: texts.select(*(F.col(c).alias(f"{p}_{c}") for c in texts.columns))
-    both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
+    both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id")).where(F.col("a_short") == F.col("b_short"))
     late = lambda c: F.when(F.col("a_first") < F.col("b_first"), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
-    edits = allowed_edits(F.least("a_length", "b_length"))
-    return materialize(both.where(within(F.col("a_norm"), F.col("b_norm"), edits)).select(late("id"), late("id2")).distinct(), "near-lines")
+    edits = allowed_edits(F.least("a_length", "b_length"), F.col("a_short"))
+    reach = both.withColumn("edits", edits).where(F.abs(F.col("a_length") - F.col("b_length")) <= F.col("edits"))
+    return materialize(reach.where(edits_within(F.col("a_code"), F.col("b_code"), F.col("edits"))).select(late("id"), late("id2")).distinct(), "near-lines")
 
 
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, line_no of the lines to remove."""
-    read = _lines(docs).select("doc_id", "line_no", compared(F.col("line")).alias("norm")).withColumn("length", F.length("norm"))
-    read = read.where(F.col("length") >= min_chars).withColumn("id", F.xxhash64("norm")).withColumn("id2", F.xxhash64(F.lit(11), "norm"))
+    read = _lines(docs).select("doc_id", "line_no", compared(F.col("line")).alias("norm")).where(F.length("norm") >= min_chars)
     # A line is known by two hashes.
-    lines = materialize(
-        read.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.min("norm").alias("norm")).withColumn("length", F.length("norm")),
-        "distinct-lines",
-    )
-    shared = materialize(_shared(_cut(_bands(lines, min_chars), "norm").select("key", "id", "own")), "shared-keys")
+    read = read.select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("id"), F.xxhash64(F.lit(11), "norm").alias("id2"))
+    lines = read.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("norm").alias("norm"))
+    lines = lines.withColumn("words", F.split("norm", r"\s+")).withColumn("short", F.size("words") < LONG_WORDS)
+    lines = lines.withColumn("code", F.when(F.col("short"), F.col("norm")).otherwise(symbols(F.col("words")))).drop("norm", "words")
+    lines = materialize(lines.withColumn("length", F.length("code")), "distinct-lines")
+    shared = materialize(_shared(_cut(_bands(lines, min_chars), "code").select("key", "id", "own")), "shared-keys")
     pairs, near = _pairs(shared.where(F.col("n") <= CROWDED)), []
     crowded = shared.where(F.col("n") > CROWDED).select("key", "id")
     if not crowded.isEmpty():
-        texts = _joined(lines.select("id", "norm", "length", "first"), materialize(crowded.select("id").distinct(), "crowded-lines"), ["id"], "left_semi")
+        texts = _joined(lines.select("id", "code", "short", "length", "first"), materialize(crowded.select("id").distinct(), "crowded-lines"), ["id"], "left_semi")
         texts = materialize(texts, "crowded-texts")
-        again = _cut(_bands(texts, min_chars), "norm")
+        again = _cut(_bands(texts, min_chars), "code")
         keys = materialize(crowded.select("key").distinct(), "crowded-keys")
-        found = _left(_joined(again, keys, ["key"], "left_semi"), "norm")
-        for level in range(1, MAX_LEVELS + 1):
+        found = _left(_joined(again, keys, ["key"], "left_semi"), "code")
+        while True:
             found = materialize(found.join(texts.groupBy("id").agg(F.min("first").alias("first")), "id"), "crowded-rows")
             heads = found.groupBy("bucket").agg(F.min_by("id", "first").alias("x"))
             met = found.select("bucket", "id").join(heads, "bucket").where(F.col("id") != F.col("x"))
@@ -151,13 +202,15 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             done = near[-1].select("id").distinct().withColumn("done", F.lit(True))
             found = found.drop("first").join(done, "id", "left")
             opened = found.join(heads, "bucket").where(F.col("done").isNull() & (F.col("id") != F.col("x"))).select("bucket").distinct()
-            found = materialize(_cut(found.join(opened, "bucket", "left_semi"), "rest").select("key", "id", "own", "t", "least", "rest", "start", "size", "done"), "open-rows")
-            found = materialize(_shared(found), "crowded-keys")
-            found = found.withColumn("open", F.max(F.col("done").isNull()).over(Window.partitionBy("key"))).where("open")
-            last = level == MAX_LEVELS
-            pairs = pairs.union(_pairs(found if last else found.where(F.col("n") <= CROWDED)))
+            # With fewer symbols left than segments, lines can't be told apart any further: they are compared as they are.
+            found = found.join(opened, "bucket", "left_semi").withColumn("last", F.col("least") <= F.col("t"))
+            ended = found.where("last").select(F.col("bucket").alias("key"), "id", "own")
+            pairs = pairs.union(_pairs(ended))
+            cut = _cut(found.where("not last"), "rest").select("key", "id", "own", "short", "t", "least", "rest", "start", "size", "done")
+            found = materialize(_shared(cut).withColumn("open", F.max(F.col("done").isNull()).over(Window.partitionBy("key"))).where("open"), "crowded-keys")
+            pairs = pairs.union(_pairs(found.where(F.col("n") <= CROWDED)))
             found = found.where(F.col("n") > CROWDED)
-            if last or found.isEmpty():
+            if found.isEmpty():
                 break
             found = _left(found, "rest")
     near.append(_near(pairs, lines))
@@ -177,11 +230,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, keep_columns: tuple
     is then an empty text. Rows with a null id are kept as they are. Rows that repeat a doc_id lose the
     same lines (their line numbers are one sequence of places). An empty table gives an empty result.
     """
-    removed = duplicate_lines(docs, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.array_join(F.filter(F.col("_lines"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    removed = materialize(duplicate_lines(docs, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")), "removed-lines")
+    few = (removed.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= BROADCAST_ROWS
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
     return (
         docs.select("doc_id", "text", *keep_columns)
-        .join(removed, "doc_id", "left")
+        .join(F.broadcast(removed) if few else removed, "doc_id", "left")
         .withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
         .select(
             "doc_id",
