@@ -163,9 +163,19 @@ def _shingles(text):
     return collections.Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else collections.Counter()
 
 
-def test_near_duplicates_equal_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+def _similarities(a, b):
+    """Jaccard and probability Jaccard similarity of two weighted sets, from their definitions."""
+    both = a.keys() & b.keys()
+    if not both:
+        return 0.0, 0.0
+    plain = len(both) / len(a.keys() | b.keys())
+    if max(a.values()) == max(b.values()) == 1:
+        return plain, plain
+    return plain, sum(1 / sum(max(a[e] / a[d], b[e] / b[d]) for e in a.keys() | b.keys()) for d in both)
+
+
+def _classes_by_hand(rows, similar=0.8):
+    """A class (its smallest id) for each id."""
     sets = {i: _shingles(t) for i, t in rows.items()}
     parent = {i: i for i in rows}
 
@@ -174,17 +184,47 @@ def test_near_duplicates_equal_brute_force(spark):
             i = parent[i]
         return i
 
-    ids = sorted(rows)
-    for n, i in enumerate(ids):
-        for j in ids[:n]:
-            a, b = sets[i], sets[j]
-            both = len(a.keys() & b.keys())
-            if rows[i] == rows[j] or (both and both / (len(a) + len(b) - both) >= 0.8):
+    holders = collections.defaultdict(list)
+    for i in sorted(rows):
+        for j in {j for e in sets[i] for j in holders[e]} | {j for j in rows if j < i and rows[j] == rows[i]}:
+            if rows[i] == rows[j] or max(_similarities(sets[i], sets[j])) >= similar - 1e-12:
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
-    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
-    assert all(found[i] == found[root(i)] for i in ids)
-    assert len(set(found.values())) >= 0.97 * len({root(i) for i in ids})
+        for e in sets[i]:
+            holders[e].append(i)
+    return {i: root(i) for i in rows}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    expected = _classes_by_hand({r["doc_id"]: r["text"] for r in docs.collect()})
+    found = near_dedup.near_duplicates(docs).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == expected
+    assert {r["doc_id"] for r in found if r["kept"]} == set(expected.values())
+
+
+def test_near_duplicates_of_loose_groups(spark, monkeypatch):
+    """Many variants of one text, few of them near each other; and texts whose shingles repeat."""
+    monkeypatch.setattr(near_dedup, "CROWDED", 3)
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(900)]
+    base = [rng.choice(words) for _ in range(220)]
+    rows = {}
+    for i in range(260):
+        text = list(base)
+        for _ in range(rng.choice((1, 2, 6, 7, 8, 9))):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        rows[i] = " ".join(text)
+    plain, phrase = " ".join(rng.choice(words) for _ in range(300)), " ".join(rng.choice(words) for _ in range(5))
+    rows |= {1000: plain, 1001: f"{plain} {' '.join([phrase] * 60)}", 1002: f"{plain} {phrase}", 1003: " ".join([phrase] * 50), 1004: " ".join([phrase] * 40)}
+    pairs = []
+    verified = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda p, *rest: pairs.append(p.count()) or verified(p, *rest))
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(_docs(spark, list(rows.items()))).collect()}
+    expected = _classes_by_hand(rows)
+    assert found == expected and 20 < len(set(expected.values())) < 240
+    assert expected[1001] == 1000 and expected[1004] == 1003
+    assert sum(pairs) < 8 * len(rows)
 
 
 def test_probability_jaccard():

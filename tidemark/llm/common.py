@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize, new_path, read_table, shared_dir
 
-__all__ = ["bounded_sample", "held_out", "materialize", "new_path", "read_table", "shared_dir"]
+__all__ = ["batches_of", "bounded_sample", "held_out", "materialize", "new_path", "read_table", "shared_dir"]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -28,3 +31,15 @@ def bounded_sample(keys: DataFrame, by: str, id_col: str, bound: int) -> DataFra
         .where(F.pmod(F.xxhash64(F.lit(7), id_col), F.lit(spread)) < F.lit(float(spread) * bound) / F.col("_n"))
         .drop("_n")
     )
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside send Python workers this many rows at a time, so that long rows stay within memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

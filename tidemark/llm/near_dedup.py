@@ -6,27 +6,28 @@ the signature, whose first arrival names its shingle. Arrivals are made in round
 they come after the latest first arrival of all components. Two signatures agree in a component with the
 probability Jaccard similarity of the two sets.
 
-Equal texts are one class from the start. In each bucket of each band all texts are compared with one hub,
-the text that shares most buckets with others, which is linear in the bucket; verified links make components;
-buckets that still hold several components get another hub. At the end the pairs of different components in
-a bucket are narrowed by parity maps, which bound how much two sets differ, and those left are verified, so that
-no link between bucket mates is lost and no pair inside a component is ever made.
+Equal texts are one class from the start. A text with repeated shingles is signed twice, with and without its weights,
+so that both similarities are found. In each bucket of each band all texts are compared with one hub, the text that
+shares most buckets with others, which is linear in the bucket; verified links make components; buckets that still
+hold several components get another hub. What is left in them are texts that are alike but were near no hub. Of
+those, pairs of different components are verified unless an exact bound rules them out: how many shingles of a text no
+other component holds, and maps of parities, both of which bound how far two sets are apart. So no link between bucket
+mates is lost, no pair inside a component is made, and a group of loosely similar texts does not make all its pairs.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import batches_of, materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -34,7 +35,11 @@ BANDS, BAND_ROWS = 32, 6
 HUB_ROUNDS = 2
 PARITY_WORDS = 16
 TOGETHER, GROUP_SETS = 16_384, 64  # shingles and sets that are signed together
-KEEP_WORDS = 400_000
+KEEP_WORDS = 100_000
+SIGN_ROWS, VERIFY_ROWS = 1_000, 200  # rows that a Python worker gets at a time; a row to verify holds two whole sets
+CROWDED = 32  # texts of a bucket from which shingles are counted by component
+BROADCAST_ROWS = 200_000  # of classes, 24 bytes each
+SALTS = 8
 WORD = re.compile(r"\w+")
 
 
@@ -135,9 +140,6 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
 
 _SIGNED = T.StructType(
     [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("h1", T.LongType()),
-        T.StructField("h2", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("total", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
@@ -156,32 +158,31 @@ def parity(elements: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        sets = [shingles(text) for text in batch["text"]]
-        bands: list = [[]] * len(sets)
-        groups: list[list[int]] = []
-        held = TOGETHER
-        for i in sorted((i for i, (elements, _) in enumerate(sets) if len(elements)), key=lambda i: len(sets[i][0])):
-            if held + len(sets[i][0]) > TOGETHER or len(groups[-1]) == GROUP_SETS:
-                groups.append([])
-                held = 0
-            groups[-1].append(i)
-            held += len(sets[i][0])
-        for group in groups:
-            for i, owner in zip(group, signatures([sets[i] for i in group], BANDS * BAND_ROWS), strict=True):
-                bands[i] = band_hashes(owner, BANDS, BAND_ROWS)
-        yield pd.DataFrame(
-            {
-                "doc_id": batch["doc_id"],
-                "h1": batch["h1"],
-                "h2": batch["h2"],
-                "n": [len(elements) for elements, _ in sets],
-                "total": [int(weights.sum()) for _, weights in sets],
-                "bands": bands,
-                "parity": [parity(elements) for elements, _ in sets],
-            }
-        )
+@F.pandas_udf(_SIGNED)
+def _signed(texts: pd.Series) -> pd.DataFrame:
+    """Band hashes by weighted and, where that differs, by plain shingles; sizes; parity map."""
+    sets = [shingles(text) for text in texts]
+    todo = [(i, elements, weights) for i, (elements, weights) in enumerate(sets) if len(elements)]
+    todo += [(i, elements, np.ones_like(weights)) for i, elements, weights in todo if weights.max() > 1]
+    bands: list = [np.zeros(0, dtype=np.int64)] * len(sets)
+    group: list = []
+    held = 0
+    for one in [*sorted(todo, key=lambda x: len(x[1])), None]:
+        if group and (one is None or held + len(one[1]) > TOGETHER or len(group) == GROUP_SETS):
+            for (i, *_), owner in zip(group, signatures([x[1:] for x in group], BANDS * BAND_ROWS), strict=True):
+                bands[i] = np.union1d(bands[i], band_hashes(owner, BANDS, BAND_ROWS))
+            group, held = [], 0
+        if one is not None:
+            group.append(one)
+            held += len(one[1])
+    return pd.DataFrame(
+        {
+            "n": [len(elements) for elements, _ in sets],
+            "total": [int(weights.sum()) for _, weights in sets],
+            "bands": bands,
+            "parity": [parity(elements) for elements, _ in sets],
+        }
+    )
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -202,14 +203,24 @@ def components(links: DataFrame) -> DataFrame:
         last = now
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, at_least: float) -> DataFrame:
-    """Those of `pairs` (a, b; the ids of texts) whose shingles are similar enough."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "verify-ids")
+@F.pandas_udf(T.StructType([T.StructField("s", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.IntegerType()))]))
+def _sets(texts: pd.Series) -> pd.DataFrame:
+    """Shingles and, unless they are all 1, their weights."""
+    found = [shingles(t) for t in texts]
+    return pd.DataFrame({"s": [s.view(np.int64) for s, _ in found], "w": [None if w.max(initial=1) == 1 else w.astype(np.int32) for _, w in found]})
+
+
+def _shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, s, w of the texts named by `ids` (id, doc_id of a row with that text)."""
+    wanted = materialize(ids.distinct(), "shingled-ids")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.select("doc_id", "text", text_id(F.col("text")).alias("id")).join(few, ["id", "doc_id"], "left_semi").dropDuplicates(["id"])
+    with batches_of(docs.sparkSession, SIGN_ROWS):
+        return materialize(texts.select("id", _sets("text").alias("x")).select("id", "x.s", "x.w"), "shingle-sets")
 
-    @F.pandas_udf("struct<s:array<long>,w:array<int>>")
-    def sets(texts: pd.Series) -> pd.DataFrame:
-        found = [shingles(t) for t in texts]
-        return pd.DataFrame({"s": [s.view(np.int64) for s, _ in found], "w": [None if w.max(initial=1) == 1 else w.astype(np.int32) for _, w in found]})
+
+def _verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, at_least: float) -> DataFrame:
+    """Those of `pairs` (a, b; the ids of texts) whose shingles are similar enough, written."""
 
     @F.pandas_udf("boolean")
     def alike(sa: pd.Series, wa: pd.Series, sb: pd.Series, wb: pd.Series) -> pd.Series:
@@ -220,84 +231,141 @@ def _verified(pairs: DataFrame, docs: DataFrame, at_least: float) -> DataFrame:
             out.append(max(similarity(np.asarray(x), wx, np.asarray(y), wy)) >= at_least - 1e-12)
         return pd.Series(out, dtype=bool)
 
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    known = materialize(texts.select("doc_id", sets("text").alias("x")).select("doc_id", "x.s", "x.w"), "shingle-sets")
-    left = known.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
-    right = known.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
-    return pairs.join(left, "a").join(right, "b").where(alike("sa", "wa", "sb", "wb")).select("a", "b")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    known = _shingle_sets(named.join(owners, "id"), docs)
+    left = known.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
+    right = known.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
+    with batches_of(docs.sparkSession, VERIFY_ROWS):
+        return materialize(pairs.join(left, "a").join(right, "b").where(alike("sa", "wa", "sb", "wb")).select("a", "b"), "links")
 
 
-def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
-    """One row per input row: doc_id, class_id (the smallest doc_id of its class), kept (it is that one).
+def text_id(text: Column) -> Column:
+    """What a text is known by: 64 bits of hash."""
+    return F.xxhash64(text)
+
 
-    Two documents are linked if the Jaccard or the probability Jaccard similarity of their shingles is at
-    least `at_least`, or their texts are equal; classes are the connected components. A null text is in no
-    class but its own. Rows that repeat a doc_id count as one document with its first text by hash; a null
-    id has a null class and is kept. An empty table gives an empty result. Other columns are not read.
+def _most_apart(at_least: float, prefix: str = "hub_") -> Column:
+    """How many elements two similar sets differ in at most.
+
+    Of unweighted sets (n + m) * (1 - s) / (1 + s). If the parts p and q of two masses are not shared, the probability
+    Jaccard similarity is (1 - p) * (1 - q) / (1 - p * q) at most, which holds p + q to 2 * (1 - s) / (1 + s).
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    usable = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    signed = materialize(
-        usable.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(5), F.reverse("text")).alias("h2"), "text").mapInPandas(_sign, _SIGNED),
-        "signatures",
-    )
-    one = signed.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("t")).select("doc_id", "t.h1", "t.h2")
-    distinct = signed.join(one.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    rows = distinct.select(F.col("doc_id").alias("id"), "n", "total", F.posexplode("bands").alias("band", "hash"))
-    crowded = rows.groupBy("band", "hash").agg(F.count("*").alias("k")).where("k > 1")
-    central = F.sum("k").over(Window.partitionBy("id"))  # of a text: at most BANDS rows
-    mates = materialize(rows.join(crowded, ["band", "hash"]).withColumn("central", central).drop("k"), "bucket-mates")
-    singles = distinct.select(F.col("doc_id").alias("id"))
-    maps = distinct.select(F.col("doc_id").alias("id"), *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITY_WORDS)))
-
-    weighted = (F.col("n") != F.col("total")) | (F.col("hub_n") != F.col("hub_total"))
-    fits = weighted | (F.least("n", "hub_n") >= at_least * F.greatest("n", "hub_n"))
+    weighted = (F.col("n") != F.col("total")) | (F.col(f"{prefix}n") != F.col(f"{prefix}total"))
+    share = (1 - at_least) / (1 + at_least)
+    plain = (F.col("n") + F.col(f"{prefix}n")) * share
+    return F.when(weighted, F.greatest(plain, F.greatest("total", f"{prefix}total") * 2 * share)).otherwise(plain) + 1e-9
+
+
+def _may_share(at_least: float, prefix: str = "hub_") -> Column:
+    """False if the shingles that each text shares with other components (number `common`, mass `common_total`) are too few."""
+    n, m, total, other = F.col("n"), F.col(f"{prefix}n"), F.col("total"), F.col(f"{prefix}total")
+    both = F.least("common", f"{prefix}common")
+    weighted = (n != total) | (m != other)
+    p = F.greatest((total - F.col("common_total")) / total, (n - both) / total)
+    q = F.greatest((other - F.col(f"{prefix}common_total")) / other, (m - both) / other)
+    plain = both >= at_least * (n + m - both) - 1e-9
+    return plain | (weighted & ((1 - p) * (1 - q) >= at_least * (1 - p * q) - 1e-9))
+
+
+def _common_shingles(here: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """id, common, common_total of the texts in crowded buckets: shingles that another component in such buckets holds too."""
+    crowded = here.groupBy("band_hash").agg(F.count("*").alias("k")).where(F.col("k") > CROWDED).select("band_hash")
+    members = materialize(here.join(crowded, "band_hash", "left_semi").select("id", "root").distinct(), "crowd")
+    if members.isEmpty():
+        return None
+    known = _shingle_sets(members.join(owners, "id").select("id", "doc_id"), docs).join(members, "id")
+    ones = F.transform("s", lambda x: F.lit(1))
+    each = known.select("id", "root", F.explode(F.arrays_zip("s", F.coalesce("w", ones).alias("w"))).alias("x")).select("id", "root", "x.s", "x.w")
+    shared = each.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
+    held = each.join(shared, "s", "left_semi").groupBy("id").agg(F.count("*").alias("common"), F.sum("w").alias("common_total"))
+    left = members.select("id").join(held, "id", "left")
+    return materialize(left.select("id", F.coalesce("common", F.lit(0)).alias("common"), F.coalesce("common_total", F.lit(0)).alias("common_total")), "common-shingles")
+
+
+def _links(distinct: DataFrame, docs: DataFrame, at_least: float) -> DataFrame | None:
+    """id, root of the texts that are linked with others; None if there are none."""
+    rows = distinct.select("id", "n", "total", F.explode("bands").alias("band_hash"))
+    shared = rows.groupBy("band_hash").agg(F.count("*").alias("k")).where("k > 1")
+    central = F.sum("k").over(Window.partitionBy("id"))  # of a text: at most 2 * BANDS rows
+    mates = materialize(rows.join(shared, "band_hash").withColumn("central", central).drop("k"), "bucket-mates")
+    owners = distinct.select("id", "doc_id")
+    maps = distinct.select("id", *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITY_WORDS)))
     apart = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"hub_p{k}"))) for k in range(PARITY_WORDS)), F.lit(0))
-    # similar sets differ in at most these many elements; of weighted ones, no more than 1 - at_least of either mass is apart
-    most = F.when(weighted, (F.col("total") + F.col("hub_total")) * (1 - at_least)).otherwise((F.col("n") + F.col("hub_n")) * ((1 - at_least) / (1 + at_least)))
-    may_fit = apart <= most + 1e-9
+    fits = F.abs(F.col("n") - F.col("hub_n")) <= _most_apart(at_least)
     labels = links = tested = used = None
     for turn in range(HUB_ROUNDS + 1):
         here = mates.withColumn("root", F.col("id")) if labels is None else mates.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
         if labels is not None:
-            mixed = here.groupBy("band", "hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "hash")
-            here = materialize(here.join(mixed, ["band", "hash"], "left_semi"), "mixed-buckets")
+            mixed = here.groupBy("band_hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band_hash")
+            here = materialize(here.join(mixed, "band_hash", "left_semi"), "mixed-buckets")
         if turn < HUB_ROUNDS:
             if used is None:
                 fresh = here.withColumn("was_hub", F.lit(False))
             else:
                 fresh = here.join(used.withColumn("was_hub", F.lit(True)), "id", "left").withColumn("was_hub", F.coalesce("was_hub", F.lit(False)))
-            hubs = fresh.groupBy("band", "hash").agg(F.min(F.struct("was_hub", (-F.col("central")).alias("o"), "id", "root", "n", "total")).alias("hub"))
-            hubs = hubs.select("band", "hash", F.col("hub.id").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.n").alias("hub_n"), F.col("hub.total").alias("hub_total"))
-            hubs = materialize(hubs, "hubs")
+            hubs = fresh.groupBy("band_hash").agg(F.min(F.struct("was_hub", (-F.col("central")).alias("o"), "id", "root", "n", "total")).alias("hub"))
+            hubs = materialize(hubs.select("band_hash", F.col("hub.id").alias("hub"), *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("root", "n", "total"))), "hubs")
             used = hubs.select(F.col("hub").alias("id")).distinct() if used is None else used.union(hubs.select(F.col("hub").alias("id"))).distinct()
-            met = here.join(hubs, ["band", "hash"]).where((F.col("hub_root") != F.col("root")) & fits)
+            met = here.join(hubs, "band_hash").where((F.col("hub_root") != F.col("root")) & fits)
         else:
-            here = here.join(maps, "id")
-            others = here.select("band", "hash", F.col("id").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in ("root", "n", "total", *(f"p{k}" for k in range(PARITY_WORDS)))))
-            met = here.join(others, ["band", "hash"]).where((F.col("hub") > F.col("id")) & (F.col("hub_root") != F.col("root")) & fits & may_fit)
+            common = _common_shingles(here, owners, docs)
+            if common is None:
+                here = here.withColumn("common", F.col("n")).withColumn("common_total", F.col("total"))
+            else:
+                here = here.join(common, "id", "left").withColumn("common", F.coalesce("common", "n")).withColumn("common_total", F.coalesce("common_total", "total"))
+            # A text that shares too little with all others has no mates.
+            kept = ("id", "root", "n", "total", "common", "common_total")
+            alone = F.col("common") < at_least * F.col("n") - 1e-9
+            here = here.where(~alone | (F.col("n") != F.col("total"))).join(maps, "id").select("band_hash", *kept, *(f"p{k}" for k in range(PARITY_WORDS)))
+            here = materialize(here, "open-mates")
+            others = here.select("band_hash", F.col("id").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in here.columns if c not in ("band_hash", "id")))
+            may = fits & _may_share(at_least) & (apart <= _most_apart(at_least))
+            met = here.join(others, "band_hash").where((F.col("hub") > F.col("id")) & (F.col("hub_root") != F.col("root")) & may)
         pairs = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
-            if turn == HUB_ROUNDS:
-                break
             continue
         tested = pairs if tested is None else tested.union(pairs)
-        found = materialize(_verified(pairs, usable, at_least), "links")
+        found = _verified(pairs, owners, docs, at_least)
         if found.isEmpty():
             continue
         links = found if links is None else links.union(found)
         labels = materialize(components(links), "labels")
+    return labels
+
+
+def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
+    """One row per input row: doc_id, class_id (the smallest doc_id of its class), kept (it is that one).
+
+    Two texts are linked if the Jaccard or the probability Jaccard similarity of their shingles is at least
+    `at_least`, or if they are equal (by 64 bits of hash); classes are the connected components. Every row is judged by
+    its own text, so rows that repeat a doc_id with different texts may be in different classes. A row with a null text is
+    in no class but its own; one with a null id has a null class and is kept. An empty table gives an empty result.
+    Texts without a word are equal to none but their copies. Other columns are not read.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    usable = rows.where(known)
+    with batches_of(docs.sparkSession, SIGN_ROWS):
+        signed = usable.select("doc_id", text_id(F.col("text")).alias("id"), _signed("text").alias("x"))
+        signed = materialize(signed.select("doc_id", "id", "x.n", "x.total", "x.bands", "x.parity"), "signatures")
+    first = signed.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    distinct = signed.join(first.select("id", "doc_id"), ["id", "doc_id"], "left_semi").dropDuplicates(["id"])
+    labels = _links(distinct, usable, at_least)
     if labels is None:
-        labels = singles.withColumn("root", F.col("id")).limit(0)
-    classes = singles.join(labels, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "id").alias("class_id"))
-    by_text = classes.join(one, "doc_id").select("h1", "h2", "class_id")
-    of_doc = one.join(by_text, ["h1", "h2"]).select("doc_id", "class_id")
-    return (
-        texts.select("doc_id")
-        .join(of_doc, "doc_id", "left")
-        .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-        .withColumn("kept", F.col("doc_id").isNull() | (F.col("class_id") == F.col("doc_id")))
-    )
+        labels = first.select("id", F.col("id").alias("root")).limit(0)
+    rooted = first.join(labels, "id", "left").where(F.col("root").isNotNull() | (F.col("copies") > 1)).withColumn("root", F.coalesce("root", "id"))
+    rooted = materialize(rooted.select("id", "root", "doc_id"), "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    classes = materialize(rooted.join(smallest, "root").select("id", "class_id"), "classes")
+    ids = signed.select("doc_id", "id")
+    if classes.count() <= BROADCAST_ROWS:
+        classed = ids.join(F.broadcast(classes), "id", "left")
+    else:  # copies of one text are dealt over several tasks
+        salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        classed = ids.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("long")).join(salted, ["id", "salt"], "left")
+    classed = classed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    alone = rows.where(~known).select("doc_id", F.col("doc_id").alias("class_id"))
+    return classed.unionAll(alone).withColumn("kept", F.col("doc_id").isNull() | (F.col("class_id") == F.col("doc_id")))
