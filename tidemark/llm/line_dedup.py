@@ -12,9 +12,10 @@ A line that allows t edits is cut into t + 1 segments, half of them placed from
 end. Some segment is intact and has as many edits before it as it has segments before it (and no more after it
 than segments): a line in reach holds it moved by its number at most. So a line gives its own segments, and the
 substrings so moved, as keys; equal keys make candidates, which a banded bit-parallel edit distance verifies. Where
-many lines share a key, all are compared with the first of them, and what the key does not cover is cut into
-segments again for those still open, so that lines that are alike but not near do not make all their pairs;
-no near pair that decides on a line is lost by that.
+many lines share a key, all are compared with a few of them, first the earliest and then those with fewest pairs of
+symbols of their own; lines found near an earlier one are done. Those still open are compared with all earlier lines of
+the key but those that maps of parities rule out (an edit changes two symbols, so two bits at most), so that lines that
+are alike but not near do not make all their pairs, and no near pair that decides on a line is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from tidemark.llm.common import materialize
 MIN_CHARS = 40
 LONG_WORDS = 16
 MAX_EDITS = 30  # a band of 61 rows fits a word of 64 bits
-CROWDED = 32  # rows of a key from which its lines are told apart by further segments
+CROWDED = 32  # rows of a key from which its lines are compared with hubs first
+HUB_ROUNDS = 3
+MAP_WORDS = 4  # 64 bits each
 BROADCAST_ROWS = 200_000  # of ids: a few MB
 OUTER = " \t\r\f\v\u00a0\u3000"
 
@@ -71,14 +74,7 @@ def _cut(rows: DataFrame, text: str) -> DataFrame:
     each = each.withColumn("size", F.floor(F.col("least") / (F.col("t") + 1)).cast("int"))
     start = F.when(F.col("side") == 0, F.col("j") * F.col("size")).otherwise(F.length(text) - (F.col("j") + 1) * F.col("size")) + F.col("move") + 1
     each = each.withColumn("start", start.cast("int")).withColumn("own", F.col("own") & (F.col("move") == 0))
-    bucket = ["bucket"] if "bucket" in rows.columns else []
-    return each.withColumn("key", F.xxhash64(*bucket, "short", "t", "side", "j", F.substr(text, F.col("start"), F.col("size")))).drop("k", "side", "j", "move", *bucket)
-
-
-def _left(rows: DataFrame, text: str) -> DataFrame:
-    """What of a line its key does not cover, as rows to be cut again: bucket, id, own, short, t, least, rest."""
-    rest = F.concat(F.substr(text, F.lit(1), F.col("start") - 1), F.substr(text, F.col("start") + F.col("size"), F.length(text)))
-    return rows.select(F.col("key").alias("bucket"), "id", "own", "short", "t", (F.col("least") - F.col("size")).alias("least"), rest.alias("rest"))
+    return each.withColumn("key", F.xxhash64("short", "t", "side", "j", F.substr(text, F.col("start"), F.col("size")))).drop("k", "side", "j", "move")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -128,16 +124,22 @@ def edits_within(a: Column, b: Column, most: Column) -> Column:
     skew = F.size(a) - F.size(b)
     start = F.struct(mask.bitwiseAND(F.bitwise_not(shift(one, most) - 1)).alias("up"), F.lit(0).cast("long").alias("down"), F.abs(skew).cast("long").alias("edits"))
 
-    def column(s: Column, j: Column) -> Column:
-        same = F.aggregate(
-            F.sequence(F.lit(0), width - 1),
-            F.lit(0).cast("long"),
-            lambda found, k: found.bitwiseOR(F.when(F.get(a, j - most + k - 1) == F.get(b, j - 1), shift(one, k)).otherwise(F.lit(0).cast("long"))),
-        )
-        return F.struct(same.alias("same"), s.alias("s"))
-
     def step(s: Column, j: Column) -> Column:
-        # The match bits are bound by a one-element array, so that they are computed once.
+        # One-element arrays bind what is used more than once, so that it is computed once.
+        gap = F.greatest(most - j + 1, F.lit(0))  # rows of the band above the first
+        rows = F.struct(F.slice(a, j - most + gap, width - gap).alias("rows"), F.get(b, j - 1).alias("c"), gap.alias("gap"))
+        first = lambda x: F.struct(x["rows"].alias("rows"), x["c"].alias("c"), x["gap"].alias("gap"), F.array_position(x["rows"], x["c"]).cast("int").alias("at"))
+
+        def match(x: Column) -> Column:
+            every = F.aggregate(
+                F.sequence(F.lit(1), F.size(x["rows"])),
+                F.lit(0).cast("long"),
+                lambda found, k: found.bitwiseOR(F.when(F.get(x["rows"], k - 1) == x["c"], shift(one, k - 1 + x["gap"])).otherwise(F.lit(0).cast("long"))),
+            )
+            no_other = F.array_position(F.slice(x["rows"], x["at"] + 1, width), x["c"]) == 0
+            same = F.when(x["at"] == 0, F.lit(0).cast("long")).when(no_other, shift(one, x["at"] - 1 + x["gap"])).otherwise(every)
+            return F.struct(same.alias("same"), s.alias("s"))
+
         def apply(x: Column) -> Column:
             same, up, down = x["same"], x["s"]["up"], x["s"]["down"]
             flat = (same.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(same).bitwiseOR(down).bitwiseAND(mask)
@@ -155,7 +157,7 @@ def edits_within(a: Column, b: Column, most: Column) -> Column:
                 (x["edits"] + F.when(j > -skew, 1 - met).otherwise(F.lit(0).cast("long"))).alias("edits"),
             )
 
-        return F.get(F.transform(F.transform(F.array(column(s, j)), apply), after), F.lit(0))
+        return F.get(F.transform(F.transform(F.transform(F.transform(F.array(rows), first), match), apply), after), F.lit(0))
 
     walked = F.aggregate(F.sequence(F.lit(1), F.size(b)), start, step, lambda s: s["edits"])
     return F.when(F.abs(skew) > most, F.lit(False)).when((F.size(b) == 0) | (F.size(a) == 0), F.lit(True)).otherwise(walked <= most)
@@ -166,15 +168,59 @@ def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     pairs = materialize(pairs.distinct(), "line-candidates")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted-lines")
     texts = _joined(lines.select("id", "id2", "first", "code", "length", "short"), wanted, ["id"], "left_semi")
-    texts = materialize(texts.withColumn("code", F.filter(F.split("code", ""), lambda c: c != "")), "candidate-lines")
+    texts = materialize(texts.withColumn("code", _each_symbol(F.col("code"))), "candidate-lines")
     side = lambda p: texts.select(*(F.col(c).alias(f"{p}_{c}") for c in texts.columns))
     both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id")).where(F.col("a_short") == F.col("b_short"))
     late = lambda c: F.when(F.col("a_first") < F.col("b_first"), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
     edits = allowed_edits(F.least("a_length", "b_length"), F.col("a_short"))
     reach = both.withColumn("edits", edits).where(F.abs(F.col("a_length") - F.col("b_length")) <= F.col("edits"))
+    # An edit brings or takes one symbol.
+    reach = reach.where((F.size(F.array_except("a_code", "b_code")) <= F.col("edits")) & (F.size(F.array_except("b_code", "a_code")) <= F.col("edits")))
     return materialize(reach.where(edits_within(F.col("a_code"), F.col("b_code"), F.col("edits"))).select(late("id"), late("id2")).distinct(), "near-lines")
 
 
+def _each_symbol(code: Column) -> Column:
+    return F.filter(F.split(code, ""), lambda c: c != "")
+
+
+def _crowd_members(texts: DataFrame) -> DataFrame:
+    """id, first, length, short, m0.. (parities of the numbers of symbols that hash to a place), private (pairs of symbols of its own)."""
+    split = texts.select("id", _each_symbol(F.col("code")).alias("s"))
+    place = F.pmod(F.xxhash64("c"), F.lit(64 * MAP_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    words = (F.bit_xor(F.when(F.floor(place / 64) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(MAP_WORDS))
+    maps = split.select("id", F.explode("s").alias("c")).groupBy("id").agg(*words)
+    two = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.xxhash64(F.get("s", i - 1), F.get("s", i)))
+    grams = split.where(F.size("s") > 1).select("id", F.explode(two).alias("g")).groupBy("g").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    private = grams.where(F.col("id") == F.col("other")).groupBy("id").agg(F.count("*").alias("private"))
+    known = texts.select("id", "first", "length", "short").join(maps, "id").join(private, "id", "left")
+    return materialize(known.withColumn("private", F.coalesce("private", F.lit(0))), "crowd-members")
+
+
+def _crowded_pairs(crowded: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Candidates of lines (key, id, own) that share crowded keys and are near no hub, and what is near the hubs."""
+    carried = ("id", "first", "length", "short", *(f"m{k}" for k in range(MAP_WORDS)))
+    rows = materialize(crowded.join(_crowd_members(texts), "id"), "crowd")
+    apart = sum((F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"x_m{k}"))) for k in range(MAP_WORDS)), F.lit(0))
+    edits = allowed_edits(F.least("length", "x_length"), F.col("short"))
+    may = (F.col("short") == F.col("x_short")) & (F.abs(F.col("length") - F.col("x_length")) <= edits) & (apart <= edits * 2) & (F.col("x_first") < F.col("first"))
+    near: list[DataFrame] = []
+    hubs = None
+    is_open = rows
+    for turn in range(HUB_ROUNDS):
+        # The earliest, then the one most like the others, then the one of those before it.
+        ahead = rows if turn < 2 else rows.join(hubs.select("key", "x_first"), "key").where(F.col("first") < F.col("x_first"))
+        order = F.col("first") if turn == 0 else F.struct("private", "first")
+        hubs = ahead.groupBy("key").agg(F.min_by(F.struct(*carried), order).alias("x"))
+        hubs = materialize(hubs.select("key", *(F.col(f"x.{c}").alias(f"x_{c}") for c in carried)), "crowd-hubs")
+        met = is_open.join(hubs, "key").where(may)
+        near.append(_near(met.select(F.col("x_id").alias("a"), F.col("id").alias("b")), texts))
+        is_open = materialize(is_open.join(near[-1].select("id"), "id", "left_anti"), "open-lines")
+    earlier = rows.select("key", F.col("own").alias("x_own"), *(F.col(c).alias(f"x_{c}") for c in carried))
+    met = is_open.join(earlier, "key").where(may & (F.col("own") | F.col("x_own")))
+    return met.select(F.col("x_id").alias("a"), F.col("id").alias("b")), near
+
+
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, line_no of the lines to remove."""
     read = _lines(docs).select("doc_id", "line_no", compared(F.col("line")).alias("norm")).where(F.length("norm") >= min_chars)
@@ -186,33 +232,12 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lines = materialize(lines.withColumn("length", F.length("code")), "distinct-lines")
     shared = materialize(_shared(_cut(_bands(lines, min_chars), "code").select("key", "id", "own")), "shared-keys")
     pairs, near = _pairs(shared.where(F.col("n") <= CROWDED)), []
-    crowded = shared.where(F.col("n") > CROWDED).select("key", "id")
+    crowded = shared.where(F.col("n") > CROWDED).select("key", "id", "own")
     if not crowded.isEmpty():
-        texts = _joined(lines.select("id", "code", "short", "length", "first"), materialize(crowded.select("id").distinct(), "crowded-lines"), ["id"], "left_semi")
-        texts = materialize(texts, "crowded-texts")
-        again = _cut(_bands(texts, min_chars), "code")
-        keys = materialize(crowded.select("key").distinct(), "crowded-keys")
-        found = _left(_joined(again, keys, ["key"], "left_semi"), "code")
-        while True:
-            found = materialize(found.join(texts.groupBy("id").agg(F.min("first").alias("first")), "id"), "crowded-rows")
-            heads = found.groupBy("bucket").agg(F.min_by("id", "first").alias("x"))
-            met = found.select("bucket", "id").join(heads, "bucket").where(F.col("id") != F.col("x"))
-            near.append(_near(met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")), lines))
-            # A line found near an earlier one needs no other; a bucket is open while it has a line besides its first that is not.
-            done = near[-1].select("id").distinct().withColumn("done", F.lit(True))
-            found = found.drop("first").join(done, "id", "left")
-            opened = found.join(heads, "bucket").where(F.col("done").isNull() & (F.col("id") != F.col("x"))).select("bucket").distinct()
-            # With fewer symbols left than segments, lines can't be told apart any further: they are compared as they are.
-            found = found.join(opened, "bucket", "left_semi").withColumn("last", F.col("least") <= F.col("t"))
-            ended = found.where("last").select(F.col("bucket").alias("key"), "id", "own")
-            pairs = pairs.union(_pairs(ended))
-            cut = _cut(found.where("not last"), "rest").select("key", "id", "own", "short", "t", "least", "rest", "start", "size", "done")
-            found = materialize(_shared(cut).withColumn("open", F.max(F.col("done").isNull()).over(Window.partitionBy("key"))).where("open"), "crowded-keys")
-            pairs = pairs.union(_pairs(found.where(F.col("n") <= CROWDED)))
-            found = found.where(F.col("n") > CROWDED)
-            if found.isEmpty():
-                break
-            found = _left(found, "rest")
+        members = materialize(crowded.select("id").distinct(), "crowded-lines")
+        texts = materialize(_joined(lines.select("id", "id2", "code", "short", "length", "first"), members, ["id"], "left_semi"), "crowded-texts")
+        more, near = _crowded_pairs(crowded, texts)
+        pairs = pairs.union(more)
     near.append(_near(pairs, lines))
     late = near[0]
     for more in near[1:]:
