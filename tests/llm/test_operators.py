@@ -326,8 +326,10 @@ def test_bit_parallel_edit_distance(spark):
             b[at : at + rng.randint(0, 1)] = rng.choice([[], ["a"], ["b"]])
         rows.append((a, b, rng.randint(0, 30 if rng.random() < 0.1 else 6)))
     table = spark.createDataFrame(rows, "a array<string>, b array<string>, t int")
-    found = table.select("a", "b", "t", line_dedup.edits_within(F.col("a"), F.col("b"), F.col("t")).alias("near")).collect()
-    assert all(r["near"] == (_edits(r["a"], r["b"]) <= r["t"]) for r in found if r["a"] and r["b"])
+    width = F.col("t") * 2 + 1
+    near = line_dedup.edits_within(F.col("a"), F.col("b"), F.col("t"), F.size("a") - F.size("b"), width, F.call_function("shiftleft", F.lit(1).cast("long"), width) - 1)
+    found = table.select("a", "b", "t", near.alias("near")).collect()
+    assert all(r["near"] == (_edits(r["a"], r["b"]) <= r["t"]) for r in found)
 
 
 def test_decontamination_checks_slots(spark):

@@ -110,18 +110,18 @@ def compared(line: Column) -> Column:
     return F.lower(F.trim(line, F.lit(OUTER)))
 
 
-def edits_within(a: Column, b: Column, most: Column) -> Column:
+def edits_within(a: Column, b: Column, most: Column, skew: Column, width: Column, mask: Column) -> Column:
     """True if the arrays a and b are within `most` edits (30 or fewer), by the bit-parallel recurrence on a band.
 
+    `skew` is how much longer a is, `width` the rows of the band (2 * most + 1), and `mask` so many bits; they are columns,
+    as an expression would be computed anew for every symbol.
+
     A column of the table of distances is two words: the rows of the band, from `most` above the diagonal to
     `most` below it, where the distance grows by one downwards, and where it falls. Every step moves the band down by
     a row. The distance is followed along the diagonal that ends in the last cell.
     """
     shift = lambda x, n: F.call_function("shiftleft", x, n)
     one = F.lit(1).cast("long")
-    width = most * 2 + 1
-    mask = shift(one, width) - 1
-    skew = F.size(a) - F.size(b)
     start = F.struct(mask.bitwiseAND(F.bitwise_not(shift(one, most) - 1)).alias("up"), F.lit(0).cast("long").alias("down"), F.abs(skew).cast("long").alias("edits"))
 
     def step(s: Column, j: Column) -> Column:
@@ -157,7 +157,8 @@ def edits_within(a: Column, b: Column, most: Column) -> Column:
                 (x["edits"] + F.when(j > -skew, 1 - met).otherwise(F.lit(0).cast("long"))).alias("edits"),
             )
 
-        return F.get(F.transform(F.transform(F.transform(F.transform(F.array(rows), first), match), apply), after), F.lit(0))
+        walked = F.get(F.transform(F.transform(F.transform(F.transform(F.array(rows), first), match), apply), after), F.lit(0))
+        return F.when(s["edits"] > most, s).otherwise(walked)
 
     walked = F.aggregate(F.sequence(F.lit(1), F.size(b)), start, step, lambda s: s["edits"])
     return F.when(F.abs(skew) > most, F.lit(False)).when((F.size(b) == 0) | (F.size(a) == 0), F.lit(True)).otherwise(walked <= most)
@@ -176,7 +177,16 @@ def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     reach = both.withColumn("edits", edits).where(F.abs(F.col("a_length") - F.col("b_length")) <= F.col("edits"))
     # An edit brings or takes one symbol.
     reach = reach.where((F.size(F.array_except("a_code", "b_code")) <= F.col("edits")) & (F.size(F.array_except("b_code", "a_code")) <= F.col("edits")))
-    return materialize(reach.where(edits_within(F.col("a_code"), F.col("b_code"), F.col("edits"))).select(late("id"), late("id2")).distinct(), "near-lines")
+    reach = reach.select(late("id"), late("id2"), "edits", F.col("a_code").alias("x"), F.col("b_code").alias("y"))
+    for _ in range(2):  # what both begin with is left out, then what both end with
+        same = F.array_position(F.zip_with("x", "y", lambda p, q: p.eqNullSafe(q)), F.lit(False)).cast("int")
+        same = F.when(same > 0, same - 1).otherwise(F.size("x"))
+        reach = reach.withColumn("same", same)
+        reach = reach.select("id", "id2", "edits", *(F.reverse(F.slice(c, F.col("same") + 1, F.size(c))).alias(c) for c in ("x", "y")))
+    reach = reach.withColumn("skew", F.size("x") - F.size("y")).withColumn("width", F.col("edits") * 2 + 1)
+    reach = materialize(reach.withColumn("mask", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width")) - 1), "line-rests")
+    found = edits_within(F.col("x"), F.col("y"), F.col("edits"), F.col("skew"), F.col("width"), F.col("mask"))
+    return materialize(reach.where(found).select("id", "id2").distinct(), "near-lines")
 
 
 def _each_symbol(code: Column) -> Column:
