@@ -379,6 +379,37 @@ def test_feistel_is_a_permutation(spark):
     assert days.distinct().where("p between 0 and 65535").count() == 65_536
 
 
+def test_pseudonyms_stay_within_their_format(spark):
+    """Every pseudonym is a value that its kind's pattern and check admit; equal values stay equal, others never meet."""
+    rng = random.Random(5)
+    ssn = [f"{rng.choice([x for x in range(1, 900) if x != 666]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for _ in range(400)]
+    phones = [f"({rng.randint(200, 999)}) {rng.randint(100, 999)}-{rng.randint(0, 9999):04d}" for _ in range(200)] + [f"+{rng.randint(10**10, 10**11)}" for _ in range(100)]
+    dates = [f"{rng.randint(1000, 2999)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}" for _ in range(300)]
+    cards = []
+    for _ in range(100):
+        payload = str(rng.randint(10**14, 10**15 - 1))
+        cards.append(next(payload + str(c) for c in range(10) if _luhn(payload + str(c))))
+    for kind, values in (("ssn", ssn), ("phone", phones), ("date", dates), ("card", cards)):
+        rows = spark.createDataFrame([(i, f"so {v} , and") for i, v in enumerate(values)], "doc_id long, text string")
+        found = {r["doc_id"]: r for r in pii.pseudonymize(rows, "k").collect()}
+        moved = [found[i]["text"].removeprefix("so ").removesuffix(" , and") for i in range(len(values))]
+        assert all(re.fullmatch(pii.PATTERNS[kind].replace(r"\p{L}\p{N}", "a-z"), m) for m in moved), kind
+        assert len(set(moved)) == len(set(values)) == len(set(zip(values, moved, strict=True)))
+        assert sum(a == b for a, b in zip(values, moved, strict=True)) <= 2 and all(found[i][f"n_{kind}"] == 1 for i in found if moved[i] != values[i])
+        if kind == "card":
+            assert all(map(_luhn, moved)) and not any(m.startswith("0") for m in moved)
+        if kind == "phone":
+            assert not any(re.sub(r"\D", "", m).startswith("0") for m in moved)
+
+
+def test_language_id_reads_letters_only(spark):
+    rows = [(i, f"{w} {w}s", "en") for i, w in enumerate(("house", "garden", "river", "stone", "water") * 3)] + [(50, "½ ² ①", None), (51, "x²y", None), (52, None, "en")]
+    found = {r["doc_id"]: r for r in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES).collect()}
+    assert found[50]["lang_pred"] == found[52]["lang_pred"] == "und" and found[50]["score"] == 0
+    assert found[51]["lang_pred"] == "en" and len(found) == len(rows)
+    assert language_id.words_of("x²y ½ Ⅻa") == ["x", "y", "a"]
+
+
 def test_main_text():
     page = '<html><body><header>Site</header><div id="cookie-notice">x</div><div class="content"><h1>T{0}</h1><p>Hello &amp;amp; <b>wor</b>ld {0}<p>Share this</p><ul><li>a{0}<li>b</ul></div><div class="comments"><p>c</p></div><script>var p="</p>";</script></body></html>'
     pages = [page.format(i) for i in range(4)]

@@ -13,24 +13,25 @@ from tidemark.session import materialize, new_path, read_table, shared_dir
 __all__ = ["batches_of", "bounded_sample", "held_out", "materialize", "new_path", "read_table", "shared_dir"]
 
 
+BROADCAST_GROUPS = 100_000  # counts, 30 bytes each
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of documents that are never learned from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def bounded_sample(keys: DataFrame, by: str, id_col: str, bound: int) -> DataFrame:
-    """About `bound` rows of each value of `by` (all, if fewer), picked by a hash of the id.
+def bounded_sample(rows: DataFrame, by: str, picked_by: list[str], bound: int) -> DataFrame:
+    """About `bound` rows of each value of `by` (all, if fewer), picked by a hash of `picked_by` in the scan.
 
-    Only the counts by value are aggregated; no group meets in one task. The bound holds for the
-    expected size: a row is kept if its hash is below bound / count of its group.
+    Only the counts by value are aggregated. The bound holds for the expected size: a row is kept if its
+    hash is below bound / count of its group.
     """
-    counts = keys.groupBy(by).agg(F.count("*").alias("_n"))
+    counts = materialize(rows.groupBy(by).agg(F.count("*").alias("_n")), "sample-counts")
+    if counts.count() <= BROADCAST_GROUPS:
+        counts = F.broadcast(counts)
     spread = 1 << 30
-    return (
-        keys.join(counts, by)
-        .where(F.pmod(F.xxhash64(F.lit(7), id_col), F.lit(spread)) < F.lit(float(spread) * bound) / F.col("_n"))
-        .drop("_n")
-    )
+    return rows.join(counts, by).where(F.pmod(F.xxhash64(F.lit(7), *picked_by), F.lit(spread)) < F.lit(float(spread) * bound) / F.col("_n")).drop("_n")
 
 
 @contextmanager

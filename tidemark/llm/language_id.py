@@ -24,12 +24,14 @@ from tidemark.llm.token_counts import SPACE, read_pieces
 
 WORD = re.compile(r"[^\W\d_]+")
 CHUNK = 48  # letters; longer runs are cut and every part counts
-KEEP_WORDS = 300_000
+KEEP_WORDS = 150_000
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters in lower case, each with a leading word mark; long runs are cut into parts."""
     found = WORD.findall((text or "").lower())
+    if not all(map(str.isalpha, found)):  # numerals that are no decimal digits, as in "x²"
+        found = [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
     if any(len(w) > CHUNK for w in found):
         found = [w[i : i + CHUNK] for w in found for i in range(0, len(w), CHUNK)]
     return found
@@ -194,13 +196,13 @@ def in_portions(texts: list[str | None], chars: int = 2_000_000) -> Iterator[lis
 def fit(df: DataFrame, vocabulary_path: str, sample: int = 250, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[str, float]]:
     """Piece probabilities of each language, from about `sample` documents of each.
 
-    Learns from rows that are not held out and have a language and a text. What the driver gets is
-    bounded by the number of languages times the vocabulary.
+    Learns from rows that are not held out and have a language and a text; rows that repeat one count once. What
+    the driver gets is bounded by the number of languages times the vocabulary.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
-    chosen = bounded_sample(rows.where(usable).select("doc_id", "lang"), "lang", "doc_id", sample).select("doc_id").distinct()
-    texts = rows.where(usable).join(chosen, "doc_id", "left_semi")
+    chosen = bounded_sample(rows.where(usable), "lang", ["doc_id", "text"], sample)
+    texts = chosen.groupBy("lang", "doc_id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("lang", "text")
 
     def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         words = Counter(w for text in group["text"] for w in words_of(text))
@@ -223,33 +225,16 @@ def predict(df: DataFrame, models: dict[str, dict[str, float]], id_col: str = "d
     sent = df.sparkSession.sparkContext.broadcast(models)
     kept: dict[str, Scorer] = {}
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = kept.setdefault("scorer", Scorer(sent.value))
-        for batch in batches:
-            found = [x for part in in_portions(batch["_text"].tolist()) for x in scorer.score(part)]
-            batch["lang_pred"] = [x[0] for x in found]
-            batch["score"] = [x[1] for x in found]
-            yield batch[names]
-
-    own = T.StructType(
-        [
-            T.StructField("doc_id", df.schema[id_col].dataType),
-            T.StructField("held_out", T.BooleanType()),
-            T.StructField("lang_pred", T.StringType()),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    carried = [T.StructField(f"_carry{i}", df.schema[name].dataType) for i, name in enumerate(carry)]
-    schema = T.StructType([*own.fields, *carried])
-    names = schema.names
-    source = df.select(
-        F.col(id_col).alias("doc_id"),
-        held_out(F.col(id_col)).alias("held_out"),
-        F.col(text_col).alias("_text"),
-        *(F.col(name).alias(f"_carry{i}") for i, name in enumerate(carry)),
-    )
-    labelled = source.mapInPandas(label, schema)
-    return labelled.select(*own.names, *(F.col(f"_carry{i}").alias(name) for i, name in enumerate(carry))) if carry else labelled
+    def label(texts: pd.Series) -> pd.DataFrame:
+        if "scorer" not in kept:
+            kept["scorer"] = Scorer(sent.value)
+        found = [x for part in in_portions(texts.tolist()) for x in kept["scorer"].score(part)]
+        return pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
+
+    label = F.pandas_udf(label, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    # Only the text goes to Python; as a nondeterministic call it is made once, whatever is filtered by its result.
+    labelled = df.select(F.col(id_col).alias("doc_id"), *carry, label.asNondeterministic()(F.col(text_col)).alias("_label"))
+    return labelled.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_label.lang_pred", "_label.score", *carry)
 
 
 def language_id(df: DataFrame, vocabulary_path: str, sample: int = 250, rounds: int = 3) -> DataFrame:

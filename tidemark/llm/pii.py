@@ -2,13 +2,15 @@
 
 Every document is cut once by one pattern into plain parts and matches; a match that passes its check is
 replaced by a keyed Feistel permutation within its format, so equal values get equal pseudonyms in all
-documents, the format stays, and different values of one kind never meet:
+documents, the format stays, and different values of one kind never meet. Where the format leaves out some of the
+numbers, the permutation is applied again until it meets one that the format has (cycle-walking):
 
 * card: 13 to 19 digits that pass the Luhn check; all digits but the last are permuted and the check
-  digit is set anew. Other digit runs of that length are kept as they are;
-* phone, social security number: the digits after the country code are permuted;
+  digit is set anew; only numbers that begin with 0 become such. Other digit runs of that length are kept as they are;
+* phone: the digits after the country code are permuted; only those that begin with 0 become such;
+* social security number: permuted among the numbers that the pattern admits;
 * IBAN: passes the mod-97 check; the account's digits are permuted and the check digits set anew;
-* date: a real calendar day, permuted within blocks of 65,536 days, in the same notation;
+* date: a real calendar day, permuted within blocks of 16,384 days (45 years) of four-digit years, in the same notation;
 * IPv4: four octets, permuted as 32 bits;
 * e-mail: the local part becomes a keyed digest of the same length (8 characters at least), the domain's
   names a digest below `.invalid`;
@@ -17,10 +19,15 @@ documents, the format stays, and different values of one kind never meet:
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+WALKS = 40  # a walk meets a number of the format at each step with a chance of 0.5 at least, 0.89 for most
+DATE_HALF = 128
+FIRST_DAY, LAST_DAY = ((date(y, m, d) - date(1900, 1, 1)).days for y, m, d in ((1000, 1, 1), (2999, 12, 31)))
 KINDS = ("email", "secret", "iban", "ip", "date", "ssn", "card", "phone")
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}",
@@ -72,6 +79,17 @@ def permute_number(value: Column, half: int, key: str, tag: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s.a * half + s.b)
 
 
+def walked(value: Column, permute, valid) -> Column:  # noqa: ANN001
+    """`permute` applied until `valid` holds: a permutation of the valid values."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), permute(value), lambda s, _: F.when(valid(s), s).otherwise(permute(s)))
+
+
+def permute_led(digits: Column, key: str, tag: str) -> Column:
+    """Permutes digit strings, those that begin with 0 among themselves."""
+    zero = lambda d: F.substr(d, F.lit(1), F.lit(1)) == "0"
+    return walked(digits, lambda d: permute_digits(d, key, tag), lambda d: zero(d) == zero(digits))
+
+
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum of a whole number, its last digit undoubled; a valid one is divisible by ten."""
     places = F.reverse(F.split(digits, ""))
@@ -111,7 +129,7 @@ def _only_digits(m: Column) -> Column:
 
 def _card(m: Column, key: str) -> Column:
     digits = _only_digits(m)
-    payload = permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")
+    payload = permute_led(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")
     check = F.pmod(10 - luhn_sum(F.concat(payload, F.lit("0"))), F.lit(10)).cast("string")
     return F.when(luhn_sum(digits) % 10 == 0, refill(m, F.concat(payload, check))).otherwise(m)
 
@@ -119,11 +137,12 @@ def _card(m: Column, key: str) -> Column:
 def _phone(m: Column, key: str) -> Column:
     country = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])[ .-]?", 0)
     rest = F.substr(m, F.length(country) + 1, F.length(m))
-    return F.concat(country, refill(rest, permute_digits(_only_digits(rest), key, "phone")))
+    return F.concat(country, refill(rest, permute_led(_only_digits(rest), key, "phone")))
 
 
 def _ssn(m: Column, key: str) -> Column:
-    return refill(m, permute_digits(_only_digits(m), key, "ssn"))
+    admitted = lambda d: d.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
+    return refill(m, walked(_only_digits(m), lambda d: permute_digits(d, key, "ssn"), admitted))
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -161,8 +180,10 @@ def _date(m: Column, key: str) -> Column:
     text = F.when(iso, m).otherwise(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(4), F.lit(2)), F.substr(m, F.lit(1), F.lit(2))))
     day = F.try_to_date(text, "yyyy-MM-dd") if hasattr(F, "try_to_date") else text.try_cast("date")
     number = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
-    block = F.floor(number / 65536)
-    moved = F.date_add(F.lit("1900-01-01").cast("date"), (block * 65536 + permute_number(number - block * 65536, 256, key, "date")).cast("int"))
+    size = DATE_HALF * DATE_HALF
+    block = F.floor(number / size) * size
+    in_block = lambda n: block + permute_number(n - block, DATE_HALF, key, "date")
+    moved = F.date_add(F.lit("1900-01-01").cast("date"), walked(number, in_block, lambda n: n.between(FIRST_DAY, LAST_DAY)).cast("int"))
     shown = F.when(iso, F.date_format(moved, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(moved, "dd"), mark, F.date_format(moved, "MM"), mark, F.date_format(moved, "yyyy")))
     return F.when(day.isNotNull(), shown).otherwise(m)
 

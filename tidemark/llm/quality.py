@@ -187,8 +187,8 @@ class GatedAttention:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, label_col: str = "quality") -> GatedAttention | None:
     """Learn from at most `sample` labelled documents that are not held out; None without any.
 
-    The sample is the `sample` smallest hashes of the labelled ids, so that the driver's share and the
-    broadcast ids are bounded by the parameter.
+    The sample is the `sample` smallest hashes of the labelled ids, with one text of each (the least, where rows
+    repeat an id), so that the rows the driver gets and the broadcast ids are bounded by the parameter.
     """
     usable = F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col("doc_id"))
     ids = labels.where(usable).groupBy("doc_id").agg(F.max(label_col).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -197,12 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, label_col: str =
     def features(texts: pd.Series) -> pd.Series:
         return pd.Series([encode(t).ravel() for t in texts])
 
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(ids), "doc_id")
-        .select("doc_id", "label", features("text").alias("x"))
-        .collect()
-    )
+    one = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = one.select("doc_id", "label", features("text").alias("x")).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
