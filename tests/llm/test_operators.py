@@ -410,20 +410,61 @@ def test_language_id_reads_letters_only(spark):
     assert language_id.words_of("x²y ½ Ⅻa") == ["x", "y", "a"]
 
 
-def test_main_text():
-    page = '<html><body><header>Site</header><div id="cookie-notice">x</div><div class="content"><h1>T{0}</h1><p>Hello &amp;amp; <b>wor</b>ld {0}<p>Share this</p><ul><li>a{0}<li>b</ul></div><div class="comments"><p>c</p></div><script>var p="</p>";</script></body></html>'
-    pages = [page.format(i) for i in range(4)]
+def _page(i, body):
+    return f"<html><head><title>t{i}</title></head><body><div class='top'><a href='/'>Home</a> <a href='/x'>More {i}</a></div>{body}<div>Call us {i}</div></body></html>"
+
+
+def test_wrapper_decides_what_the_article_is():
+    """Pages without an article element: headings and lists stay, the template's constants and link boxes go."""
+    body = "<div class='text'><h1>T{0}</h1><p>Share this page</p><p>Hello &amp;amp; <b>wor</b>ld {0}, a longer text that is the article's<p>second {0}</p><ul><li>a{0}<li>b</ul><div>Written by our desk</div></div>"
+    pages = [_page(i, body.format(i)) for i in range(4)]
     wrapper = html_text.infer(pages)
-    assert wrapper["article"].endswith("div.content") and "(<li>#TEXT</>)+" in wrapper["expression"]
-    assert html_text.extract(pages[1], wrapper) == "T1\n\nHello &amp; world 1\n\na1"
-    assert html_text.extract("<article><h1>A</h1><p>x<br>y &lt;<p>z</article><footer>f</footer>", None) == "A\n\nx y <\n\nz"
-    assert html_text.extract(None, None) == ""
+    assert "(<li>#TEXT</>)+" in html_text.expression(wrapper)
+    expected = "T1\n\nShare this page\n\nHello &amp; world 1, a longer text that is the article's\n\nsecond 1\n\na1\n\nb"
+    assert html_text.extract(pages[1], html_text.Reader(wrapper)) == expected
+    alone = html_text.extract(pages[1], None)  # by itself the page can't tell what its template says
+    assert alone != expected and "Written by our desk" in alone
+    # A text equal to a constant in another place stays, and so does an element that the wrapper lacks.
+    odd = _page(9, body.format(9).replace("second 9", "Written by our desk").replace("</ul>", "</ul><blockquote>new</blockquote>"))
+    text = html_text.extract(odd, html_text.Reader(wrapper))
+    assert text.split("\n\n")[3:] == ["Written by our desk", "a9", "b", "new"]
+
+
+def test_copies_of_one_article_are_no_template():
+    pages = [f"<html><body><nav>{i}</nav><article><h1>One</h1><p>and the same</p></article><footer>f</footer></body></html>" for i in range(6)]
+    assert html_text.extract(pages[0], html_text.Reader(html_text.infer(pages))) == "One\n\nand the same"
+
+
+def test_odd_pages():
+    article = "<article><h1>A</h1><p>x<br>y &lt;<p class='reply-to-critics'>z</p><div class='search-results'>found</div><div class='comment-list'><p>c</p></div><footer>f</footer></article>"
+    assert html_text.extract(article, None) == "A\n\nx y <\n\nz\n\nfound"
+    assert html_text.extract('<article><p>a <a href="x>link</a> b</p></article>', None) == "a link b"
+    deep = 10_000
+    assert html_text.extract("<div>" * deep + "<p>in</p>" + "</div>" * deep + "<p>out</p>", None) == "in\n\nout"
+    assert html_text.extract(None, None) == html_text.extract("<nav>x</nav>", None) == ""
+    assert html_text.extract("<script>var a = '<p>no</p>'</script><!-- <p>no</p> --><p>yes</p>", None) == "yes"
+
+
+def test_main_text_equals_a_plain_parse(spark):
+    """The given pages have one article element each: a plain parse of it gives the texts expected."""
+    import html
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    found = {r["page_id"]: r for r in html_text.main_text(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*)</article>", r["html"], re.DOTALL)[1]
+        parts = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", inner.replace("<br>", " ")))
+        expected = [" ".join(html.unescape(x).split()) for x in parts]
+        assert found[r["page_id"]]["text"] == "\n\n".join(x for x in expected if x)
+        assert found[r["page_id"]]["n_chars"] == len(found[r["page_id"]]["text"])
 
 
 def test_main_text_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "http://h/", ""), (2, "http://h/", ""), (3, "odd", "<p>x</p>")], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.main_text(pages).collect()) == [(1, "", 0), (2, "", 0), (2, "", 0), (3, "x", 1)]
     assert html_text.main_text(pages.limit(0)).count() == 0
+    clashing = pages.selectExpr("page_id", "url", "html", "'x' AS host", "1 AS h", "2 AS shape", "'y' AS wrapper", "3 AS n")
+    assert html_text.main_text(clashing).count() == 4
 
 
 def test_pipeline_equals_its_stages_by_hand(spark):
