@@ -358,6 +358,82 @@ def test_decontamination_finds_copies_of_any_item(spark):
     assert found == {1: "1", 2: "2", 3: "3", 4: "3", 5: "4", 6: "", 7: ""}
 
 
+def test_decontamination_of_odd_items(spark):
+    """Items that begin with a name, repeat an id, or merge two names; rows that repeat a doc_id."""
+    items = [(1, "Alice has 12 apples and 5 pears left"), (2, "Two plus two equals"), (3, "What is 12 + 35 * 7 - 9 / 4 ?"), (4, "the first text of item four is about a river"), (4, "another text of item four is about a green hill"), (None, "no id"), (5, None)]
+    items.append((6, "Today Alice and Bob walk with Carol to the old mill where Alice meets Bob and Carol again"))
+    docs = [
+        (1, "They said that Alice has 12 apples and 5 pears left today"),
+        (2, "They said that Carol has 7 apples and 9 pears left today"),
+        (3, "two plus two equals four"),
+        (4, "Well: what is 12 + 35 * 7 - 9 / 4 ? Tell"),
+        (5, "the first text of item four is about a river"),
+        (6, "another text of item four is about a green hill"),
+        (7, "Today Dora and Erik walk with Fred to the old mill where Dora meets Erik and Fred again"),
+        (8, "Today Dora and Dora walk with Dora to the old mill where Dora meets Dora and Dora again"),
+        (9, "nothing here"),
+        (9, "so Zoe has 1 apples and 1 pears left"),
+    ]
+    found = {r["doc_id"]: r["item_ids"] for r in decontaminate.decontaminate(_docs(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {1: "1", 2: "1", 3: "2", 4: "3", 5: "4", 6: "4", 7: "6", 8: "", 9: "1"}
+
+
+def _template(text):
+    """Template tokens and the raw tokens behind them, token by token."""
+    text = re.sub(r"\s+", " ", text or "")
+    out, at, after_number = [], 0, False
+    for m in re.finditer(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+", text):
+        word = m[0]
+        if word[0].isdigit():
+            kind = "0n"
+        elif after_number and text[at : m.start()] in ("", " ") and re.fullmatch(decontaminate.UNITS, word, re.IGNORECASE):
+            kind = "0u"
+        elif m.start() > 1 and text[m.start() - 1] == " " and re.match(r"[^\W_]|,", text[m.start() - 2]) and re.fullmatch(r"[^\W\d_]+", word) and word[0].isupper() and word[1:].islower() and len(word) > 1:
+            kind = "0p"
+        else:
+            kind = word.lower()
+        out.append((kind, word.lower()))
+        at, after_number = m.end(), kind == "0n"
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Every item against every document of the small table, with some documents that ask items again."""
+    rng = random.Random(8)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    docs += [(100_000 + i, re.sub(r"\d+", lambda m: str(rng.randint(1, 99)), f"Well then, {t[0].lower() + t[1:]} and so on")) for i, t in items if t]
+
+    def windows(tokens, kinds):
+        return [tuple(x[not kinds] for x in tokens[k : k + 5]) for k in range(len(tokens) - 4)]
+
+    expected = set()
+    known = {i: _template(t) for i, t in items}
+    for d, text in docs:
+        tokens = _template(text)
+        raw, kinds = collections.defaultdict(list), collections.defaultdict(list)
+        for k, w in enumerate(windows(tokens, False)):
+            raw[w].append(k)
+        for k, w in enumerate(windows(tokens, True)):
+            kinds[w].append(k)
+        for i, item in known.items():
+            exact = windows(item, False)
+            if len(item) < 5:
+                some = tuple(x[1] for x in item)
+                share = float(bool(item) and any(tuple(x[1] for x in tokens[k : k + len(item)]) == some for k in range(len(tokens) - len(item) + 1)))
+            else:
+                share = sum(w in raw for w in exact) / len(exact)
+            if share >= 0.8:
+                expected.add((d, i))
+            elif len(item) >= 5 and sum(w in kinds for w in windows(item, True)) / len(exact) >= 0.5:
+                expected.add((d, i, "likely"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(_docs(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    sure = {x for x in expected if len(x) == 2}
+    assert sure and sure <= found and found <= {x[:2] for x in expected}
+    asked_again = {i for d, i in found if d >= 100_000 and d - 100_000 == i}
+    assert len(asked_again) >= 0.9 * len({i for i, t in items if t})
+
+
 def _luhn(digits):
     worth = [int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits))]
     return sum(worth) % 10 == 0

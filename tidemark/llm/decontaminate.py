@@ -6,7 +6,8 @@ the documents meet those of the benchmark in a hash join. An item counts as foun
 least 0.8 of its windows are there and its slots are consistent: on an alignment (document position less
 item position), one value of the item always stands for one value of the document. So a question asked
 again with other numbers or names is found, and a chance meeting of placeholders is not. A value has one
-meaning for a type and a role: the 5 of "5 kg" may differ from that of "5 apples".
+meaning for a type and a role: the 5 of "5 kg" may differ from that of "5 apples". Different names stay different,
+different numbers need not. An item's first word, if capitalised, counts both as a word and as a name.
 
 Beside that the lower-case tokens themselves meet in windows of five, or of the whole item if it is shorter, so
 that a copy is found whatever its items' placeholders and the case of its names.
@@ -62,44 +63,51 @@ def window_hashes(tokens: Column, size: int) -> Column:
     )
 
 
-def benchmark_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """item_id, ipos, h, w, slots, roles, n_slots, n_windows: windows with a literal majority, of distinct item ids."""
-    items = benchmark.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
-    tokens = items.select("item_id", template_tokens(F.col("text")).alias("t"), raw_tokens(F.col("text")).alias("raw"))
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """item (a hash of both), item_id, text of all distinct rows with an id and a text."""
+    known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    return known.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").distinct()
+
+
+def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
+    """item, ipos, v, h, w, slots, roles, n_slots, n_windows: windows with a literal majority; v tells readings of the first word."""
+    tokens = items.select("item", template_tokens(F.col("text")).alias("t"), raw_tokens(F.col("text")).alias("raw"), F.ltrim("text").rlike(r"^\p{Lu}\p{Ll}").alias("capital"))
     # The role of a number is what follows it.
     after = lambda x, i: F.when(F.get("t", i + 1).isin(NUMBER_SLOT, NAME_SLOT), F.get("t", i + 1)).otherwise(F.get("raw", i + 1))
     roles = F.transform("t", lambda x, i: F.when(x == NUMBER_SLOT, F.coalesce(after(x, i), F.lit(""))).otherwise(F.lit("")))
     windows = tokens.where(F.size("t") >= size).select(
-        "item_id", "raw", "t", roles.alias("roles"), F.explode(F.sequence(F.lit(1), F.size("t") - size + 1)).alias("ipos")
+        "item", "raw", "t", "capital", roles.alias("roles"), F.explode(F.sequence(F.lit(1), F.size("t") - size + 1)).alias("ipos")
     )
-    windows = windows.withColumn("w", F.slice("t", F.col("ipos"), F.lit(size))).withColumn(
-        "n_slots", F.size(F.filter("w", lambda x: x.startswith("0")))
+    as_name = F.when(F.col("capital") & (F.col("ipos") == 1), F.concat(F.array(F.lit(NAME_SLOT)), F.slice("t", 2, size - 1)))
+    windows = windows.withColumn("w", F.slice("t", F.col("ipos"), F.lit(size))).select(
+        "item", "raw", "roles", "ipos", F.posexplode(F.array_compact(F.array("w", as_name))).alias("v", "w")
     )
+    windows = windows.withColumn("n_slots", F.size(F.filter("w", lambda x: x.startswith("0"))))
     usable = windows.where(F.col("n_slots") * 2 < size).withColumn("h", window_hash(F.col("w"), F.lit(0), size))
-    counts = usable.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return usable.withColumn("slots", F.slice("raw", F.col("ipos"), F.lit(size))).withColumn("roles", F.slice("roles", F.col("ipos"), F.lit(size))).select("item_id", "ipos", "h", "w", "slots", "roles", "n_slots").join(counts, "item_id")
+    counts = usable.groupBy("item").agg(F.countDistinct("ipos").alias("n_windows"))
+    sliced = usable.withColumn("slots", F.slice("raw", F.col("ipos"), F.lit(size))).withColumn("roles", F.slice("roles", F.col("ipos"), F.lit(size)))
+    return sliced.select("item", "ipos", "v", "h", "w", "slots", "roles", "n_slots").join(counts, "item")
 
 
-def exact_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """item_id, ipos, h, size, n_windows: windows of lower-case tokens, the whole item if it has fewer than `size`."""
-    items = benchmark.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
-    tokens = items.select("item_id", raw_tokens(F.coalesce("text", F.lit(""))).alias("raw")).where(F.size("raw") > 0)
+def exact_windows(items: DataFrame, size: int) -> DataFrame:
+    """item, ipos, h, size, n_windows: windows of lower-case tokens, the whole item if it has fewer than `size`."""
+    tokens = items.select("item", raw_tokens(F.col("text")).alias("raw")).where(F.size("raw") > 0)
     made = F.when(F.size("raw") >= size, window_hashes(F.col("raw"), size))
     for n in range(1, size):
         made = made.when(F.size("raw") == n, F.array(window_hash(F.col("raw"), F.lit(0), n)))
-    found = tokens.select("item_id", F.least(F.size("raw"), F.lit(size)).alias("size"), made.alias("hs"))
-    return found.select("item_id", "size", F.size("hs").alias("n_windows"), F.posexplode("hs").alias("ipos", "h"))
+    found = tokens.select("item", F.least(F.size("raw"), F.lit(size)).alias("size"), made.alias("hs"))
+    return found.select("item", "size", F.size("hs").alias("n_windows"), F.posexplode("hs").alias("ipos", "h"))
 
 
-def exact_copies(texts: DataFrame, benchmark: DataFrame, size: int, share: float) -> DataFrame:
-    """doc_id, item_id, coverage of items whose lower-case tokens are in a document."""
-    known = materialize(exact_windows(benchmark, size), "exact-windows")
+def exact_copies(texts: DataFrame, items: DataFrame, size: int, share: float) -> DataFrame:
+    """doc, item, coverage of items whose lower-case tokens are in a document."""
+    known = materialize(exact_windows(items, size), "exact-windows")
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most `size` of them
-    tokens = texts.select("doc_id", raw_tokens(F.col("text")).alias("raw"))
+    tokens = texts.select("doc", raw_tokens(F.col("text")).alias("raw"))
     each = [F.struct(F.lit(n).alias("size"), window_hashes(F.col("raw"), n).alias("hs")) for n in sizes or [size]]
-    hashes = tokens.select("doc_id", F.explode(F.array(*each)).alias("x")).select("doc_id", "x.size", F.explode("x.hs").alias("h"))
-    once = hashes.join(known, ["size", "h"]).groupBy("doc_id", "item_id", "ipos").agg(F.max("n_windows").alias("n_windows"))
-    counts = once.groupBy("doc_id", "item_id").agg((F.count("*") / F.max("n_windows")).alias("coverage"))
+    hashes = tokens.select("doc", F.explode(F.array(*each)).alias("x")).select("doc", "x.size", F.explode("x.hs").alias("h"))
+    once = hashes.join(known, ["size", "h"]).groupBy("doc", "item", "ipos").agg(F.max("n_windows").alias("n_windows"))
+    counts = once.groupBy("doc", "item").agg((F.count("*") / F.max("n_windows")).alias("coverage"))
     return counts.where(F.col("coverage") >= share)
 
 
@@ -107,38 +115,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
     """doc_id, item_id, coverage of every item found in a document.
 
     Null texts hold nothing; of items of fewer than `size` tokens, and of those whose windows are all
-    placeholders for the greater part, copies are found. Rows that repeat a doc_id are one document. The benchmark's
-    windows are joined as they are: Spark broadcasts them only below its size threshold.
+    placeholders for the greater part, copies are found. Rows that repeat a doc_id are looked at one by one and count together; rows that repeat an
+    item_id with other texts are all looked for. The benchmark's windows are joined as they are: Spark broadcasts them
+    only below its size threshold.
     """
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    known = materialize(benchmark_windows(benchmark, size), "benchmark-windows")
-    tokens = texts.select("doc_id", template_tokens(F.col("text")).alias("t"))
-    hashes = tokens.select("doc_id", F.posexplode(window_hashes(F.col("t"), size)).alias("dpos", "h"))
-    by_hash = known.select("h", "item_id", "ipos", "n_windows", "n_slots")
-    hits = materialize(hashes.join(by_hash, "h").select("doc_id", "item_id", "dpos", "ipos", "n_windows", "n_slots"), "window-hits")
+    texts = texts.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc"), "text")
+    items = materialize(distinct_items(benchmark), "items")
+    known = materialize(benchmark_windows(items, size), "benchmark-windows")
+    tokens = texts.select("doc", template_tokens(F.col("text")).alias("t"))
+    hashes = tokens.select("doc", F.posexplode(window_hashes(F.col("t"), size)).alias("dpos", "h"))
+    by_hash = known.select("h", "item", "ipos", "v", "n_windows", "n_slots")
+    hits = materialize(hashes.join(by_hash, "h").select("doc", "item", "dpos", "ipos", "v", "n_windows", "n_slots"), "window-hits")
 
     def covered(found: DataFrame) -> DataFrame:
-        once = found.groupBy("doc_id", "item_id", "ipos").agg(F.max("n_windows").alias("n_windows"))
-        counts = once.groupBy("doc_id", "item_id").agg((F.count("*") / F.max("n_windows")).alias("coverage"))
+        once = found.groupBy("doc", "item", "ipos").agg(F.max("n_windows").alias("n_windows"))
+        counts = once.groupBy("doc", "item").agg((F.count("*") / F.max("n_windows")).alias("coverage"))
         return counts.where(F.col("coverage") >= share)
 
     likely = covered(hits)
-    with_slots = hits.join(likely.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").withColumn("diagonal", F.col("dpos") + 1 - F.col("ipos"))
-    asked = with_slots.where(F.col("n_slots") > 0)
-    raw = texts.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", raw_tokens(F.col("text")).alias("raw"))
+    with_slots = hits.join(likely.select("doc", "item"), ["doc", "item"], "left_semi").withColumn("diagonal", F.col("dpos") + 1 - F.col("ipos"))
+    asked = materialize(with_slots.where(F.col("n_slots") > 0), "slot-windows")
+    # Of a document's tokens only the windows asked for are sent on.
+    places = asked.groupBy("doc").agg(F.collect_set("dpos").alias("places"))
+    raw = texts.join(places, "doc").select("doc", "places", raw_tokens(F.col("text")).alias("raw"))
+    there = F.transform("places", lambda at: F.struct(at.alias("dpos"), F.slice("raw", at + 1, F.lit(size)).alias("there")))
+    slices = raw.select("doc", F.explode(there).alias("x")).select("doc", "x.dpos", "x.there")
     values = (
-        asked.join(raw, "doc_id")
-        .join(known.select("item_id", "ipos", "w", "slots", "roles"), ["item_id", "ipos"])
-        .withColumn("there", F.slice("raw", F.col("dpos") + 1, F.lit(size)))
-        .select("doc_id", "item_id", "diagonal", F.explode(F.arrays_zip("w", "slots", "roles", "there")).alias("z"))
-        .where(F.col("z.w").startswith("0"))
-        .groupBy("doc_id", "item_id", "diagonal", F.col("z.w").alias("kind"), F.col("z.roles").alias("role"), F.col("z.slots").alias("was"))
-        .agg(F.countDistinct("z.there").alias("n_values"))
+        asked.join(slices, ["doc", "dpos"])
+        .join(known.select("item", "ipos", "v", "w", "slots", "roles"), ["item", "ipos", "v"])
+        .select("doc", "item", "diagonal", F.explode(F.arrays_zip("w", "slots", "roles", "there")).alias("z"))
+        .select("doc", "item", "diagonal", F.col("z.w").alias("kind"), F.col("z.roles").alias("role"), F.col("z.slots").alias("was"), F.col("z.there").alias("now"))
+        .where(F.col("kind").startswith("0"))
+        .distinct()
     )
-    broken = values.where(F.col("n_values") > 1).select("doc_id", "item_id", "diagonal").distinct()
-    asked_again = covered(with_slots.join(broken, ["doc_id", "item_id", "diagonal"], "left_anti"))
-    both = asked_again.unionByName(exact_copies(texts, benchmark, size, share))
-    return both.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
+    key = ["doc", "item", "diagonal"]
+    changed = values.groupBy(*key, "kind", "role", "was").agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    merged = values.where(F.col("kind") == NAME_SLOT).groupBy(*key, "now").agg(F.countDistinct("was").alias("n")).where("n > 1").select(*key)
+    broken = changed.union(merged).distinct()
+    asked_again = covered(with_slots.join(broken, key, "left_anti"))
+    both = asked_again.unionByName(exact_copies(texts, items, size, share)).join(items.select("item", "item_id"), "item")
+    return both.groupBy("doc.doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE) -> DataFrame:
