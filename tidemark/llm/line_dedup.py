@@ -12,8 +12,8 @@ A line that allows t edits is cut into t + 1 segments, half of them placed from
 end. Some segment is intact and has as many edits before it as it has segments before it (and no more after it
 than segments): a line in reach holds it moved by its number at most. So a line gives its own segments, and the
 substrings so moved, as keys; equal keys make candidates, which a banded bit-parallel edit distance verifies. Where
-many lines share a key, all are compared with a few of them, first the earliest and then those with fewest pairs of
-symbols of their own; lines found near an earlier one are done. Those still open are compared with all earlier lines of
+many lines share a key, all are compared with a few of them, first the earliest and then those that hold most such
+keys; lines found near an earlier one are done. Those still open are compared with all earlier lines of
 the key but those that maps of parities rule out (an edit changes two symbols, so two bits at most), so that lines that
 are alike but not near do not make all their pairs, and no near pair that decides on a line is lost.
 """
@@ -32,7 +32,7 @@ MAX_EDITS = 30  # a band of 61 rows fits a word of 64 bits
 CROWDED = 32  # rows of a key from which its lines are compared with hubs first
 HUB_ROUNDS = 3
 MAP_WORDS = 4  # 64 bits each
-BROADCAST_ROWS = 200_000  # of ids: a few MB
+BROADCAST_ROWS = 500_000  # of ids: up to 20 MB
 OUTER = " \t\r\f\v\u00a0\u3000"
 
 
@@ -53,6 +53,13 @@ def least_length(edits: Column, short: Column, min_chars: int) -> Column:
     return F.when(short, min_chars).otherwise(F.greatest(edits * LONG_WORDS, edits * edits * 4)).cast("int")
 
 
+def _coded(lines: DataFrame) -> DataFrame:
+    """Adds short, length and code (the symbols) to lines with their `norm`, which it drops."""
+    words = lines.withColumn("words", F.split("norm", r"\s+")).withColumn("short", F.size("words") < LONG_WORDS)
+    length = F.when(F.col("short"), F.length("norm")).otherwise(F.size("words"))
+    return words.withColumn("length", length).withColumn("code", F.when(F.col("short"), F.col("norm")).otherwise(symbols(F.col("words")))).drop("norm", "words")
+
+
 def _bands(lines: DataFrame, min_chars: int) -> DataFrame:
     """Adds t, least and own: the line's own band and, for a line in reach of a shorter one of the band below, that one."""
     t = allowed_edits(F.col("length"), F.col("short"))
@@ -164,20 +171,17 @@ def edits_within(a: Column, b: Column, most: Column, skew: Column, width: Column
     return F.when(F.abs(skew) > most, F.lit(False)).when((F.size(b) == 0) | (F.size(a) == 0), F.lit(True)).otherwise(walked <= most)
 
 
-def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """id, id2 of the later line of each pair that is near, written."""
     pairs = materialize(pairs.distinct(), "line-candidates")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted-lines")
-    texts = _joined(lines.select("id", "id2", "first", "code", "length", "short"), wanted, ["id"], "left_semi")
-    texts = materialize(texts.withColumn("code", _each_symbol(F.col("code"))), "candidate-lines")
-    side = lambda p: texts.select(*(F.col(c).alias(f"{p}_{c}") for c in texts.columns))
+    side = lambda p: texts.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "id2", "first", "code", "length", "short")))
     both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id")).where(F.col("a_short") == F.col("b_short"))
     late = lambda c: F.when(F.col("a_first") < F.col("b_first"), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
     edits = allowed_edits(F.least("a_length", "b_length"), F.col("a_short"))
     reach = both.withColumn("edits", edits).where(F.abs(F.col("a_length") - F.col("b_length")) <= F.col("edits"))
+    reach = reach.select(late("id"), late("id2"), "edits", _each_symbol(F.col("a_code")).alias("x"), _each_symbol(F.col("b_code")).alias("y"))
     # An edit brings or takes one symbol.
-    reach = reach.where((F.size(F.array_except("a_code", "b_code")) <= F.col("edits")) & (F.size(F.array_except("b_code", "a_code")) <= F.col("edits")))
-    reach = reach.select(late("id"), late("id2"), "edits", F.col("a_code").alias("x"), F.col("b_code").alias("y"))
+    reach = reach.where((F.size(F.array_except("x", "y")) <= F.col("edits")) & (F.size(F.array_except("y", "x")) <= F.col("edits")))
     for _ in range(2):  # what both begin with is left out, then what both end with
         same = F.array_position(F.zip_with("x", "y", lambda p, q: p.eqNullSafe(q)), F.lit(False)).cast("int")
         same = F.when(same > 0, same - 1).otherwise(F.size("x"))
@@ -194,23 +198,23 @@ def _each_symbol(code: Column) -> Column:
 
 
 def _crowd_members(texts: DataFrame) -> DataFrame:
-    """id, first, length, short, m0.. (parities of the numbers of symbols that hash to a place), private (pairs of symbols of its own)."""
-    split = texts.select("id", _each_symbol(F.col("code")).alias("s"))
-    place = F.pmod(F.xxhash64("c"), F.lit(64 * MAP_WORDS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
-    words = (F.bit_xor(F.when(F.floor(place / 64) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(MAP_WORDS))
-    maps = split.select("id", F.explode("s").alias("c")).groupBy("id").agg(*words)
-    two = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.xxhash64(F.get("s", i - 1), F.get("s", i)))
-    grams = split.where(F.size("s") > 1).select("id", F.explode(two).alias("g")).groupBy("g").agg(F.min("id").alias("id"), F.max("id").alias("other"))
-    private = grams.where(F.col("id") == F.col("other")).groupBy("id").agg(F.count("*").alias("private"))
-    known = texts.select("id", "first", "length", "short").join(maps, "id").join(private, "id", "left")
-    return materialize(known.withColumn("private", F.coalesce("private", F.lit(0))), "crowd-members")
+    """id, first, length, short, and m0..: parities of the numbers of symbols that hash to a place."""
+    places = F.transform(_each_symbol(F.col("code")), lambda c: F.pmod(F.xxhash64(c), F.lit(64 * MAP_WORDS)).cast("int"))
+    known = materialize(texts.select("id", "first", "length", "short", places.alias("places")), "crowd-places")
+
+    def word(k: int) -> Column:
+        here = F.filter("places", lambda p: (p >= 64 * k) & (p < 64 * k + 64))
+        return F.aggregate(here, F.lit(0).cast("long"), lambda m, p: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), p - 64 * k)))
+
+    return known.select("id", "first", "length", "short", *(word(k).alias(f"m{k}") for k in range(MAP_WORDS)))
 
 
 def _crowded_pairs(crowded: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Candidates of lines (key, id, own) that share crowded keys and are near no hub, and what is near the hubs."""
     carried = ("id", "first", "length", "short", *(f"m{k}" for k in range(MAP_WORDS)))
-    rows = materialize(crowded.join(_crowd_members(texts), "id"), "crowd")
+    held = crowded.groupBy("id").agg(F.count("*").alias("held"))
+    members = _joined(texts, materialize(held, "crowded-lines"), ["id"], "inner")
+    rows = materialize(crowded.join(_crowd_members(members).join(held, "id"), "id"), "crowd")
     apart = sum((F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"x_m{k}"))) for k in range(MAP_WORDS)), F.lit(0))
     edits = allowed_edits(F.least("length", "x_length"), F.col("short"))
     may = (F.col("short") == F.col("x_short")) & (F.abs(F.col("length") - F.col("x_length")) <= edits) & (apart <= edits * 2) & (F.col("x_first") < F.col("first"))
@@ -220,12 +224,12 @@ def _crowded_pairs(crowded: DataFrame, texts: DataFrame) -> tuple[DataFrame, lis
     for turn in range(HUB_ROUNDS):
         # The earliest, then the one most like the others, then the one of those before it.
         ahead = rows if turn < 2 else rows.join(hubs.select("key", "x_first"), "key").where(F.col("first") < F.col("x_first"))
-        order = F.col("first") if turn == 0 else F.struct("private", "first")
+        order = F.col("first") if turn == 0 else F.struct(-F.col("held"), F.col("first"))
         hubs = ahead.groupBy("key").agg(F.min_by(F.struct(*carried), order).alias("x"))
         hubs = materialize(hubs.select("key", *(F.col(f"x.{c}").alias(f"x_{c}") for c in carried)), "crowd-hubs")
         met = is_open.join(hubs, "key").where(may)
         near.append(_near(met.select(F.col("x_id").alias("a"), F.col("id").alias("b")), texts))
-        is_open = materialize(is_open.join(near[-1].select("id"), "id", "left_anti"), "open-lines")
+        is_open = materialize(is_open.join(near[-1].select("id").distinct(), "id", "left_anti"), "open-lines")
     earlier = rows.select("key", F.col("own").alias("x_own"), *(F.col(c).alias(f"x_{c}") for c in carried))
     met = is_open.join(earlier, "key").where(may & (F.col("own") | F.col("x_own")))
     return met.select(F.col("x_id").alias("a"), F.col("id").alias("b")), near
@@ -234,27 +238,27 @@ def _crowded_pairs(crowded: DataFrame, texts: DataFrame) -> tuple[DataFrame, lis
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, line_no of the lines to remove."""
     read = _lines(docs).select("doc_id", "line_no", compared(F.col("line")).alias("norm")).where(F.length("norm") >= min_chars)
-    # A line is known by two hashes.
+    # A line is known by two hashes. Its text travels only if it shares a key with another.
     read = read.select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("id"), F.xxhash64(F.lit(11), "norm").alias("id2"))
-    lines = read.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("norm").alias("norm"))
-    lines = lines.withColumn("words", F.split("norm", r"\s+")).withColumn("short", F.size("words") < LONG_WORDS)
-    lines = lines.withColumn("code", F.when(F.col("short"), F.col("norm")).otherwise(symbols(F.col("words")))).drop("norm", "words")
-    lines = materialize(lines.withColumn("length", F.length("code")), "distinct-lines")
-    shared = materialize(_shared(_cut(_bands(lines, min_chars), "code").select("key", "id", "own")), "shared-keys")
+    places = materialize(read.select("doc_id", "line_no", "id", "id2"), "line-places")
+    lines = materialize(places.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")), "distinct-lines")
+    keys = _cut(_bands(_coded(read.select("id", "norm")), min_chars), "code").select("key", "id", "own").distinct()
+    shared = materialize(_shared(keys), "shared-keys")
+    wanted = materialize(shared.select("id").distinct(), "wanted-lines")
+    texts = _joined(read, wanted, ["id"], "left_semi").groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("norm").alias("norm"))
+    texts = materialize(_coded(texts), "candidate-lines")
     pairs, near = _pairs(shared.where(F.col("n") <= CROWDED)), []
     crowded = shared.where(F.col("n") > CROWDED).select("key", "id", "own")
     if not crowded.isEmpty():
-        members = materialize(crowded.select("id").distinct(), "crowded-lines")
-        texts = materialize(_joined(lines.select("id", "id2", "code", "short", "length", "first"), members, ["id"], "left_semi"), "crowded-texts")
         more, near = _crowded_pairs(crowded, texts)
         pairs = pairs.union(more)
-    near.append(_near(pairs, lines))
+    near.append(_near(pairs, texts))
     late = near[0]
     for more in near[1:]:
         late = late.union(more)
-    known = lines.select("id", "id2", "first", "n").join(late.distinct().withColumn("near", F.lit(True)), ["id", "id2"], "left")
-    bad = known.where((F.col("n") > 1) | F.col("near")).select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    found = read.select("doc_id", "line_no", "id", "id2").join(bad, ["id", "id2"])
+    known = lines.join(late.distinct().withColumn("near", F.lit(True)), ["id", "id2"], "left")
+    bad = materialize(known.where((F.col("n") > 1) | F.col("near")).select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near")), "repeated-lines")
+    found = _joined(places, bad, ["id", "id2"], "inner")
     return found.where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no")
 
 
