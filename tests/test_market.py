@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ CHECKED = ("a4_partition_selection", "a8_contract_filter", "c4_asof_off_lattice"
 
 def _rows(frame):
     def plain(v):
-        return None if v is None or v != v else round(v, 7) + 0.0 if isinstance(v, float) else v
+        return None if v is None or v is pd.NA or v != v else round(v, 7) + 0.0 if isinstance(v, float) else v
 
     columns = sorted(frame.columns)
     return sorted(([plain(v) for v in row] for row in frame[columns].astype(object).values.tolist()), key=repr)

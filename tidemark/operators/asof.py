@@ -38,8 +38,8 @@ def asof_slots(events: DataFrame, spec: Spec, fields: tuple[str, ...] = FIELDS)
     first, last = spec.first_slot, spec.last_slot
     newest = (F.col("us").cast("decimal(38,0)") * F.lit(10**13).cast("decimal(38,0)") + F.col("ord")).cast("decimal(38,0)")
     reduced = (
-        events.withColumn("slot", F.greatest(F.lit(first).cast("long"), slot_of(F.col("us"))))
-        .where(F.col("slot") <= last)
+        events.where(F.col("us") <= last * PITCH_US)
+        .withColumn("slot", F.greatest(F.lit(first).cast("long"), slot_of(F.col("us"))))
         .withColumn("_key", newest)
         .groupBy(*KEYS, "slot")
         .agg(F.max("us").alias("e_us"), *(F.max_by(f, "_key").alias(f) for f in fields))
@@ -52,21 +52,24 @@ def asof_slots(events: DataFrame, spec: Spec, fields: tuple[str, ...] = FIELDS)
 
 
 def asof_union(events: DataFrame, wanted: DataFrame, fields: tuple[str, ...] = FIELDS, block_us: int = 24 * PITCH_US) -> DataFrame:
-    """As-of at arbitrary times: `wanted` has KEYS and `at_us`. Adds e_us and `fields`.
+    """As-of at arbitrary times: `wanted` has KEYS, `at_us` and any other columns. Adds e_us and `fields`.
 
     Events and queries are interleaved within time blocks of a key, so that a busy key is many groups; the
-    last row of each block travels forward in a second, small window.
+    last row of each block travels forward in a second, small window. Every row of `wanted` gives one row, with its own
+    columns, so nothing is joined back.
     """
     source = events.select(*KEYS, F.col("us").alias("at_us"), "ord", F.lit(0).alias("asked"), F.struct(F.col("us").alias("e_us"), *fields).alias("row"))
-    asked = wanted.select(*KEYS, "at_us", F.lit(None).cast("long").alias("ord"), F.lit(1).alias("asked")).withColumn("row", F.lit(None).cast(source.schema["row"].dataType))
-    both = source.unionByName(asked).withColumn("block", F.floor(F.col("at_us") / block_us))
+    others = [c for c in wanted.columns if c not in (*KEYS, "at_us")]
+    asked = wanted.select(*KEYS, "at_us", F.lit(None).cast("long").alias("ord"), F.lit(1).alias("asked"), F.struct(F.lit(1).alias("_"), *others).alias("own"))
+    asked = asked.withColumn("row", F.lit(None).cast(source.schema["row"].dataType))
+    both = source.withColumn("own", F.lit(None).cast(asked.schema["own"].dataType)).unionByName(asked).withColumn("block", F.floor(F.col("at_us") / block_us))
     within = Window.partitionBy(*KEYS, "block").orderBy("at_us", "asked", "ord")
     seen = both.withColumn("row", F.last("row", ignorenulls=True).over(within))
     ends = both.groupBy(*KEYS, "block").agg(F.max_by(F.when(F.col("asked") == 0, F.col("row")), F.when(F.col("asked") == 0, F.struct("at_us", "ord"))).alias("end"))
     before = Window.partitionBy(*KEYS).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*KEYS, "block", F.last("end", ignorenulls=True).over(before).alias("carried"))
     found = seen.where("asked = 1").join(carried, [*KEYS, "block"]).withColumn("row", F.coalesce("row", "carried"))
-    return found.select(*KEYS, "at_us", "row.e_us", *(f"row.{f}" for f in fields))
+    return found.select(*KEYS, "at_us", *(f"own.{c}" for c in others), "row.e_us", *(f"row.{f}" for f in fields))
 
 
 def history_start(events: DataFrame) -> DataFrame:

@@ -11,16 +11,20 @@ from tidemark.session import local_table
 
 
 def venue_state(state: DataFrame) -> DataFrame:
-    """One row per (slot, symbol, exchange): price (mark, else mid), and the state of interest and funding."""
+    """One row per (slot, symbol, exchange): price (mark, else mid), and the state of interest and funding.
+
+    A price that is no number counts as missing, so that a NaN mark leaves the place to the mid.
+    """
     of = lambda stream, column: F.max(F.when(F.col("stream") == stream, F.col(column)))
+    quote = lambda stream, column: F.nanvl(of(stream, column), F.lit(None).cast("double"))
     return state.groupBy("slot", "symbol", "exchange").agg(
-        F.nanvl(F.coalesce(of("mark_price", "mark_price"), of("bbo", "mid")), F.lit(None).cast("double")).alias("price"),
+        F.coalesce(quote("mark_price", "mark_price"), quote("bbo", "mid")).alias("price"),
         of("open_interest", "e_us").alias("oi_us"),
         of("open_interest", "open_interest").alias("oi"),
         of("funding", "e_us").alias("funding_us"),
         of("funding", "funding_rate").alias("funding_rate"),
-        of("mark_price", "mark_price").alias("mark"),
-        of("bbo", "mid").alias("mid"),
+        quote("mark_price", "mark_price").alias("mark"),
+        quote("bbo", "mid").alias("mid"),
     )
 
 

@@ -36,20 +36,21 @@ def replay(applied: DataFrame, episode_of: DataFrame, spec: Spec) -> DataFrame:
     """Adds previous and resulting side, hold age, turnover, previous venue and net; state starts anew in a trajectory.
 
     No sequential loop: the side is the last one set, carried over abstaining and holding; the hold age
-    counts steps since the side last changed; the turnover so far is a running sum.
+    counts steps since the side last changed; the turnover so far counts the changes. The previous venue is the one of
+    the step before, if that step ended in a position.
     """
     rows = applied.join(episode_of.select(*STEP, "trajectory_id"), STEP)
     order = Window.partitionBy("policy_id", "trajectory_id", "symbol").orderBy("slot")
     sets = F.when(F.col("applied") == "enter_long", "long").when(F.col("applied") == "enter_short", "short").when(F.col("applied") == "exit", "flat")
     rows = rows.withColumn("side", F.coalesce(F.last(sets, ignorenulls=True).over(order), F.lit("flat")))
-    rows = rows.withColumn("previous_side", F.coalesce(F.lag("side").over(order), F.lit("flat"))).withColumn("previous_venue", F.lag("venue").over(order))
+    rows = rows.withColumn("previous_side", F.coalesce(F.lag("side").over(order), F.lit("flat"))).withColumn("previous_venue", F.lag(F.when(F.col("side") != "flat", F.col("venue"))).over(order))
     changed = F.col("side") != F.col("previous_side")
     rows = rows.withColumn("turnover", F.when(changed, -spec.costs.turnover).otherwise(0.0)).withColumn("_run", F.sum(changed.cast("int")).over(order))
     hold = Window.partitionBy("policy_id", "trajectory_id", "symbol", "_run").orderBy("slot")
     age = F.when(F.col("side") == "flat", 0).otherwise(F.row_number().over(hold) - 1)
     return (
         rows.withColumn("hold_age", age.cast("int"))
-        .withColumn("turnover_so_far", F.sum("turnover").over(order))
+        .withColumn("turnover_so_far", F.col("_run").cast("double"))
         .withColumn("net", F.col("net_before_turnover") + F.col("turnover"))
         .drop("_run")
     )

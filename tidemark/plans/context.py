@@ -58,9 +58,18 @@ class Context:
     def cells(self) -> DataFrame:
         return asof.cells(self.state, asof.history_start(self.events), self.spec)
 
+    @cached_property
+    def seen(self) -> DataFrame:
+        """slot, symbol, events: how many events a slot is the first to see."""
+        return self.events.groupBy(asof.slot_of(F.col("us")).alias("slot"), "symbol").agg(F.count("*").alias("events"))
+
+    def with_events(self, rows: DataFrame) -> DataFrame:
+        """Rows by slot and symbol with the number of events they are the first to see."""
+        return rows.join(self.seen, ["slot", "symbol"], "left").withColumn("events", F.coalesce("events", F.lit(0)))
+
     @cached_property
     def slices(self) -> DataFrame:
-        return asof.slice_slots(self.spark, self.spec, self.steps.where("split = 'validation'").select("slot").distinct())
+        return asof.slice_slots(self.spark, self.spec, self.steps.select("slot").distinct())
 
     @cached_property
     def cube(self) -> DataFrame:

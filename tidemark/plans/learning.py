@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import derived, episodes, features, policy
-from tidemark.plans.context import Context
+from tidemark.plans.context import THRESHOLDS, Context
 from tidemark.plans.market import L, R
 from tidemark.plans.registry import query
 from tidemark.plans.twins import twin
-from tidemark.session import materialize
+from tidemark.session import local_table, materialize
 
 _FEATURES = {
     "mv": "SELECT a.slot, a.symbol, b.symbol AS other, CASE WHEN b.best_price <> 0 THEN coalesce((a.best_price - b.best_price) / b.best_price, 0) ELSE 0 END AS x FROM best a JOIN best b USING (slot) WHERE a.symbol <> b.symbol",
@@ -25,14 +25,14 @@ def _features(c: Context) -> DataFrame:
     return features.narrow_features(c.best, derived.venue_spreads(c.venues, c.spec), moves, c.steps, c.spec)
 
 
-@query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot, name, round(x, 9) AS x FROM ft WHERE split IN ('validation', 'final_untouched_test')", _FEATURES))
+@query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot, name, round(x, 9) AS x FROM ft", _FEATURES))
 def e1_features(c: Context) -> DataFrame:
-    return _features(c).where(F.col("split").isin("validation", "final_untouched_test")).select("split", "symbol", *L("slot"), "name", R("x"))
+    return _features(c).select("split", "symbol", *L("slot"), "name", R("x"))
 
 
 @query()
 def e1_dense_blocks(c: Context) -> DataFrame:
-    """The six blocks of live cells of each validation slot as dense arrays."""
+    """The six blocks of live cells of each slot as dense arrays."""
     return features.dense_blocks(c.cube)
 
 
@@ -48,10 +48,10 @@ def e3_train_statistics(c: Context) -> DataFrame:
     return features.train_statistics(_features(c)).select("name", R("mean", 8), R("std", 8))
 
 
-@query(twin("SELECT symbol, CAST(slot AS BIGINT) AS slot, name, round((x - mean) / std, 6) AS z FROM ft JOIN fs USING (name) WHERE split = 'validation'", _FEATURES))
+@query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot, name, round((x - mean) / std, 6) AS z FROM ft JOIN fs USING (name)", _FEATURES))
 def e4_standardize(c: Context) -> DataFrame:
     rows = _features(c)
-    return features.standardize(rows.where("split = 'validation'"), features.train_statistics(rows)).select("symbol", *L("slot"), "name", R("z", 6))
+    return features.standardize(rows, features.train_statistics(rows)).select("split", "symbol", *L("slot"), "name", R("z", 6))
 
 
 WIDTH = 8
@@ -99,16 +99,20 @@ def k2_training_history(c: Context) -> DataFrame:
 
 @query()
 def h1_linear_policy(c: Context) -> DataFrame:
-    """Decisions of the first trained candidate of the last fold on validation steps."""
+    """Decisions of the first trained candidate of the last fold on the steps of all splits."""
     sets, _, _ = _trained(c, 2)
     weights = sets[max(k for k in sets if k.startswith("0|"))]
-    return policy.decide(_pivoted(c).where("split = 'validation'"), weights, c.spec)
+    return policy.decide(_pivoted(c), weights, c.spec)
 
 
-@query(twin("SELECT CAST(row_number() OVER (ORDER BY s.i, r.i) - 1 AS BIGINT) AS candidate_idx, CAST(seed AS BIGINT) AS seed, rate::DOUBLE AS rate, 0.0001::DOUBLE AS l2, n FROM (VALUES (0, 7), (1, 11)) s(i, seed), (VALUES (0, 0.05), (1, 0.1)) r(i, rate), (SELECT count(*) AS n FROM ev)"))
+@query(twin("SELECT CAST(row_number() OVER (ORDER BY s.i, r.i, fold) - 1 AS BIGINT) // 5 AS candidate_idx, CAST(seed AS BIGINT) AS seed, rate::DOUBLE AS rate, 0.0001::DOUBLE AS l2, fold, n, trades FROM (VALUES (0, 7), (1, 11)) s(i, seed), (VALUES (0, 0.05), (1, 0.1)) r(i, rate), (SELECT fold, count(*) AS n, count(*) FILTER (action <> 'abstain') AS trades FROM lab, fold WHERE split = 'development' AND slot <= train_last AND slot < purge_before GROUP BY ALL)"))
 def k3_candidate_grid(c: Context) -> DataFrame:
-    """Every candidate with the number of events it would be fitted on."""
-    return policy.candidates(c.spark, (7, 11, 7), (0.05, 0.1), (1e-4, 1e-4)).crossJoin(c.events.agg(F.count("*").alias("n"))).select(*L("candidate_idx", "seed"), "rate", "l2", "n")
+    """Every candidate and fold with the labelled steps that it is fitted on, and how many of those are trades."""
+    labels = c.labels.where("split = 'development'").select("symbol", "slot", "action")
+    members = episodes.fold_members(c.steps, c.spec).where("part = 'train'").join(labels, ["symbol", "slot"])
+    sizes = members.groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col("action") != "abstain").alias("trades"))
+    grid = policy.candidates(c.spark, (7, 11, 7), (0.05, 0.1), (1e-4, 1e-4))
+    return sizes.crossJoin(F.broadcast(grid)).select(*L("candidate_idx", "seed"), "rate", "l2", "fold", "n", "trades")  # a row per fold, by a few candidates
 
 
 _FOLDS = {
@@ -144,8 +148,9 @@ def k6_selection(c: Context) -> DataFrame:
 
 @query(twin("SELECT count(*) AS policies, count(DISTINCT policy_id) AS distinct_policies, count(DISTINCT threshold) AS variants, (SELECT count(*) FROM dec) AS decisions FROM pol"))
 def k7_search_budget(c: Context) -> DataFrame:
-    found = c.decisions.groupBy("policy_id").agg(F.count("*").alias("n"))
-    return found.agg(F.count("*").alias("policies"), F.countDistinct("policy_id").alias("distinct_policies"), F.countDistinct("policy_id").alias("variants"), F.sum("n").alias("decisions"))
+    thresholds = local_table(c.spark, [(f"momentum-{i}", t) for i, t in enumerate(THRESHOLDS)], "policy_id string, threshold double")
+    found = c.decisions.groupBy("policy_id").agg(F.count("*").alias("n")).join(F.broadcast(thresholds), "policy_id")
+    return found.agg(F.count("*").alias("policies"), F.countDistinct("policy_id").alias("distinct_policies"), F.countDistinct("threshold").alias("variants"), F.sum("n").alias("decisions"))
 
 
 @query(twin("SELECT policy_id, split, 'surface-' || substr(sha256('{\"first\":' || first_slot || ',\"last\":' || end_slot || ',\"policy_id\":\"' || policy_id || '\"}'), 1, 12) AS surface_id FROM rpt"))
@@ -161,11 +166,15 @@ def k9_training_summary(c: Context) -> DataFrame:
     return rows.groupBy(*L("candidate_idx")).agg(listed.alias("folds"), F.min_by("fold", F.struct(-F.round("total_net_return", 9), "fold")).alias("best_fold"))
 
 
-@query(twin("SELECT fold, count(*) FILTER (slot <= train_last AND slot < purge_before) AS train_steps, count(*) FILTER (slot BETWEEN validation_first AND validation_last) AS validation_steps FROM steps, fold WHERE split = 'development' GROUP BY ALL"))
+@query(twin("SELECT fold, count(*) FILTER (slot <= train_last AND slot < purge_before) AS train_steps, count(*) FILTER (slot BETWEEN validation_first AND validation_last) AS validation_steps, CAST(coalesce(sum(events) FILTER (slot <= train_last AND slot < purge_before), 0) AS BIGINT) AS train_events FROM steps LEFT JOIN seen USING (slot, symbol), fold WHERE split = 'development' GROUP BY ALL"))
 def k10_window_counts(c: Context) -> DataFrame:
-    """Steps of every fold's windows, all folds at once."""
-    members = episodes.fold_members(c.steps, c.spec)
-    return members.groupBy("fold").agg(F.count_if(F.col("part") == "train").alias("train_steps"), F.count_if(F.col("part") == "validation").alias("validation_steps"))
+    """Steps of every fold's windows and the events of its training window, all folds at once."""
+    members = c.with_events(episodes.fold_members(c.steps, c.spec))
+    in_train = F.col("part") == "train"
+    return members.groupBy("fold").agg(
+        F.count_if(in_train).alias("train_steps"), F.count_if(F.col("part") == "validation").alias("validation_steps"),
+        F.coalesce(F.sum(F.when(in_train, F.col("events"))), F.lit(0)).alias("train_events"),
+    )
 
 
 @query(twin("SELECT policy_id, round(total_net_return / greatest(n_steps, 1), 9) AS expected_return, round(least(0.99, greatest(0, composite)), 9) AS quality FROM card WHERE split = 'validation'"))

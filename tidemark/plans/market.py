@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import dims
 from tidemark.functions.specs import DEFAULT, FIELDS_BY_STREAM
@@ -12,6 +13,7 @@ from tidemark.plans.context import Context
 from tidemark.plans.registry import query
 from tidemark.plans.twins import twin
 from tidemark.session import materialize
+from tidemark.sources import market, partitions
 
 R = lambda c, n=9: F.round(F.col(c).cast("double"), n).alias(c)
 L = lambda *cs: [F.col(c).cast("long").alias(c) for c in cs]
@@ -30,23 +32,29 @@ def a8_contract_filter(c: Context) -> DataFrame:
     return c.events.groupBy("exchange", "stream", "symbol").agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total"))
 
 
-@query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot FROM steps WHERE slot >= 100 AND slot <= 500 AND slot < 480"))
+@query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot, coalesce(events, 0) AS events FROM steps LEFT JOIN seen USING (slot, symbol) WHERE slot >= 100 AND slot <= 500 AND slot < 480"))
 def a12_time_window(c: Context) -> DataFrame:
-    return episodes.in_window(c.steps, 100, 500, 480).select("split", "symbol", *L("slot"))
+    """Steps of a window with the events that each is the first to see, of written state: the bounds reach its scan."""
+    stored = materialize(c.with_events(c.steps), "steps")
+    return episodes.in_window(stored, 100, 500, 480).select("split", "symbol", *L("slot"), "events")
 
 
-@query(twin("SELECT split, count(DISTINCT trajectory_id) AS records, count(*) AS steps FROM epi GROUP BY ALL"))
+@query(twin("SELECT split, count(DISTINCT trajectory_id) AS records, count(*) AS steps, CAST(coalesce(sum(events), 0) AS BIGINT) AS events FROM epi LEFT JOIN seen USING (slot, symbol) GROUP BY ALL"))
 def a11_write_stats(c: Context) -> DataFrame:
-    return episodes.write_stats(c.episodes)
+    """Records and steps of what is written, and the events behind them."""
+    stored = materialize(c.with_events(c.episodes), "episodes")
+    return episodes.write_stats(stored).join(stored.groupBy("split").agg(F.sum("events").alias("events")), "split")
 
 
 # --- dimensions and point-in-time state
 
 
-@query(twin("SELECT exchange, stream, available FROM avail"))
+@query(twin("SELECT exchange, stream, available, (exchange, stream) IN (SELECT (exchange, stream) FROM mkt) AS seen FROM avail"))
 def b1_availability(c: Context) -> DataFrame:
-    """Of the contract, with what the data has of each pair joined in."""
-    return dims.availability(c.spark, c.spec).select("exchange", "stream", "available")
+    """Of the contract, and whether the data has any event of a pair."""
+    seen = c.view.select("exchange", "stream", F.lit(True).alias("seen")).distinct()
+    pairs = dims.availability(c.spark, c.spec).join(seen, ["exchange", "stream"], "left")
+    return pairs.select("exchange", "stream", "available", F.coalesce("seen", F.lit(False)).alias("seen"))
 
 
 @query(twin("SELECT a.exchange, a.stream, a.available, count(m.ord) AS events FROM avail a LEFT JOIN mkt m USING (exchange, stream) GROUP BY ALL"))
@@ -68,9 +76,12 @@ def c1_decision_grid(c: Context) -> DataFrame:
     return c.grid.join(seen, "slot", "left").select("split", "slot", F.coalesce("events", F.lit(0)).alias("events"))
 
 
-@query(twin("SELECT CAST(slot AS BIGINT) AS slot, scale, CAST(bucket AS BIGINT) AS bucket, CAST(slice_slot AS BIGINT) AS slice_slot FROM slices"))
+@query(twin("SELECT CAST(s.slot AS BIGINT) AS slot, scale, CAST(bucket AS BIGINT) AS bucket, CAST(slice_slot AS BIGINT) AS slice_slot, coalesce(n, 0) AS events FROM slices s LEFT JOIN (SELECT slot AS at, CAST(sum(events) AS BIGINT) AS n FROM seen GROUP BY ALL) e ON s.slice_slot = e.at"))
 def c2_lookback(c: Context) -> DataFrame:
-    return c.slices.select(*L("slot"), "scale", *L("bucket", "slice_slot"))
+    """Slices of every decision slot, with the events that each slice's slot is the first to see."""
+    seen = c.seen.groupBy(F.col("slot").alias("slice_slot")).agg(F.sum("events").alias("events"))
+    rows = c.slices.join(F.broadcast(seen), "slice_slot", "left")  # one row per slot of the lattice
+    return rows.select(*L("slot"), "scale", *L("bucket", "slice_slot"), F.coalesce("events", F.lit(0)).alias("events"))
 
 
 @query(twin("SELECT CAST(history_us AS BIGINT) AS history_us FROM hist"))
@@ -91,7 +102,7 @@ def c4_asof_off_lattice(c: Context) -> DataFrame:
     """The mark price that every trade sees: as-of at arbitrary times, by time blocks."""
     trades = c.events.where("stream = 'trade'").select(F.col("ord").alias("asked"), "symbol", "exchange", F.lit("mark_price").alias("stream"), F.col("us").alias("at_us"))
     found = asof.asof_union(c.events.where("stream = 'mark_price'"), trades, ("mark_price",))
-    return trades.drop("stream").join(found.drop("stream"), ["symbol", "exchange", "at_us"]).select("asked", "symbol", "exchange", "at_us", (F.col("e_us") / 1e6).alias("e_s"), R("mark_price"))
+    return found.select("asked", "symbol", "exchange", "at_us", (F.col("e_us") / 1e6).alias("e_s"), R("mark_price"))
 
 
 @query(twin("SELECT CAST(slot AS BIGINT) AS slot, symbol, exchange, stream, round((slot * 3600000000 - e_us) / 1e6, 6) AS age_s FROM state WHERE e_us IS NOT NULL"))
@@ -105,10 +116,10 @@ def c6_coordinate_status(c: Context) -> DataFrame:
     return c.cells.groupBy("exchange", "stream", "field", "status").agg(F.count("*").alias("n"), F.count_if(F.col("missing") & F.col("stale")).alias("missing_and_stale"))
 
 
-@query(twin("SELECT CAST(slot AS BIGINT) AS slot, symbol, exchange, stream, field, round(value, 9) AS value, round(age_s, 6) AS age_s, missing FROM cell WHERE slot BETWEEN 0 AND 719 AND symbol = 'BTCUSDT'"))
+@query(twin("SELECT CAST(slot AS BIGINT) AS slot, symbol, exchange, stream, field, round(value, 9) AS value, round(age_s, 6) AS age_s, missing FROM cell"))
 def c7_field_unpivot(c: Context) -> DataFrame:
-    """Cells of the first symbol at all slots."""
-    return c.cells.where("slot >= 0 AND symbol = 'BTCUSDT'").select("slot", "symbol", "exchange", "stream", "field", R("value"), R("age_s", 6), "missing")
+    """Cells of all symbols at all slots."""
+    return c.cells.select("slot", "symbol", "exchange", "stream", "field", R("value"), R("age_s", 6), "missing")
 
 
 _N_FIELDS = sum(map(len, FIELDS_BY_STREAM.values()))
@@ -116,7 +127,7 @@ _N_FIELDS = sum(map(len, FIELDS_BY_STREAM.values()))
 
 @query(twin(f"SELECT scale, CAST(bucket AS BIGINT) AS bucket, symbol, exchange, stream, field, CAST((((bucket * 4 + symbol_idx) * 3 + exchange_idx) * 5 + stream_idx) * {_N_FIELDS} + off AS BIGINT) AS flat_idx, count(*) AS n, round(sum(value), 6) AS total, count(*) FILTER (status = 'valid') AS valid FROM cube JOIN (SELECT stream AS st, field AS fi, row_number() OVER (ORDER BY stream_idx, field_idx) - 1 AS off FROM cat) o ON stream = st AND field = fi GROUP BY ALL"))
 def c8_cube(c: Context) -> DataFrame:
-    """The long cube of the validation slots, summed over decisions at each place of the dense layout."""
+    """The long cube, summed over decisions at each place of the dense layout."""
     placed = asof.flat_index(c.spec, dims.field_catalog(c.spark), c.cube)
     return placed.groupBy("scale", *L("bucket"), "symbol", "exchange", "stream", "field", *L("flat_idx")).agg(
         F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.count_if(F.col("status") == "valid").alias("valid")
@@ -152,10 +163,17 @@ def d4_relative_move(c: Context) -> DataFrame:
     return derived.relative_moves(c.best).select("slot", "target", "other", R("value"))
 
 
-@query(twin("SELECT symbol AS target, 'venue_pair_mark_price_spread_' || a.exchange || '_' || b.exchange AS key, n FROM sym, exch a, exch b, (SELECT count(*) AS n FROM ev) WHERE a.exchange_idx < b.exchange_idx UNION ALL SELECT t.symbol, 'relative_move_' || t.symbol || '_vs_' || o.symbol, n FROM sym t, sym o, (SELECT count(*) AS n FROM ev) WHERE t.symbol <> o.symbol"))
+_TEMPLATES = "|".join([*(f"venue_pair_mark_price_spread_{a}_{b}" for i, a in enumerate(DEFAULT.exchanges) for b in DEFAULT.exchanges[i + 1 :]), *(f"relative_move_{{target}}_vs_{s}" for s in DEFAULT.symbols)])
+
+
+@query(twin(f"SELECT *, sha256('{_TEMPLATES}') AS signature FROM (SELECT a.symbol AS target, 'venue_pair_mark_price_spread_' || a.exchange || '_' || b.exchange AS key, count(*) FILTER (a.mark - b.mark <> 0) AS filled FROM venue a JOIN venue b USING (slot, symbol) WHERE a.exchange < b.exchange GROUP BY ALL UNION ALL SELECT a.symbol, 'relative_move_' || a.symbol || '_vs_' || b.symbol, count(*) FILTER (b.best_price <> 0 AND (a.best_price - b.best_price) / b.best_price <> 0) FROM best a JOIN best b USING (slot) WHERE a.symbol <> b.symbol GROUP BY ALL)"))
 def d5_derived_contract(c: Context) -> DataFrame:
-    """The resolved keys of every target, beside the number of events they are derived from."""
-    return derived.derived_contract(c.spark, c.spec).select("target", "key").crossJoin(c.events.agg(F.count("*").alias("n")))
+    """The resolved keys of every target, their signature, and the slots where each is filled."""
+    spreads = derived.venue_spreads(c.venues, c.spec).select(F.col("symbol").alias("target"), "key", "value")
+    moves = derived.relative_moves(c.best).select("target", F.concat(F.lit("relative_move_"), "target", F.lit("_vs_"), "other").alias("key"), "value")
+    filled = spreads.unionByName(moves).groupBy("target", "key").agg(F.count_if(F.col("value") != 0).alias("filled"))
+    contract = derived.derived_contract(c.spark, c.spec)
+    return contract.join(filled, ["target", "key"], "left").select("target", "key", F.coalesce("filled", F.lit(0)).alias("filled"), "signature")
 
 
 @query(twin("SELECT CAST(slot AS BIGINT) AS slot, symbol, CAST(bucket AS BIGINT) AS bucket, round(avg(value), 9) AS value FROM cube WHERE scale = '1h' AND stream = 'mark_price' AND field_idx = 0 AND NOT (padding OR missing OR unavailable) GROUP BY ALL"))
@@ -234,14 +252,18 @@ def f9_reward_lookup(c: Context) -> DataFrame:
 # --- splits, episodes, folds
 
 
-@query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot, CAST(step_idx AS BIGINT) AS step_idx FROM steps"))
+@query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot, CAST(step_idx AS BIGINT) AS step_idx, coalesce(events, 0) AS events FROM steps LEFT JOIN seen USING (slot, symbol)"))
 def g1_split_steps(c: Context) -> DataFrame:
-    return c.steps.select("split", "symbol", *L("slot", "step_idx"))
+    """Steps with the events that each is the first to see."""
+    return c.with_events(c.steps).select("split", "symbol", *L("slot", "step_idx"), "events")
 
 
-@query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot, trajectory_id, CAST(place AS BIGINT) AS place, terminal_reason FROM epi"))
+@query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot, trajectory_id, CAST(place AS BIGINT) AS place, terminal_reason, CAST(sum(coalesce(events, 0)) OVER (PARTITION BY trajectory_id ORDER BY slot) AS BIGINT) AS events_so_far FROM epi LEFT JOIN seen USING (slot, symbol)"))
 def g2_episodes(c: Context) -> DataFrame:
-    return c.episodes.select("split", "symbol", *L("slot"), "trajectory_id", *L("place"), "terminal_reason")
+    """Episodes with the events that each has seen so far."""
+    so_far = F.sum("events").over(Window.partitionBy("trajectory_id").orderBy("slot"))
+    rows = c.with_events(c.episodes).withColumn("events_so_far", so_far)
+    return rows.select("split", "symbol", *L("slot"), "trajectory_id", *L("place"), "terminal_reason", "events_so_far")
 
 
 _FOLD = ("train_first", "train_last", "purge_before", "validation_first", "validation_last")
@@ -254,22 +276,29 @@ def g3_folds(c: Context) -> DataFrame:
     return c.folds.join(seen.groupBy("fold").agg(F.count("*").alias("events")), "fold", "left").select("fold", *L(*_FOLD), F.coalesce("events", F.lit(0)).alias("events"))
 
 
-@query(twin("SELECT fold, 'train' AS part, symbol, CAST(slot AS BIGINT) AS slot FROM steps, fold WHERE split = 'development' AND slot >= train_first AND slot <= train_last AND slot < purge_before UNION ALL SELECT fold, 'validation', symbol, CAST(slot AS BIGINT) FROM steps, fold WHERE split = 'development' AND slot BETWEEN validation_first AND validation_last"))
+@query(twin("SELECT fold, part, symbol, CAST(slot AS BIGINT) AS slot, action FROM (SELECT fold, 'train' AS part, symbol, slot FROM steps, fold WHERE split = 'development' AND slot >= train_first AND slot <= train_last AND slot < purge_before UNION ALL SELECT fold, 'validation', symbol, slot FROM steps, fold WHERE split = 'development' AND slot BETWEEN validation_first AND validation_last) JOIN (SELECT symbol, slot, action FROM lab WHERE split = 'development') USING (symbol, slot)"))
 def g4_fold_members(c: Context) -> DataFrame:
-    return episodes.fold_members(c.steps, c.spec).select("fold", "part", "symbol", *L("slot"))
+    """Steps of every fold's parts with their labels."""
+    labels = c.labels.where("split = 'development'").select("symbol", "slot", "action")
+    return episodes.fold_members(c.steps, c.spec).join(labels, ["symbol", "slot"]).select("fold", "part", "symbol", *L("slot"), "action")
 
 
-@query(twin(f"SELECT split, count(*) AS points, count(*) > {DEFAULT.horizon} AS long_enough, min(slot) = first_slot AND max(slot) = last_slot AS complete FROM grid GROUP BY split, first_slot, last_slot"))
+@query(twin(f"SELECT split, count(*) AS points, count(*) > {DEFAULT.horizon} AS long_enough, min(slot) = first_slot AND max(slot) = last_slot AS complete, count(*) FILTER (n > 0) AS points_with_events FROM grid LEFT JOIN (SELECT slot, sum(events) AS n FROM seen GROUP BY ALL) USING (slot) GROUP BY split, first_slot, last_slot"))
 def g5_split_validation(c: Context) -> DataFrame:
+    """Whether the splits are whole and long enough, and how many of their points see events first."""
     ends = F.broadcast(dims.splits(c.spark, c.spec))
-    return c.grid.join(ends, "split").groupBy("split", "first_slot", "last_slot").agg(
-        F.count("*").alias("points"), (F.count("*") > c.spec.horizon).alias("long_enough"), ((F.min("slot") == F.col("first_slot")) & (F.max("slot") == F.col("last_slot"))).alias("complete")
+    seen = c.seen.groupBy("slot").agg(F.sum("events").alias("n"))
+    return c.grid.join(ends, "split").join(seen, "slot", "left").groupBy("split", "first_slot", "last_slot").agg(
+        F.count("*").alias("points"), (F.count("*") > c.spec.horizon).alias("long_enough"), ((F.min("slot") == F.col("first_slot")) & (F.max("slot") == F.col("last_slot"))).alias("complete"),
+        F.count_if(F.col("n") > 0).alias("points_with_events"),
     ).drop("first_slot", "last_slot")
 
 
-@query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot, CASE WHEN step_idx > 0 THEN 'flat' END AS position_side, CAST(CASE WHEN step_idx > 0 THEN 0 END AS BIGINT) AS hold_age FROM steps"))
+@query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot, CASE WHEN step_idx > 0 THEN 'flat' END AS position_side, CAST(CASE WHEN step_idx > 0 THEN 0 END AS BIGINT) AS hold_age, round(best_price, 9) AS best_price FROM steps JOIN best USING (slot, symbol)"))
 def g6_build_state(c: Context) -> DataFrame:
-    return episodes.build_state(c.steps).select("split", "symbol", *L("slot"), "position_side", *L("hold_age"))
+    """State at build time beside the price that the step sees."""
+    rows = episodes.build_state(c.steps).join(c.best, ["slot", "symbol"])
+    return rows.select("split", "symbol", *L("slot"), "position_side", *L("hold_age"), R("best_price"))
 
 
 @query(twin("SELECT count(*) AS train_steps, count(DISTINCT symbol) AS symbols, CAST(min(slot) AS BIGINT) AS first_slot, CAST(max(slot) AS BIGINT) AS last_slot, (SELECT count(DISTINCT exchange) FROM ev) AS venues, (SELECT count(DISTINCT stream) FROM ev) AS streams FROM steps WHERE split = 'train'"))
@@ -280,7 +309,7 @@ def g7_coverage(c: Context) -> DataFrame:
 # --- data quality
 
 
-@query(twin("SELECT scale, status, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY scale), 9) AS share FROM cube GROUP BY ALL"))
+@query(twin("SELECT scale, status, n, round(n / sum(n) OVER (PARTITION BY scale), 9) AS share FROM (SELECT scale, status, count(*) AS n FROM cube GROUP BY ALL)"))
 def m1_mask_distribution(c: Context) -> DataFrame:
     return quality.mask_distribution(c.cube)
 
@@ -319,36 +348,46 @@ _PARTS = {
 }
 
 
+def _state(c: Context) -> DataFrame:
+    """State documents of the events' partitions; those with a number of rows divisible by five count as failed."""
+    day = partitions.day_of(F.col("us")).alias("day")
+    counts = c.view.groupBy("exchange", "stream", "symbol", day).agg(F.count("*").alias("rows"))
+    rows = counts.withColumn("status", F.when(F.col("rows") % 5 == 0, "failed").otherwise("success"))
+    return partitions.read_state(c.spark, partitions.write_state(rows, "state-documents"))
+
+
 @query(twin("SELECT exchange, stream, symbol, CAST(day AS BIGINT) AS day FROM stt WHERE status = 'success' AND NOT (exchange = 'binance' AND stream = 'open_interest') AND day BETWEEN 20240101 AND 20240130", _PARTS))
 def a4_partition_selection(c: Context) -> DataFrame:
-    from tidemark.sources import partitions
-
-    found = partitions.select_partitions(partitions.state_of(c.view), c.spec, 20240101, 20240130)
+    found = partitions.select_partitions(partitions.parse_state(_state(c)), c.spec, 20240101, 20240130)
     return found.select("exchange", "stream", "symbol", *L("day"))
 
 
-@query(twin("SELECT 'status' AS kind, status AS key, count(*) AS n FROM stt GROUP BY ALL UNION ALL SELECT 'exchange', exchange, count(*) FROM stt GROUP BY ALL UNION ALL SELECT 'stream', stream, count(*) FROM stt GROUP BY ALL UNION ALL SELECT 'symbol', lower(symbol), count(*) FROM stt GROUP BY ALL UNION ALL SELECT 'successful_days', '', count(DISTINCT day) FROM stt WHERE status = 'success'", _PARTS))
-def a5_partition_summary(c: Context) -> DataFrame:
-    from tidemark.sources import partitions
+_SUMMARY = {
+    "dys": "SELECT exchange, day, min(status) AS status FROM stt GROUP BY ALL",
+    "cnt": "SELECT CAST(day AS VARCHAR) AS key, count(*) AS n FROM stt GROUP BY ALL",
+    "okd": "SELECT CAST(day AS VARCHAR) AS key, count(*) AS n FROM stt WHERE status = 'success' GROUP BY ALL",
+}
 
-    return partitions.summarize(partitions.state_of(c.view))
+
+@query(twin("SELECT 'status' AS kind, status AS key, count(*) AS n FROM stt GROUP BY ALL UNION ALL SELECT 'exchange', exchange, count(*) FROM stt GROUP BY ALL UNION ALL SELECT 'stream', stream, count(*) FROM stt GROUP BY ALL UNION ALL SELECT 'symbol', lower(symbol), count(*) FROM stt GROUP BY ALL UNION ALL SELECT 'day_status', status, count(*) FROM dys GROUP BY ALL UNION ALL SELECT * FROM (SELECT 'days_first', key, n FROM cnt ORDER BY key LIMIT 10) UNION ALL SELECT * FROM (SELECT 'days_last', key, n FROM cnt ORDER BY key DESC LIMIT 10) UNION ALL SELECT * FROM (SELECT 'successful_first', key, n FROM okd ORDER BY key LIMIT 10) UNION ALL SELECT * FROM (SELECT 'successful_last', key, n FROM okd ORDER BY key DESC LIMIT 10) UNION ALL SELECT 'partitions', '', count(*) FROM stt UNION ALL SELECT 'matched', '', count(*) FROM stt UNION ALL SELECT 'successful_days', '', count(*) FROM okd", _PARTS | _SUMMARY))
+def a5_partition_summary(c: Context) -> DataFrame:
+    documents = _state(c)
+    return partitions.summarize(partitions.parse_state(documents), partitions.parse_days(documents))
 
 
 @query(twin("SELECT exchange, stream, symbol, CAST(day AS BIGINT) AS day FROM stt WHERE status = 'success' AND n % 3 = 0 AND NOT (exchange = 'binance' AND stream = 'open_interest')", _PARTS))
 def a6_missing_partitions(c: Context) -> DataFrame:
-    """Selected partitions without data: here those with a number of rows divisible by three are left out."""
-    from tidemark.sources import partitions
-
-    state = partitions.state_of(c.view)
-    wanted = partitions.select_partitions(state, c.spec, 20240101, 20240130)
-    present = state.where("rows % 3 <> 0")
+    """Selected partitions without a file: those with a number of rows divisible by three are left out of the tree."""
+    day = partitions.day_of(F.col("us"))
+    counted = c.view.groupBy("exchange", "stream", "symbol", day.alias("_day")).agg(F.count("*").alias("_n")).where("_n % 3 <> 0")
+    here = c.view.withColumn("_day", day).join(counted.drop("_n"), ["exchange", "stream", "symbol", "_day"], "left_semi").drop("_day")
+    present = partitions.require_any(partitions.listed(c.spark, partitions.write_tree(here, "sparse")))
+    wanted = partitions.select_partitions(partitions.parse_state(_state(c)), c.spec, 20240101, 20240130)
     return partitions.missing(wanted, present).select("exchange", "stream", "symbol", *L("day"))
 
 
 @query(twin("SELECT CAST(ord AS BIGINT) AS ord, exchange, symbol, stream, round(coalesce(price, (bid_price + ask_price) / 2, mark_price, CASE WHEN stream = 'funding' THEN funding_rate END, open_interest), 9) AS value FROM mkt WHERE coalesce(price, mid, mark_price, funding_rate, open_interest) IS NOT NULL"))
 def a7_normalized_records(c: Context) -> DataFrame:
-    from tidemark.sources import market
-
     raw = c.view.withColumn("event_time", F.date_format(F.timestamp_micros(F.col("us") + 1_704_067_200_000_000), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")).drop("us", "mid")
     good, _ = market.normalize_records(raw.withColumnRenamed("stream", "stream_type"))
     return good.select("ord", "exchange", "symbol", "stream", R("value"))
@@ -356,8 +395,6 @@ def a7_normalized_records(c: Context) -> DataFrame:
 
 @query(twin("SELECT CAST(ord AS BIGINT) AS ord, exchange, symbol, stream, CAST(us AS BIGINT) AS us, round(price, 9) AS price FROM ev"))
 def a1_ndjson_scan(c: Context) -> DataFrame:
-    from tidemark.sources import partitions
-
     path = partitions.write_ndjson(c.events, "ndjson")
     return partitions.read_ndjson(c.spark, path, c.events.schema).select("ord", "exchange", "symbol", "stream", "us", R("price"))
 
@@ -365,22 +402,23 @@ def a1_ndjson_scan(c: Context) -> DataFrame:
 @query(twin("SELECT exchange, stream, symbol, CAST(day AS BIGINT) AS day, CAST(n AS BIGINT) AS n FROM parts WHERE NOT (exchange = 'binance' AND stream = 'open_interest')", _PARTS))
 def a3_partitioned_scan(c: Context) -> DataFrame:
     """Even days lie as Parquet, odd ones as JSON lines, in one hive-partitioned tree."""
-    from tidemark.sources import partitions
-
     path = partitions.write_tree(c.view, "compacted")
     read = partitions.read_tree(c.spark, path, c.view.schema, c.spec)
     return read.groupBy("exchange", "stream", "symbol", *L("day")).agg(F.count("*").alias("n"))
 
 
-@query(twin("SELECT split, count(*) AS steps, count(DISTINCT trajectory_id) AS records FROM epi WHERE split IN ('train', 'validation') GROUP BY ALL"))
+@query(twin("SELECT split, count(*) AS steps, count(DISTINCT trajectory_id) AS records, count(best_price) AS priced, round(sum(best_price), 6) AS total FROM epi JOIN best USING (slot, symbol) WHERE split IN ('train', 'validation') GROUP BY ALL"))
 def a9_trajectory_store(c: Context) -> DataFrame:
-    """Steps written by split and read again with partition pruning."""
+    """Steps with their price and label written by split, and read again with partition pruning."""
     from tidemark.session import new_path
 
     path = new_path(c.spark, "trajectories")
-    c.episodes.write.partitionBy("split").parquet(path)
+    rows = c.episodes.join(c.best, ["slot", "symbol"]).join(c.labels.select("split", "symbol", "slot", "action"), ["split", "symbol", "slot"])
+    rows.write.partitionBy("split").parquet(path)
     read = c.spark.read.parquet(path).where(F.col("split").isin("train", "validation"))
-    return read.groupBy("split").agg(F.count("*").alias("steps"), F.countDistinct("trajectory_id").alias("records"))
+    return read.groupBy("split").agg(
+        F.count("*").alias("steps"), F.countDistinct("trajectory_id").alias("records"), F.count("best_price").alias("priced"), F.round(F.sum("best_price"), 6).alias("total")
+    )
 
 
 @query(twin("SELECT e.split, count(*) AS steps, count(l.slot) AS feature_rows, count(*) = count(l.slot) AS aligned FROM epi e LEFT JOIN lab l ON e.split = l.split AND e.symbol = l.symbol AND e.slot = l.slot GROUP BY ALL"))

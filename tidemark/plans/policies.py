@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dims
-from tidemark.operators import episodes, policy, replay
+from tidemark.functions.specs import FIELDS_BY_STREAM
+from tidemark.operators import derived, episodes, policy, records, replay
 from tidemark.plans.context import Context
+from tidemark.plans.learning import _FEATURES as FEATURES
+from tidemark.plans.learning import _features as feature_rows
 from tidemark.plans.market import L, R
+from tidemark.plans.records import _EXTRA as REGISTRY
+from tidemark.plans.records import _policies as registered
 from tidemark.plans.registry import query
 from tidemark.plans.twins import twin
+from tidemark.session import local_table, materialize
 
 _JSON = lambda parts: "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in sorted(parts.items())) + " || '}'"
 _Q = lambda x: f"coalesce('\"' || {x} || '\"', 'null')"
@@ -24,13 +30,53 @@ def h2_execution_intents(c: Context) -> DataFrame:
     return found.select("policy_id", "split", "symbol", *L("slot"), "action", "venue", "notional_or_size", "leverage", "ttl_seconds", R("confidence"), "selector_trace_id", "intent_id")
 
 
-@query(twin("SELECT 'available' AS kind, exchange || '.' || stream AS item, 'missing' AS problem FROM avail WHERE available AND (exchange, stream) NOT IN (SELECT (exchange, stream) FROM mkt WHERE ord % 7 = 0 AND stream <> 'funding') UNION ALL SELECT DISTINCT 'available', exchange || '.' || stream, 'unexpected' FROM mkt WHERE ord % 7 = 0 AND stream <> 'funding' AND exchange = 'binance' AND stream = 'open_interest'"))
+_FIELD_SEEN = " UNION ALL ".join(f"SELECT '{s}.{f}' AS item FROM mkt WHERE stream = '{s}' AND {f} IS NOT NULL" for s, fs in FIELDS_BY_STREAM.items() for f in fs)
+_CONTRACT = {
+    "req": "SELECT 'available' AS kind, exchange || '.' || stream AS item FROM avail WHERE available"
+    " UNION ALL SELECT 'symbol', symbol FROM sym UNION ALL SELECT 'field', stream || '.' || field FROM cat"
+    " UNION ALL SELECT DISTINCT 'scale', scale || 'x' || max(bucket + 1) FROM scl GROUP BY scale"
+    " UNION ALL SELECT 'derived', 'venue_pair_mark_price_spread_' || a.exchange || '_' || b.exchange FROM exch a, exch b WHERE a.exchange_idx < b.exchange_idx"
+    " UNION ALL SELECT 'derived', 'relative_move_vs_' || symbol FROM sym UNION ALL SELECT 'derived', 'best_price' UNION ALL SELECT 'derived', 'target'"
+    " UNION ALL SELECT 'width', '8'",
+    "pre": "SELECT DISTINCT 'available' AS kind, exchange || '.' || stream AS item FROM mkt UNION ALL SELECT DISTINCT 'symbol', symbol FROM mkt"
+    f" UNION ALL SELECT DISTINCT 'field', item FROM ({_FIELD_SEEN})"
+    " UNION ALL SELECT 'scale', scale || 'x' || (max(bucket) + 1) FROM cube GROUP BY scale"
+    " UNION ALL SELECT DISTINCT 'derived', name FROM ft UNION ALL SELECT DISTINCT 'width', CAST(n AS VARCHAR) FROM (SELECT count(*) AS n FROM ft GROUP BY split, symbol, slot)",
+}
+
+
+@query(twin("SELECT kind, item, 'missing' AS problem FROM (SELECT * FROM req EXCEPT SELECT * FROM pre) UNION ALL SELECT kind, item, 'unexpected' FROM (SELECT * FROM pre EXCEPT SELECT * FROM req)", FEATURES | _CONTRACT))
 def h3_contract_gate(c: Context) -> DataFrame:
-    """The contract against the pairs of the whole event view: one row per violation."""
-    item = F.concat_ws(".", "exchange", "stream").alias("item")
-    kind = F.lit("available").alias("kind")
-    required = dims.availability(c.spark, c.spec).where("available").select(kind, item)
-    present = c.view.select(kind, item).distinct()
+    """What a policy's contract asks for against what the whole data gives: one row per violation.
+
+    Pairs of exchange and stream, symbols, fields of streams that ever have a value, scales with their buckets, the keys of
+    the feature vectors, and their width.
+    """
+    spark, spec = c.spark, c.spec
+    row = lambda kind, item: (F.lit(kind).alias("kind"), item.alias("item"))
+    dotted = F.concat_ws(".", "exchange", "stream")
+    scales = F.concat("scale", F.lit("x"), (F.max("bucket") + 1).cast("string"))
+    keys = local_table(spark, [(k,) for k in ("best_price", "target", *(f"relative_move_vs_{s}" for s in spec.symbols))], "item string")
+    required = (
+        dims.availability(spark, spec).where("available").select(*row("available", dotted))
+        .union(dims.symbols(spark, spec).select(*row("symbol", F.col("symbol"))))
+        .union(dims.field_catalog(spark).select(*row("field", F.concat_ws(".", "stream", "field"))))
+        .union(local_table(spark, [(f"{s.label}x{s.buckets}",) for s in spec.scales], "item string").select(*row("scale", F.col("item"))))
+        .union(derived.pair_contract(spark, spec).select(*row("derived", F.col("key"))))
+        .union(keys.select(*row("derived", F.col("item"))))
+        .union(local_table(spark, [("8",)], "item string").select(*row("width", F.col("item"))))
+    )
+    filled = F.array_compact(F.array(*(F.when((F.col("stream") == s) & F.col(f).isNotNull(), F.lit(f"{s}.{f}")) for s, fs in FIELDS_BY_STREAM.items() for f in fs)))
+    features = materialize(feature_rows(c), "features")
+    widths = features.groupBy("split", "symbol", "slot").agg(F.count("*").cast("string").alias("n"))
+    present = (
+        c.view.select(*row("available", dotted)).distinct()
+        .union(c.view.select(*row("symbol", F.col("symbol"))).distinct())
+        .union(c.view.select(F.explode(filled).alias("f")).select(*row("field", F.col("f"))).distinct())
+        .union(c.slices.groupBy("scale").agg(scales.alias("item")).select(*row("scale", F.col("item"))))
+        .union(features.select(*row("derived", F.col("name"))).distinct())
+        .union(widths.select(*row("width", F.col("n"))).distinct())
+    )
     return policy.contract_violations(required, present)
 
 
@@ -111,9 +157,7 @@ def j1_score_card(c: Context) -> DataFrame:
     return c.scores.select("policy_id", "split", *map(R, _CARD))
 
 
-@query(twin("SELECT policy_id, split, CAST(row_number() OVER (PARTITION BY split ORDER BY round(composite, 12) DESC, policy_id) AS BIGINT) AS rank FROM card"))
+@query(twin("SELECT policy_id, split, CAST(row_number() OVER (PARTITION BY split ORDER BY round(composite, 12) DESC, policy_id) AS BIGINT) AS rank FROM card JOIN reg USING (policy_id) WHERE composite IS NOT NULL AND status NOT IN ('rejected', 'retired', 'archived')", REGISTRY))
 def j2_candidate_ranking(c: Context) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("split").orderBy(F.desc(F.round("composite", 12)), "policy_id")
-    return c.scores.select("policy_id", "split", F.row_number().over(order).cast("long").alias("rank"))
+    """Registered policies that are scored and not rejected, retired or archived, best first in every split."""
+    return records.ranked(registered(c), c.scores, ("split",)).select("policy_id", "split", *L("rank"))

@@ -85,7 +85,7 @@ def l5_paper_linkage(c: Context) -> DataFrame:
     return records.paper_violations(now, paper, compared)
 
 
-_FAILS = "concat_ws(',', CASE WHEN total_net_return <= 0 THEN 'economics.post_cost_positive' END, CASE WHEN status <> 'champion' AND c.comparison_id IS NULL THEN 'comparison.same_surface,comparison.beats_champion,comparison.report_attached' WHEN status <> 'champion' AND delta <= 0 THEN 'comparison.beats_champion' END, CASE WHEN status <> 'champion' AND c.comparison_id IS NULL THEN 'comparison.paper_sim_linkage_consistent' END, CASE WHEN NOT readable THEN 'artifacts.training_artifact_exists' END)"
+_FAILS = "concat_ws(',', CASE WHEN total_net_return <= 0 THEN 'economics.post_cost_positive' END, CASE WHEN status <> 'champion' AND c.comparison_id IS NULL THEN 'comparison.same_surface,comparison.report_attached,comparison.beats_champion' WHEN status <> 'champion' AND delta <= 0 THEN 'comparison.beats_champion' END, CASE WHEN status <> 'champion' AND c.comparison_id IS NULL THEN 'comparison.paper_sim_linkage_consistent' END, CASE WHEN NOT readable THEN 'artifacts.training_artifact_exists' END)"
 
 
 @query(twin(f"SELECT policy_id, CASE WHEN f = '' THEN 'promote' ELSE 'reject' END AS decision, CAST(CASE WHEN f = '' THEN 0 ELSE len(string_split(f, ',')) END AS BIGINT) AS n_failed, f AS failures FROM (SELECT n.policy_id, {_FAILS} AS f FROM now n JOIN lat USING (policy_id) LEFT JOIN com c ON c.policy_id = n.policy_id)", _EXTRA))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+_FUNCTIONS: dict[str, Callable] = {}
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
@@ -19,6 +20,7 @@ def query(sql: str | None = None) -> Callable:
 
         run.__name__ = function.__name__
         run.__doc__ = function.__doc__
+        _FUNCTIONS[function.__name__] = function
         _QUERIES[function.__name__] = run
         if sql is not None:
             _SQL[function.__name__] = sql
@@ -31,6 +33,12 @@ def _load() -> None:
     from tidemark.plans import learning, market, policies, records, streams  # noqa: F401
 
 
+def functions() -> dict[str, Callable]:
+    """The functions of a Context: several queries over one may share what it has written."""
+    _load()
+    return dict(_FUNCTIONS)
+
+
 def queries() -> dict[str, Callable]:
     _load()
     return dict(_QUERIES)

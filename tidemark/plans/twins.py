@@ -38,11 +38,12 @@ CTES: dict[str, str] = {
     "grid": "SELECT split, unnest(generate_series(first_slot, last_slot)) AS slot, first_slot, last_slot FROM splt",
     "steps": f"SELECT split, symbol, slot, CAST(slot - first_slot AS INTEGER) AS step_idx FROM grid, sym WHERE slot <= last_slot - {DEFAULT.horizon}",
     "epi": f"SELECT split, symbol, slot, step_idx, split || '-' || lower(symbol) || '-' || CAST(step_idx // {DEFAULT.max_episode_steps} AS VARCHAR) AS trajectory_id, step_idx % {DEFAULT.max_episode_steps} AS place, CASE WHEN step_idx = max(step_idx) OVER (PARTITION BY split, symbol) THEN 'end_of_split' WHEN step_idx % {DEFAULT.max_episode_steps} = {DEFAULT.max_episode_steps - 1} THEN 'max_episode_steps' END AS terminal_reason FROM steps",
+    "seen": "SELECT CAST(ceil(us / 3600000000) AS BIGINT) AS slot, symbol, count(*) AS events FROM ev GROUP BY ALL",
     "hist": "SELECT coalesce(min(us), 0) AS history_us FROM ev",
     "long_state": f"SELECT slot, symbol, exchange, stream, e_us, field, x FROM state UNPIVOT INCLUDE NULLS (x FOR field IN ({_F}))",
     "cells": f"SELECT g.slot, g.symbol, g.symbol_idx, g.exchange, g.exchange_idx, g.stream, g.stream_idx, g.field_idx, g.field, CASE WHEN NOT pad AND available THEN coalesce(l.x, 0) ELSE 0 END AS value, CASE WHEN NOT pad AND available THEN coalesce((g.slot * 3600000000 - l.e_us) / 1e6, 0) ELSE 0 END AS age_s, pad AS padding, NOT pad AND NOT available AS unavailable, NOT pad AND available AND l.x IS NULL AS missing, NOT pad AND available AND coalesce((g.slot * 3600000000 - l.e_us) / 1e6 > {DEFAULT.stale_after_s}, false) AS stale FROM (SELECT *, slot * 3600000000 < history_us AS pad FROM slots, sym, avail JOIN cat USING (stream), hist) g LEFT JOIN long_state l ON g.slot = l.slot AND g.symbol = l.symbol AND g.exchange = l.exchange AND g.stream = l.stream AND g.field = l.field",
     "cell": "SELECT *, CASE WHEN padding THEN 'padding' WHEN unavailable THEN 'unavailable' WHEN missing THEN 'missing' WHEN stale THEN 'stale' ELSE 'valid' END AS status FROM cells",
-    "slices": "SELECT slot, scale_idx, scale, hours, bucket, back, slot - back AS slice_slot FROM (SELECT DISTINCT slot FROM steps WHERE split = 'validation') s, scl",
+    "slices": "SELECT slot, scale_idx, scale, hours, bucket, back, slot - back AS slice_slot FROM (SELECT DISTINCT slot FROM steps) s, scl",
     "cube": "SELECT s.slot AS slot, s.scale, s.scale_idx, s.bucket, s.slice_slot, c.symbol, c.symbol_idx, c.exchange, c.exchange_idx, c.stream, c.stream_idx, c.field, c.field_idx, c.value, c.age_s, c.padding, c.unavailable, c.missing, c.stale, c.status FROM slices s JOIN cell c ON s.slice_slot = c.slot",
     "feas": "SELECT slot, symbol, action, exchange, size_band, leverage_band, action = 'abstain' OR (coalesce(price > 0, false) AND (oi_us IS NULL OR coalesce(oi, 0) > 0)) AS feasible FROM venue, act, (VALUES ('micro'), ('small')) a(size_band), (VALUES ('low'), ('medium')) b(leverage_band)",
     "ctx": f"SELECT slot, symbol, exchange, price AS reference_price, {_C.fee_bps}::DOUBLE AS fee_bps, {_C.slippage_bps}::DOUBLE AS slippage_bps, coalesce(funding_rate, 0) AS funding_rate, coalesce((slot * 3600000000 - funding_us) / 1e6, {_C.no_funding_age_s}) AS funding_age_s FROM venue WHERE price IS NOT NULL",
@@ -58,9 +59,9 @@ CTES: dict[str, str] = {
     "app0": "SELECT d.*, d.action = 'abstain' OR (coalesce(r.applicable, false) AND coalesce(f.feasible, false)) AS ok, r.gross, r.fee, r.slippage, r.funding, r.risk, r.net AS rnet FROM dec d LEFT JOIN rew r ON d.split = r.split AND d.slot = r.slot AND d.symbol = r.symbol AND d.action = r.action AND d.exchange = r.exchange LEFT JOIN feas f ON d.slot = f.slot AND d.symbol = f.symbol AND d.action = f.action AND d.exchange = f.exchange AND d.size_band = f.size_band AND d.leverage_band = f.leverage_band",
     "app": "SELECT policy_id, split, symbol, slot, action, CASE WHEN ok THEN action ELSE 'abstain' END AS applied, CASE WHEN ok AND action <> 'abstain' THEN exchange END AS venue, NOT ok AS infeasible, " + ", ".join(f"CASE WHEN ok AND action <> 'abstain' THEN {c} ELSE 0 END AS {c}" for c in ("gross", "fee", "slippage", "funding", "risk")) + f", CASE WHEN ok AND action <> 'abstain' THEN rnet WHEN ok THEN 0 ELSE {_C.infeasible} END AS net0 FROM app0",
     "rep0": "SELECT a.*, e.trajectory_id, coalesce(last_value(CASE applied WHEN 'enter_long' THEN 'long' WHEN 'enter_short' THEN 'short' WHEN 'exit' THEN 'flat' END IGNORE NULLS) OVER (PARTITION BY policy_id, e.trajectory_id ORDER BY a.slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'flat') AS side FROM app a JOIN epi e ON a.split = e.split AND a.symbol = e.symbol AND a.slot = e.slot",
-    "rep1": "SELECT *, coalesce(lag(side) OVER w, 'flat') AS previous_side, lag(venue) OVER w AS previous_venue FROM rep0 WINDOW w AS (PARTITION BY policy_id, trajectory_id ORDER BY slot)",
+    "rep1": "SELECT *, coalesce(lag(side) OVER w, 'flat') AS previous_side, lag(CASE WHEN side <> 'flat' THEN venue END) OVER w AS previous_venue FROM rep0 WINDOW w AS (PARTITION BY policy_id, trajectory_id ORDER BY slot)",
     "rep2": f"SELECT *, CASE WHEN side <> previous_side THEN -{_C.turnover} ELSE 0 END AS turnover, sum(CAST(side <> previous_side AS INTEGER)) OVER (PARTITION BY policy_id, trajectory_id ORDER BY slot) AS run FROM rep1",
-    "rep": "SELECT *, net0 + turnover AS net, CASE WHEN side = 'flat' THEN 0 ELSE row_number() OVER (PARTITION BY policy_id, trajectory_id, run ORDER BY slot) - 1 END AS hold_age, sum(turnover) OVER (PARTITION BY policy_id, trajectory_id ORDER BY slot) AS turnover_so_far FROM rep2",
+    "rep": "SELECT *, net0 + turnover AS net, CASE WHEN side = 'flat' THEN 0 ELSE row_number() OVER (PARTITION BY policy_id, trajectory_id, run ORDER BY slot) - 1 END AS hold_age, CAST(run AS DOUBLE) AS turnover_so_far FROM rep2",
     "rpt": "SELECT policy_id, split, count(*) AS n_steps, sum(net) AS total_net_return, avg(net) AS average_net_return, stddev_pop(net) AS std_net_return, count(*) FILTER (applied <> 'abstain') AS trades, count(*) FILTER (infeasible) AS infeasible, " + ", ".join(f"sum({c}) AS total_{c}" for c in ("gross", "fee", "slippage", "funding", "risk", "turnover")) + ", min(slot) AS first_slot, max(slot) + 1 AS end_slot FROM rep GROUP BY ALL",
     "card0": "SELECT policy_id, split, n_steps, total_net_return, average_net_return AS expected, greatest(0, 1 - abs(total_risk) / n_steps) AS risk, greatest(0, 1 - abs(total_turnover) / n_steps) AS turnover, 1 / (1 + std_net_return) AS stability, 1 - infeasible / n_steps AS applicability FROM rpt",
     "card": "SELECT *, expected + 0.2 * (risk + turnover + stability + applicability) AS composite FROM card0",

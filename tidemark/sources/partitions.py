@@ -12,6 +12,9 @@ from tidemark.session import new_path
 
 PARTS = ("exchange", "stream", "symbol", "day")
 STATE_SCHEMA = "days MAP<STRING, STRUCT<status: STRING>>, partitions MAP<STRING, STRUCT<status: STRING, rows: BIGINT>>"
+# The tree's folders; data files are named data.* or, written by Spark, part-*. State and metadata files are not.
+FOLDERS = ("exchange", "stream", "symbol", "date")
+PARQUET_FILES, LINE_FILES = "{data,part-}*.parquet", "{data,part-}*.{json,jsonl,ndjson}{,.gz}"
 
 
 def day_of(us):  # noqa: ANN001, ANN201
@@ -20,17 +23,44 @@ def day_of(us):  # noqa: ANN001, ANN201
     return (F.year(day) * 10_000 + F.month(day) * 100 + F.day(day)).cast("int")
 
 
-def state_of(events: DataFrame) -> DataFrame:
-    """id, status, rows and the parts of every partition of the events; every fifth row count has failed."""
-    counts = events.groupBy("exchange", "stream", "symbol", day_of(F.col("us")).alias("day")).agg(F.count("*").alias("rows"))
-    path = F.concat_ws("/", "exchange", "stream", F.lower("symbol"), F.col("day").cast("string"))
-    return counts.withColumn("id", path).withColumn("status", F.when(F.col("rows") % 5 == 0, "failed").otherwise("success"))
+def partition_id(exchange, stream, symbol, day):  # noqa: ANN001, ANN201
+    """Column: exchange/stream/lower-case symbol/yyyymmdd."""
+    return F.concat_ws("/", exchange, stream, F.lower(symbol), day.cast("string"))
+
+
+def write_state(state: DataFrame, name: str) -> str:
+    """Writes rows (exchange, stream, symbol, day, status, rows) as state documents, one for each exchange."""
+    path = new_path(state.sparkSession, name)
+    entry = F.struct(partition_id(F.col("exchange"), F.col("stream"), F.col("symbol"), F.col("day")), F.struct("status", "rows"))
+    days = state.groupBy("exchange", "day").agg(F.min("status").alias("status")).groupBy("exchange").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("day").cast("string"), F.struct("status")))).alias("days")
+    )
+    documents = state.groupBy("exchange").agg(F.map_from_entries(F.collect_list(entry)).alias("partitions")).join(days, "exchange")
+    documents.select(F.to_json(F.struct("days", "partitions")).alias("value")).write.text(path)
+    return path
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """State documents (`value`: JSON), one document a line."""
+    return spark.read.text(path)
 
 
 def parse_state(documents: DataFrame) -> DataFrame:
-    """id, status, rows from state documents (`value`: JSON), one row per partition."""
+    """id, status, rows from state documents, one row per partition; a malformed document has none."""
+    parsed = documents.select(F.from_json("value", STATE_SCHEMA).alias("s"))
+    return parsed.select(F.explode("s.partitions").alias("id", "p")).select("id", F.coalesce("p.status", F.lit("unknown")).alias("status"), "p.rows")
+
+
+def parse_days(documents: DataFrame) -> DataFrame:
+    """day, status of the days of state documents."""
     parsed = documents.select(F.from_json("value", STATE_SCHEMA).alias("s"))
-    return parsed.select(F.explode("s.partitions").alias("id", "p")).select("id", "p.status", "p.rows")
+    return parsed.select(F.explode("s.days").alias("day", "d")).select("day", F.coalesce("d.status", F.lit("unknown")).alias("status"))
+
+
+def well_formed(state: DataFrame) -> DataFrame:
+    """exchange, stream, symbol (lower-case), day (text), status of ids with four parts."""
+    parts = F.split("id", "/")
+    return state.where(F.size(parts) == 4).select(*(F.get(parts, i).alias(c) for i, c in enumerate(PARTS)), "status")
 
 
 def select_partitions(state: DataFrame, spec: Spec, first_day: int, last_day: int) -> DataFrame:
@@ -47,14 +77,32 @@ def select_partitions(state: DataFrame, spec: Spec, first_day: int, last_day: in
     return kept.join(F.broadcast(symbols), "lower_symbol").select("exchange", "stream", "symbol", "day")
 
 
-def summarize(state: DataFrame, top: int = 20) -> DataFrame:
-    """kind, key, n: partitions by status, exchange, stream and (the `top`) symbols, and the successful days."""
-    sets = state.select("status", "exchange", "stream", F.lower("symbol").alias("symbol"))
-    stacked = sets.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in ("status", "exchange", "stream", "symbol")))).alias("x"))
+def summarize(state: DataFrame, days: DataFrame, top: int = 20, sample: int = 10) -> DataFrame:
+    """kind, key, n of partitions: by status, exchange, stream and (the `top`) symbols; the first and last `sample` days, of all and of
+    the successful ones; days by status; how many partitions there are and are well formed, and the successful days."""
+    parts = well_formed(state)
+    stacked = parts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in ("status", "exchange", "stream", "symbol", "day")))).alias("x"))
     counts = stacked.groupBy("x.kind", "x.key").agg(F.count("*").alias("n"))
     most = counts.where("kind = 'symbol'").orderBy(F.desc("n"), "key").limit(top)
-    days = state.where("status = 'success'").agg(F.countDistinct("day").alias("n")).select(F.lit("successful_days").alias("kind"), F.lit("").alias("key"), "n")
-    return counts.where("kind <> 'symbol'").unionByName(most).unionByName(days)
+    good = parts.where("status = 'success'").groupBy(F.col("day").alias("key")).agg(F.count("*").alias("n"))
+    every = counts.where("kind = 'day'").select("key", "n")
+    ends = [
+        rows.orderBy(order).limit(sample).select(F.lit(kind).alias("kind"), "key", "n")
+        for kind, rows, order in (("days_first", every, F.asc("key")), ("days_last", every, F.desc("key")), ("successful_first", good, F.asc("key")), ("successful_last", good, F.desc("key")))
+    ]
+    single = lambda kind, rows: rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit("").alias("key"), "n")
+    by_day = days.groupBy(F.col("status").alias("key")).agg(F.count("*").alias("n")).select(F.lit("day_status").alias("kind"), "key", "n")
+    found = counts.where("kind NOT IN ('symbol', 'day')").unionByName(most).unionByName(by_day)
+    for part in (*ends, single("partitions", state), single("matched", parts), single("successful_days", good)):
+        found = found.unionByName(part)
+    return found
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """exchange, stream, symbol (upper-case), day of the partitions below a tree that have a data file; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{data,part-}*").load(path).select("path")
+    part = lambda folder: F.regexp_extract("path", rf"/{folder}=([^/]+)/", 1)
+    return files.select(part("exchange").alias("exchange"), part("stream").alias("stream"), F.upper(part("symbol")).alias("symbol"), part("date").cast("int").alias("day")).distinct()
 
 
 def missing(wanted: DataFrame, present: DataFrame) -> DataFrame:
@@ -81,21 +129,24 @@ def read_ndjson(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def write_tree(events: DataFrame, name: str) -> str:
-    """exchange= / stream= / symbol= / day= folders, Parquet below `parquet`, JSON lines below `json`."""
+    """exchange= / stream= / symbol= / date= folders of one tree: even days as Parquet, odd ones as JSON lines."""
     path = new_path(events.sparkSession, name)
-    dated = events.withColumn("day", day_of(F.col("us")))
-    dated.where("day % 2 = 0").write.partitionBy(*PARTS).parquet(f"{path}/parquet")
-    dated.where("day % 2 = 1").write.partitionBy(*PARTS).option("compression", "gzip").json(f"{path}/json")
+    dated = events.withColumn("date", day_of(F.col("us"))).withColumn("symbol", F.lower("symbol"))
+    dated.where("date % 2 = 0").write.partitionBy(*FOLDERS).parquet(path)
+    dated.where("date % 2 = 1").write.mode("append").partitionBy(*FOLDERS).option("compression", "gzip").json(path)
     return path
 
 
 def read_tree(spark: SparkSession, path: str, schema: T.StructType, spec: Spec) -> DataFrame:
-    """Both halves of a tree with one schema; partition columns come from the folders and prune the scan."""
-    whole = T.StructType([*schema.fields, T.StructField("day", T.IntegerType())])
-    files = spark.read.schema(whole).option("pathGlobFilter", "part-*")  # no state or metadata files
-    parquet, lines = files.parquet(f"{path}/parquet"), files.json(f"{path}/json")
-    both = parquet.unionByName(lines, allowMissingColumns=True)
+    """All data files of a tree with one schema; partition columns come from the folders and prune the scan.
+
+    Parquet and JSON lines may lie side by side; state and metadata files are no data files and are not read.
+    """
+    whole = T.StructType([*schema.fields, T.StructField("date", T.IntegerType())])
+    files = lambda names: spark.read.schema(whole).option("basePath", path).option("pathGlobFilter", names)
+    both = files(PARQUET_FILES).parquet(path).unionByName(files(LINE_FILES).json(path), allowMissingColumns=True)
     excluded = F.lit(False)
     for exchange, stream in spec.unavailable:
         excluded = excluded | ((F.col("exchange") == exchange) & (F.col("stream") == stream))
-    return both.where(~excluded & F.col("exchange").isin(*spec.exchanges) & F.col("symbol").isin(*spec.symbols))
+    kept = both.where(~excluded & F.col("exchange").isin(*spec.exchanges) & F.col("symbol").isin(*(s.lower() for s in spec.symbols)))
+    return kept.withColumn("symbol", F.upper("symbol")).withColumnRenamed("date", "day")
