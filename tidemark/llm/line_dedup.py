@@ -5,8 +5,7 @@ within the edits allowed, comes earlier in (doc_id, line number) order; lines sh
 Lines of fewer than `LONG_WORDS` words are compared with each other by characters and allow one edit. Longer
 lines are compared with each other by words, so that a changed word is one edit: the shorter line of a pair allows
 one edit for each 16 words, from 64 words on the root of a quarter of its words, 30 at most.
-A line is written as a string of symbols, its characters, or one code point for each word; all that follows
-reads symbols only.
+A line is written as an array of symbols, hashes of its characters or of its words; all that follows reads symbols only.
 
 A line that allows t edits is cut into t + 1 segments, half of them placed from its start and half from its
 end. Some segment is intact and has as many edits before it as it has segments before it (and no more after it
@@ -36,12 +35,6 @@ BROADCAST_ROWS = 500_000  # of ids: up to 20 MB
 OUTER = " \t\r\f\v\u00a0\u3000"
 
 
-def symbols(words: Column) -> Column:
-    """A string of one code point (of 2 ** 20, by a hash) for each word."""
-    codes = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(1 << 20)) + (1 << 16)), 8, "0"))
-    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
-
-
 def allowed_edits(length: Column, short: Column) -> Column:
     """Edits allowed to a line of so many symbols."""
     by_words = F.least(F.floor(length / LONG_WORDS), F.floor(F.sqrt(length / 4)), F.lit(MAX_EDITS))
@@ -55,33 +48,33 @@ def least_length(edits: Column, short: Column, min_chars: int) -> Column:
 
 def _coded(lines: DataFrame) -> DataFrame:
     """Adds short, length and code (the symbols) to lines with their `norm`, which it drops."""
-    words = lines.withColumn("words", F.split("norm", r"\s+")).withColumn("short", F.size("words") < LONG_WORDS)
-    length = F.when(F.col("short"), F.length("norm")).otherwise(F.size("words"))
-    return words.withColumn("length", length).withColumn("code", F.when(F.col("short"), F.col("norm")).otherwise(symbols(F.col("words")))).drop("norm", "words")
-
-
-def _bands(lines: DataFrame, min_chars: int) -> DataFrame:
-    """Adds t, least and own: the line's own band and, for a line in reach of a shorter one of the band below, that one."""
-    t = allowed_edits(F.col("length"), F.col("short"))
-    below = F.when(~F.col("short") & (t > 1) & (F.col("length") < least_length(t, F.col("short"), min_chars) + t - 1), F.struct((t - 1).alias("t"), F.lit(False).alias("own")))
-    bands = lines.withColumn("band", F.explode(F.array_compact(F.array(F.struct(t.alias("t"), F.lit(True).alias("own")), below))))
-    return bands.select("id", "code", "short", F.col("band.t").alias("t"), F.col("band.own").alias("own")).withColumn("least", least_length(F.col("t"), F.col("short"), min_chars))
+    # The words come from a generator, so that the line is split once for all that reads them.
+    words = lines.withColumn("words", F.explode(F.array(F.split("norm", r"\s+"))))
+    words = words.withColumn("short", F.size("words") < LONG_WORDS)
+    chars = F.filter(F.split("norm", ""), lambda c: c != "")
+    code = F.transform(F.when(F.col("short"), chars).otherwise(F.col("words")), lambda x: F.hash(x))
+    return words.withColumn("length", F.when(F.col("short"), F.length("norm")).otherwise(F.size("words"))).withColumn("code", code).drop("norm", "words")
 
 
-def _cut(rows: DataFrame, text: str) -> DataFrame:
-    """Rows (t, least, own, and `text`) once for each segment and move: adds key, start, size; own is kept where nothing is moved.
+def _cut(lines: DataFrame, min_chars: int) -> DataFrame:
+    """key, id, own: of each line its segments and the runs of symbols moved against them; own tells which.
 
-    Segments of a side are numbered from its end of the line; number j is moved by -j to j, so the first j of
-    them have j * j keys and a running number tells both.
+    A line has its own number of edits t and, if it is in reach of a shorter line of the band below, that one's. Segments of
+    a side are numbered from its end of the line; number j is moved by -j to j, so the first j of them have j * j keys and a
+    running number tells both.
     """
+    t = allowed_edits(F.col("length"), F.col("short"))
+    below = F.when(~F.col("short") & (t > 1) & (F.col("length") < least_length(t, F.col("short"), min_chars) + t - 1), F.struct((t - 1).alias("t"), F.lit(False).alias("own")))
+    bands = lines.select("id", "code", "short", "length", F.explode(F.array_compact(F.array(F.struct(t.alias("t"), F.lit(True).alias("own")), below))).alias("band"))
+    rows = bands.select("id", "code", "short", "length", "band.t", "band.own")
     left, right = F.floor(F.col("t") / 2) + 1, F.ceil(F.col("t") / 2)
     each = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), left * left + right * right - 1)))
     each = each.withColumn("side", (F.col("k") >= left * left).cast("int")).withColumn("k", F.col("k") - F.col("side") * left * left)
     each = each.withColumn("j", F.floor(F.sqrt("k"))).withColumn("move", F.col("k") - F.col("j") * F.col("j") - F.col("j"))
-    each = each.withColumn("size", F.floor(F.col("least") / (F.col("t") + 1)).cast("int"))
-    start = F.when(F.col("side") == 0, F.col("j") * F.col("size")).otherwise(F.length(text) - (F.col("j") + 1) * F.col("size")) + F.col("move") + 1
-    each = each.withColumn("start", start.cast("int")).withColumn("own", F.col("own") & (F.col("move") == 0))
-    return each.withColumn("key", F.xxhash64("short", "t", "side", "j", F.substr(text, F.col("start"), F.col("size")))).drop("k", "side", "j", "move")
+    size = F.floor(least_length(F.col("t"), F.col("short"), min_chars) / (F.col("t") + 1)).cast("int")
+    start = F.when(F.col("side") == 0, F.col("j") * size).otherwise(F.col("length") - (F.col("j") + 1) * size) + F.col("move") + 1
+    key = F.xxhash64("short", "t", "side", "j", F.slice("code", start.cast("int"), size))
+    return each.select(key.alias("key"), "id", (F.col("own") & (F.col("move") == 0)).alias("own"))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -179,7 +172,7 @@ def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     late = lambda c: F.when(F.col("a_first") < F.col("b_first"), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
     edits = allowed_edits(F.least("a_length", "b_length"), F.col("a_short"))
     reach = both.withColumn("edits", edits).where(F.abs(F.col("a_length") - F.col("b_length")) <= F.col("edits"))
-    reach = reach.select(late("id"), late("id2"), "edits", _each_symbol(F.col("a_code")).alias("x"), _each_symbol(F.col("b_code")).alias("y"))
+    reach = reach.select(late("id"), late("id2"), "edits", F.col("a_code").alias("x"), F.col("b_code").alias("y"))
     # An edit brings or takes one symbol.
     reach = reach.where((F.size(F.array_except("x", "y")) <= F.col("edits")) & (F.size(F.array_except("y", "x")) <= F.col("edits")))
     for _ in range(2):  # what both begin with is left out, then what both end with
@@ -193,13 +186,9 @@ def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(reach.where(found).select("id", "id2").distinct(), "near-lines")
 
 
-def _each_symbol(code: Column) -> Column:
-    return F.filter(F.split(code, ""), lambda c: c != "")
-
-
 def _crowd_members(texts: DataFrame) -> DataFrame:
     """id, first, length, short, and m0..: parities of the numbers of symbols that hash to a place."""
-    places = F.transform(_each_symbol(F.col("code")), lambda c: F.pmod(F.xxhash64(c), F.lit(64 * MAP_WORDS)).cast("int"))
+    places = F.transform("code", lambda c: F.pmod(c, F.lit(64 * MAP_WORDS)))
     known = materialize(texts.select("id", "first", "length", "short", places.alias("places")), "crowd-places")
 
     def word(k: int) -> Column:
@@ -210,11 +199,11 @@ def _crowd_members(texts: DataFrame) -> DataFrame:
 
 
 def _crowded_pairs(crowded: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Candidates of lines (key, id, own) that share crowded keys and are near no hub, and what is near the hubs."""
+    """Candidates of lines (key, id) that share crowded keys and are near no hub, and what is near the hubs."""
     carried = ("id", "first", "length", "short", *(f"m{k}" for k in range(MAP_WORDS)))
-    held = crowded.groupBy("id").agg(F.count("*").alias("held"))
-    members = _joined(texts, materialize(held, "crowded-lines"), ["id"], "inner")
-    rows = materialize(crowded.join(_crowd_members(members).join(held, "id"), "id"), "crowd")
+    held = materialize(crowded.groupBy("id").agg(F.count("*").alias("held"), F.collect_set("key").alias("keys")), "crowded-lines")
+    members = _crowd_members(_joined(texts, held.select("id"), ["id"], "left_semi")).join(held, "id")
+    rows = materialize(crowded.select("key", "id").join(members, "id"), "crowd")
     apart = sum((F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"x_m{k}"))) for k in range(MAP_WORDS)), F.lit(0))
     edits = allowed_edits(F.least("length", "x_length"), F.col("short"))
     may = (F.col("short") == F.col("x_short")) & (F.abs(F.col("length") - F.col("x_length")) <= edits) & (apart <= edits * 2) & (F.col("x_first") < F.col("first"))
@@ -230,8 +219,9 @@ def _crowded_pairs(crowded: DataFrame, texts: DataFrame) -> tuple[DataFrame, lis
         met = is_open.join(hubs, "key").where(may)
         near.append(_near(met.select(F.col("x_id").alias("a"), F.col("id").alias("b")), texts))
         is_open = materialize(is_open.join(near[-1].select("id").distinct(), "id", "left_anti"), "open-lines")
-    earlier = rows.select("key", F.col("own").alias("x_own"), *(F.col(c).alias(f"x_{c}") for c in carried))
-    met = is_open.join(earlier, "key").where(may & (F.col("own") | F.col("x_own")))
+    # Two lines that share several keys meet at the least of them only.
+    earlier = rows.select("key", F.col("keys").alias("x_keys"), *(F.col(c).alias(f"x_{c}") for c in carried))
+    met = is_open.join(earlier, "key").where(may & (F.array_min(F.array_intersect("keys", "x_keys")) == F.col("key")))
     return met.select(F.col("x_id").alias("a"), F.col("id").alias("b")), near
 
 
@@ -242,13 +232,12 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     read = read.select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("id"), F.xxhash64(F.lit(11), "norm").alias("id2"))
     places = materialize(read.select("doc_id", "line_no", "id", "id2"), "line-places")
     lines = materialize(places.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")), "distinct-lines")
-    keys = _cut(_bands(_coded(read.select("id", "norm")), min_chars), "code").select("key", "id", "own").distinct()
-    shared = materialize(_shared(keys), "shared-keys")
+    shared = materialize(_shared(_cut(_coded(read.select("id", "norm")), min_chars).distinct()), "shared-keys")
     wanted = materialize(shared.select("id").distinct(), "wanted-lines")
     texts = _joined(read, wanted, ["id"], "left_semi").groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("norm").alias("norm"))
     texts = materialize(_coded(texts), "candidate-lines")
     pairs, near = _pairs(shared.where(F.col("n") <= CROWDED)), []
-    crowded = shared.where(F.col("n") > CROWDED).select("key", "id", "own")
+    crowded = shared.where(F.col("n") > CROWDED).select("key", "id").distinct()
     if not crowded.isEmpty():
         more, near = _crowded_pairs(crowded, texts)
         pairs = pairs.union(more)
@@ -270,12 +259,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, keep_columns: tuple
     same lines (their line numbers are one sequence of places). An empty table gives an empty result.
     """
     removed = materialize(duplicate_lines(docs, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")), "removed-lines")
-    few = (removed.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= BROADCAST_ROWS
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
     return (
         docs.select("doc_id", "text", *keep_columns)
-        .join(F.broadcast(removed) if few else removed, "doc_id", "left")
+        .join(removed, "doc_id", "left")
         .withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
         .select(
             "doc_id",
