@@ -56,6 +56,23 @@ def test_token_counts_equal_the_library(spark, monkeypatch):
         assert [machine.count(t) for t in texts] == [len(x) for x in model.encode(texts)]
 
 
+def test_state_maps_compose(monkeypatch):
+    """Maps of chunks, composed in any way, are the map of the whole; a run without boundaries is read once."""
+    rng = random.Random(6)
+    machine = token_counts.machine(PIECES)
+    start = machine.start[""]
+    for _ in range(60):
+        text = "▁" + "".join(rng.choice("abcdeing▁▁\nst日") for _ in range(rng.randint(3, 60)))
+        cuts = sorted(rng.sample(range(1, len(text)), 2))
+        a, b, c = (token_counts.ChunkMap(machine, x) for x in (text[: cuts[0]], text[cuts[0] : cuts[1]], text[cuts[1] :]))
+        one, other = token_counts.compose(token_counts.compose(a, b), c), token_counts.compose(a, token_counts.compose(b, c))
+        assert one[start] == other[start] and one[start][1] == machine.tokens(text)
+    monkeypatch.setattr(token_counts, "CHUNK_CHARS", 1000)
+    walked, walk = [], token_counts.Transducer.walk
+    monkeypatch.setattr(token_counts.Transducer, "walk", lambda self, row, text: walked.append(len(text)) or walk(self, row, text))
+    assert machine.count("ab" * 100_000) > 0 and sum(walked) == 200_001
+
+
 def test_packing_round_trip(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = packing.pack(docs, WORDS).collect()

@@ -6,9 +6,10 @@ count relative to now. Reading a character moves to one next state and emits the
 count. States and transitions are made when first met and kept.
 
 No piece continues over "non-space then space", so after such a boundary the state no longer depends
-on what was before it. The map of a chunk of text is therefore (head before its first boundary,
-tokens emitted between its boundaries, tail after its last one); maps are associative under
-`compose`, and a document's chunks are combined by a balanced prefix scan.
+on what was before it. A chunk of a long text stands for a map of states: entry state -> (exit state, tokens). What
+follows its first boundary is the same for all entry states and is read once; only what is before it is read for each
+state asked for. Maps are associative under `compose`, and a document's chunks are combined by a balanced prefix scan,
+in which every character is read once for each state that enters its chunk.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import gc
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -80,18 +81,15 @@ class Transducer:
         self.words = _Counts(self)
 
     def _reset(self) -> None:
-        self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.rows: list[dict[str, tuple[dict, int]]] = []  # of a state: character -> (next state's row, emitted)
+        """Forgets all states. Those still held go on to work: a row knows its own state."""
+        self.rows: dict[tuple, dict] = {}  # state -> its row: character -> (next state's row, emitted), and "" -> the state
         self.fits: dict[tuple[str, str], bool] = {}
-        self.start = self._state(("", (), (None, 0)))
+        self.start = self._row(("", (), (None, 0)))
 
-    def _state(self, key: tuple) -> int:
-        if key not in self.ids:
-            self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.rows.append({"": self.ids[key]})
-        return self.ids[key]
+    def _row(self, state: tuple) -> dict:
+        if state not in self.rows:
+            self.rows[state] = {"": state}
+        return self.rows[state]
 
     def merge(self, text: str) -> list[str]:
         """The plain greedy merge, used on two tokens at a time to see whether they stay apart."""
@@ -116,10 +114,10 @@ class Transducer:
     def _cost(self, token: str) -> int:
         return 1 if token in self.pieces else len(token.encode())
 
-    def _move(self, state: int, char: str) -> tuple[int, int]:
-        """Next state and emitted count. A state keeps (start, last token, count) for those starts of
+    def _move(self, state: tuple, char: str) -> tuple[dict, int]:
+        """Next state's row and emitted count. A state keeps (start, last token, count) for those starts of
         its suffix from which a longer piece is still possible, longest first."""
-        suffix, open_starts, (newest, at_end) = self.states[state]
+        suffix, open_starts, (newest, at_end) = state
         read, pieces = suffix + char, self.pieces
         for start, last, count in (*open_starts, (len(suffix), newest, at_end)):
             token = read[start:]
@@ -128,47 +126,24 @@ class Transducer:
         emitted = count + self._cost(token)
         kept = [(i, t, c - emitted) for i, t, c in (*open_starts, (len(suffix), newest, at_end)) if read[i:] in self.prefixes]
         drop = kept[0][0] if kept else len(read)
-        return self._state((read[drop:], tuple((i - drop, t, c) for i, t, c in kept), (token, 0))), emitted
-
-    def run(self, segment: str) -> int:
-        """Tokens of one segment, read from the start state."""
-        row, total = self.rows[self.start], 0
-        for char in segment:
-            if char in row:
-                row, emitted = row[char]
-            else:
-                state, emitted = self._move(row[""], char)
-                row[char] = (self.rows[state], emitted)
-                row = self.rows[state]
+        return self._row((read[drop:], tuple((i - drop, t, c) for i, t, c in kept), (token, 0))), emitted
+
+    def walk(self, row: dict, text: str) -> tuple[dict, int]:
+        """The row that reading `text` leads to from `row`, and the tokens emitted."""
+        total = 0
+        for char in text:
+            found = row.get(char)
+            if found is None:
+                found = row[char] = self._move(row[""], char)
+            row, emitted = found
             total += emitted
-        if len(self.states) > KEEP_STATES:
+        if len(self.rows) > KEEP_STATES:
             self._reset()
-        return total
+        return row, total
 
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """(head, tokens, tail) of a chunk; tokens is None where it has no boundary (all is head)."""
-        at = _first_boundary(chunk)
-        if at < 0:
-            return chunk, None, ""
-        head, body = chunk[:at], chunk[at:]
-        cut = _last_boundary(body)
-        return head, self.tokens(body[:cut]) if cut else 0, body[cut:]
-
-    def compose(self, a: tuple, b: tuple) -> tuple[str, int | None, str]:
-        """The map of two neighbouring chunks: what lies between their boundaries is resolved now."""
-        head, total, open_end = ("", 0, a[0]) if a[1] is None else a
-        seam = open_end + b[0]
-        if a[1] is None and b[1] is None:
-            return self.chunk_map(seam)
-        if a[1] is None:
-            at = _first_boundary(seam)
-            if at < 0:
-                return seam, b[1], b[2]
-            return seam[:at], self.tokens(seam[at:]) + b[1], b[2]
-        if b[1] is None:
-            cut = _last_boundary(seam)
-            return head, total + (self.tokens(seam[:cut]) if cut else 0), seam[cut:]
-        return head, total + self.tokens(seam) + b[1], b[2]
+    def run(self, segment: str) -> int:
+        """Tokens of one segment, read from the start state."""
+        return self.walk(self.start, segment)[1]
 
     def tokens(self, text: str) -> int:
         """Tokens of a text that starts at a boundary; spaces are already SPACE."""
@@ -196,11 +171,52 @@ class Transducer:
         text = SPACE + text.replace(" ", SPACE)
         if len(text) <= CHUNK_CHARS:
             return self.tokens(text)
-        maps = [self.chunk_map(text[i : i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)]
+        maps: list[StateMap] = [ChunkMap(self, text[i : i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)]
         while len(maps) > 1:  # a level of the scan tree
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, middle, tail = maps[0]
-        return self.tokens(head) + (0 if middle is None else middle + self.tokens(tail))
+            maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0][self.start[""]][1]
+
+
+class StateMap(dict):
+    """Entry state -> (exit state, tokens), filled for the states that it is asked for."""
+
+    def __init__(self, of: Callable[[tuple], tuple[tuple, int]]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, state: tuple) -> tuple[tuple, int]:
+        self[state] = found = self.of(state)
+        return found
+
+
+class ChunkMap(StateMap):
+    """The map of a chunk. All entry states have the same exit if the chunk has a boundary."""
+
+    def __init__(self, machine: Transducer, chunk: str):
+        super().__init__(self._read)
+        self.machine, self.rest = machine, None
+        at = _first_boundary(chunk)
+        self.head = chunk if at < 0 else chunk[:at]
+        if at >= 0:
+            body = chunk[at:]
+            cut = _last_boundary(body)
+            row, open_tokens = machine.walk(machine.start, body[cut:])
+            self.rest = row[""], (machine.tokens(body[:cut]) if cut else 0) + open_tokens
+
+    def _read(self, state: tuple) -> tuple[tuple, int]:
+        row, tokens = self.machine.walk(self.machine._row(state), self.head)
+        return (row[""], tokens) if self.rest is None else (self.rest[0], tokens + self.rest[1])
+
+
+def compose(a: StateMap, b: StateMap) -> StateMap:
+    """The map of two neighbouring stretches."""
+
+    def both(state: tuple) -> tuple[tuple, int]:
+        middle, before = a[state]
+        end, after = b[middle]
+        return end, before + after
+
+    return StateMap(both)
 
 
 _SEGMENTS = re.compile(f"{SPACE}+[^{SPACE}]*")
