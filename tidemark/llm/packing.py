@@ -36,6 +36,7 @@ from tidemark.llm.common import materialize
 
 KEEP_WORDS = 400_000
 RANK_BUCKET = 20_000
+RANK_PART = 1 << 14
 
 # Texts of these characters only are split by the pattern below just as the tokenizer splits them.
 _PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]|<\\|")
@@ -293,26 +294,32 @@ def pack(
     `capacity` rows.
     """
     spark = df.sparkSession
-    pieces = materialize(tokenized_pieces(df, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+    # The salt is written with the rows, so that copies of one document are dealt too, and alike whenever they are read.
+    salted = tokenized_pieces(df, tokenizer_path, capacity, end_id, id_col, text_col).withColumn("_salt", F.monotonically_increasing_id())
+    pieces = materialize(salted, "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs = best_plan(histogram, capacity, groups)
     buckets = max(1, -(-sum(histogram.values()) // RANK_BUCKET))
     schema = "length long, first_rank long, pieces long, first_sequence long, each long, first_offset long"
     planned = spark.createDataFrame(runs, schema)
 
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "_salt"), F.lit(buckets)))
     counts = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "_salt")
     ranked = (
         dealt.withColumn("_row", F.row_number().over(within))
         .join(starts, ["length", "_bucket"])
         .withColumn("_rank", F.col("_before") + F.col("_row") - 1)
+        .withColumn("_part", F.floor(F.col("_rank") / RANK_PART))
     )
+    # A piece meets the runs of its length in its part of the ranks only.
+    last = F.col("first_rank") + F.col("pieces") - 1
+    planned = planned.withColumn("_part", F.explode(F.sequence(F.floor(F.col("first_rank") / RANK_PART), F.floor(last / RANK_PART))))
     behind = F.col("_rank") - F.col("first_rank")
     return (
-        ranked.join(planned, "length")
+        ranked.join(planned, ["length", "_part"])
         .where((behind >= 0) & (behind < F.col("pieces")))
         .select(
             "doc_id",
