@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,22 +28,48 @@ def initial_weights(spec: Spec, width: int, seed: int) -> dict[str, np.ndarray]:
     }
 
 
+def _score(x: np.ndarray, weights: dict[str, np.ndarray], actions: list[str], venues: list[str]) -> pd.DataFrame:
+    """action, exchange, confidence of each row: the first maximum of either head."""
+    a, b = softmax(x @ weights["action"] + weights["action_bias"]), softmax(x @ weights["venue"] + weights["venue_bias"])
+    best, place = a.argmax(axis=1), b.argmax(axis=1)
+    flat = np.array([actions[i] == "abstain" for i in best], dtype=bool)
+    sure = np.where(flat, a.max(axis=1), (a.max(axis=1) + b.max(axis=1)) / 2)
+    return pd.DataFrame({"action": [actions[i] for i in best], "exchange": [None if f else venues[j] for f, j in zip(flat, place, strict=True)], "confidence": sure})
+
+
 def decide(vectors: DataFrame, weights: dict[str, np.ndarray], spec: Spec) -> DataFrame:
     """action, exchange, confidence of each vector: two softmax heads, first maximum; vectorised on Arrow batches."""
     actions, venues = [a.key for a in spec.actions], list(spec.exchanges)
 
     @F.pandas_udf("struct<action:string,exchange:string,confidence:double>")
     def score(v: pd.Series) -> pd.DataFrame:
-        x = np.array(v.tolist()).reshape(len(v), -1)
-        a, b = softmax(x @ weights["action"] + weights["action_bias"]), softmax(x @ weights["venue"] + weights["venue_bias"])
-        best, place = a.argmax(axis=1), b.argmax(axis=1)
-        flat = np.array([actions[i] == "abstain" for i in best])
-        sure = np.where(flat, a.max(axis=1), (a.max(axis=1) + b.max(axis=1)) / 2)
-        return pd.DataFrame({"action": [actions[i] for i in best], "exchange": [None if f else venues[j] for f, j in zip(flat, place, strict=True)], "confidence": sure})
+        return _score(np.array(v.tolist()).reshape(len(v), -1), weights, actions, venues)
 
     return vectors.withColumn("_d", score("v")).select("split", "symbol", "slot", "_d.*").withColumn("size_band", F.lit("micro")).withColumn("leverage_band", F.lit("low"))
 
 
+def decide_all(rows: DataFrame, weight_sets: dict[str, dict[str, np.ndarray]], spec: Spec) -> DataFrame:
+    """Decisions (policy_id: the set) of every set on the rows (fold, split, symbol, slot, v) of its fold, in one pass."""
+    actions, venues = [a.key for a in spec.actions], list(spec.exchanges)
+    of_fold: dict[str, list[str]] = {}
+    for name in weight_sets:
+        of_fold.setdefault(name.split("|")[1], []).append(name)
+    names = ["policy_id", "split", "symbol", "slot", "action", "exchange", "confidence"]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for fold, part in batch.groupby("fold"):
+                x = np.array(part["v"].tolist()).reshape(len(part), -1)
+                for name in of_fold.get(fold, ()):
+                    found = _score(x, weight_sets[name], actions, venues)
+                    found["policy_id"] = name
+                    found[["split", "symbol", "slot"]] = part[["split", "symbol", "slot"]].to_numpy()
+                    yield found[names]
+
+    schema = "policy_id string, split string, symbol string, slot long, action string, exchange string, confidence double"
+    return rows.select("fold", "split", "symbol", "slot", "v").mapInPandas(score, schema).withColumn("size_band", F.lit("micro")).withColumn("leverage_band", F.lit("low"))
+
+
 def gradients(rows: DataFrame, weight_sets: dict[str, dict[str, np.ndarray]], width: int, spec: Spec) -> DataFrame:
     """set_id, n, loss, gradient (flat sums) of every weight set in one pass over (fold, v, action_idx, venue_idx).
 
@@ -94,24 +121,41 @@ def candidates(spark, seeds: tuple[int, ...], rates: tuple[float, ...], l2s: tup
     return grid.select((F.row_number().over(order) - 1).alias("candidate_idx"), "seed", "rate", "l2")
 
 
-def train(rows: DataFrame, grid: list[tuple[int, int, float, float]], width: int, spec: Spec, epochs: int) -> tuple[dict, list[tuple]]:
-    """Weights and (set_id, epoch, loss) of every (candidate, fold) after `epochs`; one job per epoch for all.
+@dataclass
+class Fit:
+    """What training leaves: of every set its best weights, and (set_id, epoch, loss, validation return, composite, steps, best so far)."""
+
+    weights: dict[str, dict[str, np.ndarray]]
+    history: list[tuple]
+
+
+def train(rows: DataFrame, grid: list[tuple[int, int, float, float]], width: int, spec: Spec, epochs: int, validate: Callable[[dict], DataFrame]) -> Fit:
+    """Trains every (candidate, fold); after each epoch all are replayed by `validate`, and the first strictly best weights stay.
 
-    `rows` (fold, v, action_idx, venue_idx) should be a written table or cached. The driver holds the
-    weights only: candidates x folds x width.
+    `rows` (fold, v, action_idx, venue_idx) should be a written table or cached; one job per epoch for the gradients of all
+    sets and one for their replay. `validate` gives policy_id, n_steps, total_net_return, composite of weight sets. The driver
+    holds the weights only: candidates x folds x width.
     """
     folds = [r["fold"] for r in rows.select("fold").distinct().collect()]  # as few as the folds
     sets = {f"{c}|{f}": initial_weights(spec, width, seed) for c, seed, _, _ in grid for f in sorted(folds)}
     rules = {str(c): (rate, l2) for c, _, rate, l2 in grid}
+    best: dict[str, tuple[float, dict]] = {}
     history: list[tuple] = []
-    for epoch in range(epochs):
+    for epoch in range(1, epochs + 1):
         sums = {name: np.zeros(2 + (width + 1) * (len(spec.actions) + len(spec.exchanges))) for name in sets}
         for r in gradients(rows, sets, width, spec).collect():
             sums[r["set_id"]][r["i"]] = r["x"]
+        losses = {}
         for name, total in sums.items():
-            sets[name], loss = step(sets[name], total, width, spec, *rules[name.split("|")[0]])
-            history.append((name, epoch, loss))
-    return sets, history
+            sets[name], losses[name] = step(sets[name], total, width, spec, *rules[name.split("|")[0]])
+        scores = {r["policy_id"]: r for r in validate(sets).collect()}
+        for name in sets:
+            score = scores[name]
+            better = name not in best or score["total_net_return"] > best[name][0]
+            if better:
+                best[name] = score["total_net_return"], sets[name]
+            history.append((name, epoch, losses[name], score["total_net_return"], score["composite"], score["n_steps"], better))
+    return Fit({name: weights for name, (_, weights) in best.items()}, history)
 
 
 def canonical_hash(**parts: Column) -> Column:

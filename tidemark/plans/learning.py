@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import derived, episodes, features, policy
+from tidemark.operators import derived, episodes, features, policy, replay
 from tidemark.plans.context import THRESHOLDS, Context
 from tidemark.plans.market import L, R
 from tidemark.plans.registry import query
@@ -67,18 +70,65 @@ def _pivoted(c: Context) -> DataFrame:
     return features.vectors(z.withColumn("name", group)).where(F.size("v") == WIDTH)
 
 
-def _rows(c: Context) -> DataFrame:
+def _labelled(c: Context, split: str) -> DataFrame:
+    """symbol, slot, v, action_idx, venue_idx of a split's steps."""
     index = lambda keys, x: F.array_position(F.array(*map(F.lit, keys)), F.col(x)).cast("int") - 1
-    labels = c.labels.where("split = 'development'").select("symbol", "slot", index([a.key for a in c.spec.actions], "action").alias("action_idx"), F.coalesce(index(c.spec.exchanges, "exchange"), F.lit(-1)).alias("venue_idx"))
+    labels = c.labels.where(F.col("split") == split).select("symbol", "slot", index([a.key for a in c.spec.actions], "action").alias("action_idx"), F.coalesce(index(c.spec.exchanges, "exchange"), F.lit(-1)).alias("venue_idx"))
+    return _pivoted(c).where(F.col("split") == split).drop("split").join(labels, ["symbol", "slot"])
+
+
+def _rows(c: Context) -> DataFrame:
+    """The training part of every fold."""
     members = episodes.fold_members(c.steps, c.spec).where("part = 'train'")
-    vectors = _pivoted(c).where("split = 'development'").drop("split")
-    return materialize(members.join(vectors, ["symbol", "slot"]).join(labels, ["symbol", "slot"]).select("fold", "v", "action_idx", "venue_idx"), "training-rows")
+    return materialize(members.join(_labelled(c, "development"), ["symbol", "slot"]).select("fold", "v", "action_idx", "venue_idx"), "training-rows")
+
+
+def _validator(c: Context, rows: DataFrame, split: str) -> Callable[[dict], DataFrame]:
+    """Replays weight sets on `rows` (fold, split, symbol, slot, v); each fold is a trajectory of its own."""
+    rows = materialize(rows, "validation-rows")
+    rewards, feasible = c.rewards.where(F.col("split") == split), c.feasibility
+
+    def validate(sets: dict) -> DataFrame:
+        applied = replay.apply_decisions(policy.decide_all(rows, sets, c.spec), rewards, feasible, c.spec)
+        own = rows.select("split", "symbol", "slot").distinct().withColumn("trajectory_id", F.col("symbol"))
+        return replay.score_card(replay.reports(replay.replay(applied, own, c.spec))).select("policy_id", "n_steps", "total_net_return", "composite")
+
+    return validate
+
+
+def _grid(c: Context) -> list[tuple]:
+    return [(r["candidate_idx"], r["seed"], r["rate"], r["l2"]) for r in policy.candidates(c.spark, *GRID).orderBy("candidate_idx").collect()]
+
+
+def _trained(c: Context, epochs: int = 3) -> policy.Fit:
+    """All candidates on all folds, with the best epoch of each by replay of the fold's validation part."""
+    members = episodes.fold_members(c.steps, c.spec).where("part = 'validation'").select("fold", "symbol", "slot")
+    vectors = _pivoted(c).where("split = 'development'")
+    return policy.train(_rows(c), _grid(c), WIDTH, c.spec, epochs, _validator(c, members.join(vectors, ["symbol", "slot"]), "development"))
 
 
-def _trained(c: Context, epochs: int = 3) -> tuple[dict, list[tuple], list[tuple]]:
-    grid = [(r["candidate_idx"], r["seed"], r["rate"], r["l2"]) for r in policy.candidates(c.spark, *GRID).orderBy("candidate_idx").collect()]
-    sets, history = policy.train(_rows(c), grid, WIDTH, c.spec, epochs)
-    return sets, history, grid
+_HISTORY = "set_id string, epoch int, loss double, validation_total_net_return double, validation_composite double, n_steps long, best_so_far boolean"
+
+# The places of the features in the vector: prices and spreads by name, the moves of a symbol in the order of the others.
+_VECTORS = {
+    "ftv": "SELECT split, symbol, slot, name, (x - mean) / std AS z, row_number() OVER (PARTITION BY split, symbol, slot ORDER BY CASE WHEN name IN ('best_price', 'target') OR name LIKE 'venue%' THEN name ELSE 'zz-' || name END) - 1 AS place FROM ft JOIN fs USING (name)",
+}
+
+
+@query(twin("SELECT fold, a.action AS class, CAST(place AS BIGINT) AS place, round(sum(z * (1 / 3 - CAST(l.action = a.action AS INTEGER))), 6) AS gradient, count(*) AS n FROM ftv v JOIN lab l ON v.split = l.split AND v.symbol = l.symbol AND v.slot = l.slot, fold, act a WHERE v.split = 'development' AND v.slot <= train_last AND v.slot < purge_before GROUP BY ALL", _FEATURES | _VECTORS))
+def k1_first_gradient(c: Context) -> DataFrame:
+    """Summed gradients of the action head of every fold where all weights are zero."""
+    folds = [r["fold"] for r in c.folds.select("fold").collect()]
+    zero = {name: np.zeros_like(w) for name, w in policy.initial_weights(c.spec, WIDTH, 0).items()}
+    sums = policy.gradients(_rows(c), {f"zero|{f}": zero for f in folds}, WIDTH, c.spec)
+    k = len(c.spec.actions)
+    fold = F.split_part("set_id", F.lit("|"), F.lit(2))
+    at = F.col("i") - 2
+    classes = F.array(*(F.lit(a.key) for a in c.spec.actions))
+    head = sums.where(at.between(0, WIDTH * k - 1)).select(
+        fold.alias("fold"), F.get(classes, at % k).alias("class"), F.floor(at / k).cast("long").alias("place"), F.round("x", 6).alias("gradient")
+    )
+    return head.join(sums.where("i = 0").select(fold.alias("fold"), F.col("x").cast("long").alias("n")), "fold")
 
 
 @query()
@@ -92,17 +142,50 @@ def k1_gradient(c: Context) -> DataFrame:
 
 @query()
 def k2_training_history(c: Context) -> DataFrame:
-    """Loss of every candidate and fold after each epoch."""
-    _, history, _ = _trained(c)
-    return c.spark.createDataFrame(history, "set_id string, epoch int, loss double")
+    """Loss, and return in validation replay, of every candidate and fold after each epoch."""
+    return c.spark.createDataFrame(_trained(c).history, _HISTORY)
+
+
+@query()
+def k4_trained_search(c: Context) -> DataFrame:
+    """Every candidate trained on each fold and scored at its best epoch; their ranks; the winner fitted anew on the whole training split."""
+    history = c.spark.createDataFrame(_trained(c).history, _HISTORY)
+    best = history.where("best_so_far").groupBy("set_id").agg(F.max_by(F.struct("validation_total_net_return", "validation_composite", "n_steps"), "epoch").alias("b"))
+    scores = best.select(F.split_part("set_id", F.lit("|"), F.lit(1)).cast("int").alias("candidate_idx"), F.col("b.validation_total_net_return").alias("total_net_return"), F.col("b.validation_composite").alias("composite"), F.col("b.n_steps").alias("n_steps"))
+    ranked = policy.selection(policy.fold_means(scores))
+    winner = ranked.where("rank = 1").first()["candidate_idx"]
+    rows = materialize(_labelled(c, "train").withColumn("fold", F.lit("all")), "refit-rows")
+    validate = _validator(c, _pivoted(c).where("split = 'validation'").withColumn("fold", F.lit("all")), "validation")
+    refit = policy.train(rows, [g for g in _grid(c) if g[0] == winner], WIDTH, c.spec, 3, validate).history
+    last = max((h for h in refit if h[6]), key=lambda h: h[1])
+    own = F.col("candidate_idx") == winner
+    return ranked.select(
+        *L("candidate_idx"), "mean_return", "mean_composite", "n_steps", *L("rank"),
+        F.when(own, F.lit(last[1])).alias("refit_best_epoch"), F.when(own, F.lit(last[3])).alias("refit_total_net_return"),
+    )
+
+
+FIXED = [[((3 * i + a) % 5 - 2) / 10 for a in range(3)] for i in range(WIDTH)]
+_FIXED = {
+    "wgt": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {a}, {FIXED[i][a]})" for i in range(WIDTH) for a in range(3)) + ") v(place, cls, w)",
+    "lgt": "SELECT split, symbol, slot, cls, sum(z * w) AS logit FROM ftv JOIN wgt USING (place) GROUP BY ALL",
+    "prb": "SELECT split, symbol, slot, arg_max(cls, (round(logit, 9), -cls)) AS best, max(exp(logit)) / sum(exp(logit)) AS p FROM lgt GROUP BY ALL",
+}
+
+
+@query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot, list_extract(['abstain', 'enter_long', 'enter_short'], CAST(best + 1 AS INTEGER)) AS action, CASE WHEN best > 0 THEN list_extract(['binance', 'bybit', 'okx'], CAST(best + 1 AS INTEGER)) END AS exchange, round(p, 6) AS confidence FROM prb", _FEATURES | _VECTORS | _FIXED))
+def h1_fixed_weights(c: Context) -> DataFrame:
+    """Decisions by fixed weights, the same in both heads, on the steps of all splits."""
+    w = np.array(FIXED)
+    weights = {"action": w, "action_bias": np.zeros(3), "venue": w, "venue_bias": np.zeros(3)}
+    return policy.decide(_pivoted(c), weights, c.spec).select("split", "symbol", *L("slot"), "action", "exchange", R("confidence", 6))
 
 
 @query()
 def h1_linear_policy(c: Context) -> DataFrame:
-    """Decisions of the first trained candidate of the last fold on the steps of all splits."""
-    sets, _, _ = _trained(c, 2)
-    weights = sets[max(k for k in sets if k.startswith("0|"))]
-    return policy.decide(_pivoted(c), weights, c.spec)
+    """Decisions of the first candidate of the last fold, at its best epoch, on the steps of all splits."""
+    fit = _trained(c, 2)
+    return policy.decide(_pivoted(c), fit.weights[max(k for k in fit.weights if k.startswith("0|"))], c.spec)
 
 
 @query(twin("SELECT CAST(row_number() OVER (ORDER BY s.i, r.i, fold) - 1 AS BIGINT) // 5 AS candidate_idx, CAST(seed AS BIGINT) AS seed, rate::DOUBLE AS rate, 0.0001::DOUBLE AS l2, fold, n, trades FROM (VALUES (0, 7), (1, 11)) s(i, seed), (VALUES (0, 0.05), (1, 0.1)) r(i, rate), (SELECT fold, count(*) AS n, count(*) FILTER (action <> 'abstain') AS trades FROM lab, fold WHERE split = 'development' AND slot <= train_last AND slot < purge_before GROUP BY ALL)"))

@@ -1,4 +1,5 @@
-"""Streaming queries: the events are written as files and replayed; each result must equal the batch's."""
+"""Streaming queries: the events are written as files in the order of time and replayed in several micro-batches; each result
+must equal the batch's."""
 
 from __future__ import annotations
 
@@ -12,34 +13,45 @@ from tidemark.plans.twins import twin
 from tidemark.session import new_path
 from tidemark.streaming import market
 
+DELIVERIES, FILES = 4, 2
+DAY_US = 86_400_000_000
 
-def _source(c: Context, redeliver: bool = False) -> tuple[DataFrame, str]:
+
+def _source(c: Context, redeliver: bool = False, late: bool = False) -> tuple[DataFrame, str]:
+    """A stream of four micro-batches. Redelivered: some events of the last day of a delivery come again with the next. Late: some
+    of the first day come again with the last, when the watermark is far beyond them."""
     path = new_path(c.spark, "feed")
-    rows = c.events.repartitionByRange(8, "us")
-    if redeliver:
-        rows = rows.unionByName(c.events.where("ord % 10 = 0")).repartitionByRange(8, "us")
-    rows.write.parquet(path)
-    return market.event_stream(c.spark, path, c.events.schema, 1000), path  # written side by side, so not in the order of time
+    first, last = c.events.agg(F.min("us"), F.max("us")).first()
+    width = ((last or 0) - (first or 0)) // DELIVERIES + 1
+    for n in range(DELIVERIES):
+        start = (first or 0) + n * width
+        rows = c.events.where((F.col("us") >= start) & (F.col("us") < start + width))
+        if redeliver and n:
+            rows = rows.unionByName(c.events.where((F.col("us") >= start - DAY_US) & (F.col("us") < start) & (F.col("ord") % 3 == 0)))
+        if late and n == DELIVERIES - 1:
+            rows = rows.unionByName(c.events.where(F.col("us") < (first or 0) + DAY_US))
+        rows.repartition(FILES).write.mode("append").parquet(path)
+    return market.event_stream(c.spark, path, c.events.schema, FILES), path
 
 
 @query(twin("SELECT CAST(ord AS BIGINT) AS ord, exchange, symbol, stream FROM ev"))
 def s1_stream_dedup(c: Context) -> DataFrame:
-    """Every tenth event is delivered twice; the second is dropped."""
+    """Events that a later micro-batch delivers again are dropped by the state of the batch before."""
     stream, _ = _source(c, redeliver=True)
     return market.run(market.deduplicated(stream).select("ord", "exchange", "symbol", "stream"), "append", "deduplicated")
 
 
-@query(twin("SELECT symbol, exchange, stream, CAST(ceil(us / 3600000000) AS BIGINT) AS slot, round(arg_max(us, us) / 1e6, 6) AS e_s, round(arg_max(coalesce(price, mid, mark_price, funding_rate, open_interest, -1), us), 9) AS value FROM ev GROUP BY ALL"))
+@query(twin("SELECT symbol, exchange, stream, slot, round(e_us / 1e6, 6) AS e_s, round((slot * 3600000000 - e_us) / 1e6, 6) AS freshness_s, value FROM (SELECT symbol, exchange, stream, CAST(ceil(us / 3600000000) AS BIGINT) AS slot, max(us) AS e_us, round(arg_max(coalesce(price, mid, mark_price, funding_rate, open_interest, -1), us), 9) AS value FROM ev GROUP BY ALL)"))
 def s2_online_state(c: Context) -> DataFrame:
     stream, _ = _source(c)
     found = market.run(market.online_state(stream), "update", "state", ("symbol", "exchange", "stream", "slot"))
-    return found.select("symbol", "exchange", "stream", *L("slot"), F.round(F.col("us") / 1e6, 6).alias("e_s"), F.round(F.coalesce("value", F.lit(-1.0)), 9).alias("value"))
+    return found.select("symbol", "exchange", "stream", *L("slot"), F.round(F.col("us") / 1e6, 6).alias("e_s"), F.round("freshness_s", 6).alias("freshness_s"), F.round(F.coalesce("value", F.lit(-1.0)), 9).alias("value"))
 
 
 @query(twin("SELECT stream, CAST(us // 86400000000 AS BIGINT) AS day, count(*) AS n FROM ev GROUP BY ALL"))
 def s3_activity(c: Context) -> DataFrame:
-    """Daily counts; complete mode also shows the windows that the watermark has not closed yet."""
-    stream, _ = _source(c)
+    """Daily counts, emitted as they change; what comes after the watermark has passed its day is not counted."""
+    stream, _ = _source(c, late=True)
     found = market.run(market.activity(stream), "update", "activity", ("start", "stream"))
     day = F.floor((F.unix_micros("start") - 1_704_067_200_000_000) / 86_400_000_000)
     return found.select("stream", day.cast("long").alias("day"), "n")

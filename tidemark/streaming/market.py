@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.asof import KEYS, slot_of
+from tidemark.functions.specs import PITCH_US
+from tidemark.operators.asof import KEYS
 from tidemark.session import new_path
 
 DELAY = "2 days"
+EPOCH_US = 1_704_067_200_000_000  # 2024-01-01 00:00 UTC
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 4) -> DataFrame:
     """Events as a stream with an event time made from `us`."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
-    return rows.withColumn("event_time", F.timestamp_micros(F.col("us") + 1_704_067_200_000_000))
+    return rows.withColumn("event_time", F.timestamp_micros(F.col("us") + EPOCH_US))
 
 
 def deduplicated(stream: DataFrame) -> DataFrame:
@@ -30,10 +32,17 @@ def activity(stream: DataFrame, width: str = "1 day") -> DataFrame:
 
 
 def online_state(stream: DataFrame) -> DataFrame:
-    """Newest price of every key in every slot: state by keyed aggregation, emitted as it changes."""
+    """Newest price of every key in every slot, and how old it is at the slot; emitted as it changes.
+
+    A slot is an hour that ends with it, its end included, so the time that is windowed lies a microsecond before the event. Slots
+    that the watermark has passed leave the state.
+    """
     newest = F.struct("us", "ord")
     price = F.coalesce("price", "mid", "mark_price", "funding_rate", "open_interest")
-    return stream.groupBy(*KEYS, slot_of(F.col("us")).alias("slot")).agg(F.max_by(F.struct("us", price.alias("value")), newest).alias("last")).select(*KEYS, "slot", "last.us", "last.value")
+    timed = stream.withColumn("slot_time", F.timestamp_micros(F.col("us") - 1 + EPOCH_US)).withWatermark("slot_time", DELAY)
+    last = timed.groupBy(*KEYS, F.window("slot_time", "1 hour")).agg(F.max_by(F.struct("us", price.alias("value")), newest).alias("last"))
+    slot = ((F.unix_micros("window.end") - EPOCH_US) / PITCH_US).cast("long")
+    return last.select(*KEYS, slot.alias("slot"), "last.us", "last.value", ((slot * PITCH_US - F.col("last.us")) / 1e6).alias("freshness_s"))
 
 
 def run(stream: DataFrame, mode: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
