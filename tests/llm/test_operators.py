@@ -293,7 +293,7 @@ def _edits(a, b):
 
 def _near_lines(a, b):
     """The rule of line dedup, said plainly."""
-    x, y = a.split(), b.split()
+    x, y = a.split(" "), b.split(" ")
     if (len(x) < 16) != (len(y) < 16):
         return a == b
     if len(x) < 16:

@@ -3,7 +3,7 @@
 Lines are compared in lower case without outer white space. A line is removed if the same line, or one
 within the edits allowed, comes earlier in (doc_id, line number) order; lines shorter than `min_chars` stay.
 Lines of fewer than `LONG_WORDS` words are compared with each other by characters and allow one edit. Longer
-lines are compared with each other by words, so that a changed word is one edit: the shorter line of a pair allows
+lines are compared with each other by words (what single spaces separate), so that a changed word is one edit: the shorter line of a pair allows
 one edit for each 16 words, from 64 words on the root of a quarter of its words, 30 at most.
 A line is written as an array of symbols, hashes of its characters or of its words; all that follows reads symbols only.
 
@@ -49,7 +49,7 @@ def least_length(edits: Column, short: Column, min_chars: int) -> Column:
 def _coded(lines: DataFrame) -> DataFrame:
     """Adds short, length and code (the symbols) to lines with their `norm`, which it drops."""
     # The words come from a generator, so that the line is split once for all that reads them.
-    words = lines.withColumn("words", F.explode(F.array(F.split("norm", r"\s+"))))
+    words = lines.withColumn("words", F.explode(F.array(F.split("norm", " "))))
     words = words.withColumn("short", F.size("words") < LONG_WORDS)
     chars = F.filter(F.split("norm", ""), lambda c: c != "")
     code = F.transform(F.when(F.col("short"), chars).otherwise(F.col("words")), lambda x: F.hash(x))
@@ -227,7 +227,8 @@ def _crowded_pairs(crowded: DataFrame, texts: DataFrame) -> tuple[DataFrame, lis
 
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, line_no of the lines to remove."""
-    read = _lines(docs).select("doc_id", "line_no", compared(F.col("line")).alias("norm")).where(F.length("norm") >= min_chars)
+    # The compared text comes from a generator, so that it is made once for the filter and all that follows.
+    read = _lines(docs).select("doc_id", "line_no", F.explode(F.array(compared(F.col("line")))).alias("norm")).where(F.length("norm") >= min_chars)
     # A line is known by two hashes. Its text travels only if it shares a key with another.
     read = read.select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("id"), F.xxhash64(F.lit(11), "norm").alias("id2"))
     places = materialize(read.select("doc_id", "line_no", "id", "id2"), "line-places")
@@ -263,7 +264,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, keep_columns: tuple
     kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
     return (
         docs.select("doc_id", "text", *keep_columns)
-        .join(removed, "doc_id", "left")
+        .join(removed.hint("shuffle_merge"), "doc_id", "left")  # what is removed grows with the documents
         .withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
         .select(
             "doc_id",
