@@ -87,6 +87,14 @@ def test_tree_in_the_documented_layout(spark, tmp_path):
     assert sorted(r["day"] for r in partitions.listed(spark, str(tmp_path)).collect()) == [20240101, 20240102]
 
 
+def test_decisions_outside_the_contract_give_no_intent(spark):
+    rows = [("p", "train", "BTCUSDT", 30, "enter_long", "okx", "micro", "low", 0.5), ("p", "train", "BTCUSDT", 31, "enter_long", "moon", "micro", "low", 0.5), ("p", "train", "BTCUSDT", 32, "enter_long", "okx", "huge", "low", 0.5), ("p", "train", "BTCUSDT", 33, "abstain", None, "micro", "low", 0.5)]
+    decisions = spark.createDataFrame(rows, "policy_id string, split string, symbol string, slot long, action string, exchange string, size_band string, leverage_band string, confidence double")
+    assert sorted(r["slot"] for r in policy.intents(decisions, dims.bands(spark, DEFAULT), DEFAULT).collect()) == [30, 33]
+    assert {(r["slot"], r["reason"]) for r in policy.rejected_intents(decisions, DEFAULT).collect()} == {(31, "unknown_venue"), (32, "unknown_size_band")}
+    assert spark.range(30, 31).select(replay.slot_time(F.col("id"))).first()[0] == "2024-01-02T06:00:00Z"
+
+
 def test_closed_and_unscored_policies_are_not_ranked(spark):
     policies = spark.createDataFrame([("a", "champion"), ("b", "rejected"), ("c", "candidate"), ("d", "retired"), ("e", "challenger"), ("f", "archived")], "policy_id string, status string")
     scores = spark.createDataFrame([("a", 0.5), ("b", 0.9), ("c", 0.7), ("d", 0.8), ("e", None), ("f", 1.0)], "policy_id string, composite double")

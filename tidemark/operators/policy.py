@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.specs import Spec
+from tidemark.operators.replay import slot_time
 from tidemark.session import local_table
 
 
@@ -164,13 +165,34 @@ def canonical_hash(**parts: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).cast("binary"), 256)
 
 
+def _refusal(spec: Spec) -> Column:
+    """Why a decision can't be executed; null if it can."""
+    tests = {
+        "unknown_action": F.col("action").isin(*(a.key for a in spec.actions)),
+        "unknown_venue": F.col("exchange").isNull() | F.col("exchange").isin(*spec.exchanges),
+        "unknown_size_band": F.col("size_band").isin(*(b.key for b in spec.size_bands)),
+        "unknown_leverage_band": F.col("leverage_band").isin(*(b.key for b in spec.leverage_bands)),
+        "unknown_symbol": F.col("symbol").isin(*spec.symbols),
+    }
+    return F.coalesce(*(F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in tests.items()))
+
+
+def rejected_intents(decisions: DataFrame, spec: Spec) -> DataFrame:
+    """Decisions that name an action, venue, band or symbol the contract does not have, with the first reason."""
+    return decisions.withColumn("reason", _refusal(spec)).where(F.col("reason").isNotNull())
+
+
 def intents(decisions: DataFrame, bands: DataFrame, spec: Spec, ttl_seconds: int = 60) -> DataFrame:
-    """Execution intents: venue falls back to the first allowed one, bands to their lower bounds, ids by hash."""
+    """Execution intents: venue falls back to the first allowed one, bands to their lower bounds, ids by hash.
+
+    Decisions that the contract does not know give none; `rejected_intents` has them.
+    """
+    decisions = decisions.where(_refusal(spec).isNull())
     sizes = bands.where("kind = 'size'").select(F.col("band").alias("size_band"), F.col("lower").alias("size_lower"))
     leverages = bands.where("kind = 'leverage'").select(F.col("band").alias("leverage_band"), F.col("lower").alias("leverage_lower"))
     rows = decisions.join(F.broadcast(sizes), "size_band", "left").join(F.broadcast(leverages), "leverage_band", "left")
     artifact = F.concat(F.lit("artifact-"), "policy_id")
-    stamp = F.col("slot").cast("string")
+    stamp = slot_time(F.col("slot"))
     trace = F.concat(F.lit("selector-"), F.substring(canonical_hash(artifact_id=artifact, decision_timestamp=stamp, target_symbol=F.col("symbol"), action_key=F.col("action"), venue=F.col("exchange")), 1, 12))
     rows = rows.withColumn("selector_trace_id", trace)
     whole = canonical_hash(policy_id=F.col("policy_id"), artifact_id=artifact, decision_timestamp=stamp, target_symbol=F.col("symbol"), action_key=F.col("action"), selector_trace_id=F.col("selector_trace_id"))

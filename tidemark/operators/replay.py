@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import dims
 from tidemark.functions.specs import Spec
+from tidemark.operators.rewards import liquid
 
 STEP = ["split", "symbol", "slot"]
 
 
-def apply_decisions(decisions: DataFrame, rewards: DataFrame, cells: DataFrame, spec: Spec) -> DataFrame:
+def slot_time(slot: Column) -> Column:
+    """A slot as an ISO time in UTC, whatever the time zone of the session."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.floor(slot / 24).cast("int"))
+    return F.concat(day.cast("string"), F.lit("T"), F.lpad(F.pmod(slot, F.lit(24)).cast("string"), 2, "0"), F.lit(":00:00Z"))
+
+
+def apply_decisions(decisions: DataFrame, rewards: DataFrame, venues: DataFrame, spec: Spec) -> DataFrame:
     """Takes a decision (policy_id, STEP, action, exchange, size_band, leverage_band) if its reward exists, is
-    applicable and its exact cell is feasible; else forces abstaining, with the penalty in its net."""
+    applicable and its exact cell is feasible; else forces abstaining, with the penalty in its net.
+
+    A cell is feasible if the contract has its action and bands and its venue is liquid then, so the venues are joined
+    and not the product of all cells."""
     own = rewards.select(*STEP, "action", "exchange", "applicable", "gross", "fee", "slippage", "funding", "risk", F.col("net").alias("reward_net"))
-    ok_cells = cells.select("slot", "symbol", "action", "exchange", "size_band", "leverage_band", "feasible")
-    joined = decisions.join(own, [*STEP, "action", "exchange"], "left").join(ok_cells, ["slot", "symbol", "action", "exchange", "size_band", "leverage_band"], "left")
+    traded = venues.select("slot", "symbol", "exchange", liquid().alias("liquid"))
+    joined = decisions.join(own, [*STEP, "action", "exchange"], "left").join(traded, ["slot", "symbol", "exchange"], "left")
+    known = F.col("action").isin(*(a.key for a in spec.actions)) & F.col("size_band").isin(*(b.key for b in spec.size_bands)) & F.col("leverage_band").isin(*(b.key for b in spec.leverage_bands))
     abstains = F.col("action") == "abstain"
-    ok = abstains | (F.coalesce("applicable", F.lit(False)) & F.coalesce("feasible", F.lit(False)))
+    ok = abstains | (F.coalesce("applicable", F.lit(False)) & F.coalesce(F.col("liquid") & known, F.lit(False)))
     taken = ok & ~abstains
     part = lambda c: F.when(taken, F.col(c)).otherwise(0.0).alias(c)
     return joined.select(
@@ -81,7 +92,7 @@ def action_counts(rows: DataFrame, spec: Spec) -> DataFrame:
 
 def infeasible_notes(rows: DataFrame) -> DataFrame:
     """policy_id, split, slot, symbol, note of every infeasible decision."""
-    note = F.concat_ws(":", F.lit("infeasible"), "action", F.col("slot").cast("string"))
+    note = F.concat_ws(":", F.lit("infeasible"), "action", slot_time(F.col("slot")))
     return rows.where("infeasible").select("policy_id", "split", "slot", "symbol", note.alias("note"))
 
 

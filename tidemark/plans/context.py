@@ -123,7 +123,7 @@ class Context:
 
     @cached_property
     def applied(self) -> DataFrame:
-        return replay.apply_decisions(self.decisions, self.rewards, self.feasibility, self.spec)
+        return replay.apply_decisions(self.decisions, self.rewards, self.venues, self.spec)
 
     @cached_property
     def replayed(self) -> DataFrame:

@@ -86,10 +86,10 @@ def _rows(c: Context) -> DataFrame:
 def _validator(c: Context, rows: DataFrame, split: str) -> Callable[[dict], DataFrame]:
     """Replays weight sets on `rows` (fold, split, symbol, slot, v); each fold is a trajectory of its own."""
     rows = materialize(rows, "validation-rows")
-    rewards, feasible = c.rewards.where(F.col("split") == split), c.feasibility
+    rewards = c.rewards.where(F.col("split") == split)
 
     def validate(sets: dict) -> DataFrame:
-        applied = replay.apply_decisions(policy.decide_all(rows, sets, c.spec), rewards, feasible, c.spec)
+        applied = replay.apply_decisions(policy.decide_all(rows, sets, c.spec), rewards, c.venues, c.spec)
         own = rows.select("split", "symbol", "slot").distinct().withColumn("trajectory_id", F.col("symbol"))
         return replay.score_card(replay.reports(replay.replay(applied, own, c.spec))).select("policy_id", "n_steps", "total_net_return", "composite")
 

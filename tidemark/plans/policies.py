@@ -19,9 +19,10 @@ from tidemark.plans.twins import twin
 from tidemark.session import local_table, materialize
 
 _JSON = lambda parts: "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in sorted(parts.items())) + " || '}'"
+_ISO = "strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(slot AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ')"
 _Q = lambda x: f"coalesce('\"' || {x} || '\"', 'null')"
-_TRACE = _JSON({"artifact_id": _Q("'artifact-' || policy_id"), "decision_timestamp": _Q("CAST(slot AS VARCHAR)"), "target_symbol": _Q("symbol"), "action_key": _Q("action"), "venue": _Q("exchange")})
-_INTENT = _JSON({"policy_id": _Q("policy_id"), "artifact_id": _Q("'artifact-' || policy_id"), "decision_timestamp": _Q("CAST(slot AS VARCHAR)"), "target_symbol": _Q("symbol"), "action_key": _Q("action"), "selector_trace_id": _Q("t")})
+_TRACE = _JSON({"artifact_id": _Q("'artifact-' || policy_id"), "decision_timestamp": _Q(_ISO), "target_symbol": _Q("symbol"), "action_key": _Q("action"), "venue": _Q("exchange")})
+_INTENT = _JSON({"policy_id": _Q("policy_id"), "artifact_id": _Q("'artifact-' || policy_id"), "decision_timestamp": _Q(_ISO), "target_symbol": _Q("symbol"), "action_key": _Q("action"), "selector_trace_id": _Q("t")})
 
 
 @query(twin(f"SELECT policy_id, split, symbol, CAST(slot AS BIGINT) AS slot, action, coalesce(exchange, 'binance') AS venue, CASE WHEN action = 'abstain' THEN 0.0 ELSE 0.01 END::DOUBLE AS notional_or_size, CASE WHEN action = 'abstain' THEN 0.0 ELSE 1.0 END::DOUBLE AS leverage, CAST(60 AS BIGINT) AS ttl_seconds, round(confidence, 9) AS confidence, t AS selector_trace_id, 'intent-' || substr(sha256({_INTENT}), 1, 12) AS intent_id FROM (SELECT *, 'selector-' || substr(sha256({_TRACE}), 1, 12) AS t FROM dec)"))
@@ -117,7 +118,7 @@ def i5_action_counts(c: Context) -> DataFrame:
     return replay.action_counts(c.replayed, c.spec)
 
 
-@query(twin("SELECT policy_id, split, CAST(slot AS BIGINT) AS slot, symbol, 'infeasible:' || action || ':' || CAST(slot AS VARCHAR) AS note FROM app WHERE infeasible"))
+@query(twin(f"SELECT policy_id, split, CAST(slot AS BIGINT) AS slot, symbol, 'infeasible:' || action || ':' || {_ISO} AS note FROM app WHERE infeasible"))
 def i6_infeasible_notes(c: Context) -> DataFrame:
     return replay.infeasible_notes(c.applied).select("policy_id", "split", *L("slot"), "symbol", "note")
 
