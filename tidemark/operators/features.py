@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tidemark.functions import dims
 from tidemark.functions.specs import FIELDS_BY_STREAM, Spec
+from tidemark.operators.asof import flat_index
+from tidemark.operators.derived import derived_contract
+from tidemark.session import local_table
 
 BLOCKS = ("value", "age_s", "padding", "unavailable", "missing", "stale")
 
@@ -25,6 +30,31 @@ def dense_blocks(cube: DataFrame) -> DataFrame:
     return stacked.groupBy("slot", "b.block").agg(F.transform(rows, lambda r: r.x).alias("values"))
 
 
+def flat_features(cube_rows: DataFrame, spreads: DataFrame, moves: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """The canonical flat vector in a long form: (slot, position, x) of what all targets of a slot share, where it is not zero,
+    and (slot, symbol, position, x) of the few values of a target's own.
+
+    First come the scales, each with its six blocks over the dense layout; then the derived channels of the target by key; last the
+    target's share of the axis. Places of the dense layout that no stream and field pair has are not stored.
+    """
+    spark = cube_rows.sparkSession
+    per_bucket = len(spec.symbols) * len(spec.exchanges) * len(FIELDS_BY_STREAM) * sum(map(len, FIELDS_BY_STREAM.values()))
+    sizes = [s.buckets * per_bucket for s in spec.scales]
+    starts = local_table(spark, [(i, len(BLOCKS) * sum(sizes[:i]), sizes[i]) for i in range(len(sizes))], "scale_idx int, first long, cells long")
+    placed = flat_index(spec, dims.field_catalog(spark), cube_rows).join(F.broadcast(starts), "scale_idx")
+    blocks = F.array(*(F.struct((F.col("first") + i * F.col("cells") + F.col("flat_idx")).cast("long").alias("position"), F.col(b).cast("double").alias("x")) for i, b in enumerate(BLOCKS)))
+    shared = placed.select("slot", F.explode(F.filter(blocks, lambda b: b.x != 0)).alias("b")).select("slot", "b.position", "b.x")
+    raw = len(BLOCKS) * sum(sizes)
+    keys = derived_contract(spark, spec).select(F.col("target").alias("symbol"), "key")
+    keys = keys.withColumn("position", (F.row_number().over(Window.partitionBy("symbol").orderBy("key")) + raw - 1).cast("long"))  # a few keys of the contract
+    spread = spreads.select("slot", "symbol", "key", F.col("value").alias("x"))
+    move = moves.select("slot", F.col("target").alias("symbol"), F.concat(F.lit("relative_move_"), "target", F.lit("_vs_"), "other").alias("key"), F.col("value").alias("x"))
+    channels = spread.unionByName(move).join(F.broadcast(keys), ["symbol", "key"]).select("slot", "symbol", "position", "x")
+    index = dims.symbols(spark, spec).select("symbol", F.lit(feature_dim(spec) - 1).cast("long").alias("position"), (F.col("symbol_idx") / len(spec.symbols)).alias("x"))
+    last = cube_rows.select("slot").distinct().crossJoin(F.broadcast(index)).select("slot", "symbol", "position", "x")
+    return shared, channels.unionByName(last)
+
+
 def narrow_features(best: DataFrame, spreads: DataFrame, moves: DataFrame, steps: DataFrame, spec: Spec) -> DataFrame:
     """split, symbol, slot, name, x: best price, venue spreads, relative moves, and the target's share of the axis."""
     price = best.select("slot", "symbol", F.lit("best_price").alias("name"), F.coalesce("best_price", F.lit(0.0)).alias("x"))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.specs import DEFAULT
 from tidemark.operators import derived, episodes, features, policy, replay
 from tidemark.plans.context import THRESHOLDS, Context
 from tidemark.plans.market import L, R
@@ -39,6 +40,29 @@ def e1_dense_blocks(c: Context) -> DataFrame:
     return features.dense_blocks(c.cube)
 
 
+_N = [s.buckets * 4 * 3 * 5 * 21 for s in DEFAULT.scales]
+_B = ("value", "age_s", "CAST(padding AS DOUBLE)", "CAST(unavailable AS DOUBLE)", "CAST(missing AS DOUBLE)", "CAST(stale AS DOUBLE)")
+_FLAT = {
+    "plc": f"SELECT slot, CASE scale_idx WHEN 0 THEN 0 ELSE {6 * _N[0]} END AS first, CASE scale_idx WHEN 0 THEN {_N[0]} ELSE {_N[1]} END AS n, (((bucket * 4 + symbol_idx) * 3 + exchange_idx) * 5 + stream_idx) * 21 + off AS pl, {', '.join(f'{b} AS b{i}' for i, b in enumerate(_B))} FROM cube JOIN (SELECT stream AS st, field AS fi, row_number() OVER (ORDER BY stream_idx, field_idx) - 1 AS off FROM cat) o ON stream = st AND field = fi",
+    "raw": f"SELECT slot, sum({' + '.join(f'CAST(b{i} <> 0 AS INTEGER)' for i in range(6))}) AS filled, sum({' + '.join(f'b{i}' for i in range(6))}) AS total, sum({' + '.join(f'b{i} * (first + {i} * n + pl)' for i in range(6))}) AS placed FROM plc GROUP BY ALL",
+    "chn": f"SELECT slot, symbol, {6 * sum(_N)} + row_number() OVER (PARTITION BY slot, symbol ORDER BY key) - 1 AS pl, x FROM (SELECT a.slot, a.symbol, 'venue_pair_mark_price_spread_' || a.exchange || '_' || b.exchange AS key, coalesce(a.mark - b.mark, 0) AS x FROM venue a JOIN venue b USING (slot, symbol) WHERE a.exchange < b.exchange UNION ALL SELECT slot, symbol, 'relative_move_' || symbol || '_vs_' || other, x FROM mv)",
+    "own": f"SELECT slot, symbol, CAST(x <> 0 AS INTEGER) AS f, x, x * pl AS p FROM chn UNION ALL SELECT slot, symbol, CAST(symbol_idx > 0 AS INTEGER), symbol_idx / 4, symbol_idx / 4 * {6 * sum(_N) + 6} FROM (SELECT DISTINCT slot FROM slices), sym",
+}
+
+
+@query(twin(f"SELECT CAST(r.slot AS BIGINT) AS slot, symbol, CAST({6 * sum(_N) + 7} AS BIGINT) AS width, CAST(filled + sum(f) AS BIGINT) AS filled, round(total + sum(x), 2) AS total, round((placed + sum(p)) / 1e9, 6) AS placed FROM raw r JOIN own USING (slot) GROUP BY r.slot, symbol, filled, total, placed", _FEATURES | _FLAT))
+def e1_flat_vector(c: Context) -> DataFrame:
+    """The canonical flat vector of every slot and target: its width, the values other than zero, their sum, and the sum by place."""
+    shared, own = features.flat_features(c.cube, derived.venue_spreads(c.venues, c.spec), derived.relative_moves(c.best), c.spec)
+    sums = lambda rows, by: rows.groupBy(*by).agg(F.count_if(F.col("x") != 0).alias("filled"), F.sum("x").alias("total"), F.sum(F.col("x") * F.col("position")).alias("placed"))
+    a = sums(shared, ("slot",))
+    b = sums(own, ("slot", "symbol")).select("slot", "symbol", *(F.col(x).alias(f"own_{x}") for x in ("filled", "total", "placed")))
+    return a.join(b, "slot").select(
+        *L("slot"), "symbol", F.lit(features.feature_dim(c.spec)).cast("long").alias("width"), (F.col("filled") + F.col("own_filled")).alias("filled"),
+        F.round(F.col("total") + F.col("own_total"), 2).alias("total"), F.round((F.col("placed") + F.col("own_placed")) / 1e9, 6).alias("placed"),
+    )
+
+
 @query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot, count(*) AS width, count(*) = 8 AS as_expected FROM ft GROUP BY ALL", _FEATURES))
 def e2_feature_dim(c: Context) -> DataFrame:
     """Width of every step's vector: a price, three spreads, moves (as many as the step has), and the target."""
