@@ -22,6 +22,7 @@ from tidemark.llm.common import materialize
 
 WINDOW = 5
 SHARE = 0.8
+BROADCAST_PLACES = 1_000_000  # of windows: some ten MB
 # Units that may follow a number.
 UNITS = "kg|km|cm|mm|mg|ml|kwh|mph|km/h|usd|eur|gb|mb|kb|hours|hour|minutes|minute|seconds|days|day|weeks|years|miles|meters|litres|percent|dollars|euros"
 NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
@@ -137,8 +138,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
     with_slots = hits.join(likely.select("doc", "item"), ["doc", "item"], "left_semi").withColumn("diagonal", F.col("dpos") + 1 - F.col("ipos"))
     asked = materialize(with_slots.where(F.col("n_slots") > 0), "slot-windows")
     # Of a document's tokens only the windows asked for are sent on.
-    places = asked.groupBy("doc").agg(F.collect_set("dpos").alias("places"))
-    raw = texts.join(places, "doc").select("doc", "places", raw_tokens(F.col("text")).alias("raw"))
+    places = materialize(asked.groupBy("doc").agg(F.collect_set("dpos").alias("places")), "asked-places")
+    few = (places.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
+    raw = texts.join(F.broadcast(places) if few else places, "doc").select("doc", "places", raw_tokens(F.col("text")).alias("raw"))
     there = F.transform("places", lambda at: F.struct(at.alias("dpos"), F.slice("raw", at + 1, F.lit(size)).alias("there")))
     slices = raw.select("doc", F.explode(there).alias("x")).select("doc", "x.dpos", "x.there")
     values = (
