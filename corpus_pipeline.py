@@ -20,6 +20,7 @@ from tidemark.llm.common import materialize, read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_POSTERIOR = 0.5
+BROADCAST_IDS = 1_000_000  # some ten MB
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +36,18 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose ids are not in `ids`, which are broadcast if they are counted to be few; rows without an id stay."""
+    ids = materialize(ids.select("doc_id").distinct(), "removed-ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(docs, near_dedup.near_duplicates(docs).where(~F.col("kept")))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(docs, decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +62,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: No stage but the fourth can be said in SQL; tests/llm compares run() with a brute-force version.
+#: The stages can't be said in SQL; tests/llm compares each, and run(), with a plain version.
 ORACLE_SQL = None
 
 
