@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.specs import DEFAULT
-from tidemark.operators import derived, episodes, features, policy, replay
+from tidemark.operators import derived, episodes, features, policy, replay, rewards
 from tidemark.plans.context import THRESHOLDS, Context
 from tidemark.plans.market import L, R
 from tidemark.plans.registry import query
 from tidemark.plans.twins import twin
-from tidemark.session import local_table, materialize
+from tidemark.session import local_table, materialize, new_path
 
 _FEATURES = {
     "mv": "SELECT a.slot, a.symbol, b.symbol AS other, CASE WHEN b.best_price <> 0 THEN coalesce((a.best_price - b.best_price) / b.best_price, 0) ELSE 0 END AS x FROM best a JOIN best b USING (slot) WHERE a.symbol <> b.symbol",
@@ -81,6 +81,23 @@ def e4_standardize(c: Context) -> DataFrame:
     return features.standardize(rows, features.train_statistics(rows)).select("split", "symbol", *L("slot"), "name", R("z", 6))
 
 
+@query(twin("SELECT split, count(*) AS steps, count(w) AS vectors, CAST(sum(w) AS BIGINT) AS numbers, count(*) FILTER (place = 0) AS starts, count(DISTINCT trajectory_id) AS records, count(*) FILTER (f) AS open_steps, count(*) FILTER (l.action <> 'abstain') AS trades, count(*) = count(w) AND count(*) FILTER (place = 0) = count(DISTINCT trajectory_id) AS aligned FROM epi JOIN lab l USING (split, symbol, slot) LEFT JOIN (SELECT split, symbol, slot, count(*) AS w FROM ft GROUP BY ALL) v USING (split, symbol, slot) LEFT JOIN (SELECT slot, symbol, bool_or(feasible) AS f FROM feas WHERE action = 'enter_long' GROUP BY ALL) m USING (slot, symbol) GROUP BY ALL", _FEATURES))
+def a10_training_sink(c: Context) -> DataFrame:
+    """What training reads, written by split: vector, feasible actions, label, time and start of an episode; counted after reading it again."""
+    vectors = features.vectors(_features(c).withColumn("z", F.col("x")))
+    masks = rewards.feasible_masks(c.feasibility).groupBy("slot", "symbol").agg(F.collect_set(F.when(F.col("feasible"), F.col("action"))).alias("open_actions"))
+    labels = c.labels.select("split", "symbol", "slot", F.col("action").alias("label"))
+    rows = c.episodes.join(labels, ["split", "symbol", "slot"]).join(vectors, ["split", "symbol", "slot"], "left").join(masks, ["slot", "symbol"], "left")
+    path = new_path(c.spark, "training-sink")
+    rows.withColumn("time", replay.slot_time(F.col("slot"))).withColumn("starts", F.col("place") == 0).write.partitionBy("split").parquet(path)
+    read = c.spark.read.parquet(path)
+    found = read.groupBy("split").agg(
+        F.count("*").alias("steps"), F.count("v").alias("vectors"), F.sum(F.size("v")).cast("long").alias("numbers"), F.count_if("starts").alias("starts"),
+        F.countDistinct("trajectory_id").alias("records"), F.count_if(F.array_contains("open_actions", "enter_long")).alias("open_steps"), F.count_if(F.col("label") != "abstain").alias("trades"),
+    )
+    return found.withColumn("aligned", (F.col("steps") == F.col("vectors")) & (F.col("starts") == F.col("records")))
+
+
 WIDTH = 8
 GRID = ((7, 11), (0.05, 0.1), (1e-4,))
 
@@ -110,10 +127,10 @@ def _rows(c: Context) -> DataFrame:
 def _validator(c: Context, rows: DataFrame, split: str) -> Callable[[dict], DataFrame]:
     """Replays weight sets on `rows` (fold, split, symbol, slot, v); each fold is a trajectory of its own."""
     rows = materialize(rows, "validation-rows")
-    rewards = c.rewards.where(F.col("split") == split)
+    known = c.rewards.where(F.col("split") == split)
 
     def validate(sets: dict) -> DataFrame:
-        applied = replay.apply_decisions(policy.decide_all(rows, sets, c.spec), rewards, c.venues, c.spec)
+        applied = replay.apply_decisions(policy.decide_all(rows, sets, c.spec), known, c.venues, c.spec)
         own = rows.select("split", "symbol", "slot").distinct().withColumn("trajectory_id", F.col("symbol"))
         return replay.score_card(replay.reports(replay.replay(applied, own, c.spec))).select("policy_id", "n_steps", "total_net_return", "composite")
 
