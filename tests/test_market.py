@@ -204,6 +204,20 @@ def test_gate_order_and_nulls(spark):
         records.gate(evidence, {})
 
 
+def test_gate_reads_its_evidence_from_the_data(spark, context):
+    from tidemark.plans import records as registered
+
+    good = registered._evidence(context).first()
+    assert all(good[c] for c in good.asDict())
+    c = Context(spark, SF)
+    c.reports, c.scores, c.applied, c.cells = context.reports, context.scores, context.applied, context.cells
+    c.state = context.state.withColumn("e_us", F.col("e_us") + 10 * PITCH_US)
+    found = registered._evidence(c).first()
+    assert not found["no_future_features"] and found["time_ordered"] and found["apart"]
+    failures = [r["failures"] for r in registered.l6_promotion_gate(c).collect()]
+    assert failures and all("leakage.no_future_features" in f for f in failures)
+
+
 def test_contract_gate_sees_every_event(spark):
     pairs = [(r["exchange"], r["stream"]) for r in dims.availability(spark, DEFAULT).where("available").collect()]
     rows = [(7 * i + 1, *pair) for i, pair in enumerate(pairs) if pair != ("okx", "trade")] + [(3, "binance", "open_interest")]

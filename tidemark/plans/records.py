@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tidemark.functions import dims
+from tidemark.functions.specs import PITCH_US
 from tidemark.operators import records
 from tidemark.plans.context import Context
+from tidemark.plans.learning import _fold_scores
 from tidemark.plans.market import L, R
 from tidemark.plans.registry import query
 from tidemark.plans.twins import twin
@@ -85,6 +89,31 @@ def l5_paper_linkage(c: Context) -> DataFrame:
     return records.paper_violations(now, paper, compared)
 
 
+def _evidence(c: Context) -> DataFrame:
+    """One row: what the data itself says on splits and leakage, each from an aggregate over the tables that the check is about."""
+    spec = c.spec
+    order = Window.orderBy("validation_first")  # as few rows as the folds
+    folds = c.folds.withColumn("_before", F.lag("validation_last").over(order)).agg(
+        F.bool_and(F.col("train_last") < F.col("validation_first")).alias("time_ordered"),
+        F.bool_and(F.col("purge_before") <= F.col("validation_first") - spec.purge).alias("purged"),
+        F.coalesce(F.bool_and(F.col("validation_first") - F.col("_before") > spec.embargo), F.lit(True)).alias("embargoed"),
+        (F.count("*") > 0).alias("walkforward"),
+    )
+    ends = F.broadcast(dims.splits(c.spark, spec))
+    per_symbol = c.steps.join(ends, "split").groupBy("split", "symbol").agg(
+        (F.count_distinct("slot") == F.max("slot") - F.min("slot") + 1).alias("whole"), (F.max("slot") <= F.max("last_slot") - spec.horizon).alias("ends_before")
+    )
+    splits = per_symbol.agg(F.bool_and("whole").alias("not_random"), F.bool_and("ends_before").alias("no_future_reward"))
+    apart = c.steps.where("split <> 'development'").groupBy("symbol", "slot").agg(F.count("*").alias("n")).agg((F.max("n") == 1).alias("apart"))
+    state = c.state.agg(F.coalesce(F.bool_and(F.col("e_us") <= F.col("slot") * PITCH_US), F.lit(True)).alias("no_future_features"))
+    masks = c.cells.agg(F.bool_and(F.col("age_s") >= 0).alias("no_future_masks"))
+    used = _fold_scores(c).agg(F.coalesce(F.sum("n_steps"), F.lit(0)).alias("searched"))
+    one = folds
+    for row in (splits, apart, state, masks, used):
+        one = one.crossJoin(F.broadcast(row))  # one row each
+    return one
+
+
 _FAILS = "concat_ws(',', CASE WHEN total_net_return <= 0 THEN 'economics.post_cost_positive' END, CASE WHEN status <> 'champion' AND c.comparison_id IS NULL THEN 'comparison.same_surface,comparison.report_attached,comparison.beats_champion' WHEN status <> 'champion' AND delta <= 0 THEN 'comparison.beats_champion' END, CASE WHEN status <> 'champion' AND c.comparison_id IS NULL THEN 'comparison.paper_sim_linkage_consistent' END, CASE WHEN NOT readable THEN 'artifacts.training_artifact_exists' END)"
 
 
@@ -93,9 +122,25 @@ def l6_promotion_gate(c: Context) -> DataFrame:
     """All checks of the gate for every scored policy."""
     now, latest = _now(c), _latest(c)
     compared = records.comparisons(now, latest).select("policy_id", "comparison_id", "delta")
-    evidence = now.join(latest.select("policy_id", "total_net_return"), "policy_id").join(compared, "policy_id", "left")
+    reported = c.reports.groupBy("policy_id").agg(F.count("*").alias("n_reports"), F.sum("n_steps").alias("n_reported"))
+    evidence = now.join(latest.select("policy_id", "total_net_return", "n_scores"), "policy_id").join(compared, "policy_id", "left").join(reported, "policy_id", "left")
+    evidence = evidence.crossJoin(F.broadcast(_evidence(c)))
     champion, linked, yes = F.col("status") == "champion", F.col("comparison_id").isNotNull(), F.lit(True)
+    # What is about programs and artifacts, of which the data says nothing, holds here.
     checks = {name: yes for name in records.GATE} | {
+        "split.time_ordered": F.col("time_ordered"),
+        "split.no_random_split": F.col("not_random"),
+        "split.walkforward_documented": F.col("walkforward"),
+        "split.purge_applied": F.col("purged"),
+        "split.embargo_applied": F.col("embargoed"),
+        "leakage.no_future_features": F.col("no_future_features"),
+        "leakage.no_future_masks": F.col("no_future_masks"),
+        "leakage.no_future_reward": F.col("no_future_reward"),
+        "leakage.no_cross_split_contamination": F.col("apart"),
+        "search_budget.recorded": F.col("searched") > 0,
+        "comparison.not_one_lucky_slice_only": champion | (F.col("n_scores") > 1),
+        "artifacts.evaluation_report_exists": F.coalesce("n_reports", F.lit(0)) > 0,
+        "repro.config_recorded": (F.col("surface") != "") & (F.col("train_window") != ""),
         "registry.scored_candidate_exists": F.col("total_net_return").isNotNull(),
         "economics.post_cost_positive": F.col("total_net_return") > 0,
         "comparison.same_surface": champion | linked,
