@@ -28,19 +28,43 @@ def _docs(spark, rows):
 EDGES = [(1, None), (2, ""), (3, "   "), (4, "the same words again and again in this long enough line of text"), (5, "the same words again and again in this long enough line of text"), (6, "ab " * 30_000), (7, "a" * 50_000), (None, "no id here, but a text that is long enough to be compared")]
 
 
-@pytest.mark.parametrize("rows", [EDGES, []])
-def test_edge_cases_keep_every_row(spark, rows):
-    docs = _docs(spark, rows)
+def test_edge_cases_keep_every_row_of_an_empty_table(spark):
+    docs, labels = _docs(spark, []), spark.createDataFrame([], "doc_id long, quality int")
+    benchmark = spark.createDataFrame([], "item_id long, text string")
+    for found in (token_counts.token_counts(docs, PIECES), near_dedup.near_duplicates(docs), line_dedup.dedup_lines(docs), decontaminate.decontaminate(docs, benchmark), pii.pseudonymize(docs, "k"), quality.quality(docs, labels), language_id.language_id(docs, PIECES), packing.pack(docs, WORDS)):
+        assert found.count() == 0
+
+
+def test_edge_cases_have_defined_results(spark):
+    rows = [*EDGES, EDGES[3]]  # null, empty and very long texts, equal texts, a repeated row, a null id, columns with clashing names
+    docs, text = _docs(spark, rows), dict(EDGES)
     labels = spark.createDataFrame([(4, 1), (6, 0), (None, None)], "doc_id long, quality int")
-    benchmark = spark.createDataFrame([(1, None), (2, "short"), (None, "x")], "item_id long, text string")
-    assert token_counts.token_counts(docs, PIECES).count() == len(rows)
-    assert near_dedup.near_duplicates(docs).count() == len(rows)
-    assert line_dedup.dedup_lines(docs).count() == len(rows)
-    assert decontaminate.decontaminate(docs, benchmark).count() == len(rows)
-    assert pii.pseudonymize(docs, "k").count() == len(rows)
-    assert quality.quality(docs, labels).count() == len(rows)
-    assert language_id.language_id(docs, PIECES).count() == len(rows)
-    assert packing.pack(docs, WORDS).select("doc_id", "piece").where("piece = 0").count() == len(rows)
+    benchmark = spark.createDataFrame([(1, None), (2, "short"), (None, "x"), (3, text[4]), (3, text[4])], "item_id long, text string")
+
+    def by_id(found, *columns):
+        out = collections.defaultdict(list)
+        for r in found.collect():
+            out[r["doc_id"]].append(tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]])
+        assert sum(map(len, out.values())) == len(rows)
+        return out
+
+    counts = by_id(token_counts.token_counts(docs, PIECES), "n_bytes", "n_tokens", "over_limit")
+    assert counts[1] == counts[2] == [(0, 0, False)] and counts[6][0][2] and counts[4][0] == counts[5][0] and len(counts[4]) == 2
+    classes = by_id(near_dedup.near_duplicates(docs), "class_id", "kept")
+    assert classes[1] == [(1, True)] and classes[4] == [(4, True)] * 2 and classes[5] == [(4, False)] and classes[None] == [(None, True)]
+    lines = by_id(line_dedup.dedup_lines(docs), "text", "n_lines", "n_removed")
+    assert lines[1] == [(None, 0, 0)] and lines[2] == [("", 1, 0)] and lines[5] == [("", 1, 1)] and lines[7] == [(text[7], 1, 0)] and lines[None] == [(text[None], 1, 0)]
+    found = by_id(decontaminate.decontaminate(docs, benchmark), "contaminated", "n_items", "item_ids", "coverage")
+    assert found[4] == [(True, 1, "3", 1.0)] * 2 and found[1] == found[2] == found[6] == found[None] == [(False, 0, "", 0.0)]
+    moved = by_id(pii.pseudonymize(docs, "k"), "text", "n_replaced")
+    assert moved == {i: [(t, 0)] * (2 if i == 4 else 1) for i, t in EDGES}
+    judged = by_id(quality.quality(docs, labels), "score", "predicted")
+    assert all(0 <= s <= 1 and p == (s >= 0.3) for x in judged.values() for s, p in x) and judged[1] == judged[2]
+    spoken = by_id(language_id.language_id(docs, PIECES), "lang_pred", "score")
+    assert all(x == ("und", 0.0) for v in spoken.values() for x in v)  # nothing is labelled, so no language is known
+    packed = packing.pack(docs, WORDS).collect()
+    assert {(r["doc_id"], r["length"]) for r in packed if r["doc_id"] in (1, 2)} == {(1, 1), (2, 1)}
+    assert sum(r["piece"] == 0 for r in packed) == len(rows) and sum(r["doc_id"] == 4 for r in packed) == 2
 
 
 def test_token_counts_equal_the_library(spark, monkeypatch):
