@@ -21,9 +21,16 @@ from tidemark.llm.common import materialize, read_table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_POSTERIOR = 0.5
 BROADCAST_IDS = 1_000_000  # some ten MB
+PYTHON_ROWS = 1_000  # texts that a Python worker of a stage gets at a time
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """A setting of the session: a stage's result is computed after the stage has returned, so it can't be set back here."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PYTHON_ROWS))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     models = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
     # doc_id is carried by the operator itself
     found = language_id.predict(docs, models, carry=COLUMNS[1:])
@@ -51,6 +58,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
