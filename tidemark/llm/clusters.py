@@ -164,7 +164,8 @@ def _moved(blocks: DataFrame, centroids: np.ndarray) -> np.ndarray:
                 total[k] += wide.sum(axis=0)
                 count[k] += len(own)
         used = np.flatnonzero(count)
-        yield pd.DataFrame({"cluster": used, "n": count[used], "total": [[str(x) for x in total[k]] for k in used]})
+        if len(used):
+            yield pd.DataFrame({"cluster": used, "n": count[used], "total": [[str(x) for x in total[k]] for k in used]})
 
     parts = blocks.select("ids", "type", "cells", "low", "high").mapInPandas(sums, "cluster int, n long, total array<string>")
     each = parts.select("cluster", "n", F.posexplode("total").alias("place", "x"))
