@@ -8,7 +8,7 @@ word's count less a discount (estimated from the words seen once and twice), and
 so the probabilities of all texts add up to one. The pieces are fitted to the distinct words, as it is new words that they are for.
 
 Beside it stands the plain unigram of words. Words whose share of the corpus is at least one in `FREQUENT` are as few as that
-and go to every task; a document's other words meet their counts in a join, with the logarithm of their segmentations.
+and go to every task; a document's other words meet their counts and scores, which are made once for each distinct word, in a join.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ MARK = b" "  # no word holds one
 END = b""  # the end of a text, as a token
 FREQUENT, FREQUENT_BYTES = 100_000, 64
 LONG = 64  # bytes; longer words are summed one at a time
-KEEP_WORDS = 200_000
 SLOTS = 22
 SMOOTHING = 0.1
 
@@ -159,9 +158,8 @@ class Lattice:
                 for start in range(length - 1, -1, -1):
                     some = [behind[end] + self.logs[arcs[start, end]] for end in range(start + 1, min(length, start + self.longest) + 1) if (start, end) in arcs]
                     behind[start] = _log_sum(np.array(some)) if some else np.full(len(own), -np.inf)
-                for (start, end), piece in arcs.items():
-                    share = np.exp(ahead[start] + self.logs[piece] + behind[end] - ahead[-1])
-                    total += np.bincount(piece, weights=share * counts[own], minlength=len(total))
+                shares = [np.exp(ahead[start] + self.logs[piece] + behind[end] - ahead[-1]) * counts[own] for (start, end), piece in arcs.items()]
+                total += np.bincount(np.concatenate(list(arcs.values())), weights=np.concatenate(shares), minlength=len(total))
         return total[:-1]
 
     def _expected_long(self, word: bytes, n: float, total: np.ndarray) -> None:
@@ -190,19 +188,39 @@ def held_out_tenth(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(True))
 
 
-def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """word (binary), n over all rows; the end counts once for each row. Tasks count by batch before anything is shuffled."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word (binary), n of (text, held_out): how often a word stands in the rows that are learned from, 0 for words of the others only.
+
+    The end counts once for each row. Tasks count by batch before anything is shuffled.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in filter(len, batches):
             found: Counter = Counter()
-            for text in batch["text"]:
-                found.update(words_of(text))
-            found[END] += len(batch)
+            for text, other in zip(batch["text"], batch["held_out"], strict=True):
+                if other:
+                    found.update(dict.fromkeys(words_of(text), 0))
+                    found[END] += 0
+                else:
+                    found.update(words_of(text))
+                    found[END] += 1
             yield pd.DataFrame({"word": list(found), "n": list(found.values())})
 
-    raw = texts.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return raw.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _gathered(batches: Iterator[pd.DataFrame], rows: int = 50_000, size: int = 4_000_000) -> Iterator[list[bytes]]:
+    """Words of several batches together, so that many of one length are summed at once."""
+    held, length = [], 0
+    for batch in batches:
+        for word in batch["word"]:
+            held.append(word)
+            length += len(word)
+            if len(held) >= rows or length >= size:
+                yield held
+                held, length = [], 0
+    if held:
+        yield held
 
 
 def fit_pieces(counts: DataFrame, path: str, rounds: int, prior: float) -> tuple[list[bytes], np.ndarray]:
@@ -220,13 +238,12 @@ def fit_pieces(counts: DataFrame, path: str, rounds: int, prior: float) -> tuple
 
         def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lattice, total = Lattice(pieces, sent.value), np.zeros(len(pieces))  # noqa: B023
-            for batch in batches:
-                if len(batch):
-                    total += lattice.expected(batch["word"].tolist(), np.ones(len(batch)))
+            for words in _gathered(batches):
+                total += lattice.expected(words, np.ones(len(words)))
             used = np.flatnonzero(total)
             yield pd.DataFrame({"piece": used, "x": total[used]})
 
-        found = counts.where(F.col("word") != F.lit(END)).select("word").mapInPandas(expect, "piece int, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()
+        found = counts.where((F.col("word") != F.lit(END)) & (F.col("n") > 0)).select("word").mapInPandas(expect, "piece int, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()
         total = prior * base / base.sum()
         total[-1] += 1
         for r in found:
@@ -235,20 +252,18 @@ def fit_pieces(counts: DataFrame, path: str, rounds: int, prior: float) -> tuple
     return pieces, logs
 
 
-class _Scorer:
-    """Logarithms of words, kept between texts."""
+def word_scores(counts: DataFrame, pieces: list[bytes], logs: np.ndarray) -> DataFrame:
+    """word, n, segmented: the natural logarithm of the sum over the word's segmentations, made once for each distinct word."""
+    sent = counts.sparkSession.sparkContext.broadcast(logs)
 
-    def __init__(self, pieces: list[bytes], logs: np.ndarray):
-        self.lattice, self.end, self.known = Lattice(pieces, logs[:-1]), float(logs[-1]), {}
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lattice, end = Lattice(pieces, sent.value[:-1]), float(sent.value[-1])
+        for batch in filter(len, batches):
+            words = batch["word"].tolist()
+            found = lattice.log_words([w or MARK for w in words])
+            yield pd.DataFrame({"word": words, "n": batch["n"], "segmented": [x if w else end for w, x in zip(words, found, strict=True)]})
 
-    def segmented(self, texts: list[Counter]) -> list[dict[bytes, float]]:
-        """Of each text's words, the end included, the natural logarithm of the sum over its segmentations."""
-        if len(self.known) > KEEP_WORDS:
-            self.known = {}
-        new = list({w for words in texts for w in words if w not in self.known and w != END})
-        self.known.update(zip(new, self.lattice.log_words(new).tolist(), strict=True))
-        self.known[END] = self.end
-        return [{w: self.known[w] for w in words} for words in texts]
+    return counts.mapInPandas(score, "word binary, n long, segmented double")
 
 
 def score_texts(df: DataFrame, path: str, rounds: int = 3, prior: float = 1000.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,58 +274,58 @@ def score_texts(df: DataFrame, path: str, rounds: int = 3, prior: float = 1000.0
     model has smoothing only and the pieces their prior. Other columns are not read.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out_tenth(F.col("doc_id")))
-    counts = materialize(word_counts(rows.where(~F.col("held_out")), "text"), "word-counts")
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
+    rows = df.select(F.col(id_col).alias("doc_id"), text).withColumn("held_out", held_out_tenth(F.col("doc_id")))
+    counts = materialize(word_counts(rows.select("text", "held_out")), "word-counts")
+    n = F.col("n")
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(n > 0).alias("v"), F.count_if(n == 1).alias("once"), F.count_if(n == 2).alias("twice")).first()
     n_train, below = sums["n"], sums["n"] + SMOOTHING * (sums["v"] + 1)
     discount = sums["once"] / (sums["once"] + 2 * sums["twice"]) if sums["once"] and sums["twice"] else 0.5
     given_up = discount * sums["v"] / n_train if n_train else 1.0  # the share of the segmentations
     pieces, logs = fit_pieces(counts, path, rounds, prior)
-    frequent = (F.col("n") * FREQUENT >= n_train) & (F.octet_length("word") <= FREQUENT_BYTES)
-    few = {bytes(r["word"]): (math.log10((r["n"] + SMOOTHING) / below), (r["n"] - discount) / n_train) for r in counts.where(frequent).collect()}  # FREQUENT words of FREQUENT_BYTES at most
-    sent = spark.sparkContext.broadcast((few, given_up, pieces, logs))
+    arc = F.greatest(n - discount, F.lit(0.0)) / max(n_train, 1)
+    # Where no arc is, in logarithms: the sum over the segmentations of a very long word is no number.
+    score = F.when(arc > 0, F.log10(arc + F.lit(given_up) * F.exp("segmented"))).otherwise(math.log10(given_up) + F.col("segmented") / math.log(10))
+    scored = word_scores(counts, pieces, logs).select("word", "n", F.log10((n + SMOOTHING) / F.lit(below)).alias("base"), score.alias("score"))
+    scored = materialize(scored, "word-scores")
+    frequent = (n > 0) & (n * FREQUENT >= n_train) & (F.octet_length("word") <= FREQUENT_BYTES)
+    few = {bytes(r["word"]): (r["base"], r["score"]) for r in scored.where(frequent).collect()}  # FREQUENT words of FREQUENT_BYTES at most
+    sent = spark.sparkContext.broadcast(few)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        few, given_up, pieces, logs = sent.value
-        scorer = _Scorer(pieces, logs)
-        for batch in batches:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in filter(len, batches):
             at, size, sizes = 0, 0, batch["text"].map(len).tolist()
             for i, more in enumerate(sizes):  # some million bytes at a time
                 size += more
                 if size > 2_000_000 or i == len(sizes) - 1:
-                    yield _scored(batch[at : i + 1], few, given_up, scorer)
+                    yield _counted(batch[at : i + 1], sent.value)
                     at, size = i + 1, 0
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<int>, segmented array<double>"
-    own = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "held_out", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    done = materialize(own.mapInPandas(score, schema.replace("doc_id long", "doc_id string")), "scored-texts")
-    pairs = done.select("row", F.explode(F.arrays_zip("words", "times", "segmented")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"), F.col("w.segmented").alias("segmented"))
-    met = pairs.join(counts.where(~frequent), "word", "left")
-    base = F.log10((F.coalesce("n", F.lit(0)) + SMOOTHING) / F.lit(below))
-    arc = F.coalesce(F.col("n") - discount, F.lit(0.0)) / max(n_train, 1)
-    # Where no arc is, in logarithms: the sum over the segmentations of a very long word is no number.
-    score = F.when(arc > 0, F.log10(arc + F.lit(given_up) * F.exp("segmented"))).otherwise(math.log10(given_up) + F.col("segmented") / math.log(10))
-    known = F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)
-    rest = met.groupBy("row").agg(F.sum(known).alias("n_known"), F.sum(F.col("times") * base).alias("base_score"), F.sum(F.col("times") * score).alias("score"))
+    schema = "row long, doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<int>"
+    own = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "held_out", "text")
+    done = materialize(own.mapInPandas(count, schema), "counted-texts")
+    pairs = done.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    met = pairs.join(scored.where(~frequent), "word")
+    total = lambda c: F.sum(F.col("times") * F.col(c))
+    rest = met.groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("n_known"), total("base").alias("base_score"), total("score").alias("score"))
     none = {c: F.lit(None).cast(done.schema[c].dataType).alias(c) for c in ("doc_id", "held_out", "n_tokens")}
     both = done.select("row", *none, "n_known", "base_score", "score").unionByName(rest.select("row", *none.values(), "n_known", "base_score", "score"))
     whole = both.groupBy("row").agg(*(F.max(c).alias(c) for c in none), *(F.sum(c).alias(c) for c in ("n_known", "base_score", "score")))
     return whole.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _scored(batch: pd.DataFrame, few: dict[bytes, tuple[float, float]], given_up: float, scorer: _Scorer) -> pd.DataFrame:
-    """What a task knows of its texts; their other words, how often they stand in each text, and the logarithms of their segmentations."""
+def _counted(batch: pd.DataFrame, few: dict[bytes, tuple[float, float]]) -> pd.DataFrame:
+    """What a task knows of its texts, and their other words with how often they stand in each text."""
     texts = [Counter(words_of(t)) for t in batch["text"]]
     for words in texts:
         words[END] = 1
-    logs = scorer.segmented(texts)
+    known = [[(n, few[w]) for w, n in words.items() if w in few] for words in texts]
+    rare = [{w: n for w, n in words.items() if w not in few} for words in texts]
     out = batch[["row", "doc_id", "held_out"]].copy()
     out["n_tokens"] = [words.total() for words in texts]
-    out["n_known"] = [sum(n for w, n in words.items() if w in few) for words in texts]
-    out["base_score"] = [math.fsum(n * few[w][0] for w, n in words.items() if w in few) for words in texts]
-    out["score"] = [math.fsum(n * math.log10(few[w][1] + given_up * math.exp(own[w])) for w, n in words.items() if w in few) for words, own in zip(texts, logs, strict=True)]
-    rare = [[w for w in words if w not in few] for words in texts]
-    out["words"] = rare
-    out["times"] = [[words[w] for w in some] for words, some in zip(texts, rare, strict=True)]
-    out["segmented"] = [[own[w] for w in some] for own, some in zip(logs, rare, strict=True)]
+    out["n_known"] = [sum(n for n, _ in some) for some in known]
+    out["base_score"] = [math.fsum(n * x[0] for n, x in some) for some in known]
+    out["score"] = [math.fsum(n * x[1] for n, x in some) for some in known]
+    out["words"] = [list(some) for some in rare]
+    out["times"] = [list(some.values()) for some in rare]
     return out
