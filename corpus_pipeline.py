@@ -21,15 +21,20 @@ from tidemark.llm.common import materialize, read_table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_POSTERIOR = 0.5
 BROADCAST_IDS = 1_000_000  # some ten MB
-PYTHON_ROWS = 1_000  # texts that a Python worker of a stage gets at a time
+PYTHON_BYTES = 4 << 20  # of texts that a Python worker of a stage gets at a time, at most PYTHON_ROWS of them; one longer text comes alone
+PYTHON_ROWS = 1_000
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """A setting of the session: a stage's result is computed after the stage has returned, so it can't be set back here."""
+    """Settings of the session: a stage's result is computed after the stage has returned, so they can't be set back here."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PYTHON_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PYTHON_ROWS))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is learned with a posterior of LEAST_POSTERIOR or more. Those that have no text, no letter or no learned
+    language go, whatever their length; of repeated rows each is judged; an empty table stays empty.
+    """
     _small_batches(spark)
     models = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
     # doc_id is carried by the operator itself
@@ -38,6 +43,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that came earlier, their characters counted anew. A document all of whose lines went goes; null and
+    empty texts have none and stay; repeated rows keep what the first of them keeps; an empty table stays empty.
+    """
     done = line_dedup.dedup_lines(docs, keep_columns=("lang", "source"))
     left = done.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -50,14 +58,23 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id; null and empty texts, and rows without an id, are copies of none
+    and stay; repeated rows of an id stay or go together; an empty table stays empty.
+    """
     return _without(docs, near_dedup.near_duplicates(docs).where(~F.col("kept")))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item. Null and empty texts and rows without an id stay; repeated rows of an id stay or go
+    together; with an empty benchmark all stay.
+    """
     return _without(docs, decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null texts are empty ones; repeated rows are
+    packed each; an empty table gives no piece.
+    """
     _small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
