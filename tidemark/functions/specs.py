@@ -109,4 +109,39 @@ class Spec:
         return max(s.last for s in self.splits)
 
 
+@dataclass(frozen=True)
+class TimeScale:
+    """Slices of a lookback: `buckets` of them, `resolution_s` seconds apart, the newest at the decision itself."""
+
+    label: str
+    resolution_s: int
+    buckets: int
+
+
+@dataclass(frozen=True)
+class TimeGrid:
+    """Decision times at any interval, in seconds from the anchor; the last is included if it falls on the grid."""
+
+    interval_s: int
+    first_s: int
+    last_s: int
+    stale_after_s: int
+    scales: tuple[TimeScale, ...]
+
+    def __post_init__(self) -> None:
+        if self.interval_s <= 0 or self.last_s < self.first_s:
+            raise ValueError("a grid needs a positive interval and an end that is not before its start")
+        if len({s.label for s in self.scales}) != len(self.scales) or any(s.resolution_s <= 0 or s.buckets <= 0 for s in self.scales):
+            raise ValueError("scales need labels of their own, and positive resolutions and buckets")
+
+    @property
+    def times(self) -> int:
+        return (self.last_s - self.first_s) // self.interval_s + 1
+
+
 DEFAULT = Spec()
+_DAYS = 30 * 86_400
+#: The contract's hours as a grid of seconds, one of a minute with finer scales, and one of a second.
+HOURS = TimeGrid(3600, 0, (DEFAULT.last_slot - DEFAULT.horizon) * 3600, DEFAULT.stale_after_s, tuple(TimeScale(s.label, s.hours * 3600, s.buckets) for s in DEFAULT.scales))
+MINUTES = TimeGrid(60, 0, _DAYS - 60, 180, (TimeScale("1m", 60, 8), TimeScale("5m", 300, 8), TimeScale("15m", 900, 8), TimeScale("60m", 3600, 12)))
+SECONDS = TimeGrid(1, 0, _DAYS - 1, 180, (TimeScale("1s", 1, 4), TimeScale("60s", 60, 4)))
