@@ -24,7 +24,7 @@ EXACT = 1 << 22  # up to here products of 64 components and their sums are exact
 LARGEST = (1 << 63) - 1
 HAIR = 1e-12  # bounds are in doubles: a hair more than needed stays
 TYPES = ("<i2", "<i4", "<i8")
-BLOCK = "first long, ids array<long>, type string, cells binary, low array<double>, high array<double>"
+BLOCK = "first long, ids array<string>, type string, cells binary, low array<double>, high array<double>"
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -97,8 +97,7 @@ def _blocks(vectors: DataFrame, rows: int, bits: int) -> DataFrame:
             least, most = cells.min(axis=0), cells.max(axis=0)
             reach = max(abs(least).max(), abs(most).max())
             kind = next(t for t in TYPES if reach <= np.iinfo(t).max)
-            ids = [None if i is None else int(i) for i in own["vec_id"]]  # as text they are exact, with nulls too
-            out.append((at, ids, kind, cells.astype(kind).tobytes(), least, most))
+            out.append((at, list(own["vec_id"]), kind, cells.astype(kind).tobytes(), least, most))
         return pd.DataFrame(out, columns=["first", "ids", "type", "cells", "low", "high"])
 
     return materialize(ordered.select(F.col("vec_id").cast("string").alias("vec_id"), "v").mapInPandas(cut, BLOCK), "curve-blocks")
@@ -204,12 +203,12 @@ def cluster_vectors(
 
     def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, _, cluster, distance in _assigned(batches, centroids):
-            yield pd.DataFrame({"vec_id": pd.array(ids, dtype="Int64"), "cluster": cluster.astype(np.int32), "distance": distance})
+            yield pd.DataFrame({"vec_id": list(ids), "cluster": cluster.astype(np.int32), "distance": distance})  # ids as text are exact, with nulls too
 
-    found = materialize(blocks.select("ids", "type", "cells", "low", "high").mapInPandas(final, "vec_id long, cluster int, distance long"), "assigned")
+    found = materialize(blocks.select("ids", "type", "cells", "low", "high").mapInPandas(final, "vec_id string, cluster int, distance long"), "assigned")
     sums = found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d")).collect()  # a row for each cluster
     ends = lambda x: min(int(x), LARGEST)
     whole = ends(sum(int(r["d"]) for r in sums))
     rows = [(r["cluster"], ends(r["d"]), whole, _digest(centroids[r["cluster"]])) for r in sums]
     about = local_table(spark, rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
-    return found.join(F.broadcast(about), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+    return found.join(F.broadcast(about), "cluster").select(F.col("vec_id").cast("long").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
