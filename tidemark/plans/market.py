@@ -407,6 +407,16 @@ def a3_partitioned_scan(c: Context) -> DataFrame:
     return read.groupBy("exchange", "stream", "symbol", *L("day")).agg(F.count("*").alias("n"))
 
 
+@query(twin("SELECT m.exchange, m.stream, m.symbol, CAST(m.day AS BIGINT) AS day, count(*) AS n, CAST(min(ord) AS BIGINT) AS first_ord, CAST(max(ord) AS BIGINT) AS last_ord FROM (SELECT *, " + _DAY + " AS day FROM mkt) m JOIN stt ON m.exchange = stt.exchange AND m.stream = stt.stream AND m.symbol = stt.symbol AND m.day = stt.day WHERE status = 'success' AND NOT (m.exchange = 'binance' AND m.stream = 'open_interest') GROUP BY ALL", _PARTS))
+def a3_selected_scan(c: Context) -> DataFrame:
+    """The partitions that the state selects, read from a tree that holds all of them."""
+    path = partitions.write_tree(c.view, "stateful")
+    days = c.view.agg(F.min(partitions.day_of(F.col("us"))), F.max(partitions.day_of(F.col("us")))).first()
+    wanted = partitions.select_partitions(partitions.parse_state(_state(c)), c.spec, days[0] or 0, days[1] or 0)
+    read = partitions.read_selected(c.spark, path, wanted, c.view.schema)
+    return read.groupBy("exchange", "stream", "symbol", *L("day")).agg(F.count("*").alias("n"), *(f("ord").cast("long").alias(n) for f, n in ((F.min, "first_ord"), (F.max, "last_ord"))))
+
+
 @query(twin("SELECT split, count(*) AS steps, count(DISTINCT trajectory_id) AS records, count(best_price) AS priced, round(sum(best_price), 6) AS total FROM epi JOIN best USING (slot, symbol) WHERE split IN ('train', 'validation') GROUP BY ALL"))
 def a9_trajectory_store(c: Context) -> DataFrame:
     """Steps with their price and label written by split, and read again with partition pruning."""

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.specs import DEFAULT
 from tidemark.plans.context import Context
 from tidemark.plans.market import L
 from tidemark.plans.registry import query
@@ -57,6 +58,30 @@ def s3_activity(c: Context) -> DataFrame:
     return found.select("stream", day.cast("long").alias("day"), "n")
 
 
+@query(twin("SELECT stream, CAST(w AS BIGINT) AS start_h, count(*) AS n FROM (SELECT stream, unnest(generate_series(us // 21600000000 - 3, us // 21600000000)) * 6 AS w FROM ev) GROUP BY ALL"))
+def s3_sliding_activity(c: Context) -> DataFrame:
+    """Counts of a day, from every sixth hour on, with rows that come too late."""
+    stream, _ = _source(c, late=True)
+    found = market.run(market.activity(stream, "1 day", "6 hours"), "update", "sliding", ("start", "stream"))
+    return found.select("stream", F.floor((F.unix_micros("start") - market.EPOCH_US) / 3_600_000_000).cast("long").alias("start_h"), "n")
+
+
+_DELAY_US = 86_400_000_000
+_CHANGES = {
+    "onl": "SELECT symbol, exchange, stream, us, coalesce(price, mid, mark_price, funding_rate, open_interest) AS value FROM ev QUALIFY row_number() OVER (PARTITION BY symbol, exchange, stream, us ORDER BY ord DESC) = 1",
+    "nxt": "SELECT *, lead(us) OVER (PARTITION BY symbol, exchange, stream ORDER BY us) AS nus FROM onl",
+    "chg": f"SELECT symbol, exchange, stream, us AS at_us, CASE WHEN value IS NULL THEN 'missing' ELSE 'valid' END AS status, value FROM nxt UNION ALL SELECT symbol, exchange, stream, us + {DEFAULT.stale_after_s * 1_000_000}, 'stale', NULL FROM nxt WHERE nus IS NULL OR nus > us + {DEFAULT.stale_after_s * 1_000_000}",
+}
+
+
+@query(twin(f"SELECT symbol, exchange, stream, CAST(at_us AS BIGINT) AS at_us, status, round(coalesce(value, -1), 9) AS value FROM chg, (SELECT max(us) // 1000 - {_DELAY_US // 1000} AS passed FROM ev) WHERE at_us // 1000 < passed", _CHANGES))
+def s2_status_changes(c: Context) -> DataFrame:
+    """Valid, missing and stale of every key as timers and events make them, up to the last watermark; late and silent keys included."""
+    stream, _ = _source(c, late=True)
+    found = market.run(market.status_changes(stream, c.spec.stale_after_s), "append", "changes")
+    return found.select("symbol", "exchange", "stream", "at_us", "status", F.round(F.coalesce("value", F.lit(-1.0)), 9).alias("value"))
+
+
 @query(twin("SELECT 'stream_only' AS side, count(*) AS n FROM ev WHERE ord < 0 UNION ALL SELECT 'batch_only', count(*) FROM ev WHERE ord < 0"))
 def s4_parity(c: Context) -> DataFrame:
     """Online state against the same aggregate in batch: no row on either side."""

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import dims
 from tidemark.functions.specs import Spec
-from tidemark.session import new_path
+from tidemark.session import materialize, new_path
 
 PARTS = ("exchange", "stream", "symbol", "day")
 STATE_SCHEMA = "days MAP<STRING, STRUCT<status: STRING>>, partitions MAP<STRING, STRUCT<status: STRING, rows: BIGINT>>"
@@ -29,14 +29,12 @@ def partition_id(exchange, stream, symbol, day):  # noqa: ANN001, ANN201
 
 
 def write_state(state: DataFrame, name: str) -> str:
-    """Writes rows (exchange, stream, symbol, day, status, rows) as state documents, one for each exchange."""
+    """Writes rows (exchange, stream, symbol, day, status, rows) as state documents, one for each exchange and day, so that none grows with the history."""
     path = new_path(state.sparkSession, name)
     entry = F.struct(partition_id(F.col("exchange"), F.col("stream"), F.col("symbol"), F.col("day")), F.struct("status", "rows"))
-    days = state.groupBy("exchange", "day").agg(F.min("status").alias("status")).groupBy("exchange").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("day").cast("string"), F.struct("status")))).alias("days")
-    )
-    documents = state.groupBy("exchange").agg(F.map_from_entries(F.collect_list(entry)).alias("partitions")).join(days, "exchange")
-    documents.select(F.to_json(F.struct("days", "partitions")).alias("value")).write.text(path)
+    documents = state.groupBy("exchange", "day").agg(F.map_from_entries(F.collect_list(entry)).alias("partitions"), F.min("status").alias("status"))
+    days = F.create_map(F.col("day").cast("string"), F.struct("status")).alias("days")
+    documents.select(F.to_json(F.struct(days, "partitions")).alias("value")).write.text(path)
     return path
 
 
@@ -150,3 +148,27 @@ def read_tree(spark: SparkSession, path: str, schema: T.StructType, spec: Spec)
         excluded = excluded | ((F.col("exchange") == exchange) & (F.col("stream") == stream))
     kept = both.where(~excluded & F.col("exchange").isin(*spec.exchanges) & F.col("symbol").isin(*(s.lower() for s in spec.symbols)))
     return kept.withColumn("symbol", F.upper("symbol")).withColumnRenamed("date", "day")
+
+
+SELECTED_PATHS = 100_000
+
+
+def read_selected(spark: SparkSession, path: str, selected: DataFrame, schema: T.StructType, most_paths: int = SELECTED_PATHS) -> DataFrame:
+    """Rows of the `selected` partitions (exchange, stream, symbol, day) of a tree; no other folder is opened.
+
+    Up to `most_paths` partitions that have files are read by their paths, whose number is counted first. More of them are met by
+    the partition columns, by which Spark prunes the scan while it runs. The rows are the same.
+    """
+    present = selected.join(listed(spark, path), list(PARTS), "left_semi").distinct()
+    parts = present.limit(most_paths + 1).collect()
+    if not parts:
+        raise ValueError("no readable partition")
+    whole = T.StructType([*schema.fields, T.StructField("date", T.IntegerType())])
+    reader = lambda names: spark.read.schema(whole).option("basePath", path).option("pathGlobFilter", names)
+    if len(parts) <= most_paths:
+        paths = [f"{path}/exchange={r['exchange']}/stream={r['stream']}/symbol={r['symbol'].lower()}/date={r['day']}" for r in parts]
+        both = reader(PARQUET_FILES).parquet(*paths).unionByName(reader(LINE_FILES).json(paths), allowMissingColumns=True)
+        return both.withColumn("symbol", F.upper("symbol")).withColumnRenamed("date", "day")
+    wanted = materialize(present.select("exchange", "stream", F.lower("symbol").alias("symbol"), F.col("day").alias("date")), "selected-partitions").where("date > 0")
+    both = [x.join(wanted, ["exchange", "stream", "symbol", "date"], "left_semi") for x in (reader(PARQUET_FILES).parquet(path), reader(LINE_FILES).json(path))]
+    return both[0].unionByName(both[1], allowMissingColumns=True).withColumn("symbol", F.upper("symbol")).withColumnRenamed("date", "day")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.specs import PITCH_US
 from tidemark.operators.asof import KEYS
@@ -25,12 +30,62 @@ def deduplicated(stream: DataFrame) -> DataFrame:
     return stream.withWatermark("event_time", DELAY).dropDuplicatesWithinWatermark(["ord"])
 
 
-def activity(stream: DataFrame, width: str = "1 day") -> DataFrame:
-    """Events per stream and tumbling window; a window is final when the watermark has passed it."""
-    windowed = stream.withWatermark("event_time", DELAY).groupBy(F.window("event_time", width), "stream").agg(F.count("*").alias("n"))
+def activity(stream: DataFrame, width: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Events per stream and window, tumbling or sliding; a window is final when the watermark has passed it."""
+    windowed = stream.withWatermark("event_time", DELAY).groupBy(F.window("event_time", width, slide or width), "stream").agg(F.count("*").alias("n"))
     return windowed.select(F.col("window.start").alias("start"), "stream", "n")
 
 
+CHANGE = "symbol string, exchange string, stream string, at_us long, status string, value double"
+HELD = "pending_us array<long>, pending_ord array<long>, pending_value array<double>, last_us long"
+
+
+def own_value():  # noqa: ANN201
+    """The value of a row's stream."""
+    return F.coalesce("price", "mid", "mark_price", "funding_rate", "open_interest")
+
+
+def status_changes(stream: DataFrame, stale_after_s: int, delay: str = "1 day") -> DataFrame:
+    """KEYS, at_us, status, value: when a key's newest event becomes valid (missing, if it has no value) and when it becomes stale.
+
+    A timer of event time says that an event has become stale, so a silent key needs no other event for it. Events wait until the watermark has
+    passed them and count in the order of time, ties by ord; those that come later than that are dropped. A key holds
+    the events of the delay and the time of its newest one; once that is stale and nothing waits, the key leaves the state.
+    """
+    stale_us = stale_after_s * 1_000_000
+
+    def changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs() - EPOCH_US // 1000
+        us, order, value, last = state.get if state.exists else ([], [], [], None)
+        waiting = list(zip(us, order, value, strict=True))
+        for batch in batches:
+            waiting += zip(batch["us"].tolist(), batch["ord"].tolist(), [None if pd.isna(v) else v for v in batch["value"]], strict=True)
+        waiting = deque(sorted(waiting, key=lambda e: e[:2]))
+        out = []
+        while waiting and waiting[0][0] // 1000 < passed:
+            at, _, now = waiting.popleft()
+            if waiting and waiting[0][0] == at:  # one of the same time counts more
+                continue
+            if last is not None and at > last + stale_us:
+                out.append((*key, last + stale_us, "stale", None))
+            out.append((*key, at, "missing" if now is None else "valid", now))
+            last = at
+        if last is not None and (last + stale_us) // 1000 < passed:
+            out.append((*key, last + stale_us, "stale", None))
+            last = None
+        if waiting or last is not None:
+            state.update(([e[0] for e in waiting], [e[1] for e in waiting], [e[2] for e in waiting], last))
+            due = min(([waiting[0][0]] if waiting else []) + ([] if last is None else [last + stale_us]))
+            state.setTimeoutTimestamp(due // 1000 + EPOCH_US // 1000)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE.split(", ")])
+
+    rows = stream.withWatermark("event_time", delay).select(*KEYS, "us", "ord", own_value().alias("value"), "event_time")
+    return rows.groupBy(*KEYS).applyInPandasWithState(changes, CHANGE, HELD, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def online_state(stream: DataFrame) -> DataFrame:
     """Newest price of every key in every slot, and how old it is at the slot; emitted as it changes.
 
@@ -38,9 +93,8 @@ def online_state(stream: DataFrame) -> DataFrame:
     that the watermark has passed leave the state.
     """
     newest = F.struct("us", "ord")
-    price = F.coalesce("price", "mid", "mark_price", "funding_rate", "open_interest")
     timed = stream.withColumn("slot_time", F.timestamp_micros(F.col("us") - 1 + EPOCH_US)).withWatermark("slot_time", DELAY)
-    last = timed.groupBy(*KEYS, F.window("slot_time", "1 hour")).agg(F.max_by(F.struct("us", price.alias("value")), newest).alias("last"))
+    last = timed.groupBy(*KEYS, F.window("slot_time", "1 hour")).agg(F.max_by(F.struct("us", own_value().alias("value")), newest).alias("last"))
     slot = ((F.unix_micros("window.end") - EPOCH_US) / PITCH_US).cast("long")
     return last.select(*KEYS, slot.alias("slot"), "last.us", "last.value", ((slot * PITCH_US - F.col("last.us")) / 1e6).alias("freshness_s"))
 
