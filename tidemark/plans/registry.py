@@ -30,7 +30,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from tidemark.plans import flat, learning, market, policies, records, streams, times  # noqa: F401
+    from tidemark.plans import flat, learning, ledger, market, policies, records, streams, times  # noqa: F401
 
 
 def functions() -> dict[str, Callable]:
