@@ -91,11 +91,11 @@ def l3_status_history(c: Context) -> DataFrame:
     return ledger.status_history(log.scores, log.history)
 
 
-@query(_twin("SELECT scope, surface, policy_id, champion, round(delta, 8) AS delta, round(composite_delta, 8) AS composite_delta, delta > 0 AS beats FROM lcm"))
+@query(_twin("SELECT scope, surface, policy_id, champion, round(delta, 9) AS delta, round(composite_delta, 9) AS composite_delta, delta > 0 AS beats FROM lcm"))
 def l4_surface_comparisons(c: Context) -> DataFrame:
     """Scored policies against the champion of the time, on every surface."""
     log = Ledger(c)
-    return ledger.surface_comparisons(log.scores, log.history).select("scope", "surface", "policy_id", "champion", R("delta", 8), R("composite_delta", 8), "beats")
+    return ledger.surface_comparisons(log.scores, log.history).select("scope", "surface", "policy_id", "champion", R("delta"), R("composite_delta"), "beats")
 
 
 @query(_twin("SELECT p.scope, p.surface, p.policy_id, claim, CASE WHEN claim <> 'none' AND m.champion IS NULL THEN 'comparison_not_found' WHEN coalesce(p.champion_before <> p.policy_id, false) THEN CASE WHEN claim = 'none' THEN 'comparison_required' WHEN c_policy <> p.policy_id THEN 'challenger_mismatch' WHEN m.champion <> p.champion_before THEN 'champion_mismatch' WHEN c_surface <> p.surface THEN 'surface_mismatch' ELSE 'linked' END WHEN claim <> 'none' AND c_policy <> p.policy_id AND m.champion <> p.policy_id THEN 'not_linked' ELSE 'linked' END AS rule FROM lpl p LEFT JOIN lcm m ON m.scope = p.scope AND m.surface = p.c_surface AND m.policy_id = p.c_policy"))
