@@ -691,3 +691,11 @@ def test_pipeline_stages_of_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0 and corpus_pipeline.STAGES[-1][1](spark, empty, SF).count() == 0
+
+
+def test_texts_that_share_an_id_keep_their_own_lines(spark):
+    """A line goes only from the text that repeats it, whatever other texts of its id have at that place."""
+    a, b, c = (f"{word} is a line that is long enough to be compared with the others here" for word in ("first", "second", "third"))
+    rows = [(1, f"{a}\n{b}"), (1, f"{c}\n{a}"), (1, "x"), (2, c), (3, None), (1, None)]
+    found = line_dedup.dedup_lines(_docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"] or "", r["n_lines"], r["n_removed"]) for r in found) == sorted([(1, f"{a}\n{b}", 2, 0), (1, c, 2, 1), (1, "x", 1, 0), (2, "", 1, 1), (3, "", 0, 0), (1, "", 0, 0)])

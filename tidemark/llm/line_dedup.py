@@ -226,7 +226,7 @@ def _crowded_pairs(crowded: DataFrame, texts: DataFrame) -> tuple[DataFrame, lis
 
 
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line_no of the lines to remove."""
+    """doc_id, line_no, id of the lines to remove; `id` is the hash of what is compared of the line."""
     # The compared text comes from a generator, so that it is made once for the filter and all that follows.
     read = _lines(docs).select("doc_id", "line_no", F.explode(F.array(compared(F.col("line")))).alias("norm")).where(F.length("norm") >= min_chars)
     # A line is known by two hashes. Its text travels only if it shares a key with another.
@@ -249,28 +249,32 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     known = lines.join(late.distinct().withColumn("near", F.lit(True)), ["id", "id2"], "left")
     bad = materialize(known.where((F.col("n") > 1) | F.col("near")).select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near")), "repeated-lines")
     found = _joined(places, bad, ["id", "id2"], "inner")
-    return found.where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no")
+    return found.where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no", "id")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, keep_columns: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, text (without the removed lines), n_lines, n_removed, and `keep_columns`.
 
     Null texts stay null and empty ones empty, both with 0 removed; a document may lose all its lines and
-    is then an empty text. Rows with a null id are kept as they are. Rows that repeat a doc_id lose the
-    same lines (their line numbers are one sequence of places). An empty table gives an empty result.
+    is then an empty text. Rows with a null id are kept as they are. Of rows that repeat a doc_id, lines of one number are one
+    place, so rows that are equal keep the same lines, and a text loses a line only where that number is the removed line in it too.
+    Lines of any length count whole; an empty table gives an empty result; other columns than those named are not read.
     """
-    removed = materialize(duplicate_lines(docs, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")), "removed-lines")
+    removed = materialize(duplicate_lines(docs, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "id")).alias("_all")), "removed-lines")
+    # Another text of the id may have another line of that number, or none.
+    here = F.filter("_all", lambda g: F.xxhash64(compared(F.get("_lines", g["line_no"]))) == g["id"])
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
     return (
         docs.select("doc_id", "text", *keep_columns)
         .join(removed.hint("shuffle_merge"), "doc_id", "left")  # what is removed grows with the documents
-        .withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
+        .withColumn("_lines", F.when(F.col("_all").isNotNull(), F.split("text", "\n")))
+        .withColumn("_gone", F.when(F.col("_all").isNotNull(), F.transform(here, lambda g: g["line_no"])))
         .select(
             "doc_id",
             F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text")).alias("text"),
             F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-            F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+            F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
             *keep_columns,
         )
     )
