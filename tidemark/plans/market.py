@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import dims
-from tidemark.functions.specs import DEFAULT, FIELDS_BY_STREAM
+from tidemark.functions.specs import DEFAULT, FIELDS, FIELDS_BY_STREAM
 from tidemark.operators import asof, derived, episodes, quality, rewards
 from tidemark.plans.context import Context
 from tidemark.plans.registry import query
@@ -393,6 +393,25 @@ def a7_normalized_records(c: Context) -> DataFrame:
     return good.select("ord", "exchange", "symbol", "stream", R("value"))
 
 
+_COUNTED = " + ".join(f"CAST({f} IS NOT NULL AS INTEGER)" for f in FIELDS if f != "mid")
+_RAW = {
+    "rw": f"SELECT ord, us, exchange, symbol, stream, coalesce(price, (bid_price + ask_price) / 2, mark_price, CASE WHEN stream = 'funding' THEN funding_rate END, open_interest) AS v, {_COUNTED} AS numbers FROM mkt",
+    "rr": "SELECT *, CASE WHEN ord % 11 = 0 THEN 'malformed' WHEN ord % 13 = 0 THEN 'no_time' WHEN ord % 17 = 0 THEN 'unknown_stream' WHEN v IS NULL THEN 'no_value' END AS reason FROM rw",
+}
+
+
+@query(twin("SELECT 'record' AS kind, CAST(ord AS BIGINT) AS ord, exchange, symbol, stream, CAST(us // 1000 AS BIGINT) AS ms, round(v, 9) AS value, CAST(numbers AS BIGINT) AS numbers, 'note ' || (ord % 7) AS remark, CASE WHEN ord % 5 = 0 THEN '{\"levels\":[' || (ord % 4) || ',' || (ord % 9) || ']}' ELSE '' END AS book FROM rr WHERE reason IS NULL UNION ALL SELECT reason, count(*), '', '', '', 0, 0, 0, '', '' FROM rr WHERE reason IS NOT NULL GROUP BY ALL", _RAW))
+def a7_raw_lines(c: Context) -> DataFrame:
+    """Lines of a feed with unknown keys: the records, and how many lines of each reason are in the quarantine."""
+    good, bad = market.read_raw_lines(market.raw_lines(c.view))
+    extra = lambda k: F.coalesce(F.try_element_at("extras", F.lit(k)), F.lit("")).alias(k)
+    ms = (F.unix_millis("event_time") - 1_704_067_200_000).alias("ms")
+    records = good.select(F.lit("record").alias("kind"), *L("ord"), "exchange", "symbol", "stream", ms, R("value"), F.size("fields").cast("long").alias("numbers"), extra("remark"), extra("book"))
+    counts = bad.groupBy("reason").agg(F.count("*").alias("n"))
+    none, zero = F.lit(""), F.lit(0).cast("long")
+    return records.unionByName(counts.select(F.col("reason").alias("kind"), F.col("n").alias("ord"), none.alias("exchange"), none.alias("symbol"), none.alias("stream"), zero.alias("ms"), F.lit(0.0).alias("value"), zero.alias("numbers"), none.alias("remark"), none.alias("book")))
+
+
 @query(twin("SELECT CAST(ord AS BIGINT) AS ord, exchange, symbol, stream, CAST(us AS BIGINT) AS us, round(price, 9) AS price FROM ev"))
 def a1_ndjson_scan(c: Context) -> DataFrame:
     path = partitions.write_ndjson(c.events, "ndjson")

@@ -106,3 +106,48 @@ def normalize_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     done = named.withColumn("value", legacy_value(F.col("given"), F.col("stream"), F.col("fields"))).drop("given")
     good = F.col("event_time").isNotNull() & F.col("stream").isin(*["trade", "bbo", "mark_price", "funding", "open_interest"]) & F.col("value").isNotNull()
     return done.where(good), done.where(~F.coalesce(good, F.lit(False)))
+
+
+STREAM_KINDS = ("trade", "bbo", "mark_price", "funding", "open_interest")
+
+
+def read_raw_lines(lines: DataFrame, line_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(records, quarantine) of JSON lines whose keys are not known before.
+
+    A record has the identity columns, the one `value`, `fields` (all other keys that are numbers, by name) and `extras` (all other keys, texts as
+    they are and nested values as JSON). The quarantine has the line and the first reason: malformed, no_time, unknown_stream or
+    no_value. Empty lines are skipped.
+    """
+    rows = lines.select(F.col(line_col).alias("line")).where(F.trim("line") != "")
+    parsed = rows.withColumn("m", F.from_json("line", "MAP<STRING, STRING>", {"mode": "PERMISSIVE"}))
+    get = lambda *names: F.coalesce(*(F.try_element_at("m", F.lit(n)) for n in names))
+    known = F.array(*(F.lit(n) for n in IDENTITY))
+    rest = F.map_filter("m", lambda k, v: ~F.array_contains(known, k) & v.isNotNull())
+    number = lambda v: v.try_cast("double")
+    named = parsed.select(
+        "line", F.col("m").isNotNull().alias("read"), get("ord").try_cast("long").alias("ord"), record_time(get("event_time"), get("ts_event").try_cast("long")).alias("event_time"),
+        get("exchange").alias("exchange"), get("symbol").alias("symbol"), get("stream_type", "stream").alias("stream"), get("value").try_cast("double").alias("given"),
+        F.transform_values(F.map_filter(rest, lambda _, v: number(v).isNotNull()), lambda _, v: number(v)).alias("fields"), F.map_filter(rest, lambda _, v: number(v).isNull()).alias("extras"),
+    )
+    done = named.withColumn("value", legacy_value(F.col("given"), F.col("stream"), F.col("fields"))).drop("given")
+    reason = (
+        F.when(~F.col("read"), "malformed").when(F.col("event_time").isNull(), "no_time")
+        .when(~F.coalesce(F.col("stream").isin(*STREAM_KINDS), F.lit(False)), "unknown_stream").when(F.col("value").isNull(), "no_value")
+    )
+    done = done.withColumn("reason", reason)
+    return done.where("reason IS NULL").drop("line", "read", "reason"), done.where("reason IS NOT NULL").select("line", "reason")
+
+
+def raw_lines(view: DataFrame) -> DataFrame:
+    """value: the view's rows as JSON lines of a feed: either name of the stream and of the time, a text and a nested value beside the fields; every 11th
+    line is cut, every 13th has no time, every 17th another stream."""
+    ord_ = F.col("ord")
+    text = F.date_format(F.timestamp_micros(F.col("us") + 1_704_067_200_000_000), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    timed = ord_ % 13 != 0
+    stream = F.when(ord_ % 17 == 0, "chatter").otherwise(F.col("stream"))
+    line = F.to_json(F.struct(
+        "ord", "exchange", "symbol", F.when(timed & (ord_ % 2 == 0), text).alias("event_time"), F.when(timed & (ord_ % 2 == 1), F.floor((F.col("us") + 1_704_067_200_000_000) / 1000)).alias("ts_event"),
+        F.when(ord_ % 3 == 0, stream).alias("stream_type"), F.when(ord_ % 3 != 0, stream).alias("stream"), *(F.col(f) for f in FIELDS if f != "mid"),
+        F.concat(F.lit("note "), (ord_ % 7).cast("string")).alias("remark"), F.when(ord_ % 5 == 0, F.struct(F.array(ord_ % 4, ord_ % 9).alias("levels"))).alias("book"),
+    ))
+    return view.select(F.when(ord_ % 11 == 0, F.substring(line, 1, 30)).otherwise(line).alias("value"))
