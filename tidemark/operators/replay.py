@@ -50,7 +50,11 @@ def replay(applied: DataFrame, episode_of: DataFrame, spec: Spec) -> DataFrame:
     counts steps since the side last changed; the turnover so far counts the changes. The previous venue is the one of
     the step before, if that step ended in a position.
     """
-    rows = applied.join(episode_of.select(*STEP, "trajectory_id"), STEP)
+    return replay_stored(applied.join(episode_of.select(*STEP, "trajectory_id"), STEP), spec)
+
+
+def replay_stored(rows: DataFrame, spec: Spec) -> DataFrame:
+    """`replay` of rows that have their trajectory_id. Its windows keep to a trajectory, so rows that lie clustered by it are not shuffled."""
     order = Window.partitionBy("policy_id", "trajectory_id", "symbol").orderBy("slot")
     sets = F.when(F.col("applied") == "enter_long", "long").when(F.col("applied") == "enter_short", "short").when(F.col("applied") == "exit", "flat")
     rows = rows.withColumn("side", F.coalesce(F.last(sets, ignorenulls=True).over(order), F.lit("flat")))

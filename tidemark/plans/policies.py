@@ -17,6 +17,7 @@ from tidemark.plans.records import _policies as registered
 from tidemark.plans.registry import query
 from tidemark.plans.twins import twin
 from tidemark.session import local_table, materialize
+from tidemark.sources import clustered
 
 _JSON = lambda parts: "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in sorted(parts.items())) + " || '}'"
 _ISO = "strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(slot AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ')"
@@ -162,3 +163,26 @@ def j1_score_card(c: Context) -> DataFrame:
 def j2_candidate_ranking(c: Context) -> DataFrame:
     """Registered policies that are scored and not rejected, retired or archived, best first in every split."""
     return records.ranked(registered(c), c.scores, ("split",)).select("policy_id", "split", *L("rank"))
+
+
+def _clustered(c: Context) -> str:
+    """The name of the table of all policies' applied steps, clustered by trajectory; its validation split is replaced twice."""
+    rows = c.applied.join(c.episodes.select("split", "symbol", "slot", "trajectory_id"), ["split", "symbol", "slot"])
+    table = clustered.write_clustered(rows, "applied_steps")
+    for _ in range(2):
+        clustered.rewrite_split(rows, table, "validation")
+    return table
+
+
+@query(twin("SELECT policy_id, split, n_steps, round(total_net_return, 9) AS total_net_return, trades, infeasible FROM rpt"))
+def a9_clustered_replay(c: Context) -> DataFrame:
+    """Replay over a stored table that is clustered by trajectory, after one split was written anew, twice."""
+    table = _clustered(c)
+    return replay.reports(replay.replay_stored(clustered.read_clustered(c.spark, table), c.spec)).select("policy_id", "split", "n_steps", R("total_net_return"), "trades", "infeasible")
+
+
+@query(twin("SELECT policy_id, count(*) AS steps, CAST(min(slot) AS BIGINT) AS first_slot, CAST(max(slot) AS BIGINT) AS last_slot, round(sum(net0), 9) AS net FROM app WHERE split = 'validation' AND slot BETWEEN 450 AND 499 GROUP BY ALL"))
+def a12_stored_window(c: Context) -> DataFrame:
+    """A window of time of a stored split."""
+    rows = clustered.read_clustered(c.spark, _clustered(c), ("validation",), 450, 499)
+    return rows.groupBy("policy_id").agg(F.count("*").alias("steps"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.round(F.sum("net_before_turnover"), 9).alias("net"))
