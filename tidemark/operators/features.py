@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,6 +59,32 @@ def flat_features(cube_rows: DataFrame, spreads: DataFrame, moves: DataFrame, sp
     return shared, channels.unionByName(last)
 
 
+TILE = 4096
+
+
+def dense_tiles(entries: DataFrame, slots: DataFrame, width: int, tile: int = TILE) -> DataFrame:
+    """slot, tile, values ARRAY<DOUBLE>: the flat vector of every slot in pieces of `tile` places, the last one shorter, places without a value as zeros.
+
+    Values (slot, position, x) are put at their places, so nothing is sorted, and no array is longer than a tile at any width.
+    """
+    n_tiles = -(-width // tile)
+    every = slots.select("slot").distinct().crossJoin(F.broadcast(slots.sparkSession.range(n_tiles).withColumnRenamed("id", "tile")))
+    filled = entries.groupBy("slot", F.floor(F.col("position") / tile).alias("tile")).agg(F.collect_list(F.struct((F.col("position") % tile).cast("int").alias("j"), "x")).alias("e"))
+    rows = every.join(filled, ["slot", "tile"], "left").select("slot", "tile", F.col("e.j").alias("j"), F.col("e.x").alias("x"))
+
+    def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in filter(len, batches):
+            out = []
+            for number, j, x in zip(batch["tile"], batch["j"], batch["x"], strict=True):
+                values = np.zeros(min(tile, width - number * tile))
+                if j is not None:
+                    values[j] = x
+                out.append(values)
+            yield pd.DataFrame({"slot": batch["slot"], "tile": batch["tile"], "values": out})
+
+    return rows.mapInPandas(scatter, "slot long, tile long, values array<double>")
+
+
 def narrow_features(best: DataFrame, spreads: DataFrame, moves: DataFrame, steps: DataFrame, spec: Spec) -> DataFrame:
     """split, symbol, slot, name, x: best price, venue spreads, relative moves, and the target's share of the axis."""
     price = best.select("slot", "symbol", F.lit("best_price").alias("name"), F.coalesce("best_price", F.lit(0.0)).alias("x"))

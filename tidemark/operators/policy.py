@@ -216,6 +216,25 @@ def contract_violations(required: DataFrame, present: DataFrame) -> DataFrame:
     return lacking.unionByName(extra)
 
 
+def signature(keys: Column) -> Column:
+    """sha256 of an ordered list of keys."""
+    return F.sha2(F.array_join(keys, "\n").cast("binary"), 256)
+
+
+def list_violations(policies: DataFrame, tables: DataFrame) -> DataFrame:
+    """policy_id, table_id, key, problem, policy_place, table_place (from 1; 0: none) of policies (policy_id, scope, keys) on tables (table_id, scope, keys).
+
+    A policy is held against every table of its scope, by the signature of the ordered keys first; only where it differs the lists
+    are compared, key by key: missing from the table, unexpected in it, or at another place.
+    """
+    theirs = tables.select("scope", "table_id", F.col("keys").alias("_t"), signature(F.col("keys")).alias("_ts"))
+    pairs = policies.withColumn("_ps", signature(F.col("keys"))).join(theirs, "scope").where(F.col("_ps") != F.col("_ts"))
+    each = pairs.select("policy_id", "table_id", "keys", "_t", F.explode(F.array_union("keys", "_t")).alias("key"))
+    placed = each.select("policy_id", "table_id", "key", F.array_position("keys", F.col("key")).alias("policy_place"), F.array_position("_t", F.col("key")).alias("table_place"))
+    problem = F.when(F.col("table_place") == 0, "missing").when(F.col("policy_place") == 0, "unexpected").otherwise("moved")
+    return placed.where(F.col("policy_place") != F.col("table_place")).withColumn("problem", problem)
+
+
 def fold_means(fold_scores: DataFrame) -> DataFrame:
     """candidate_idx, mean_return, mean_composite: weighted by the steps of the folds."""
     mean = lambda c: (F.sum(F.col(c) * F.col("n_steps")) / F.sum("n_steps"))

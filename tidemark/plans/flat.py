@@ -110,6 +110,13 @@ class Flat:
         return history, {name: (epoch, found) for name, (_, epoch, found) in best.items()}
 
 
+def _flat(c: Context) -> Flat:
+    """One for each context: queries over it share what it has written."""
+    if "flat" not in c.__dict__:
+        c.__dict__["flat"] = Flat(c)
+    return c.__dict__["flat"]
+
+
 _K = len(DEFAULT.actions) + len(DEFAULT.exchanges)
 _C = range(_K)
 _HEADS = [f"a{i}" for i in range(len(DEFAULT.actions))] + [f"v{i}" for i in range(len(DEFAULT.exchanges))]
@@ -162,7 +169,27 @@ _SPARSE = _FEATURES | _FLAT | {
 @query(twin(f"SELECT win AS \"window\", CAST(pos AS BIGINT) AS position, round(mean + {_HAIR}, 6) + 0.0 AS mean, round(std + {_HAIR}, 6) AS std FROM fst", _SPARSE))
 def e3_flat_statistics(c: Context) -> DataFrame:
     """Mean and deviation of every position that has values, over the training steps of the train split and of each fold."""
-    return Flat(c).statistics.select("window", "position", _plain("mean", 6), _plain("std", 6))
+    return _flat(c).statistics.select("window", "position", _plain("mean", 6), _plain("std", 6))
+
+
+_TILES = _SPARSE | {
+    "tl": f"SELECT slot, t AS tile, CAST(least({features.TILE}, {WIDTH} - t * {features.TILE}) AS BIGINT) AS places FROM (SELECT DISTINCT slot FROM slices), range({-(-WIDTH // features.TILE)}) r(t)",
+    "te": f"SELECT slot, pos // {features.TILE} AS tile, count(*) AS filled, sum(x) AS total, sum(x * (pos % {features.TILE} + 1)) AS placed FROM fe GROUP BY ALL",
+}
+
+
+@query(twin("SELECT CAST(slot AS BIGINT) AS slot, CAST(tile AS BIGINT) AS tile, places, coalesce(filled, 0) AS filled, round(coalesce(total, 0) + 0.0131, 1) + 0.0 AS total, round(coalesce(placed, 0) + 0.13, 0) + 0.0 AS placed FROM tl LEFT JOIN te USING (slot, tile)", _TILES))
+def e1_dense_tiles(c: Context) -> DataFrame:
+    """What all targets of a slot share, as dense arrays of a tile each, dead cells as zeros: places, values other than zero, their sum, and the sum by place."""
+    flat = _flat(c)
+    shared = flat.entries.where(F.col("part") % (len(c.spec.symbols) + 1) == 0).select("slot", "position", "x")
+    rows = features.dense_tiles(shared, c.steps.select("slot"), WIDTH)
+    number = F.sequence(F.lit(1), F.size("values"))
+    return rows.select(
+        *L("slot", "tile"), F.size("values").cast("long").alias("places"), F.size(F.filter("values", lambda x: x != 0)).cast("long").alias("filled"),
+        (F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x) + 0.0131, 1) + 0.0).alias("total"),
+        (F.round(F.aggregate(F.zip_with("values", number, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x) + 0.13, 0) + 0.0).alias("placed")  # away from exact halves,
+    )
 
 
 _Z = _SPARSE | {
@@ -176,7 +203,7 @@ _Z = _SPARSE | {
 @query(twin("SELECT split, s.symbol, CAST(s.slot AS BIGINT) AS slot, round(coalesce(za.z, 0) + coalesce(zb.z, 0) - zk.z, 4) + 0.0 AS z_total, round(sqrt(greatest(coalesce(za.q, 0) + coalesce(zb.q, 0) + zk.q, 0)), 4) AS z_norm FROM steps s LEFT JOIN za ON s.slot = za.slot LEFT JOIN zb ON s.slot = zb.slot AND s.symbol = zb.symbol, zk", _Z))
 def e4_flat_standardized(c: Context) -> DataFrame:
     """Every step's vector by the train split's statistics: the sum and the length of what is dense then, from the values that are not zero."""
-    flat = Flat(c)
+    flat = _flat(c)
     stats = flat.statistics.where("window = 'train'").drop("window")
     mean, std, x = F.coalesce("mean", F.lit(0.0)), F.coalesce("std", F.lit(1.0)), F.col("x")
     parts = flat.entries.join(stats, "position", "left").groupBy("part").agg(F.sum(x / std).alias("z"), F.sum(x * (x - 2 * mean) / (std * std)).alias("q"))
@@ -200,7 +227,7 @@ _ZERO = {"zd": f"SELECT win, slot, symbol, {', '.join(f'(1 / {sum(_IS_VENUE[j] =
 @query(twin(f"SELECT win AS fold, CAST(pos AS BIGINT) AS position, {', '.join(f'round(g{i}, 5) + 0.0 AS {h}' for i, h in enumerate(_HEADS))} FROM gr", _SPARSE | _ZERO | _gradient_sql("zd")))
 def k1_flat_gradient(c: Context) -> DataFrame:
     """Summed gradients of both heads by position, where all weights are zero, of every fold."""
-    flat = Flat(c)
+    flat = _flat(c)
     model = flat.model([WeightSet(0, w, 0, 0.0, 0.0) for w in flat.folds])
     gradient, _, _ = model.gradient(flat.labelled("development", flat.folds), model.start(0.0))
     found = by_position(gradient, model.sets, classes(c.spec), "key", "m")
@@ -215,7 +242,7 @@ _STEP = [f"round({_START.format(p='pos', c=i, seed=SEEDS[0])} - {RATES[0]} * (g{
 @query(twin(f"SELECT win AS fold, CAST(pos AS BIGINT) AS position, {', '.join(_STEP)} FROM gr", _SPARSE | _epoch_sql(SEEDS[0]) | _gradient_sql("zd")))
 def k2_flat_epoch(c: Context) -> DataFrame:
     """Weights of the first candidate after one epoch, by fold and position."""
-    flat = Flat(c)
+    flat = _flat(c)
     model = flat.model([WeightSet(0, w, SEEDS[0], RATES[0], L2S[0]) for w in flat.folds])
     state, _ = model.epoch(flat.labelled("development", flat.folds), model.start())
     found = by_position(state.weights, model.sets, classes(c.spec))
@@ -228,7 +255,7 @@ _LOSS = f"(SELECT {L2S[0]} * sum({' + '.join(f'power({_START.format(p='pos', c=i
 @query(twin(f"SELECT win AS fold, count(*) AS steps, round(avg(loss) + {_LOSS}, 7) AS loss FROM zd GROUP BY ALL", _SPARSE | _epoch_sql(SEEDS[0])))
 def k2_flat_loss(c: Context) -> DataFrame:
     """Loss of the first candidate at its start on every fold, the penalty of all positions included."""
-    flat = Flat(c)
+    flat = _flat(c)
     model = flat.model([WeightSet(0, w, SEEDS[0], RATES[0], L2S[0]) for w in flat.folds])
     rows = flat.labelled("development", flat.folds)
     _, losses = model.epoch(rows, model.start())
@@ -251,7 +278,7 @@ _DECIDE = _Z | {
 @query(twin("SELECT split, symbol, CAST(slot AS BIGINT) AS slot, CASE act_i " + " ".join(f"WHEN {i} THEN '{a.key}'" for i, a in _ACTIONS) + " END AS action, CASE WHEN act_i > 0 THEN CASE ven_i " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in _VENUES) + " END END AS exchange, round(CASE WHEN act_i = 0 THEN pa ELSE (pa + pv) / 2 END, 6) AS confidence FROM hd", _DECIDE))
 def h1_flat_decisions(c: Context) -> DataFrame:
     """Decisions of the starting weights on the steps of all splits, by the train split's statistics."""
-    flat = Flat(c)
+    flat = _flat(c)
     model = flat.model([WeightSet(0, "train", SEEDS[0], RATES[0], L2S[0])])
     rows = c.steps.select("split", "symbol", "slot", F.array(F.lit("train")).alias("windows"))
     return model.decide(rows, model.start()).select("split", "symbol", *L("slot"), "action", "exchange", R("confidence", 6))
@@ -275,7 +302,7 @@ def _history(c: Context, flat: Flat, sets: list[WeightSet]) -> DataFrame:
 def k4_flat_search(c: Context) -> DataFrame:
     """Every candidate trained on each fold on the flat vector, with its losses and replayed returns by epoch; its rank over the folds by its
     best epochs; and the winner fitted anew on the train split, with the epoch that is best in validation replay."""
-    flat = Flat(c)
+    flat = _flat(c)
     sets = _sets(c, flat)
     history = _history(c, flat, sets)
     best = history.where("best_so_far").groupBy("candidate_idx", "fold").agg(F.max_by(F.struct("validation_total_net_return", "validation_composite", "n_steps"), "epoch").alias("b"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ class Ledger:
         claim = F.get(F.array(*map(F.lit, ledger.CLAIMS)), (F.col("trades") % len(ledger.CLAIMS)).cast("int"))
         self.paper = runs.agg(F.count_if(F.col("applied") != "abstain").alias("trades")).where("trades > 0").withColumn("claim", claim)
 
-    @property
+    @cached_property
     def history(self) -> DataFrame:
         spec = self.c.spec
         tried = ledger.registrations(self.scores).select("scope", "policy_id", "tried")
@@ -49,6 +51,13 @@ class Ledger:
         return materialize(ledger.promotion_history(asked, self.scores, self.paper, checks), "promotions")
 
 
+def _ledger(c: Context) -> Ledger:
+    """One for each context: queries over it share what it has written."""
+    if "ledger" not in c.__dict__:
+        c.__dict__["ledger"] = Ledger(c)
+    return c.__dict__["ledger"]
+
+
 _POSITIVE = "CASE WHEN r.net > 0 THEN '' ELSE 'economics.post_cost_positive,' END"
 _RIVAL = "coalesce(p.champion <> r.policy_id, false)"
 _BROKEN = f"""rtrim({_POSITIVE}
@@ -75,37 +84,37 @@ def _twin(select: str) -> str:
 @query(_twin("SELECT scope, policy_id, count(*) AS folds, CAST(sum(n_steps) AS BIGINT) AS n_steps, CAST(any_value(tried) AS BIGINT) AS tried, arg_min(surface, (-net, surface)) AS best_surface, CAST(min(te) AS BIGINT) AS first_at FROM lsc JOIN (SELECT scope, count(DISTINCT policy_id) AS tried FROM lsc GROUP BY ALL) USING (scope) GROUP BY ALL"))
 def l1_search_registrations(c: Context) -> DataFrame:
     """Candidates of every symbol's search, with the folds and steps they were tried on."""
-    return ledger.registrations(Ledger(c).scores).select("scope", "policy_id", "folds", "n_steps", "tried", "best_surface", *L("first_at"))
+    return ledger.registrations(_ledger(c).scores).select("scope", "policy_id", "folds", "n_steps", "tried", "best_surface", *L("first_at"))
 
 
 @query(_twin("SELECT scope, policy_id, surface, composite, count(*) OVER w AS n_scores, CAST(min(vf) OVER w AS BIGINT) AS first_slot, CAST(max(ed) OVER w + 1 AS BIGINT) AS end_slot, max(composite) OVER w AS best_composite FROM lsc WINDOW w AS (PARTITION BY scope, policy_id ORDER BY ed ROWS UNBOUNDED PRECEDING)"))
 def l2_score_history(c: Context) -> DataFrame:
     """Every appended score, and the record after it."""
-    return ledger.score_history(Ledger(c).scores).select("scope", "policy_id", "surface", "composite", "n_scores", *L("first_slot", "end_slot"), "best_composite")
+    return ledger.score_history(_ledger(c).scores).select("scope", "policy_id", "surface", "composite", "n_scores", *L("first_slot", "end_slot"), "best_composite")
 
 
 @query(_twin("SELECT scope, 'start' AS surface, policy_id, 'candidate' AS status FROM (SELECT DISTINCT scope, policy_id FROM lsc) UNION ALL SELECT s.scope, s.surface, s.policy_id, CASE WHEN coalesce(h.champion = s.policy_id, false) THEN 'champion' ELSE 'challenger' END FROM lsc s JOIN lhi h ON s.scope = h.scope AND s.surface = h.surface"))
 def l3_status_history(c: Context) -> DataFrame:
     """Status of every policy after its registration and after each surface: a promotion demotes the champion before it."""
-    log = Ledger(c)
+    log = _ledger(c)
     return ledger.status_history(log.scores, log.history)
 
 
 @query(_twin("SELECT scope, surface, policy_id, champion, round(delta, 9) AS delta, round(composite_delta, 9) AS composite_delta, delta > 0 AS beats FROM lcm"))
 def l4_surface_comparisons(c: Context) -> DataFrame:
     """Scored policies against the champion of the time, on every surface."""
-    log = Ledger(c)
+    log = _ledger(c)
     return ledger.surface_comparisons(log.scores, log.history).select("scope", "surface", "policy_id", "champion", R("delta"), R("composite_delta"), "beats")
 
 
 @query(_twin("SELECT p.scope, p.surface, p.policy_id, claim, CASE WHEN claim <> 'none' AND m.champion IS NULL THEN 'comparison_not_found' WHEN coalesce(p.champion_before <> p.policy_id, false) THEN CASE WHEN claim = 'none' THEN 'comparison_required' WHEN c_policy <> p.policy_id THEN 'challenger_mismatch' WHEN m.champion <> p.champion_before THEN 'champion_mismatch' WHEN c_surface <> p.surface THEN 'surface_mismatch' ELSE 'linked' END WHEN claim <> 'none' AND c_policy <> p.policy_id AND m.champion <> p.policy_id THEN 'not_linked' ELSE 'linked' END AS rule FROM lpl p LEFT JOIN lcm m ON m.scope = p.scope AND m.surface = p.c_surface AND m.policy_id = p.c_policy"))
 def l5_paper_runs(c: Context) -> DataFrame:
     """Paper runs over the untouched split, one for each surface, and the rule that each one's claim breaks."""
-    log = Ledger(c)
+    log = _ledger(c)
     return ledger.paper_linkage(log.paper, log.scores, log.history)
 
 
 @query(_twin("SELECT scope, surface, CAST(ed AS BIGINT) AS \"at\", policy_id, champion_before, CASE WHEN failures = '' THEN 'promote' ELSE 'reject' END AS decision, failures, champion AS champion_after FROM lhi WHERE i > 0"))
 def l6_promotion_history(c: Context) -> DataFrame:
     """Promotion requests of the best policy of each symbol and fold, in order, against the champion that the decisions before left."""
-    return Ledger(c).history.select("scope", "surface", *L("at"), "policy_id", "champion_before", "decision", "failures", "champion_after")
+    return _ledger(c).history.select("scope", "surface", *L("at"), "policy_id", "champion_before", "decision", "failures", "champion_after")

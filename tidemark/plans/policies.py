@@ -186,3 +186,28 @@ def a12_stored_window(c: Context) -> DataFrame:
     """A window of time of a stored split."""
     rows = clustered.read_clustered(c.spark, _clustered(c), ("validation",), 450, 499)
     return rows.groupBy("policy_id").agg(F.count("*").alias("steps"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.round(F.sum("net_before_turnover"), 9).alias("net"))
+
+
+_LISTS = {
+    "dkey": "SELECT symbol, us // 86400000000 AS day, exchange || ':' || stream || ':' || CASE WHEN max(coalesce(price, mid, mark_price, funding_rate, open_interest)) IS NULL THEN 'empty' ELSE 'valued' END AS key FROM ev GROUP BY symbol, day, exchange, stream",
+    "tbl": "SELECT symbol AS scope, day, list(key ORDER BY key) AS keys FROM dkey GROUP BY ALL",
+    "plc2": "SELECT symbol AS scope, fold, list(DISTINCT exchange || ':' || stream || ':valued' ORDER BY exchange || ':' || stream || ':valued') AS keys FROM ev, fold WHERE us <= least(train_last, purge_before - 1) * 3600000000 AND coalesce(price, mid, mark_price, funding_rate, open_interest) IS NOT NULL GROUP BY ALL",
+    "lpr": "SELECT p.scope, fold, day, p.keys AS pk, t.keys AS tk FROM plc2 p JOIN tbl t USING (scope) WHERE array_to_string(p.keys, chr(10)) <> array_to_string(t.keys, chr(10))",
+    "lky": "SELECT DISTINCT scope, fold, day, pk, tk, unnest(list_concat(pk, tk)) AS key FROM lpr",
+    "lpp": "SELECT scope, fold, day, key, CAST(coalesce(list_position(pk, key), 0) AS BIGINT) AS pp, CAST(coalesce(list_position(tk, key), 0) AS BIGINT) AS tp FROM lky",
+}
+
+
+@query(twin("SELECT scope || '|' || fold AS policy_id, scope || '|' || CAST(day AS BIGINT) AS table_id, key, CASE WHEN tp = 0 THEN 'missing' WHEN pp = 0 THEN 'unexpected' ELSE 'moved' END AS problem, pp AS policy_place, tp AS table_place FROM lpp WHERE pp <> tp", _LISTS))
+def h3_policy_gates(c: Context) -> DataFrame:
+    """A policy of each symbol and fold, whose keys are what its training window has, against each day's table of the symbol: every violation with its place."""
+    value = F.coalesce("price", "mid", "mark_price", "funding_rate", "open_interest")
+    by_day = c.events.groupBy("symbol", F.floor(F.col("us") / 86_400_000_000).cast("long").alias("day"), "exchange", "stream").agg(F.max(value).alias("v"))
+    key = F.concat_ws(":", "exchange", "stream", F.when(F.col("v").isNull(), "empty").otherwise("valued"))
+    tables = by_day.groupBy(F.col("symbol").alias("scope"), "day").agg(F.array_sort(F.collect_set(key)).alias("keys")).withColumn("table_id", F.concat_ws("|", "scope", F.col("day").cast("string")))
+    ends = c.folds.select("fold", (F.least("train_last", F.col("purge_before") - 1).cast("long") * 3_600_000_000).alias("until"))
+    first = c.events.where(value.isNotNull()).groupBy("symbol", "exchange", "stream").agg(F.min("us").alias("us"))  # a key is in every window that ends behind its first event
+    seen = first.join(F.broadcast(ends), F.col("us") <= F.col("until"))
+    named = F.concat_ws(":", "exchange", "stream", F.lit("valued"))
+    trained = seen.groupBy(F.col("symbol").alias("scope"), "fold").agg(F.array_sort(F.collect_set(named)).alias("keys")).withColumn("policy_id", F.concat_ws("|", "scope", "fold"))
+    return policy.list_violations(trained.select("policy_id", "scope", "keys"), tables.select("table_id", "scope", "keys")).select("policy_id", "table_id", "key", "problem", *L("policy_place", "table_place"))

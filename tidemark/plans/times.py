@@ -70,7 +70,9 @@ def _counted(g: TimeGrid) -> dict[str, str]:
 
 
 def _state(c: Context) -> DataFrame:
-    return materialize(intervals.state_intervals(c.events), "state-intervals")
+    if "intervals" not in c.__dict__:
+        c.__dict__["intervals"] = materialize(intervals.state_intervals(c.events), "state-intervals")
+    return c.__dict__["intervals"]
 
 
 @query(_counts_sql(_counted(MINUTES)))
