@@ -21,13 +21,18 @@ WIDTH = features.feature_dim(DEFAULT)
 SEEDS, RATES, L2S, EPOCHS = (7, 11), (0.05, 0.1), (1e-4,), 2
 
 
-#: Means of prices can end in an exact half, which sums in another order round to either side; with this none does.
-_HAIR = 2.1e-7
+#: Sums in another order differ in their last digits, which shows where a mean ends in an exact half or is large; so a hair is added, and large ones have fewer digits.
+_HAIR, _WIDE, _LARGE = 2.1e-7, 1.31e-4, 1000
 
 
-def _plain(name: str, digits: int):  # noqa: ANN202
+def _plain(name: str):  # noqa: ANN202
     """Rounded, zero without a sign."""
-    return (F.round(F.col(name) + _HAIR, digits) + 0.0).alias(name)
+    x = F.col(name)
+    return (F.when(F.abs(x) < _LARGE, F.round(x + _HAIR, 6)).otherwise(F.round(x + _WIDE, 3)) + 0.0).alias(name)
+
+
+def _plain_sql(name: str) -> str:
+    return f"CASE WHEN abs({name}) < {_LARGE} THEN round({name} + {_HAIR}, 6) ELSE round({name} + {_WIDE}, 3) END + 0.0 AS {name}"
 
 
 class Flat:
@@ -166,10 +171,10 @@ _SPARSE = _FEATURES | _FLAT | {
 }
 
 
-@query(twin(f"SELECT win AS \"window\", CAST(pos AS BIGINT) AS position, round(mean + {_HAIR}, 6) + 0.0 AS mean, round(std + {_HAIR}, 6) AS std FROM fst", _SPARSE))
+@query(twin(f"SELECT win AS \"window\", CAST(pos AS BIGINT) AS position, {_plain_sql('mean')}, {_plain_sql('std')} FROM fst", _SPARSE))
 def e3_flat_statistics(c: Context) -> DataFrame:
     """Mean and deviation of every position that has values, over the training steps of the train split and of each fold."""
-    return _flat(c).statistics.select("window", "position", _plain("mean", 6), _plain("std", 6))
+    return _flat(c).statistics.select("window", "position", _plain("mean"), _plain("std"))
 
 
 _TILES = _SPARSE | {
