@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidemark.functions.specs import DEFAULT
-from tidemark.operators import ledger, replay
+from tidemark.operators import features, ledger, policy, replay
 from tidemark.plans import policies
 from tidemark.plans.context import Context
 from tidemark.plans.market import _state
@@ -74,3 +74,22 @@ def test_a_promotion_demotes_the_champion_before_it(spark):
     assert status["start", "a"] == "candidate" and status["wf-00", "a"] == "champion" and status["wf-01", "a"] == "challenger" and status["wf-01", "b"] == "champion"
     rules = {(r["surface"], r["policy_id"]): r["rule"] for r in ledger.paper_linkage(paper, scores, history).collect()}
     assert rules["wf-00", "b"] == "comparison_not_found" and rules["wf-01", "b"] == "linked" and rules["wf-02", "a"] == "comparison_not_found"
+
+
+def test_ordered_keys_are_compared_by_place_where_signatures_differ(spark):
+    policies_ = spark.createDataFrame([("p", "s", ["a", "b", "c"]), ("q", "s", ["a", "c"]), ("r", "t", ["a"])], "policy_id string, scope string, keys array<string>")
+    tables = spark.createDataFrame([("x", "s", ["a", "b", "c"]), ("y", "s", ["b", "a", "d"])], "table_id string, scope string, keys array<string>")
+    found = {(r["policy_id"], r["table_id"], r["key"], r["problem"], r["policy_place"], r["table_place"]) for r in policy.list_violations(policies_, tables).collect()}
+    assert found == {
+        ("p", "y", "a", "moved", 1, 2), ("p", "y", "b", "moved", 2, 1), ("p", "y", "c", "missing", 3, 0), ("p", "y", "d", "unexpected", 0, 3),
+        ("q", "x", "b", "unexpected", 0, 2), ("q", "x", "c", "moved", 2, 3),
+        ("q", "y", "a", "moved", 1, 2), ("q", "y", "b", "unexpected", 0, 1), ("q", "y", "c", "missing", 2, 0), ("q", "y", "d", "unexpected", 0, 3),
+    }
+
+
+def test_dense_tiles_put_every_value_at_its_place(spark):
+    entries = spark.createDataFrame([(1, 0, 5.0), (1, 9, 7.0), (1, 4, 1.0)], "slot long, position long, x double")
+    rows = features.dense_tiles(entries, spark.createDataFrame([(1,), (2,)], "slot long"), 10, 4).collect()
+    assert {(r["slot"], r["tile"]): r["values"] for r in rows} == {
+        (1, 0): [5.0, 0.0, 0.0, 0.0], (1, 1): [1.0, 0.0, 0.0, 0.0], (1, 2): [0.0, 7.0], (2, 0): [0.0] * 4, (2, 1): [0.0] * 4, (2, 2): [0.0] * 2,
+    }
