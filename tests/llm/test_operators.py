@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import calendar
 import collections
+import hashlib
 import random
 import re
 import zlib
+from datetime import date
 
 import numpy as np
 import public_tokenizers
@@ -572,6 +575,96 @@ def test_pseudonyms_stay_within_their_format(spark):
             assert not any(re.sub(r"\D", "", m).startswith("0") for m in moved)
 
 
+def _noise_by_hand(tag, turn, size, half):
+    return int(hashlib.sha256(f"k:{tag}:{turn}:{size}:{half}".encode()).hexdigest()[:15], 16)
+
+
+def _pair_by_hand(a, b, m, n, tag):
+    size = f"{m},{n}"
+    for turn in range(1, 9):
+        a, b, m, n = b, (a + _noise_by_hand(tag, turn, size, b)) % m, n, m
+    return a, b
+
+
+def _led_by_hand(digits, tag):
+    bare = digits.lstrip("0")
+    if not bare:
+        return digits
+    left = max(len(bare) // 2, 1)
+    least, right = 10 ** (left - 1), len(bare) - left
+    a, b = _pair_by_hand(int(bare[:left]) - least, int(bare[left:] or 0), 9 * least, 10**right, tag)
+    return "0" * (len(digits) - len(bare)) + str(a + least) + (f"{b:0{right}d}" if right else "")
+
+
+def _day_by_hand(day):
+    block, year = day.year - day.year % 40, day.year % 40
+    if (day.month, day.day) == (2, 29):
+        leaps = [y for y in range(1000, 3000) if calendar.isleap(y)]
+        at = leaps.index(day.year)
+        return date(leaps[at - at % 97 + _pair_by_hand(at % 97, 0, 97, 1, "leap day")[0]], 2, 29)
+    if day.day <= 12:
+        y, d = _pair_by_hand(year, (day.month - 1) * 12 + day.day - 1, 40, 144, "early day")
+        return date(block + y, d // 12 + 1, d % 12 + 1)
+    late = [(m, d) for m in range(1, 13) for d in range(13, calendar.monthrange(2001, m)[1] + 1)]
+    y, d = _pair_by_hand(year, late.index((day.month, day.day)), 40, len(late), "late day")
+    return date(block + y, *late[d])
+
+
+def test_led_numbers_are_permuted_in_their_class(spark):
+    """All strings of four digits, and of one: a permutation that keeps the number of leading zeros, as a plain version has it."""
+    for n in (1, 4):
+        rows = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("d"))
+        found = {r["d"]: r["p"] for r in rows.select("d", pii.permute_led(F.col("d"), "k", "phone").alias("p")).collect()}
+        assert len(set(found.values())) == 10**n and found == {d: _led_by_hand(d, "phone") for d in found}
+        assert all(len(d.lstrip("0")) == len(p.lstrip("0")) for d, p in found.items())
+
+
+def test_days_are_permuted_in_their_class(spark):
+    """Every day from 1000 to 2999: a permutation; those up to the 12th stay such; some as a plain version has them."""
+    days = spark.range(730_485).select(F.date_add(F.lit("1000-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    at = F.struct(F.year("d").cast("long").alias("y"), F.month("d").cast("long").alias("m"), F.day("d").cast("long").alias("d"))
+    moved = days.select("d", pii.permute_day(at, "k").alias("p")).select("d", F.make_date(F.col("p.y").cast("int"), F.col("p.m").cast("int"), F.col("p.d").cast("int")).alias("p"))
+    counts = moved.agg(F.countDistinct("p").alias("n"), F.max((F.day("p") <= 12) != (F.day("d") <= 12)).alias("broken"), F.max(F.abs(F.year("p") - F.year("d"))).alias("far"))
+    r = counts.first()
+    assert (r["n"], r["broken"]) == (730_485, False) and r["far"] < 400
+    some = moved.where("pmod(hash(d), 500) = 0 OR (month(d) = 2 AND day(d) = 29 AND year(d) < 1300)").collect()
+    assert len(some) > 1000 and all(r["p"] == _day_by_hand(r["d"]) for r in some)
+
+
+def test_pseudonyms_are_linked_in_all_notations(spark):
+    """One telephone number and one day in many notations; a plain version says what becomes of them."""
+    phone = _led_by_hand("15112345678", "phone")
+    day, early = _day_by_hand(date(1980, 12, 25)), _day_by_hand(date(1987, 3, 5))
+    english, german = calendar.month_name, dict(enumerate(pii.MONTHS[48:], 1))
+    th = lambda n: f"{n}{'th' if n // 10 == 1 else {1: 'st', 2: 'nd', 3: 'rd'}.get(n % 10, 'th')}"
+    cases = [
+        ("+49 151 12345678", f"+49 {phone[:3]} {phone[3:]}"),
+        ("+4915112345678", f"+49{phone}"),
+        ("+49 (0)151 12345678", f"+49 (0){phone[:3]} {phone[3:]}"),
+        ("0151 12345678", f"0{phone[:3]} {phone[3:]}"),
+        ("+33 6 12 34 56 78", None),
+        ("06 12 34 56 78", None),
+        ("030 123 4567", None),
+        ("12/25/1980", f"{day.month:02d}/{day.day}/{day.year}"),
+        ("25/12/1980", f"{day.day}/{day.month:02d}/{day.year}"),
+        ("25.12.1980", f"{day.day}.{day.month:02d}.{day.year}"),
+        ("1980-12-25", f"{day}"),
+        ("5 March 1987", f"{early.day} {english[early.month]} {early.year}"),
+        ("March 5th, 1987", f"{english[early.month]} {th(early.day)}, {early.year}"),
+        ("5. März 1987", f"{early.day}. {german[early.month].capitalize()} {early.year}"),
+        ("5 de marzo de 1987", f"{early.day} de {pii.MONTHS[35 + early.month]} de {early.year}"),
+        ("3/5/1987", None),
+        ("30 February 1987", "30 February 1987"),
+        ("13/13/1987", "13/13/1987"),
+        ("version 3 May be", "version 3 May be"),
+    ]
+    rows = spark.createDataFrame([(i, f"see {v}, and") for i, (v, _) in enumerate(cases)], "doc_id long, text string")
+    found = {r["doc_id"]: r["text"].removeprefix("see ").removesuffix(", and") for r in pii.pseudonymize(rows, "k").collect()}
+    for i, (was, expected) in enumerate(cases):
+        assert found[i] == expected if expected else found[i] != was and len(found[i]) >= len(was) - 1, (was, found[i], expected)
+    assert re.sub(r"\D", "", found[4])[2:] == re.sub(r"\D", "", found[5])[1:] and found[6].startswith("0")
+
+
 def test_language_id_reads_letters_only(spark):
     rows = [(i, f"{w} {w}s", "en") for i, w in enumerate(("house", "garden", "river", "stone", "water") * 3)] + [(50, "½ ² ①", None), (51, "x²y", None), (52, None, "en")]
     found = {r["doc_id"]: r for r in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES).collect()}

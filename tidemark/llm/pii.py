@@ -2,15 +2,18 @@
 
 Every document is cut once by one pattern into plain parts and matches; a match that passes its check is
 replaced by a keyed Feistel permutation within its format, so equal values get equal pseudonyms in all
-documents, the format stays, and different values of one kind never meet. Where the format leaves out some of the
-numbers, the permutation is applied again until it meets one that the format has (cycle-walking):
+documents, the format stays, and different values of one kind never meet. Every format's values are numbered and
+permuted over exactly those numbers (Feistel steps over two parts of any sizes), so no walk is needed:
 
 * card: 13 to 19 digits that pass the Luhn check; all digits but the last are permuted and the check
-  digit is set anew; only numbers that begin with 0 become such. Other digit runs of that length are kept as they are;
-* phone: the digits after the country code are permuted; only those that begin with 0 become such;
+  digit is set anew; leading zeros stay as many. Other digit runs of that length are kept as they are;
+* phone: the digits after the country code (and a bracketed trunk zero) are permuted, leading zeros stay as many; so a number
+  is linked in all its notations: with or without spaces, country code and trunk zero;
 * social security number: permuted among the numbers that the pattern admits;
 * IBAN: passes the mod-97 check; the account's digits are permuted and the check digits set anew;
-* date: a real calendar day, permuted within blocks of 16,384 days (45 years) of four-digit years, in the same notation;
+* date: a real calendar day of the years 1000 to 2999, permuted within 40 years, in the same notation: year first, day first,
+  month first (where the second number can't be a month), or with the month's name in English, German, French or Spanish. Days up to the
+  12th stay such, so that a pseudonym reads as one day only; 29 February goes to another leap year of 97;
 * IPv4: four octets, permuted as 32 bits;
 * e-mail: the local part becomes a keyed digest of the same length (8 characters at least), the domain's
   names a digest below `.invalid`;
@@ -19,27 +22,56 @@ numbers, the permutation is applied again until it meets one that the format has
 
 from __future__ import annotations
 
-from datetime import date
+import re
+from calendar import isleap, monthrange
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-WALKS = 40  # a walk meets a number of the format at each step with a chance of 0.5 at least, 0.89 for most
-DATE_HALF = 128
-FIRST_DAY, LAST_DAY = ((date(y, m, d) - date(1900, 1, 1)).days for y, m, d in ((1000, 1, 1), (2999, 12, 31)))
+FIRST_YEAR, YEARS = 1000, 40  # dates are permuted within blocks of so many years
+# Month and day, as one number, of the days after the 12th that every year has; and the leap years.
+LATE_DAYS = [m * 100 + d for m in range(1, 13) for d in range(13, monthrange(2001, m)[1] + 1)]
+LEAP_YEARS = [y for y in range(1000, 3000) if isleap(y)]
+LEAPS = 97  # of 400 years
+# Names of the months (English, short English, French, Spanish, German), and the lengths of country codes.
+MONTHS = (
+    "january february march april may june july august september october november december "
+    "jan feb mar apr may jun jul aug sep oct nov dec "
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre "
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre "
+    "januar februar märz april mai juni juli august september oktober november dezember"
+).split()
+COUNTRY = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+NAMED = "(?iu:" + "|".join(sorted(set(MONTHS), key=lambda n: (-len(n), n))) + ")"
+YEAR, DAY, MONTH = "[12][0-9]{3}", "(?:[0-2]?[0-9]|3[01])", "(?:0?[0-9]|1[0-2])"
+DAY_NAMED = rf"({DAY})(st|nd|rd|th|\.)?( de | )({NAMED})(\.?,? | de )({YEAR})"
+NAMED_DAY = rf"({NAMED})(\.? )({DAY})(st|nd|rd|th)?(,? )({YEAR})"
+
+
+def _plain(pattern: str) -> str:
+    """A pattern without numbered groups."""
+    return re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern)
+
+
 KINDS = ("email", "secret", "iban", "ip", "date", "ssn", "card", "phone")
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}",
     "secret": r"(?<![\p{L}\p{N}])(?=[0-9]{0,63}[A-Fa-f])(?=[A-Fa-f]{0,63}[0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9/.-])(?:[12][0-9]{3}-[01][0-9]-[0-3][0-9]|[0-3][0-9]([/.])[01][0-9]\1[12][0-9]{3})(?![0-9]|[/.-][0-9])",
+    "date": rf"(?<![0-9/.-])(?:{YEAR}-[01][0-9]-[0-3][0-9]|(?:{DAY}/{MONTH}|{MONTH}/{DAY})/{YEAR}|{DAY}\.{MONTH}\.{YEAR}|"
+    rf"(?<![\p{{L}}\p{{N}}])(?:{_plain(DAY_NAMED)}|{_plain(NAMED_DAY)}))(?![0-9]|[/.-][0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9]|[.-][0-9])|(?<![\p{L}\p{N}+])\+[0-9]{8,15}(?![0-9])",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9]|[.-][0-9])"
+    r"|(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-](?:\(0\) ?)?[0-9]|0[1-9])(?:[ .-][0-9]{2}){4}(?![0-9]|[.-][0-9])"
+    r"|(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-](?:\(0\) ?)?(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{4,9}(?![0-9]|[./-][0-9])"
+    r"|(?<![\p{L}\p{N}+./-])0[1-9][0-9]{1,3}[ /-][0-9]{5,9}(?![0-9]|[./-][0-9])"
+    r"|(?<![\p{L}\p{N}+])\+[0-9]{8,15}(?![0-9])",
     "card": r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
-ANY = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS).replace(r"([/.])[01][0-9]\1", r"(?:/[01][0-9]/|\.[01][0-9]\.)")
+ANY = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
 
 
 def _ten(n: Column) -> Column:
@@ -79,15 +111,34 @@ def permute_number(value: Column, half: int, key: str, tag: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s.a * half + s.b)
 
 
-def walked(value: Column, permute, valid) -> Column:  # noqa: ANN001
-    """`permute` applied until `valid` holds: a permutation of the valid values."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), permute(value), lambda s, _: F.when(valid(s), s).otherwise(permute(s)))
+def permute_pair(a: Column, b: Column, a_size: Column, b_size: Column, key: str, tag: str) -> Column:
+    """A permutation of all pairs of numbers below `a_size` and `b_size`, as a struct of a and b: in turn, noise of one is added to the other."""
+    size = F.concat_ws(",", a_size, b_size)
+    start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), a_size.cast("long").alias("m"), b_size.cast("long").alias("n"))
+
+    def turn(s: Column, i: Column) -> Column:
+        mixed = F.pmod(s.a + _noise(key, tag, i, size, s.b), s.m)
+        return F.struct(s.b.alias("a"), mixed.alias("b"), s.n.alias("m"), s.m.alias("n"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
+
+
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def permute_led(digits: Column, key: str, tag: str) -> Column:
-    """Permutes digit strings, those that begin with 0 among themselves."""
-    zero = lambda d: F.substr(d, F.lit(1), F.lit(1)) == "0"
-    return walked(digits, lambda d: permute_digits(d, key, tag), lambda d: zero(d) == zero(digits))
+    """A permutation of digit strings (at most 36) that keeps how many zeros they begin with; what follows these decides alone."""
+    zeros = F.regexp_extract(digits, "^0*", 0)
+    n = F.length(digits) - F.length(zeros)
+    left = F.greatest(F.floor(n / 2).cast("int"), F.lit(1))
+    least = _ten(left - 1)
+    head = F.substr(digits, F.length(zeros) + 1, left).cast("long") - least
+    tail = F.coalesce(F.substr(digits, F.length(zeros) + left + 1, n - left).try_cast("long"), F.lit(0))
+    moved = permute_pair(head, tail, least * 9, _ten(n - left), key, tag)
+    shown = _with(moved, lambda x: F.concat(zeros, (x.a + least).cast("string"), F.lpad(x.b.cast("string"), n - left, "0")))
+    return F.when(n > 0, shown).otherwise(digits)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -135,14 +186,21 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])[ .-]?", 0)
+    country = F.regexp_extract(m, rf"^{COUNTRY}(?:[ .-]?\(0\))?[ .-]?", 0)
     rest = F.substr(m, F.length(country) + 1, F.length(m))
     return F.concat(country, refill(rest, permute_led(_only_digits(rest), key, "phone")))
 
 
 def _ssn(m: Column, key: str) -> Column:
-    admitted = lambda d: d.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
-    return refill(m, walked(_only_digits(m), lambda d: permute_digits(d, key, "ssn"), admitted))
+    area, group, serial = (F.substr(_only_digits(m), F.lit(at), F.lit(n)).cast("long") for at, n in ((1, 3), (4, 2), (6, 4)))
+    ranked = area - F.when(area > 666, 2).otherwise(1)
+    moved = permute_pair(ranked, (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn")
+
+    def shown(x: Column) -> Column:
+        parts = (x.a + F.when(x.a >= 665, 2).otherwise(1), F.floor(x.b / 9999) + 1, F.pmod(x.b, F.lit(9999)) + 1)
+        return F.concat_ws("-", *(F.lpad(part.cast("string"), n, "0") for part, n in zip(parts, (3, 2, 4), strict=True)))
+
+    return _with(moved, shown)
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -174,18 +232,84 @@ def _ip(m: Column, key: str) -> Column:
     return F.concat_ws(".", *(F.pmod(F.floor(moved / 256**i), F.lit(256)).cast("string") for i in (3, 2, 1, 0)))
 
 
+def _day(year: Column, month: Column, day: Column) -> Column:
+    return F.struct(year.cast("long").alias("y"), month.cast("long").alias("m"), day.cast("long").alias("d"))
+
+
+def permute_day(at: Column, key: str) -> Column:
+    """A permutation of the days (structs of y, m, d) of the years 1000 to 2999: within 40 years, those up to the 12th among themselves."""
+    since = at.y - FIRST_YEAR
+    block = F.floor(since / YEARS) * YEARS + FIRST_YEAR
+    of_block = F.pmod(since, F.lit(YEARS))
+    late, leaps = (F.array(*map(F.lit, values)) for values in (LATE_DAYS, LEAP_YEARS))
+    place = F.array_position(leaps, at.y.cast("int")) - 1
+    leap = permute_pair(F.pmod(place, F.lit(LEAPS)), F.lit(0), F.lit(LEAPS), F.lit(1), key, "leap day")
+    leap = _with(leap, lambda x: _day(F.get(leaps, (x.a + F.floor(place / LEAPS) * LEAPS).cast("int")), F.lit(2), F.lit(29)))
+    early = permute_pair(of_block, (at.m - 1) * 12 + at.d - 1, F.lit(YEARS), F.lit(144), key, "early day")
+    early = _with(early, lambda x: _day(block + x.a, F.floor(x.b / 12) + 1, F.pmod(x.b, F.lit(12)) + 1))
+    other = permute_pair(of_block, F.array_position(late, (at.m * 100 + at.d).cast("int")) - 1, F.lit(YEARS), F.lit(len(LATE_DAYS)), key, "late day")
+    number = lambda x: F.get(late, x.b.cast("int"))
+    other = _with(other, lambda x: _day(block + x.a, F.floor(number(x) / 100), F.pmod(number(x), F.lit(100))))
+    return F.when((at.m == 2) & (at.d == 29), leap).when(at.d <= 12, early).otherwise(other)
+
+
+def _padded(n: Column, like: Column) -> Column:
+    """A number in two digits, or, where the one in its place has one digit, without a leading zero."""
+    return F.when(F.length(like) < 2, n.cast("string")).otherwise(F.lpad(n.cast("string"), 2, "0"))
+
+
+def _ordinal(n: Column, like: Column) -> Column:
+    """The ending of an English ordinal number, where `like` is one."""
+    ending = F.when(F.floor(n / 10) == 1, "th").otherwise(F.coalesce(F.get(F.array(F.lit("th"), F.lit("st"), F.lit("nd"), F.lit("rd")), F.pmod(n, F.lit(10)).cast("int")), F.lit("th")))
+    return F.when(like.isin("", "."), like).otherwise(ending)
+
+
 def _date(m: Column, key: str) -> Column:
-    iso = m.rlike("^[12][0-9]{3}-")
-    mark = F.substr(m, F.lit(3), F.lit(1))
-    text = F.when(iso, m).otherwise(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(4), F.lit(2)), F.substr(m, F.lit(1), F.lit(2))))
-    day = F.try_to_date(text, "yyyy-MM-dd") if hasattr(F, "try_to_date") else text.try_cast("date")
-    number = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
-    size = DATE_HALF * DATE_HALF
-    block = F.floor(number / size) * size
-    in_block = lambda n: block + permute_number(n - block, DATE_HALF, key, "date")
-    moved = F.date_add(F.lit("1900-01-01").cast("date"), walked(number, in_block, lambda n: n.between(FIRST_DAY, LAST_DAY)).cast("int"))
-    shown = F.when(iso, F.date_format(moved, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(moved, "dd"), mark, F.date_format(moved, "MM"), mark, F.date_format(moved, "yyyy")))
-    return F.when(day.isNotNull(), shown).otherwise(m)
+    ymd, numbers, day_named, named_day = f"^({YEAR})-([0-9]{{2}})-([0-9]{{2}})$", f"^([0-9]{{1,2}})([/.])([0-9]{{1,2}})[/.]({YEAR})$", f"^{DAY_NAMED}$", f"^{NAMED_DAY}$"
+    part = lambda pattern, i: F.regexp_extract(m, pattern, i)
+    names = F.array(*map(F.lit, MONTHS))
+
+    def place(name: Column, mark: Column) -> Column:  # "5. April" is German
+        german = F.array_position(F.array(*map(F.lit, MONTHS[48:])), F.lower(name))
+        return F.when((mark == ".") & (german > 0), german + 48).otherwise(F.array_position(names, F.lower(name))) - 1
+
+    def named(at: Column, name: Column, mark: Column) -> Column:
+        new = F.get(names, (F.floor(place(name, mark) / 12) * 12 + at.m - 1).cast("int"))
+        return F.when(name == F.upper(name), F.upper(new)).when(name == F.lower(name), new).otherwise(F.initcap(new))
+
+    month_first = (part(numbers, 2) == "/") & part(numbers, 3).try_cast("int").between(13, 31)
+    first, second = part(numbers, 1), part(numbers, 3)
+    by_name = F.pmod(place(part(day_named, 4), part(day_named, 2)), F.lit(12)) + 1
+    name_by = F.pmod(place(part(named_day, 1), F.lit("")), F.lit(12)) + 1
+    ways = (
+        (ymd, _day(part(ymd, 1), part(ymd, 2), part(ymd, 3)), lambda at: F.concat_ws("-", at.y.cast("string"), F.lpad(at.m.cast("string"), 2, "0"), F.lpad(at.d.cast("string"), 2, "0"))),
+        (
+            numbers,
+            _day(part(numbers, 4), F.when(month_first, first).otherwise(second), F.when(month_first, second).otherwise(first)),
+            lambda at: F.concat(
+                _padded(F.when(month_first, at.m).otherwise(at.d), first), part(numbers, 2), _padded(F.when(month_first, at.d).otherwise(at.m), second), part(numbers, 2), at.y.cast("string")
+            ),
+        ),
+        (
+            day_named,
+            _day(part(day_named, 6), by_name, part(day_named, 1)),
+            lambda at: F.concat(at.d.cast("string"), _ordinal(at.d, part(day_named, 2)), part(day_named, 3), named(at, part(day_named, 4), part(day_named, 2)), part(day_named, 5), at.y.cast("string")),
+        ),
+        (
+            named_day,
+            _day(part(named_day, 6), name_by, part(named_day, 3)),
+            lambda at: F.concat(named(at, part(named_day, 1), F.lit("")), part(named_day, 2), at.d.cast("string"), _ordinal(at.d, part(named_day, 4)), part(named_day, 5), at.y.cast("string")),
+        ),
+    )
+
+    def moved(at: Column, shown: Callable[[Column], Column]) -> Column:
+        text = F.concat_ws("-", at.y.cast("string"), F.lpad(at.m.cast("string"), 2, "0"), F.lpad(at.d.cast("string"), 2, "0"))
+        return F.when(F.try_to_date(text, "yyyy-MM-dd").isNotNull(), _with(permute_day(at, key), shown))
+
+    chain = F.when(F.lit(False), m)
+    for pattern, read, shown in ways:
+        chain = chain.when(m.rlike(pattern), _with(read, lambda at: moved(at, shown)))  # noqa: B023
+    return F.coalesce(chain, m)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -224,7 +348,7 @@ def pseudonymize(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     """One row per input row: doc_id, text, n_replaced, and n_<kind> of values replaced.
 
     A null text stays null with counts of 0; texts without matches are unchanged; repeated rows give
-    repeated rows; an empty table gives an empty result; other columns are not read. No shuffle. The
+    repeated rows; texts of any length are read whole; an empty table gives an empty result; other columns are not read. No shuffle. The
     digits between two matches, a failed check or longer runs are never touched.
     """
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
