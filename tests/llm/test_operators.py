@@ -7,6 +7,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 from datetime import date
 
@@ -698,6 +699,34 @@ def test_copies_of_one_article_are_no_template():
     assert html_text.extract(pages[0], html_text.Reader(html_text.infer(pages))) == "One\n\nand the same"
 
 
+def test_articles_keep_what_all_pages_share():
+    """A heading, a formula and an object's text that all pages of a host have stay in an article; so does a heading in a container."""
+    for tag in ("article", "main", "div class='text'"):
+        body = "<{1}><h1>Introduction</h1><p>text {0} of page {0}, which is a long one</p><h2>Results</h2><p>more {0} and more of it</p><p>where <math><mi>x</mi></math> is <object>a plot</object></p></{2}>"
+        pages = [_page(i, body.format(i, tag, tag.split()[0])) for i in range(40)]
+        reader = html_text.Reader(html_text.infer(pages[:8]))
+        expected = "Introduction\n\ntext 7 of page 7, which is a long one\n\nResults\n\nmore 7 and more of it\n\nwhere x is a plot"
+        assert html_text.extract(pages[7], reader) == expected, tag
+
+
+def test_alignment_of_long_pages_is_near_linear():
+    rng = random.Random(4)
+    for turn in range(300):
+        a, b = ([rng.choice("abcdefgh"[: 1 + turn % 8]) for _ in range(rng.randint(0, 12))] for _ in "ab")
+        found = html_text._matched(a, b)
+        assert all(a[i] == b[k] for i, k in found) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:], strict=False))
+        assert bool(found) == bool(set(a) & set(b)) and (a != b or len(found) == len(a))
+    assert html_text._matched(list("abxcd"), list("abycd")) == [(0, 0), (1, 1), (3, 3), (4, 4)]
+    pages = ["<article>" + "".join(f"<h2>t{i}</h2><p>x{i}</p>" + "<div>n</div>" * (i % n == 0) for i in range(5_000)) + "</article>" for n in (7, 11)]
+    start = time.monotonic()
+    text = html_text.extract(pages[0], html_text.Reader(html_text.infer(pages)))
+    assert time.monotonic() - start < 10 and text.count("\n\n") == 10_714
+    keys = [[k for i in range(10_000) for k in ("h2", "p", *(["div"] if i % n == 0 else []))] for n in (7, 11)]
+    start = time.monotonic()
+    html_text._matched(*keys)
+    assert time.monotonic() - start < 1
+
+
 def test_odd_pages():
     article = "<article><h1>A</h1><p>x<br>y &lt;<p class='reply-to-critics'>z</p><div class='search-results'>found</div><div class='comment-list'><p>c</p></div><footer>f</footer></article>"
     assert html_text.extract(article, None) == "A\n\nx y <\n\nz\n\nfound"
