@@ -1,13 +1,14 @@
 """Benchmark decontamination by template windows, with built-in functions only.
 
 Text becomes a template: numbers, units behind numbers, and names (capitalised words inside a sentence)
-turn into typed placeholders, everything else into lower-case words. Windows of five template tokens of
+turn into typed placeholders, everything else into lower-case words. A capitalised word that opens a sentence (or follows a
+number) may be a name or a word: every window has all readings of such words, on both sides. Windows of five template tokens of
 the documents meet those of the benchmark in a hash join. An item counts as found in a document if at
 least 0.8 of its windows are there and its slots are consistent: on an alignment (document position less
 item position), one value of the item always stands for one value of the document. So a question asked
 again with other numbers or names is found, and a chance meeting of placeholders is not. A value has one
 meaning for a type and a role: the 5 of "5 kg" may differ from that of "5 apples". Different names stay different,
-different numbers need not. An item's first word, if capitalised, counts both as a word and as a name.
+different numbers need not. The check is made once with the items' openings as words and once with all readings, and either will do.
 
 Beside that the lower-case tokens themselves meet in windows of five, or of the whole item if it is shorter, so
 that a copy is found whatever its items' placeholders and the case of its names.
@@ -27,16 +28,44 @@ BROADCAST_PLACES = 1_000_000  # of windows: some ten MB
 UNITS = "kg|km|cm|mm|mg|ml|kwh|mph|km/h|usd|eur|gb|mb|kb|hours|hour|minutes|minute|seconds|days|day|weeks|years|miles|meters|litres|percent|dollars|euros"
 NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 NAME = r"(?<=[\p{L}\p{N},] )\p{Lu}\p{Ll}+"
+OPENING = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+LEAST_WORDS = 2  # literal tokens of a window
 BREAK = r"[^\p{L}\p{N}]+"
+OPEN = "1"  # before a word that opens a sentence
 NUMBER_SLOT, NAME_SLOT, UNIT_SLOT = "0n", "0p", "0u"  # no word starts with a digit once numbers are replaced
 
 
 def template_tokens(text: Column) -> Column:
-    """Array of template tokens of a text; empty for null."""
+    """Array of template tokens of a text, opening words marked by OPEN; empty for null."""
     slots = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), NUMBER, f" {NUMBER_SLOT} ")
     slots = F.regexp_replace(slots, rf"(?<=0n ) ?(?i:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT_SLOT)
     slots = F.regexp_replace(slots, NAME, NAME_SLOT)
-    return _words(slots)
+    return _words(F.regexp_replace(slots, OPENING, f"{OPEN}$0"))
+
+
+def as_words(tokens: Column) -> Column:
+    """The tokens, opening words read as words."""
+    return F.transform(tokens, lambda x: F.when(x.startswith(OPEN), F.substr(x, F.lit(2))).otherwise(x))
+
+
+def readings(size: int) -> Column:
+    """For each set of opening words in a window (as bits) its subsets: those read as names."""
+    return F.lit([[part for part in range(2**size) if part & whole == part] for whole in range(2**size)])
+
+
+def reading_hashes(words: Column, opens: Column, size: int) -> Column:
+    """dpos, h of each reading of each run of `size` tokens. `words` and `opens` (1 for an opening word, else 0) must be columns."""
+    last = F.size(words) - size
+    bit = lambda part, k: part.bitwiseAND(F.lit(1 << k)) != 0
+    token = lambda part, i, k: F.when(bit(part, k), F.lit(NAME_SLOT)).otherwise(F.get(words, i + k))
+
+    def of_window(i: Column) -> Column:
+        whole = sum((F.get(opens, i + k) * (1 << k) for k in range(1, size)), F.get(opens, i))
+        plain = F.array(F.struct(i.alias("dpos"), window_hash(words, i, size).alias("h")))
+        parts = F.transform(F.get(readings(size), whole), lambda part: F.struct(i.alias("dpos"), F.xxhash64(*(token(part, i, k) for k in range(size))).alias("h")))
+        return F.when(whole == 0, plain).otherwise(parts)
+
+    return F.when(last >= 0, F.flatten(F.transform(F.sequence(F.lit(0), last), of_window)))
 
 
 def raw_tokens(text: Column) -> Column:
@@ -71,20 +100,23 @@ def distinct_items(benchmark: DataFrame) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
-    """item, ipos, v, h, w, slots, roles, n_slots, n_windows: windows with a literal majority; v tells readings of the first word."""
-    tokens = items.select("item", template_tokens(F.col("text")).alias("t"), raw_tokens(F.col("text")).alias("raw"), F.ltrim("text").rlike(r"^\p{Lu}\p{Ll}").alias("capital"))
+    """item, ipos, v, h, w, slots, roles, n_slots, n_windows: windows with a literal majority, but for openings read as names; v is the
+    set of these, as bits."""
+    tokens = items.select("item", template_tokens(F.col("text")).alias("t"), raw_tokens(F.col("text")).alias("raw"))
     # The role of a number is what follows it.
     after = lambda x, i: F.when(F.get("t", i + 1).isin(NUMBER_SLOT, NAME_SLOT), F.get("t", i + 1)).otherwise(F.get("raw", i + 1))
     roles = F.transform("t", lambda x, i: F.when(x == NUMBER_SLOT, F.coalesce(after(x, i), F.lit(""))).otherwise(F.lit("")))
     windows = tokens.where(F.size("t") >= size).select(
-        "item", "raw", "t", "capital", roles.alias("roles"), F.explode(F.sequence(F.lit(1), F.size("t") - size + 1)).alias("ipos")
-    )
-    as_name = F.when(F.col("capital") & (F.col("ipos") == 1), F.concat(F.array(F.lit(NAME_SLOT)), F.slice("t", 2, size - 1)))
-    windows = windows.withColumn("w", F.slice("t", F.col("ipos"), F.lit(size))).select(
-        "item", "raw", "roles", "ipos", F.posexplode(F.array_compact(F.array("w", as_name))).alias("v", "w")
+        "item", "raw", "t", roles.alias("roles"), F.explode(F.sequence(F.lit(1), F.size("t") - size + 1)).alias("ipos")
     )
-    windows = windows.withColumn("n_slots", F.size(F.filter("w", lambda x: x.startswith("0"))))
-    usable = windows.where(F.col("n_slots") * 2 < size).withColumn("h", window_hash(F.col("w"), F.lit(0), size))
+    windows = windows.withColumn("m", F.slice("t", F.col("ipos"), F.lit(size)))
+    whole = sum((F.when(F.get("m", F.lit(k)).startswith(OPEN), 1 << k).otherwise(0) for k in range(size)), F.lit(0))
+    windows = windows.withColumn("v", F.explode(F.get(readings(size), whole)))
+    read = F.array(*(F.when(F.col("v").bitwiseAND(F.lit(1 << k)) != 0, F.lit(NAME_SLOT)).otherwise(F.get(as_words(F.col("m")), F.lit(k))) for k in range(size)))
+    slots_in = lambda tokens: F.size(F.filter(tokens, lambda x: x.startswith("0")))
+    windows = windows.withColumn("w", read).withColumn("n_slots", slots_in(F.col("w")))
+    literal = (slots_in(F.col("m")) * 2 < size) & (F.col("n_slots") <= max(size - LEAST_WORDS, 0))
+    usable = windows.where(literal).withColumn("h", window_hash(F.col("w"), F.lit(0), size))
     counts = usable.groupBy("item").agg(F.countDistinct("ipos").alias("n_windows"))
     sliced = usable.withColumn("slots", F.slice("raw", F.col("ipos"), F.lit(size))).withColumn("roles", F.slice("roles", F.col("ipos"), F.lit(size)))
     return sliced.select("item", "ipos", "v", "h", "w", "slots", "roles", "n_slots").join(counts, "item")
@@ -115,7 +147,7 @@ def exact_copies(texts: DataFrame, items: DataFrame, size: int, share: float) ->
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, coverage of every item found in a document.
 
-    Null texts hold nothing; of items of fewer than `size` tokens, and of those whose windows are all
+    Null texts hold nothing; texts of any length are read whole; empty tables give an empty result; other columns are not read. Of items of fewer than `size` tokens, and of those whose windows are all
     placeholders for the greater part, copies are found. Rows that repeat a doc_id are looked at one by one and count together; rows that repeat an
     item_id with other texts are all looked for. The benchmark's windows are joined as they are: Spark broadcasts them
     only below its size threshold.
@@ -125,7 +157,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
     items = materialize(distinct_items(benchmark), "items")
     known = materialize(benchmark_windows(items, size), "benchmark-windows")
     tokens = texts.select("doc", template_tokens(F.col("text")).alias("t"))
-    hashes = tokens.select("doc", F.posexplode(window_hashes(F.col("t"), size)).alias("dpos", "h"))
+    opens = F.transform("t", lambda x: x.startswith(OPEN).cast("int"))
+    tokens = tokens.select("doc", as_words(F.col("t")).alias("t"), opens.alias("opens"))
+    hashes = tokens.select("doc", F.explode(reading_hashes(F.col("t"), F.col("opens"), size)).alias("x")).select("doc", "x.dpos", "x.h")
     by_hash = known.select("h", "item", "ipos", "v", "n_windows", "n_slots")
     hits = materialize(hashes.join(by_hash, "h").select("doc", "item", "dpos", "ipos", "v", "n_windows", "n_slots"), "window-hits")
 
@@ -146,22 +180,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
     values = (
         asked.join(slices, ["doc", "dpos"])
         .join(known.select("item", "ipos", "v", "w", "slots", "roles"), ["item", "ipos", "v"])
-        .select("doc", "item", "diagonal", F.explode(F.arrays_zip("w", "slots", "roles", "there")).alias("z"))
-        .select("doc", "item", "diagonal", F.col("z.w").alias("kind"), F.col("z.roles").alias("role"), F.col("z.slots").alias("was"), F.col("z.there").alias("now"))
+        .select("doc", "item", "diagonal", (F.col("v") > 0).alias("opening"), F.explode(F.arrays_zip("w", "slots", "roles", "there")).alias("z"))
+        .select("doc", "item", "diagonal", "opening", F.col("z.w").alias("kind"), F.col("z.roles").alias("role"), F.col("z.slots").alias("was"), F.col("z.there").alias("now"))
         .where(F.col("kind").startswith("0"))
         .distinct()
     )
     key = ["doc", "item", "diagonal"]
-    changed = values.groupBy(*key, "kind", "role", "was").agg(F.count("*").alias("n")).where("n > 1").select(*key)
-    merged = values.where(F.col("kind") == NAME_SLOT).groupBy(*key, "now").agg(F.countDistinct("was").alias("n")).where("n > 1").select(*key)
-    broken = changed.union(merged).distinct()
-    asked_again = covered(with_slots.join(broken, key, "left_anti"))
+
+    def consistent(found: DataFrame, values: DataFrame) -> DataFrame:
+        values = values.drop("opening").distinct()
+        changed = values.groupBy(*key, "kind", "role", "was").agg(F.count("*").alias("n")).where("n > 1").select(*key)
+        merged = values.where(F.col("kind") == NAME_SLOT).groupBy(*key, "now").agg(F.countDistinct("was").alias("n")).where("n > 1").select(*key)
+        return covered(found.join(changed.union(merged).distinct(), key, "left_anti"))
+
+    values = materialize(values, "slot-values")
+    asked_again = consistent(with_slots.where("v = 0"), values.where(~F.col("opening"))).unionByName(consistent(with_slots, values))
     both = asked_again.unionByName(exact_copies(texts, items, size, share)).join(items.select("item", "item_id"), "item")
     return both.groupBy("doc.doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """One row per document: doc_id, contaminated, n_items, item_ids (ascending, comma-separated), coverage of the best."""
+    """One row per document: doc_id, contaminated, n_items, item_ids (ascending, comma-separated), coverage of the best.
+
+    Null and empty texts hold nothing; texts of any length are read whole; rows that repeat a doc_id get the same result each; a null doc_id
+    is never contaminated; an empty table gives an empty result, an empty benchmark finds nothing; other columns are not read.
+    """
     found = contaminated(docs, benchmark, size, share).groupBy("doc_id").agg(
         F.count("*").alias("n_items"),
         F.concat_ws(",", F.transform(F.array_sort(F.collect_list("item_id")), lambda x: x.cast("string"))).alias("item_ids"),
