@@ -54,18 +54,35 @@ def readings(size: int) -> Column:
 
 
 def reading_hashes(words: Column, opens: Column, size: int) -> Column:
-    """dpos, h of each reading of each run of `size` tokens. `words` and `opens` (1 for an opening word, else 0) must be columns."""
+    """dpos, h of each reading of each run of `size` tokens; h is null for those to be left out. `words` and `opens` (1 for an opening
+    word, else 0) must be columns.
+
+    All openings as words first. Then for each opening those where it is the first that is read as a name: most have no other
+    opening close behind, so that few windows need to be looked at by bits.
+    """
     last = F.size(words) - size
-    bit = lambda part, k: part.bitwiseAND(F.lit(1 << k)) != 0
-    token = lambda part, i, k: F.when(bit(part, k), F.lit(NAME_SLOT)).otherwise(F.get(words, i + k))
+    plain = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("dpos"), window_hash(words, i, size).alias("h")))
+
+    def token(at: Column, k: int, j: int, part: Column | None) -> Column:
+        if j == k:
+            return F.lit(NAME_SLOT)
+        word = F.get(words, at - k + j)
+        return word if j < k or part is None else F.when(part.bitwiseAND(F.lit(1 << (j - k - 1))) != 0, F.lit(NAME_SLOT)).otherwise(word)
+
+    def around(at: Column, part: Column | None = None) -> Column:
+        made = []
+        for k in range(size):  # the opening's place in the window; bits beyond the window must be empty
+            inside = (at >= k) & (at - k <= last)
+            inside = inside if part is None else inside & (part < (1 << (size - 1 - k)))
+            made.append(F.struct((at - k).alias("dpos"), F.when(inside, F.xxhash64(*(token(at, k, j, part) for j in range(size)))).alias("h")))
+        return F.array(*made)
 
-    def of_window(i: Column) -> Column:
-        whole = sum((F.get(opens, i + k) * (1 << k) for k in range(1, size)), F.get(opens, i))
-        plain = F.array(F.struct(i.alias("dpos"), window_hash(words, i, size).alias("h")))
-        parts = F.transform(F.get(readings(size), whole), lambda part: F.struct(i.alias("dpos"), F.xxhash64(*(token(part, i, k) for k in range(size))).alias("h")))
-        return F.when(whole == 0, plain).otherwise(parts)
+    def of_opening(at: Column) -> Column:
+        behind = sum((F.coalesce(F.get(opens, at + j + 1), F.lit(0)) * (1 << j) for j in range(1, size - 1)), F.coalesce(F.get(opens, at + 1), F.lit(0)))
+        return F.when(behind == 0, around(at)).otherwise(F.flatten(F.transform(F.get(readings(size - 1), behind), lambda part: around(at, part))))
 
-    return F.when(last >= 0, F.flatten(F.transform(F.sequence(F.lit(0), last), of_window)))
+    places = F.filter(F.transform(opens, lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
+    return F.when(last >= 0, F.concat(plain, F.flatten(F.transform(places, of_opening))))
 
 
 def raw_tokens(text: Column) -> Column:
@@ -159,7 +176,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
     tokens = texts.select("doc", template_tokens(F.col("text")).alias("t"))
     opens = F.transform("t", lambda x: x.startswith(OPEN).cast("int"))
     tokens = tokens.select("doc", as_words(F.col("t")).alias("t"), opens.alias("opens"))
-    hashes = tokens.select("doc", F.explode(reading_hashes(F.col("t"), F.col("opens"), size)).alias("x")).select("doc", "x.dpos", "x.h")
+    hashes = tokens.select("doc", F.explode(reading_hashes(F.col("t"), F.col("opens"), size)).alias("x")).select("doc", "x.dpos", "x.h").where("h IS NOT NULL")
     by_hash = known.select("h", "item", "ipos", "v", "n_windows", "n_slots")
     hits = materialize(hashes.join(by_hash, "h").select("doc", "item", "dpos", "ipos", "v", "n_windows", "n_slots"), "window-hits")
 
