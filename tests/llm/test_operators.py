@@ -229,6 +229,24 @@ def test_nearest_of_odd_vectors(spark):
     assert ann.nearest(table.limit(0)).columns == ["query_id", "rank", "vec_id", "score"] and ann.nearest(table.limit(0)).count() == 0
 
 
+def test_nearest_misses_none_whatever_the_vectors_are(spark):
+    rng = np.random.default_rng(6)
+    even = rng.normal(size=(1200, 32))
+    even /= np.linalg.norm(even, axis=1, keepdims=True)
+    huge = even.copy()
+    huge[-1] *= 1e30
+    kinds = (even, huge, (rng.random((1200, 32)) < 0.08).astype(float))
+    for x in kinds:
+        x = x[(x != 0).any(axis=1)]
+        found = collections.defaultdict(list)
+        table = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        for r in sorted(ann.nearest(table, n_books=4, n_words=16, rerank=24, code_block=400, query_block=32).collect(), key=lambda r: (r["query_id"], r["rank"])):
+            found[r["query_id"]].append(r["vec_id"])
+        for q in range(0, len(x), 20):
+            scores = sum(x[:, d] * x[q, d] for d in range(32))
+            assert found[q] == [i for i in np.lexsort((np.arange(len(x)), -scores)) if i != q][:20]
+
+
 def _shingles(text):
     words = re.findall(r"\w+", (text or "").lower())
     return collections.Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else collections.Counter()

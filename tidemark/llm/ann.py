@@ -1,11 +1,13 @@
 """Nearest neighbours by additive quantisation.
 
-Vectors are sums of one codeword from each of several full-dimensional codebooks, learned on residuals
+Directions of vectors are sums of one codeword from each of several full-dimensional codebooks, learned on residuals
 of a bounded sample and assigned by beam search. Queries meet codes in a grid of bounded blocks: in a
-cell, a query's lookup tables (its inner products with all codewords) score every code, corrected by the
-stored norm. Only ids, codes and norms travel there; the best of a cell go on, and of those the best of a query, whose
-original vectors are fetched and ranked by exact inner products in double precision. Equal vectors are
-searched once, as a class, so that a vector with very many copies costs one code and crowds nobody out.
+cell, a query's lookup tables (its inner products with all codewords) score every code, times the stored norm. How far a
+vector lies from its code is stored too, and bounds what its code can be wrong by. So the exact scores of the first by code
+set a bar, and every vector whose code and bound reach it is scored exactly, by inner products of the original vectors in double
+precision: nothing that belongs to the nearest is lost, whatever the vectors are. Codes that fit badly only leave more to score. The best
+of a cell go on, and of those the best of a query. Equal vectors are searched once, as a class, so that a vector with very many
+copies costs one code and crowds nobody out.
 
 No cells of a coarse partition are left out: on the given vectors, which fill their space evenly, the 64 best of 256
 cells hold 0.76 of the nearest and 128 hold 0.93.
@@ -87,6 +89,15 @@ class Quantizer:
         return np.einsum("qd,mkd->qmk", queries.astype(np.float32), self.books)
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length one, and the lengths (infinite, where they are beyond doubles)."""
+    largest = np.abs(x).max(axis=1, keepdims=True)
+    x = x / largest
+    lengths = np.linalg.norm(x, axis=1, keepdims=True)
+    with np.errstate(over="ignore"):
+        return x / lengths, (lengths * largest)[:, 0]
+
+
 def usable_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, v: non-null ids and vectors that are not zero and have finite components only."""
     vector = F.col(vector_col).cast("array<double>")
@@ -123,7 +134,8 @@ def nearest(
     fewer rows. Null ids, and vectors that are null, zero, or hold null or non-finite components, take no
     part. Vectors of one length are searched among themselves, as others have no inner product with them. Repeated
     rows count once. An empty table gives an empty result; other columns are not read. The codebooks are learned on
-    about `sample` distinct vectors; all rows are indexed.
+    about `sample` distinct vectors; all rows are indexed. The `rerank` best of a cell by their codes set the bar that
+    the bounds of all others are held against, so the result does not depend on it.
     """
     spark = df.sparkSession
     rows = usable_vectors(df, id_col, vector_col)
@@ -132,45 +144,44 @@ def nearest(
     for size in sorted((r for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()), key=lambda r: r["d"]):
         of_size = F.size("v") == size["d"]
         queries = rows.where((F.col("vec_id") % every == 0) & of_size)
-        some = _finalists(classes.where(of_size), size["n"], queries, n_books, n_words, beam, sample, rerank, code_block, query_block)
+        some = _best_of_cells(classes.where(of_size), size["n"], queries, k + 1, n_books, n_words, beam, sample, rerank, code_block, query_block)
         found = some if found is None else found.unionAll(some)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    near = found.join(classes.select("class_id", "v", "members"), "class_id").join(asked, ["query_id"]).where(F.size("q") == F.size("v"))
-    exact = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "class_id")
-    near = near.select("query_id", "class_id", "members", exact.alias("score")).withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= k + 1)
+    near = found.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= k + 1).join(classes.select("class_id", "members"), "class_id")
     each = near.select("query_id", "score", F.explode("members").alias("vec_id")).where(F.col("vec_id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _finalists(classes: DataFrame, n_classes: int, queries: DataFrame, n_books: int, n_words: int, beam: int, sample: int, rerank: int, code_block: int, query_block: int) -> DataFrame:
-    """query_id, class_id of the `rerank` classes with the best looked-up scores; all vectors are of one length."""
+def _best_of_cells(classes: DataFrame, n_classes: int, queries: DataFrame, keep: int, n_books: int, n_words: int, beam: int, sample: int, rerank: int, code_block: int, query_block: int) -> DataFrame:
+    """query_id, class_id, score of the `keep` best classes of each cell; all vectors are of one length."""
     spark = classes.sparkSession
     spread = 1 << 30
     drawn = classes.where(F.pmod(F.xxhash64(F.lit(3), "class_id"), F.lit(spread)) < F.lit(float(spread) * sample / n_classes))
     vectors = sorted((r["class_id"], r["v"]) for r in drawn.select("class_id", "v").collect()) or [(r["class_id"], r["v"]) for r in classes.orderBy("class_id").limit(sample).collect()]
-    largest = max(abs(x) for _, v in vectors for x in v)
-    quantizer = Quantizer.fit(np.array([v for _, v in vectors]) / largest, n_books, n_words, 6)
+    quantizer = Quantizer.fit(directions(np.array([v for _, v in vectors]))[0], n_books, n_words, 6)
     sent = spark.sparkContext.broadcast(quantizer.books)
 
     def encode(batches):  # noqa: ANN001, ANN202
         quantizer = Quantizer(sent.value)
+        sizes = np.sqrt(quantizer.norms.astype(float))
         for batch in batches:
             if len(batch):
-                x = np.array(batch["v"].tolist()) / largest
-                codes = np.concatenate([quantizer.encode(x[i : i + 512], beam) for i in range(0, len(x), 512)])
-                made = np.linalg.norm(quantizer.decode(codes), axis=1)
-                stretch = np.linalg.norm(x, axis=1) / np.maximum(made, 1e-12)
-                yield pd.DataFrame({"class_id": batch["class_id"], "codes": [c.tobytes() for c in codes], "stretch": stretch})
-
-    coded = materialize(classes.select("class_id", "v").mapInPandas(encode, "class_id long, codes binary, stretch double"), "codes")
+                x = np.array(batch["v"].tolist())
+                u, lengths = directions(x)
+                codes = np.concatenate([quantizer.encode(u[i : i + 512], beam) for i in range(0, len(u), 512)])
+                made = quantizer.decode(codes).astype(float)
+                stretch = (u * made).sum(axis=1) / np.maximum((made * made).sum(axis=1), 1e-12)
+                # What single precision may add is in the reach: a rounding for each sum and product of tables and codes.
+                rounding = (x.shape[1] + len(sizes) + 8) * 2.0**-23 * np.abs(stretch) * sum(sizes[m][codes[:, m]] for m in range(len(sizes)))
+                reach = np.linalg.norm(u - stretch[:, None] * made, axis=1) + rounding + 1e-9
+                yield pd.DataFrame({"class_id": batch["class_id"], "codes": [c.tobytes() for c in codes], "stretch": stretch, "reach": reach, "norm": lengths, "v": [r.tobytes() for r in x]})
+
+    coded = materialize(classes.select("class_id", "v").mapInPandas(encode, "class_id long, codes binary, stretch double, reach double, norm double, v binary"), "codes")
     n_code_blocks = -(-n_classes // code_block)
     n_query_blocks = max(1, -(-queries.count() // query_block))
-    # A cell gives more than its share of a query's best, so that an uneven spread over the cells loses none.
-    from_cell = min(rerank, 4 * -(-rerank // n_code_blocks) + 16)
     coded = coded.withColumn("code_block", F.pmod(F.xxhash64("class_id"), F.lit(n_code_blocks))).withColumn(
         "query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))
     )
@@ -182,23 +193,47 @@ def _finalists(classes: DataFrame, n_classes: int, queries: DataFrame, n_books:
         found: list[pd.DataFrame] = []
         if len(codes) and len(asked):
             quantizer = Quantizer(sent.value)
-            code = np.array([np.frombuffer(c, dtype=np.uint8) for c in codes["codes"]])
-            stretch, ids = codes["stretch"].to_numpy().astype(np.float32), codes["class_id"].to_numpy()
-            q = np.array(asked["v"].tolist())
-            q /= np.abs(q).max(axis=1, keepdims=True)
-            some = min(from_cell, len(code))
-            for at in range(0, len(q), 64):
-                tables = quantizer.tables(q[at : at + 64])
-                guess = np.zeros((len(tables), len(code)), dtype=np.float32)
-                for m in range(code.shape[1]):
-                    guess += tables[:, m, :][:, code[:, m]]
-                guess *= stretch
-                best = np.argpartition(-guess, some - 1, axis=1)[:, :some]
-                who = np.repeat(asked["vec_id"].to_numpy()[at : at + 64], some)
-                found.append(pd.DataFrame({"query_id": who, "class_id": ids[best.ravel()], "guess": np.take_along_axis(guess, best, axis=1).ravel().astype(float)}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "class_id": [], "guess": []})
+            code = np.frombuffer(b"".join(codes["codes"]), dtype=np.uint8).reshape(len(codes), -1)
+            x = np.frombuffer(b"".join(codes["v"])).reshape(len(codes), -1)
+            stretch, reach, norm, ids = (codes[c].to_numpy() for c in ("stretch", "reach", "norm", "class_id"))
+            near = stretch.astype(np.float32)
+            q, q_ids = np.array(asked["v"].tolist()), asked["vec_id"].to_numpy()
+            unit = directions(q)[0]
+            first, least = min(max(rerank, keep), len(code)), min(keep, len(code))
+            with np.errstate(over="ignore", invalid="ignore"):
+                for at in range(0, len(q), 64):
+                    tables = quantizer.tables(unit[at : at + 64])
+                    guess = np.zeros((len(tables), len(code)), dtype=np.float32)
+                    for m in range(code.shape[1]):
+                        guess += tables[:, m, :][:, code[:, m]]
+                    guess *= near
+                    who, rows = [], []
+                    for i, told in enumerate(guess.astype(float)):
+                        ahead = np.argpartition(-(told * norm), first - 1)[:first]
+                        some = np.flatnonzero(~((told + reach) * norm < _bar(x[ahead] @ unit[at + i], norm[ahead], least)))
+                        score = x[some] @ unit[at + i]
+                        some = some[~(score + 1e-12 * norm[some] < _bar(score, norm[some], least))]
+                        who.append(np.full(len(some), at + i))
+                        rows.append(some)
+                    found.append(_ranked(q, x, ids, np.concatenate(who), np.concatenate(rows), keep).assign(query_id=lambda r: q_ids[r["who"]]))
+        return pd.concat(found)[["query_id", "class_id", "score"]] if found else pd.DataFrame({"query_id": [], "class_id": [], "score": []})
 
     keys = ["code_block", "query_block"]
-    near = coded.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(cell, "query_id long, class_id long, guess double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("guess"), "class_id")
-    return near.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= rerank).select("query_id", "class_id").distinct()
+    return coded.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(cell, "query_id long, class_id long, score double")
+
+
+def _bar(scores: np.ndarray, norms: np.ndarray, least: int) -> float:
+    """What `least` of the scores surely reach, roundings of their sums allowed for."""
+    return np.partition(scores - 1e-12 * norms, len(scores) - least)[len(scores) - least]
+
+
+def _ranked(q: np.ndarray, x: np.ndarray, ids: np.ndarray, who: np.ndarray, rows: np.ndarray, keep: int) -> pd.DataFrame:
+    """who, class_id, score of the `keep` best of each query, ties to smaller ids; scores are summed in the order of the components, in bounded pieces."""
+    score = np.zeros(len(rows))
+    for at in range(0, len(rows), 65536):
+        some = slice(at, at + 65536)
+        for d in range(x.shape[1]):
+            score[some] += q[who[some], d] * x[rows[some], d]
+    found = pd.DataFrame({"who": who, "class_id": ids[rows], "score": score})
+    found = found.sort_values(["who", "score", "class_id"], ascending=[True, False, True], na_position="first")
+    return found[found.groupby("who").cumcount() < keep]
