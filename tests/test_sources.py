@@ -56,6 +56,13 @@ def test_raw_lines_keep_what_is_not_known(spark):
     assert sorted(r["reason"] for r in bad.collect()) == ["malformed", "malformed", "no_time", "no_value", "unknown_stream"]
 
 
+def test_raw_lines_are_parsed_once_a_row(spark):
+    lines = market.raw_lines(Context(spark, SF).view)
+    for rows in market.read_raw_lines(lines):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and len(plan) < 30_000
+
+
 def test_parity_shows_a_lost_row(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], "i int, s string")
     assert {r["side"]: r["n"] for r in streaming.parity(a.where("i = 1"), a).collect()} == {"stream_only": 0, "batch_only": 2}

@@ -111,6 +111,11 @@ def normalize_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 STREAM_KINDS = ("trade", "bbo", "mark_price", "funding", "open_interest")
 
 
+def once(column: Column) -> Column:
+    """The same column, worked out once a row: filters are not pushed below a generator, where they would repeat it at each of its mentions."""
+    return F.explode(F.array(column))
+
+
 def read_raw_lines(lines: DataFrame, line_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(records, quarantine) of JSON lines whose keys are not known before.
 
@@ -119,22 +124,23 @@ def read_raw_lines(lines: DataFrame, line_col: str = "value") -> tuple[DataFrame
     no_value. Empty lines are skipped.
     """
     rows = lines.select(F.col(line_col).alias("line")).where(F.trim("line") != "")
-    parsed = rows.withColumn("m", F.from_json("line", "MAP<STRING, STRING>", {"mode": "PERMISSIVE"}))
+    parsed = rows.select("line", once(F.from_json("line", "MAP<STRING, STRING>", {"mode": "PERMISSIVE"})).alias("m"))
     get = lambda *names: F.coalesce(*(F.try_element_at("m", F.lit(n)) for n in names))
     known = F.array(*(F.lit(n) for n in IDENTITY))
     rest = F.map_filter("m", lambda k, v: ~F.array_contains(known, k) & v.isNotNull())
-    number = lambda v: v.try_cast("double")
+    parsed = parsed.withColumn("rest", once(F.transform_values(rest, lambda _, v: F.struct(v.alias("text"), v.try_cast("double").alias("number")))))
+    split = lambda number, name: F.transform_values(F.map_filter("rest", lambda _, v: v["number"].isNotNull() == number), lambda _, v: v[name])
     named = parsed.select(
         "line", F.col("m").isNotNull().alias("read"), get("ord").try_cast("long").alias("ord"), record_time(get("event_time"), get("ts_event").try_cast("long")).alias("event_time"),
         get("exchange").alias("exchange"), get("symbol").alias("symbol"), get("stream_type", "stream").alias("stream"), get("value").try_cast("double").alias("given"),
-        F.transform_values(F.map_filter(rest, lambda _, v: number(v).isNotNull()), lambda _, v: number(v)).alias("fields"), F.map_filter(rest, lambda _, v: number(v).isNull()).alias("extras"),
+        split(F.lit(True), "number").alias("fields"), split(F.lit(False), "text").alias("extras"),
     )
     done = named.withColumn("value", legacy_value(F.col("given"), F.col("stream"), F.col("fields"))).drop("given")
     reason = (
         F.when(~F.col("read"), "malformed").when(F.col("event_time").isNull(), "no_time")
         .when(~F.coalesce(F.col("stream").isin(*STREAM_KINDS), F.lit(False)), "unknown_stream").when(F.col("value").isNull(), "no_value")
     )
-    done = done.withColumn("reason", reason)
+    done = done.select("*", once(reason).alias("reason"))
     return done.where("reason IS NULL").drop("line", "read", "reason"), done.where("reason IS NOT NULL").select("line", "reason")
 
 
@@ -150,4 +156,5 @@ def raw_lines(view: DataFrame) -> DataFrame:
         F.when(ord_ % 3 == 0, stream).alias("stream_type"), F.when(ord_ % 3 != 0, stream).alias("stream"), *(F.col(f) for f in FIELDS if f != "mid"),
         F.concat(F.lit("note "), (ord_ % 7).cast("string")).alias("remark"), F.when(ord_ % 5 == 0, F.struct(F.array(ord_ % 4, ord_ % 9).alias("levels"))).alias("book"),
     ))
-    return view.select(F.when(ord_ % 11 == 0, F.substring(line, 1, 30)).otherwise(line).alias("value"))
+    lines = view.select("ord", once(line).alias("line"))
+    return lines.select(once(F.when(ord_ % 11 == 0, F.substring("line", 1, 30)).otherwise(F.col("line"))).alias("value"))
