@@ -11,28 +11,36 @@ from tidemark.plans.context import Context
 from tidemark.plans.market import L
 from tidemark.plans.registry import query
 from tidemark.plans.twins import twin
-from tidemark.session import new_path
+from tidemark.session import materialize, new_path
 from tidemark.streaming import market
 
 DELIVERIES, FILES = 4, 2
+FILE_ROWS = 250_000  # of a delivery's file, about
 DAY_US = 86_400_000_000
 
 
+def _files(rows: int) -> int:
+    """Files of each delivery; they grow with the rows, so that no task gets more of a larger table."""
+    return max(FILES, -(-rows // (DELIVERIES * FILE_ROWS)))
+
+
 def _source(c: Context, redeliver: bool = False, late: bool = False) -> tuple[DataFrame, str]:
     """A stream of four micro-batches. Redelivered: some events of the last day of a delivery come again with the next. Late: some
     of the first day come again with the last, when the watermark is far beyond them."""
     path = new_path(c.spark, "feed")
-    first, last = c.events.agg(F.min("us"), F.max("us")).first()
+    events = materialize(c.events, "feed-events")
+    first, last, n_rows = events.agg(F.min("us"), F.max("us"), F.count("*")).first()
     width = ((last or 0) - (first or 0)) // DELIVERIES + 1
+    files = _files(n_rows)
     for n in range(DELIVERIES):
         start = (first or 0) + n * width
-        rows = c.events.where((F.col("us") >= start) & (F.col("us") < start + width))
+        rows = events.where((F.col("us") >= start) & (F.col("us") < start + width))
         if redeliver and n:
-            rows = rows.unionByName(c.events.where((F.col("us") >= start - DAY_US) & (F.col("us") < start) & (F.col("ord") % 3 == 0)))
+            rows = rows.unionByName(events.where((F.col("us") >= start - DAY_US) & (F.col("us") < start) & (F.col("ord") % 3 == 0)))
         if late and n == DELIVERIES - 1:
-            rows = rows.unionByName(c.events.where(F.col("us") < (first or 0) + DAY_US))
-        rows.repartition(FILES).write.mode("append").parquet(path)
-    return market.event_stream(c.spark, path, c.events.schema, FILES), path
+            rows = rows.unionByName(events.where(F.col("us") < (first or 0) + DAY_US))
+        rows.repartition(files).write.mode("append").parquet(path)
+    return market.event_stream(c.spark, path, c.events.schema, files), path
 
 
 @query(twin("SELECT CAST(ord AS BIGINT) AS ord, exchange, symbol, stream FROM ev"))
