@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from tidemark.functions.specs import DEFAULT
 from tidemark.operators import features, ledger, policy, replay
-from tidemark.plans import policies
+from tidemark.plans import policies, streams
 from tidemark.plans.context import Context
 from tidemark.plans.market import _state
 from tidemark.sources import clustered, market, partitions
@@ -63,6 +63,20 @@ def test_raw_lines_are_parsed_once_a_row(spark):
         assert plan.count("from_json(") == 1 and len(plan) < 30_000
 
 
+def test_deliveries_have_files_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 20)
+    c = Context(spark, SF)
+    _, path = streams._source(c)
+    feed = spark.read.parquet(path)
+    assert len(feed.inputFiles()) > streams.DELIVERIES * streams.FILES and feed.count() == c.events.count()
+
+
+def test_parity_works_out_each_side_once(spark):
+    side = spark.range(3).groupBy("id").agg(F.count("*").alias("n"))
+    plan = streaming.parity(side, side.where("n > 0"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 3") == 2
+
+
 def test_parity_shows_a_lost_row(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], "i int, s string")
     assert {r["side"]: r["n"] for r in streaming.parity(a.where("i = 1"), a).collect()} == {"stream_only": 0, "batch_only": 2}

@@ -119,6 +119,9 @@ def run(stream: DataFrame, mode: str, name: str, keys: tuple[str, ...] = ()) ->
 
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     """side, n: rows of one side that the other lacks; both 0 if equal."""
-    left = a.exceptAll(b).agg(F.count("*").alias("n")).withColumn("side", F.lit("stream_only"))
-    right = b.exceptAll(a).agg(F.count("*").alias("n")).withColumn("side", F.lit("batch_only"))
-    return left.unionByName(right).select("side", "n")
+    columns = a.columns
+    both = a.withColumn("_n", F.lit(1)).unionByName(b.select(*columns).withColumn("_n", F.lit(-1)))
+    more = both.groupBy(*columns).agg(F.sum("_n").alias("_n"))  # each side is worked out once
+    total = lambda n: F.coalesce(F.sum(F.greatest(n, F.lit(0))), F.lit(0)).cast("long")
+    counts = more.agg(total(F.col("_n")).alias("stream_only"), total(-F.col("_n")).alias("batch_only"))
+    return counts.select(F.explode(F.map_from_arrays(F.array(F.lit("stream_only"), F.lit("batch_only")), F.array("stream_only", "batch_only"))).alias("side", "n"))
