@@ -804,6 +804,28 @@ def test_main_text_equals_a_plain_parse(spark):
         assert found[r["page_id"]]["n_chars"] == len(found[r["page_id"]]["text"])
 
 
+def test_wrappers_come_from_all_pages_of_a_host(spark):
+    """A constant that only pages of a rare shape have goes from these; what one page alone has stays; articles in rare places are read."""
+    extra = ["<ul><li>a{0}</ul>", "<ol><li>b{0}</ol>", "<blockquote>c{0}</blockquote>", "<pre>d{0}</pre>", "<h2>e{0}</h2>", "<h3>f{0}</h3>", "<h4>g{0}</h4>", "<dl><dt>h{0}</dl>", "<hr>"]
+    body = "<div class='text'>{1}<h1>T{0}</h1><p>text {0} of page {0}, which is a long one, longer than all about it</p>{2}{3}</div>"
+    rows = [_page(i, body.format(i, "", extra[i % 9].format(i), "")) for i in range(90)]
+    rows += [_page(i, body.format(i, "<address>Written by our desk</address>", "<table><tr><td>t</table>", "")) for i in range(90, 94)]
+    rows += [_page(94, body.format(94, "<section>Only here</section>", "", ""))]
+    # More shapes than are merged at a time, all with one element of the template.
+    rows += [""] * 5 + [_page(i, body.format(i, "", "".join(f"<{t}>x{i}</{t}>" for k, t in enumerate("h2 pre h3 ol h4 ul h5".split()) if i >> k & 1), "<footer>f</footer>")) for i in range(100, 228)]
+    pages = spark.createDataFrame([(i, f"http://{'o' * (i == 94)}h.example/", x) for i, x in enumerate(rows)] + [(i, "http://oh.example/", _page(i, body.format(i, "", "", ""))) for i in range(300, 310)], "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_text.main_text(pages.repartition(1)).collect()}
+    assert found == {r["page_id"]: r["text"] for r in html_text.main_text(pages.repartition(7)).collect()}
+    for i in range(90, 94):
+        assert found[i] == f"T{i}\n\ntext {i} of page {i}, which is a long one, longer than all about it\n\nt", found[i]
+    assert found[94].startswith("Only here\n\nT94")
+    assert found[0].endswith("\n\na0") and found[227].count("\n\n") == 1 + bin(227 & 127).count("1")
+    named = [f"<body><div id='p{i}'><article id='a{i}'><p>x{i}</article></div>{'<section><article class=late><p>y</article></section>' * (i == 70)}</body>" for i in range(71)]
+    pages = spark.createDataFrame([(i, "http://n.example/", x) for i, x in enumerate(named)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()} == {i: f"x{i}" + "\n\ny" * (i == 70) for i in range(71)}
+    assert html_text.extract("<article class='comment'>c</article><div><p>the text</p></div>", None) == "the text"
+
+
 def test_main_text_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "http://h/", ""), (2, "http://h/", ""), (3, "odd", "<p>x</p>")], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.main_text(pages).collect()) == [(1, "", 0), (2, "", 0), (2, "", 0), (3, "x", 1)]
