@@ -719,6 +719,26 @@ def test_pseudonyms_are_linked_in_all_notations(spark):
     assert re.sub(r"\D", "", found[4])[2:] == re.sub(r"\D", "", found[5])[1:] and found[6].startswith("0")
 
 
+def test_windows_are_hashed_from_token_hashes(spark):
+    """Tokens equal those of plain patterns on odd white space, units and names; a window's hash is that of its tokens' hashes."""
+    from pyspark.sql import functions as F
+
+    d = decontaminate
+    texts = ["a \n Paris\t\tsaw  Bob Lee,\r\n5kg of 3  KG and 1,200.5 km/h kgs x", "7 7 8 kg\x0b\x0cTom Éa. Ünder x:Y 1:2/3 4.", "  ", "", "Ab\u2003Cd Ef 2 minutes Gh"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    plain = F.regexp_replace(F.regexp_replace("text", r"\s+", " "), d.NUMBER, " 0n ")
+    plain = F.regexp_replace(plain, rf"(?<=0n ) ?(?i:{d.UNITS})(?![\p{{L}}\p{{N}}])", "0u")
+    plain = F.regexp_replace(plain, r"(?<=[\p{L}\p{N},] )\p{Lu}\p{Ll}+", "0p")
+    plain = F.regexp_replace(plain, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "1$0")
+    plain = F.filter(F.split(F.lower(plain), d.BREAK), lambda w: w != "")
+    raw = F.regexp_replace(F.regexp_replace("text", d.NUMBER, " $0 "), r"(?<=\p{Nd})[.,:/](?=\p{Nd})", "0x")
+    raw = F.filter(F.split(F.lower(raw), d.BREAK), lambda w: w != "")
+    for r in rows.select(d.template_tokens(F.col("text")).alias("t"), plain.alias("p"), d.raw_tokens(F.col("text")).alias("r"), raw.alias("q")).collect():
+        assert r["t"] == r["p"] and r["r"] == r["q"]
+    words = spark.createDataFrame([(list("abcde"),)], "w array<string>").select(d.token_hashes(F.col("w")).alias("h"), F.xxhash64(*(F.xxhash64(F.lit(x)) for x in "abcde")).alias("e"))
+    assert [r["x"] == [r["e"]] for r in words.select(d.window_hashes(F.col("h"), 5).alias("x"), "e").collect()] == [True]
+
+
 def test_language_id_reads_letters_only(spark):
     rows = [(i, f"{w} {w}s", "en") for i, w in enumerate(("house", "garden", "river", "stone", "water") * 3)] + [(50, "½ ² ①", None), (51, "x²y", None), (52, None, "en")]
     found = {r["doc_id"]: r for r in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES).collect()}

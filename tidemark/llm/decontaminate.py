@@ -27,8 +27,9 @@ BROADCAST_PLACES = 1_000_000  # of windows: some ten MB
 # Units that may follow a number.
 UNITS = "kg|km|cm|mm|mg|ml|kwh|mph|km/h|usd|eur|gb|mb|kb|hours|hour|minutes|minute|seconds|days|day|weeks|years|miles|meters|litres|percent|dollars|euros"
 NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-NAME = r"(?<=[\p{L}\p{N},] )\p{Lu}\p{Ll}+"
-OPENING = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+# The look ahead comes first, as few places pass it.
+NAME = r"(?=\p{Lu})(?<=[\p{L}\p{N},] )\p{Lu}\p{Ll}+"
+OPENING = r"(?=\p{Lu})(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 LEAST_WORDS = 2  # literal tokens of a window
 BREAK = r"[^\p{L}\p{N}]+"
 OPEN = "1"  # before a word that opens a sentence
@@ -37,8 +38,8 @@ NUMBER_SLOT, NAME_SLOT, UNIT_SLOT = "0n", "0p", "0u"  # no word starts with a di
 
 def template_tokens(text: Column) -> Column:
     """Array of template tokens of a text, opening words marked by OPEN; empty for null."""
-    slots = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), NUMBER, f" {NUMBER_SLOT} ")
-    slots = F.regexp_replace(slots, rf"(?<=0n ) ?(?i:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT_SLOT)
+    slots = F.regexp_replace(F.regexp_replace(text, r"[\t\n\x0B\f\r]\s*| \s+", " "), NUMBER, f" {NUMBER_SLOT} ")
+    slots = F.regexp_replace(slots, rf"0n  ?(?i:{UNITS})(?![\p{{L}}\p{{N}}])", f"{NUMBER_SLOT} {UNIT_SLOT}")
     slots = F.regexp_replace(slots, NAME, NAME_SLOT)
     return _words(F.regexp_replace(slots, OPENING, f"{OPEN}$0"))
 
@@ -53,21 +54,25 @@ def readings(size: int) -> Column:
     return F.lit([[part for part in range(2**size) if part & whole == part] for whole in range(2**size)])
 
 
-def reading_hashes(words: Column, opens: Column, size: int) -> Column:
-    """dpos, h of each reading of each run of `size` tokens; h is null for those to be left out. `words` and `opens` (1 for an opening
-    word, else 0) must be columns.
+def token_hashes(tokens: Column) -> Column:
+    """A hash for each token, so that a token in many windows is read once."""
+    return F.transform(tokens, lambda x: F.xxhash64(x))
 
-    All openings as words first. Then for each opening those where it is the first that is read as a name: most have no other
-    opening close behind, so that few windows need to be looked at by bits.
+
+def opening_hashes(words: Column, opens: Column, size: int) -> Column:
+    """dpos, h of the readings of each run of `size` tokens that take an opening word as a name; h is null for those to be left out. `words`
+    (hashes) and `opens` (1 for an opening word, else 0) must be columns.
+
+    For each opening those where it is the first that is read as a name: most have no other opening close behind, so that few windows
+    need to be looked at by bits.
     """
     last = F.size(words) - size
-    plain = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("dpos"), window_hash(words, i, size).alias("h")))
 
     def token(at: Column, k: int, j: int, part: Column | None) -> Column:
         if j == k:
-            return F.lit(NAME_SLOT)
+            return F.xxhash64(F.lit(NAME_SLOT))
         word = F.get(words, at - k + j)
-        return word if j < k or part is None else F.when(part.bitwiseAND(F.lit(1 << (j - k - 1))) != 0, F.lit(NAME_SLOT)).otherwise(word)
+        return word if j < k or part is None else F.when(part.bitwiseAND(F.lit(1 << (j - k - 1))) != 0, F.xxhash64(F.lit(NAME_SLOT))).otherwise(word)
 
     def around(at: Column, part: Column | None = None) -> Column:
         made = []
@@ -81,28 +86,28 @@ def reading_hashes(words: Column, opens: Column, size: int) -> Column:
         behind = sum((F.coalesce(F.get(opens, at + j + 1), F.lit(0)) * (1 << j) for j in range(1, size - 1)), F.coalesce(F.get(opens, at + 1), F.lit(0)))
         return F.when(behind == 0, around(at)).otherwise(F.flatten(F.transform(F.get(readings(size - 1), behind), lambda part: around(at, part))))
 
-    places = F.filter(F.transform(opens, lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
-    return F.when(last >= 0, F.concat(plain, F.flatten(F.transform(places, of_opening))))
+    places = F.filter(F.sequence(F.lit(0), F.size(opens) - 1), lambda i: F.get(opens, i) == 1)
+    return F.when(last >= 0, F.flatten(F.transform(places, of_opening)))
 
 
 def raw_tokens(text: Column) -> Column:
     """Array of the tokens that the template's tokens stand for, at the same positions."""
     kept = F.regexp_replace(text, NUMBER, " $0 ")
-    return F.filter(F.split(F.lower(F.regexp_replace(kept, rf"(?<=\p{{Nd}})[.,:/](?=\p{{Nd}})", "0x")), BREAK), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.regexp_replace(kept, r"(?=[.,:/])(?<=\p{Nd})[.,:/](?=\p{Nd})", "0x")), BREAK), "")
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
 def window_hash(tokens: Column, at: Column, size: int) -> Column:
-    """Hash of `size` tokens from position `at` (from 0). Tokens are fetched one by one: a slice would copy
+    """Hash of `size` tokens, given by their hashes, from position `at` (from 0). They are fetched one by one: a slice would copy
     the whole array for each window."""
     return F.xxhash64(*(F.get(tokens, at + k) for k in range(size)))
 
 
 def window_hashes(tokens: Column, size: int) -> Column:
-    """A hash for each run of `size` tokens; empty if there are fewer. `tokens` must be a column, not an
+    """A hash for each run of `size` tokens, given by their hashes; empty if there are fewer. `tokens` must be a column, not an
     expression, or it would be computed anew for each window."""
     last = F.size(tokens) - size
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: window_hash(tokens, i, size))).otherwise(
@@ -133,7 +138,7 @@ def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
     slots_in = lambda tokens: F.size(F.filter(tokens, lambda x: x.startswith("0")))
     windows = windows.withColumn("w", read).withColumn("n_slots", slots_in(F.col("w")))
     literal = (slots_in(F.col("m")) * 2 < size) & (F.col("n_slots") <= max(size - LEAST_WORDS, 0))
-    usable = windows.where(literal).withColumn("h", window_hash(F.col("w"), F.lit(0), size))
+    usable = windows.where(literal).withColumn("h", F.xxhash64(*(F.xxhash64(F.get("w", F.lit(k))) for k in range(size))))
     counts = usable.groupBy("item").agg(F.countDistinct("ipos").alias("n_windows"))
     sliced = usable.withColumn("slots", F.slice("raw", F.col("ipos"), F.lit(size))).withColumn("roles", F.slice("roles", F.col("ipos"), F.lit(size)))
     return sliced.select("item", "ipos", "v", "h", "w", "slots", "roles", "n_slots").join(counts, "item")
@@ -141,7 +146,7 @@ def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
 
 def exact_windows(items: DataFrame, size: int) -> DataFrame:
     """item, ipos, h, size, n_windows: windows of lower-case tokens, the whole item if it has fewer than `size`."""
-    tokens = items.select("item", raw_tokens(F.col("text")).alias("raw")).where(F.size("raw") > 0)
+    tokens = items.select("item", token_hashes(raw_tokens(F.col("text"))).alias("raw")).where(F.size("raw") > 0)
     made = F.when(F.size("raw") >= size, window_hashes(F.col("raw"), size))
     for n in range(1, size):
         made = made.when(F.size("raw") == n, F.array(window_hash(F.col("raw"), F.lit(0), n)))
@@ -153,7 +158,7 @@ def exact_copies(texts: DataFrame, items: DataFrame, size: int, share: float) ->
     """doc, item, coverage of items whose lower-case tokens are in a document."""
     known = materialize(exact_windows(items, size), "exact-windows")
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most `size` of them
-    tokens = texts.select("doc", raw_tokens(F.col("text")).alias("raw"))
+    tokens = texts.select("doc", token_hashes(raw_tokens(F.col("text"))).alias("raw"))
     each = [F.struct(F.lit(n).alias("size"), window_hashes(F.col("raw"), n).alias("hs")) for n in sizes or [size]]
     hashes = tokens.select("doc", F.explode(F.array(*each)).alias("x")).select("doc", "x.size", F.explode("x.hs").alias("h"))
     once = hashes.join(known, ["size", "h"]).groupBy("doc", "item", "ipos").agg(F.max("n_windows").alias("n_windows"))
@@ -175,8 +180,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
     known = materialize(benchmark_windows(items, size), "benchmark-windows")
     tokens = texts.select("doc", template_tokens(F.col("text")).alias("t"))
     opens = F.transform("t", lambda x: x.startswith(OPEN).cast("int"))
-    tokens = tokens.select("doc", as_words(F.col("t")).alias("t"), opens.alias("opens"))
-    hashes = tokens.select("doc", F.explode(reading_hashes(F.col("t"), F.col("opens"), size)).alias("x")).select("doc", "x.dpos", "x.h").where("h IS NOT NULL")
+    tokens = tokens.select("doc", token_hashes(as_words(F.col("t"))).alias("t"), opens.alias("opens"))
+    tokens = tokens.select("doc", "t", opening_hashes(F.col("t"), F.col("opens"), size).alias("more"))
+    # All windows with openings as words, by their places, then the other readings, which know theirs.
+    plain = F.size("t") - size + 1
+    hashes = tokens.select("doc", "more", plain.alias("plain"), F.posexplode(F.concat(window_hashes(F.col("t"), size), F.col("more.h"))).alias("at", "h")).where("h IS NOT NULL")
+    hashes = hashes.select("doc", F.when(F.col("at") < F.col("plain"), F.col("at")).otherwise(F.get("more", F.col("at") - F.col("plain"))["dpos"]).alias("dpos"), "h")
     by_hash = known.select("h", "item", "ipos", "v", "n_windows", "n_slots")
     hits = materialize(hashes.join(by_hash, "h").select("doc", "item", "dpos", "ipos", "v", "n_windows", "n_slots"), "window-hits")
 
