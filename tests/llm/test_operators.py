@@ -585,6 +585,33 @@ def test_decontamination_equals_brute_force(spark):
     assert found == _contaminated_by_hand(docs, items) and len(found) > 20
 
 
+def test_decontamination_reads_likely_documents_only(spark, monkeypatch):
+    """Templates are made of documents that hold a pair of words of an item; items without such pairs are looked for in all."""
+    items = [(1, "If Alice has 12 apples and Bob gives her 5 kg more how many apples does Alice have now"), (2, "Today Mary walks to the old mill, where 7 men wait"), (3, "οδος ΚΑΙ νερο και αλλα πεντε λογια εδω στην ωρα")]
+    odd = [(4, "12 + 7 = 19"), (5, "x² plus 5y² is 7z² or 9")]
+    docs = [
+        (1, "x.If Carol has 3apples and Dave gives her 7kg more how\n many apples does Carol have now"),
+        (2, "'Today Ruth walks to the old mill,where 91men wait"),
+        (3, "so ΟΔΟΣ και Νερο ΚΑΙ αλλα: πεντε λογια εδω στην ωρα 5"),
+        (4, "it says 12+7=19 there"),
+        (5, "that x² plus 5y² is 7z² or 9 is so"),
+        (6, "the river runs to the green sea and nothing else is to be said of it"),
+        (7, "5"), (8, ""), (9, None), (10, "If"),
+    ]
+    read, whole = [], decontaminate.template_hits
+    monkeypatch.setattr(decontaminate, "template_hits", lambda texts, *more: read.append(texts.count()) or whole(texts, *more))
+
+    def found(items):
+        table = spark.createDataFrame(items, "item_id long, text string")
+        return {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(_docs(spark, docs), table).collect()}
+
+    assert found(items) == {(1, 1), (2, 2), (3, 3)} and read[0] <= 4
+    assert found(items + odd) == {(i, i) for i in range(1, 6)}
+    words = spark.createDataFrame([(["the", "old", "mill", "0n", "men"],), (["a", "0n", "b", "0p", "c"],), (["οδος", "και", "x²", "b", "0n"],)], "w array<string>")
+    pairs = words.select(decontaminate.best_pair(F.col("w"), 5).alias("p"), F.xxhash64(F.lit("old"), F.lit("mill")).alias("h")).collect()
+    assert pairs[0]["p"].asDict() == {"n": 7, "h": pairs[0]["h"]} and pairs[1]["p"] is None and pairs[2]["p"] is None
+
+
 def _luhn(digits):
     worth = [int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits))]
     return sum(worth) % 10 == 0

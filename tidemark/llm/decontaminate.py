@@ -12,18 +12,26 @@ different numbers need not. The check is made once with the items' openings as w
 
 Beside that the lower-case tokens themselves meet in windows of five, or of the whole item if it is shorter, so
 that a copy is found whatever its items' placeholders and the case of its names.
+
+Most documents are ruled out before their templates are made. A document that holds at least 0.8 of an item's windows holds one of any
+(a fifth of them) + 1; so for each item that many windows are picked, and of each reading of them a pair of adjacent words, longest first. The words
+of a pair are letters only, and so follow each other in the document among its runs of letters too, whatever its numbers, units and names
+are. Documents without any such pair hold no item. Items whose windows have too few pairs are looked for in all documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
 
 WINDOW = 5
 SHARE = 0.8
-BROADCAST_PLACES = 1_000_000  # of windows: some ten MB
+BROADCAST_PLACES = 1_000_000  # of windows, or pairs of words: some ten MB
+BROADCAST_DOCS = 500_000  # ids: some ten MB
 # Units that may follow a number.
 UNITS = "kg|km|cm|mm|mg|ml|kwh|mph|km/h|usd|eur|gb|mb|kb|hours|hour|minutes|minute|seconds|days|day|weeks|years|miles|meters|litres|percent|dollars|euros"
 NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
@@ -32,6 +40,8 @@ NAME = r"(?=\p{Lu})(?<=[\p{L}\p{N},] )\p{Lu}\p{Ll}+"
 OPENING = r"(?=\p{Lu})(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 LEAST_WORDS = 2  # literal tokens of a window
 BREAK = r"[^\p{L}\p{N}]+"
+NO_LETTERS = r"[^\p{L}]+"
+STEADY = r"^[\p{L}&&[^\u03c3\u03c2]]+$"  # how a sigma is written depends on what is beside it
 OPEN = "1"  # before a word that opens a sentence
 NUMBER_SLOT, NAME_SLOT, UNIT_SLOT = "0n", "0p", "0u"  # no word starts with a digit once numbers are replaced
 
@@ -145,27 +155,77 @@ def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def exact_windows(items: DataFrame, size: int) -> DataFrame:
-    """item, ipos, h, size, n_windows: windows of lower-case tokens, the whole item if it has fewer than `size`."""
-    tokens = items.select("item", token_hashes(raw_tokens(F.col("text"))).alias("raw")).where(F.size("raw") > 0)
+    """item, ipos, h, size, n_windows, w: windows of lower-case tokens, the whole item if it has fewer than `size`."""
+    tokens = items.select("item", raw_tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
+    tokens = tokens.select("item", "words", token_hashes(F.col("words")).alias("raw"))
     made = F.when(F.size("raw") >= size, window_hashes(F.col("raw"), size))
     for n in range(1, size):
         made = made.when(F.size("raw") == n, F.array(window_hash(F.col("raw"), F.lit(0), n)))
-    found = tokens.select("item", F.least(F.size("raw"), F.lit(size)).alias("size"), made.alias("hs"))
-    return found.select("item", "size", F.size("hs").alias("n_windows"), F.posexplode("hs").alias("ipos", "h"))
+    found = tokens.select("item", "words", F.least(F.size("raw"), F.lit(size)).alias("size"), made.alias("hs"))
+    found = found.select("item", "words", "size", F.size("hs").alias("n_windows"), F.posexplode("hs").alias("ipos", "h"))
+    return found.select("item", "ipos", "h", "size", "n_windows", F.slice("words", F.col("ipos") + 1, F.col("size")).alias("w"))
+
+
+def best_pair(words: Column, size: int) -> Column:
+    """n, h of the longest two adjacent words of a window that are letters only; null if it has none. `words` must be a column."""
+    steady = lambda k: F.get(words, F.lit(k)).rlike(STEADY)
+    pairs = [F.when(steady(k) & steady(k + 1), F.struct((F.length(F.get(words, F.lit(k))) + F.length(F.get(words, F.lit(k + 1)))).alias("n"), F.xxhash64(F.get(words, F.lit(k)), F.get(words, F.lit(k + 1))).alias("h"))) for k in range(size - 1)]
+    none = F.lit(None).cast("struct<n:int,h:bigint>")
+    return F.array_max(F.array(none, *pairs))
 
 
-def exact_copies(texts: DataFrame, items: DataFrame, size: int, share: float) -> DataFrame:
-    """doc, item, coverage of items whose lower-case tokens are in a document."""
-    known = materialize(exact_windows(items, size), "exact-windows")
+def item_pairs(known: DataFrame, size: int, share: float) -> DataFrame:
+    """item, weak, hs: the pairs of words of which a document must hold one to hold `share` of an item's windows; weak if they can't tell.
+
+    `known`: item, ipos, n_windows, w; a place has a row for each reading, and any of them may be the one in the document.
+    """
+    each = known.select("item", "ipos", "n_windows", best_pair(F.col("w"), size).alias("pair"))
+    places = each.groupBy("item", "ipos").agg(F.max("n_windows").alias("n_windows"), F.min(F.coalesce("pair.n", F.lit(0))).alias("n"), F.collect_set("pair.h").alias("hs"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("n"), "ipos"))
+    # One more than the windows that may be missing.
+    picked = places.withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("n_windows") * (1 - share) + 1e-6) + 1)
+    return picked.groupBy("item").agg((F.min("n") == 0).alias("weak"), F.flatten(F.collect_list("hs")).alias("hs"))
+
+
+def documents_with(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc, text of the documents that hold any of the pairs (h) among their runs of letters."""
+    runs = texts.select("doc", F.split(F.lower("text"), NO_LETTERS).alias("runs"))
+    # Not filtered by the number of runs: the filter would be moved to the scan, and split there again.
+    places = F.when(F.size("runs") > 1, F.sequence(F.lit(0), F.size("runs") - 2))
+    each = runs.select("doc", "runs", F.explode(places).alias("at"))
+    each = each.select("doc", F.xxhash64(F.get("runs", F.col("at")), F.get("runs", F.col("at") + 1)).alias("h"))
+    pairs = materialize(pairs.distinct(), "pairs")
+    met = each.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_PLACES else pairs, "h", "left_semi")
+    found = materialize(met.select("doc").distinct(), "documents-with-pairs")
+    few = found.count() <= BROADCAST_DOCS
+    return materialize(texts.join(F.broadcast(found) if few else found, "doc", "left_semi"), "likely-texts")
+
+
+def exact_copies(texts: DataFrame, known: DataFrame, size: int, share: float) -> DataFrame:
+    """doc, item, coverage of items whose lower-case tokens are in a document; `known` are their windows."""
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most `size` of them
     tokens = texts.select("doc", token_hashes(raw_tokens(F.col("text"))).alias("raw"))
     each = [F.struct(F.lit(n).alias("size"), window_hashes(F.col("raw"), n).alias("hs")) for n in sizes or [size]]
     hashes = tokens.select("doc", F.explode(F.array(*each)).alias("x")).select("doc", "x.size", F.explode("x.hs").alias("h"))
-    once = hashes.join(known, ["size", "h"]).groupBy("doc", "item", "ipos").agg(F.max("n_windows").alias("n_windows"))
+    once = hashes.join(known.drop("w"), ["size", "h"]).groupBy("doc", "item", "ipos").agg(F.max("n_windows").alias("n_windows"))
     counts = once.groupBy("doc", "item").agg((F.count("*") / F.max("n_windows")).alias("coverage"))
     return counts.where(F.col("coverage") >= share)
 
 
+def template_hits(texts: DataFrame, known: DataFrame, size: int) -> DataFrame:
+    """doc, item, dpos, ipos, v, n_windows, n_slots: where the documents' template windows, in all readings, are those of items."""
+    tokens = texts.select("doc", template_tokens(F.col("text")).alias("t"))
+    opens = F.transform("t", lambda x: x.startswith(OPEN).cast("int"))
+    tokens = tokens.select("doc", token_hashes(as_words(F.col("t"))).alias("t"), opens.alias("opens"))
+    tokens = tokens.select("doc", "t", opening_hashes(F.col("t"), F.col("opens"), size).alias("more"))
+    # All windows with openings as words, by their places, then the other readings, which know theirs.
+    plain = F.size("t") - size + 1
+    hashes = tokens.select("doc", "more", plain.alias("plain"), F.posexplode(F.concat(window_hashes(F.col("t"), size), F.col("more.h"))).alias("at", "h")).where("h IS NOT NULL")
+    hashes = hashes.select("doc", F.when(F.col("at") < F.col("plain"), F.col("at")).otherwise(F.get("more", F.col("at") - F.col("plain"))["dpos"]).alias("dpos"), "h")
+    by_hash = known.select("h", "item", "ipos", "v", "n_windows", "n_slots")
+    return hashes.join(by_hash, "h").select("doc", "item", "dpos", "ipos", "v", "n_windows", "n_slots")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, coverage of every item found in a document.
 
@@ -178,16 +238,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
     texts = texts.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc"), "text")
     items = materialize(distinct_items(benchmark), "items")
     known = materialize(benchmark_windows(items, size), "benchmark-windows")
-    tokens = texts.select("doc", template_tokens(F.col("text")).alias("t"))
-    opens = F.transform("t", lambda x: x.startswith(OPEN).cast("int"))
-    tokens = tokens.select("doc", token_hashes(as_words(F.col("t"))).alias("t"), opens.alias("opens"))
-    tokens = tokens.select("doc", "t", opening_hashes(F.col("t"), F.col("opens"), size).alias("more"))
-    # All windows with openings as words, by their places, then the other readings, which know theirs.
-    plain = F.size("t") - size + 1
-    hashes = tokens.select("doc", "more", plain.alias("plain"), F.posexplode(F.concat(window_hashes(F.col("t"), size), F.col("more.h"))).alias("at", "h")).where("h IS NOT NULL")
-    hashes = hashes.select("doc", F.when(F.col("at") < F.col("plain"), F.col("at")).otherwise(F.get("more", F.col("at") - F.col("plain"))["dpos"]).alias("dpos"), "h")
-    by_hash = known.select("h", "item", "ipos", "v", "n_windows", "n_slots")
-    hits = materialize(hashes.join(by_hash, "h").select("doc", "item", "dpos", "ipos", "v", "n_windows", "n_slots"), "window-hits")
+    exact = materialize(exact_windows(items, size), "exact-windows")
+    asked_for = {k: materialize(item_pairs(rows, size, share), f"{k}-pairs") for k, rows in (("template", known), ("exact", exact))}
+    pairs = asked_for["template"].unionByName(asked_for["exact"]).where("NOT weak").select(F.explode("hs").alias("h"))
+    likely_texts = documents_with(texts, pairs)
+
+    def looked_for(find: Callable[..., DataFrame], kind: str, rows: DataFrame, *more: float) -> DataFrame:
+        """What `find` gives: items in the documents that may hold them, weak ones in all documents."""
+        weak = asked_for[kind].where("weak").select("item")
+        found = find(likely_texts, rows.join(weak, "item", "left_anti"), size, *more)
+        return found if weak.isEmpty() else found.unionByName(find(texts, rows.join(weak, "item", "left_semi"), size, *more))
+
+    hits = materialize(looked_for(template_hits, "template", known), "window-hits")
 
     def covered(found: DataFrame) -> DataFrame:
         once = found.groupBy("doc", "item", "ipos").agg(F.max("n_windows").alias("n_windows"))
@@ -221,7 +283,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
 
     values = materialize(values, "slot-values")
     asked_again = consistent(with_slots.where("v = 0"), values.where(~F.col("opening"))).unionByName(consistent(with_slots, values))
-    both = asked_again.unionByName(exact_copies(texts, items, size, share)).join(items.select("item", "item_id"), "item")
+    both = asked_again.unionByName(looked_for(exact_copies, "exact", exact, share)).join(items.select("item", "item_id"), "item")
     return both.groupBy("doc.doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
