@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -228,3 +229,13 @@ def test_contract_gate_sees_every_event(spark):
     found = {(r["kind"], r["item"], r["problem"]) for r in policies.h3_contract_gate(c).collect()}
     assert {("available", "okx.trade", "missing"), ("available", "binance.open_interest", "unexpected"), ("symbol", "ETHUSDT", "missing"), ("field", "bbo.bid_price", "missing")} <= found
     assert not {("field", "trade.price", "missing"), ("symbol", "BTCUSDT", "missing")} & found and not any(kind in ("scale", "width") for kind, _, _ in found)
+
+
+def test_state_reads_fields_of_the_newest_times_only(spark):
+    """Of each key and slot only events of its newest time meet the ties and fields: the larger ord wins whole, and times before the lattice are kept."""
+    rows = [(1, -10**12, 1.0, 1.0), (2, 10, 2.0, 2.0), (5, 20, None, 5.0), (4, 20, 4.0, 4.0), (3, 15, 3.0, 3.0), (6, 3_600_000_000, 6.0, None), (7, 3_600_000_001, 7.0, 7.0), (8, None, 8.0, 8.0)]
+    events = spark.createDataFrame([("BTCUSDT", "okx", "trade", *r) for r in rows] + [("other", "okx", "trade", 9, 30, 9.0, 9.0)], "symbol string, exchange string, stream string, ord long, us long, price double, qty double")
+    found = asof.asof_slots(events, DEFAULT, ("price", "qty"))
+    own = {r["slot"]: (r["e_us"], r["price"], r["qty"]) for r in found.where("symbol = 'BTCUSDT' AND exchange = 'okx' AND stream = 'trade' AND slot <= 2").collect()}
+    assert [own[s] for s in (-1, 0, 1, 2)] == [(-10**12, 1.0, 1.0)] * 2 + [(3_600_000_000, 6.0, None), (3_600_000_001, 7.0, 7.0)]
+    assert re.search(r"Join LeftSemi, .*us#\d+L = us#\d+L", found._jdf.queryExecution().optimizedPlan().toString())

@@ -10,6 +10,7 @@ from tidemark.functions import dims
 from tidemark.functions.specs import FIELDS, FIELDS_BY_STREAM, PITCH_US, Spec
 
 KEYS = ("symbol", "exchange", "stream")
+BROADCAST_STATES = 1_000_000  # keys x slots, some 60 bytes each
 
 
 def decision_grid(df_or_spark, spec: Spec) -> DataFrame:  # noqa: ANN001
@@ -30,21 +31,24 @@ def state_keys(spark, spec: Spec) -> DataFrame:  # noqa: ANN001
 def asof_slots(events: DataFrame, spec: Spec, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """State of every key at every slot: the newest event at or before it, ties to the larger ord.
 
-    Events are first reduced to one row for each key and slot, by map-side combined scalar aggregates, so
-    what is shuffled is bounded by keys x slots; then the last row (not the last value of each field) is
-    carried forward. Events before the lattice are kept in its first slot.
+    First the newest time of each key and slot is found, by one map-side combined number; only events of that time go on to the
+    ties and fields. They are reduced to one row for each key and slot, so what is shuffled is bounded by keys x slots; then the last row
+    (not the last value of each field) is carried forward. Events before the lattice are kept in its first slot.
     """
     spark = events.sparkSession
     first, last = spec.first_slot, spec.last_slot
     newest = (F.col("us").cast("decimal(38,0)") * F.lit(10**13).cast("decimal(38,0)") + F.col("ord")).cast("decimal(38,0)")
+    keys = state_keys(spark, spec)
+    placed = events.where(F.col("us") <= last * PITCH_US).withColumn("slot", F.greatest(F.lit(first).cast("long"), slot_of(F.col("us"))))
+    times = placed.join(F.broadcast(keys), list(KEYS), "left_semi").groupBy(*KEYS, "slot").agg(F.max("us").alias("us"))
+    few = len(spec.symbols) * len(spec.exchanges) * len(FIELDS_BY_STREAM) * (last - first + 1) <= BROADCAST_STATES
     reduced = (
-        events.where(F.col("us") <= last * PITCH_US)
-        .withColumn("slot", F.greatest(F.lit(first).cast("long"), slot_of(F.col("us"))))
+        placed.join(F.broadcast(times) if few else times, [*KEYS, "slot", "us"], "left_semi")
         .withColumn("_key", newest)
         .groupBy(*KEYS, "slot")
         .agg(F.max("us").alias("e_us"), *(F.max_by(f, "_key").alias(f) for f in fields))
     )
-    lattice = F.broadcast(state_keys(spark, spec)).crossJoin(spark.range(first, last + 1).withColumnRenamed("id", "slot"))
+    lattice = F.broadcast(keys).crossJoin(spark.range(first, last + 1).withColumnRenamed("id", "slot"))
     row = F.when(F.col("e_us").isNotNull(), F.struct("e_us", *fields))
     carried = F.last(row, ignorenulls=True).over(Window.partitionBy(*KEYS).orderBy("slot"))
     filled = lattice.join(reduced, [*KEYS, "slot"], "left").select(*KEYS, "slot", carried.alias("_row"))

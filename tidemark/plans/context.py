@@ -34,6 +34,11 @@ class Context:
         """Written once: every query below reads it several times."""
         return materialize(asof.asof_slots(self.events, self.spec), "state")
 
+    @cached_property
+    def history(self) -> DataFrame:
+        """Written once, or the events would be read for each use of the cells."""
+        return materialize(asof.history_start(self.events), "history")
+
     @cached_property
     def venues(self) -> DataFrame:
         return materialize(derived.venue_state(self.state), "venues")
@@ -56,7 +61,7 @@ class Context:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return asof.cells(self.state, asof.history_start(self.events), self.spec)
+        return asof.cells(self.state, self.history, self.spec)
 
     @cached_property
     def seen(self) -> DataFrame:
