@@ -316,6 +316,17 @@ def test_near_duplicates_of_loose_groups(spark, monkeypatch):
     assert sum(pairs) < 8 * len(rows)
 
 
+def test_near_duplicates_of_more_classes_than_are_broadcast(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghijklm") for _ in range(60)) for _ in range(20)]
+    rows = {i: texts[i % 20] + " n" * (i // 20 == 3) for i in range(80)}
+    docs = _docs(spark, [*rows.items(), (100, None), (101, ""), (None, texts[0])])
+    expected = sorted(near_dedup.near_duplicates(docs).collect(), key=str)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    assert sorted(near_dedup.near_duplicates(docs).collect(), key=str) == expected
+    assert {r["doc_id"]: r["class_id"] for r in expected if r["doc_id"] is not None} == {i: i % 20 for i in rows} | {100: 100, 101: 101}
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(3)
     elements = np.unique(rng.integers(1, 2**62, 300).astype(np.uint64))
@@ -873,6 +884,13 @@ def test_wrappers_come_from_all_pages_of_a_host(spark):
     assert html_text.extract("<article class='comment'>c</article><div><p>the text</p></div>", None) == "the text"
 
 
+def test_main_text_with_more_wrappers_than_are_broadcast(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", F.when(F.col("page_id") % 9 > 0, F.col("url")).alias("url"), "html")
+    expected = sorted(html_text.main_text(pages).collect(), key=str)
+    monkeypatch.setattr(html_text, "BROADCAST_CHARS", 0)
+    assert sorted(html_text.main_text(pages).collect(), key=str) == expected
+
+
 def test_main_text_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "http://h/", ""), (2, "http://h/", ""), (3, "odd", "<p>x</p>")], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.main_text(pages).collect()) == [(1, "", 0), (2, "", 0), (2, "", 0), (3, "x", 1)]

@@ -364,7 +364,7 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     if classes.count() <= BROADCAST_ROWS:
         classed = ids.join(F.broadcast(classes), "id", "left")
     else:  # copies of one text are dealt over several tasks
-        salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         classed = ids.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("long")).join(salted, ["id", "salt"], "left")
     classed = classed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     alone = rows.where(~known).select("doc_id", F.col("doc_id").alias("class_id"))
