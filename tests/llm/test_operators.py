@@ -891,6 +891,23 @@ def test_main_text_with_more_wrappers_than_are_broadcast(spark, monkeypatch):
     assert sorted(html_text.main_text(pages).collect(), key=str) == expected
 
 
+def test_wrappers_are_learned_inside_of_articles(spark):
+    """Links that all articles of a host begin or end with are menus; all else that they share stays, and so do links of their own."""
+    body = "<body><{1}><ul><li><a href='/'>Home</a><li><a href='/n'>News</a></ul><div><a href='/{0}'>Read {2}</a></div><h2>Notes</h2><p>text {0} of page {0}, which is a long one<p>{3}, one more {0}, so that what all share is the lesser part of the text, as it is on most pages<div>All agree.</div><p><a>Share</a> | <a>Print</a></{1}></body>"
+    tags = ["article", "main"]
+    rows = [body.format(i, tags[i % 2], "on" if i not in (8, 9) else "this", "short" if i % 3 else "<i>some</i>") for i in range(40)]
+    own = rows[6].replace("News", "New")
+    for tag in tags:
+        wrapper = html_text.infer(rows[tags.index(tag) :: 2])
+        assert "<ul>(<li><a>#TEXT</></>)+</>" in html_text.expression(wrapper) and "<div>All agree.</>" in html_text.expression(wrapper)
+        assert "Home" in html_text.extract(own.replace("article", tag), html_text.Reader(wrapper))
+    pages = spark.createDataFrame([(i, f"http://{tags[i % 2]}.example/", x) for i, x in enumerate(rows)], "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_text.main_text(pages.repartition(1)).collect()}
+    assert found == {r["page_id"]: r["text"] for r in html_text.main_text(pages.repartition(5)).collect()}
+    for i, text in found.items():
+        assert text == f"{'Read this' if i in (8, 9) else 'Read on'}\n\nNotes\n\ntext {i} of page {i}, which is a long one\n\n{'short' if i % 3 else 'some'}, one more {i}, so that what all share is the lesser part of the text, as it is on most pages\n\nAll agree.", text
+
+
 def test_main_text_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "http://h/", ""), (2, "http://h/", ""), (3, "odd", "<p>x</p>")], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.main_text(pages).collect()) == [(1, "", 0), (2, "", 0), (2, "", 0), (3, "x", 1)]
